@@ -182,3 +182,16 @@ MISSING_TOKENS = [
     "nan",
     "null",
 ]
+
+# --- FIXED VALUES: triage step stages, titles and texts ----------------------
+TRIAGE_STEPS = [
+    ("planner", "Framed the customer issue"),
+    ("blast-radius", "Measured customer blast radius"),
+    ("history", "Pulled comparable failures"),
+    ("runbook", "Built the recovery plan"),
+    ("customer-update", "Prepared the stakeholder update"),
+]
+NO_COMPARABLES_TEXT = "Found no directly comparable incidents in the recent queue."
+COMPARABLES_TEXT = "Matched {n} recent incidents with the same failure mode to guide remediation."
+REJECT_NO_CUSTOMER = "customer not found"
+REJECT_UNKNOWN_CATEGORY = "unknown failure category"

@@ -209,3 +209,104 @@ def silver_sql(body: str) -> str:
 
 def health_sql(days: int, body: str) -> str:
     return with_ctes(TELEMETRY, SILVER, recent(days), HEALTH_FROM_RECENT, body=body)
+
+
+QUEUE_ORDER = "severity_rank ASC NULLS LAST, event_ts DESC NULLS LAST, incident_id ASC NULLS LAST"
+
+INCIDENTS = f"""
+incidents AS (
+  SELECT *, (severity IS NOT DISTINCT FROM 'high') AS needs_customer_update,
+    {spaced('failure_category')} || ' on ' || workload_name || ' for ' || customer_name
+      || ' with reliability ' || {num_text('reliability_score')} || '.' AS summary_line
+  FROM silver
+  WHERE severity IN ('high', 'medium') OR status IS DISTINCT FROM 'success'
+), queue AS (
+  SELECT * FROM incidents ORDER BY {QUEUE_ORDER} LIMIT {fv.INCIDENT_QUEUE_SIZE}
+)"""
+
+
+def sql_list(items) -> str:
+    return "[" + ", ".join(q(x) for x in items) + "]::VARCHAR[]"
+
+
+RUNBOOK = (
+    "runbook AS (SELECT * FROM (VALUES "
+    + ", ".join(f"({q(k)}, {q(rc)}, {sql_list(a)}, {sql_list(d)})" for k, (rc, a, d) in fv.RUNBOOK_LIBRARY.items())
+    + ") t(failure_category, rb_root_cause, rb_actions, rb_deployment))"
+)
+
+_no_text = "[]::VARCHAR[]"
+TRIAGE = f"""
+ctx AS (
+  SELECT i.*, h.customer_health_score, h.open_incidents AS customer_open_incidents,
+    r.rb_root_cause AS root_cause, r.rb_actions, r.rb_deployment
+  FROM incidents i JOIN customer_health h USING (customer_id) JOIN runbook r USING (failure_category)
+), ordered_pool AS (
+  SELECT failure_category, incident_id,
+    row_number() OVER (PARTITION BY failure_category ORDER BY {QUEUE_ORDER}) AS rn
+  FROM incidents
+), comps AS (
+  SELECT c.incident_id, list(p.incident_id ORDER BY p.rn) AS ids
+  FROM ctx c JOIN ordered_pool p ON p.failure_category = c.failure_category AND p.incident_id <> c.incident_id
+  GROUP BY c.incident_id
+), tri AS (
+  SELECT c.*,
+    list_concat(list_concat(rb_actions,
+        CASE WHEN queue_depth >= {fv.QUEUE_ACTION_THRESHOLD} THEN [{q(fv.QUEUE_ACTION)}] ELSE {_no_text} END),
+        CASE WHEN memory_utilization_pct >= {fv.MEMORY_ACTION_THRESHOLD} THEN [{q(fv.MEMORY_ACTION)}] ELSE {_no_text} END)
+      AS next_actions,
+    list_concat(rb_deployment,
+        CASE WHEN customer_open_incidents >= {fv.OPEN_INCIDENT_DEPLOY_THRESHOLD}
+             THEN [{q(fv.OPEN_INCIDENT_DEPLOY_STEP)}] ELSE {_no_text} END) AS deployment_plan,
+    coalesce(list_slice(m.ids, 1, {fv.COMPARABLE_LIMIT}), {_no_text}) AS comparable_ids
+  FROM ctx c LEFT JOIN comps m USING (incident_id)
+), report AS (
+  SELECT *,
+    'We identified the main issue behind ' || workload_name || ' for ' || customer_name || ': ' || root_cause
+      || ' Current health for the account is ' || {num_text('customer_health_score')}
+      || ' and the top remediation step is to ' || lower(next_actions[1]) || '.' AS customer_update,
+    customer_name || ' needs a focused fix on ' || workload_name || '. The likely driver is '
+      || {spaced('failure_category')} || ', and the fastest path is to ' || lower(next_actions[1]) AS executive_summary,
+    ['Reliability score is ' || {num_text('reliability_score')} || '.',
+     'Queue depth reached ' || {num_text('queue_depth')} || ' and memory utilization reached '
+       || {num_text('memory_utilization_pct')} || '%.',
+     'Latency ran ' || {num_text('latency_over_sla_min')} || ' minutes over SLA.',
+     user_impact] AS evidence,
+    len(comparable_ids) AS matches
+  FROM tri
+)"""
+
+
+def triage_sql(body: str) -> str:
+    return with_ctes(TELEMETRY, SILVER, recent(7), HEALTH_FROM_RECENT, INCIDENTS, RUNBOOK, TRIAGE, body=body)
+
+
+def incidents_sql(body: str, days: int = 7) -> str:
+    return with_ctes(TELEMETRY, SILVER, recent(days), HEALTH_FROM_RECENT, INCIDENTS, body=body)
+
+
+_st = fv.TRIAGE_STEPS
+TRIAGE_STEPS_BODY = f"""
+SELECT incident_id, 1 AS step_no, {q(_st[0][0])} AS stage, {q(_st[0][1])} AS title,
+  customer_name || ' has a ' || severity || ' severity issue on ' || workload_name || ' with reliability '
+    || {num_text('reliability_score')} || '.' AS detail,
+  'latency_over_sla_min=' || {num_text('latency_over_sla_min')} || ';queue_depth=' || {num_text('queue_depth')} AS metrics_text
+FROM report
+UNION ALL
+SELECT incident_id, 2, {q(_st[1][0])}, {q(_st[1][1])},
+  'Account health is ' || {num_text('customer_health_score')} || ' with ' || {num_text('customer_open_incidents')}
+    || ' open high-priority incidents.',
+  'customer_health_score=' || {num_text('customer_health_score')} || ';open_incidents=' || {num_text('customer_open_incidents')}
+FROM report
+UNION ALL
+SELECT incident_id, 3, {q(_st[2][0])}, {q(_st[2][1])},
+  CASE WHEN matches > 0 THEN replace({q(fv.COMPARABLES_TEXT)}, '{{n}}', {num_text('matches')})
+       ELSE {q(fv.NO_COMPARABLES_TEXT)} END,
+  'matches=' || {num_text('matches')}
+FROM report
+UNION ALL
+SELECT incident_id, 4, {q(_st[3][0])}, {q(_st[3][1])}, root_cause, 'top_action=' || next_actions[1]
+FROM report
+UNION ALL
+SELECT incident_id, 5, {q(_st[4][0])}, {q(_st[4][1])}, customer_update, ''
+FROM report"""
