@@ -102,3 +102,18 @@ def iso_seconds(x) -> Column:
 def utc_now_text() -> Column:
     """Current UTC time as ``YYYY-MM-DDTHH:MM:SS+00:00`` (whole seconds)."""
     return F.concat(iso_seconds(F.convert_timezone(None, F.lit("UTC"), F.localtimestamp())), F.lit("+00:00"))
+
+
+def micro_units(x, scale: int = 6) -> Column:
+    """x rounded to 10^-scale, as an exact integer decimal (no bigint overflow)."""
+    return F.round(_c(x).cast("double") * F.lit(float(10**scale))).cast("decimal(38,0)")
+
+
+def exact_mean(x, scale: int = 6) -> Column:
+    """Order-independent mean of any numeric column at 10^-scale resolution.
+
+    The sum is exact (decimal), so every partitioning gives the same bits;
+    one double division gives the correctly rounded mean of the rounded values.
+    """
+    x = _c(x)
+    return F.sum(micro_units(x, scale)).cast("double") / (F.count(x).cast("double") * F.lit(float(10**scale)))

@@ -1 +1,285 @@
-"""placeholder"""
+"""Dataset profile and question-driven analysis queries (A6, I, J)."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from fleetlake.functions.exprs import lookup
+from fleetlake.operators import analysis as an
+from fleetlake.operators.profile import column_features, column_kind, profile_summary, sample_records
+from fleetlake.plans import oracle as o
+from fleetlake.plans.catalog import register
+from fleetlake.sources.telemetry import load_workload_runs, read_tables
+
+# Table layouts of the driver's datasets, as Spark reads them (for the SQL side).
+EVENTS_COLUMNS = [
+    ("event_id", "bigint", "numeric", False),
+    ("ts", "timestamp_ntz", "other", False),
+    ("user_id", "bigint", "numeric", False),
+    ("event_type", "string", "categorical", False),
+    ("value", "double", "numeric", True),
+    ("props", "string", "categorical", False),
+]
+DOCUMENTS_COLUMNS = [
+    ("doc_id", "bigint", "numeric", False),
+    ("text", "string", "categorical", False),
+    ("lang", "string", "categorical", False),
+    ("source", "string", "categorical", False),
+    ("n_chars", "bigint", "numeric", False),
+]
+
+
+def _missing(col: str, floating: bool) -> str:
+    return f"{col} IS NULL" + (f" OR isnan({col})" if floating else "")
+
+
+def features_sql(table: str, cols, with_kind: bool = False) -> str:
+    parts = []
+    for i, (c, dtype, kind, flt) in enumerate(cols):
+        extra = f", {o.q(kind)} AS kind" if with_kind else ""
+        parts.append(
+            f"SELECT {i} AS ordinal, {o.q(c)} AS column_name, {o.q(dtype)} AS spark_dtype, "
+            f"count(*) FILTER (WHERE {_missing(c, flt)}) AS missing_count, count(*) AS row_count{extra} FROM {table}"
+        )
+    return "\nUNION ALL\n".join(parts)
+
+
+@register("column_features", features_sql("events", EVENTS_COLUMNS))
+def q_column_features(spark, sf_dir):
+    (events,) = read_tables(spark, sf_dir, "events")
+    return column_features(events)
+
+
+@register("column_features_documents", features_sql("documents", DOCUMENTS_COLUMNS))
+def q_column_features_documents(spark, sf_dir):
+    (docs,) = read_tables(spark, sf_dir, "documents")
+    return column_features(docs)
+
+
+@register("profile_columns", features_sql("events", EVENTS_COLUMNS, with_kind=True))
+def q_profile_columns(spark, sf_dir):
+    (events,) = read_tables(spark, sf_dir, "events")
+    kinds = {f.name: column_kind(f) for f in events.schema.fields}
+    return column_features(events).withColumn("kind", lookup(kinds, F.col("column_name")))
+
+
+@register(
+    "profile_missing",
+    "SELECT column_name, missing_count FROM (" + features_sql("documents", DOCUMENTS_COLUMNS) + ")",
+)
+def q_profile_missing(spark, sf_dir):
+    (docs,) = read_tables(spark, sf_dir, "documents")
+    return column_features(docs).select("column_name", "missing_count")
+
+
+def _iso_sql(c: str) -> str:
+    return (
+        f"CASE WHEN strftime({c}, '%f') = '000000' THEN strftime({c}, '%Y-%m-%dT%H:%M:%S') "
+        f"ELSE strftime({c}, '%Y-%m-%dT%H:%M:%S.%f') END"
+    )
+
+
+_EVENTS_JSON = (
+    "json_object('event_id', event_id, 'ts', " + _iso_sql("ts") + ", 'user_id', user_id, 'event_type', event_type, "
+    "'value', CASE WHEN isnan(value) THEN NULL ELSE value END, 'props', props)::VARCHAR"
+)
+
+
+@register(
+    "profile_sample",
+    f"SELECT row_number() OVER (ORDER BY event_id) AS sample_index, {_EVENTS_JSON} AS record "
+    "FROM (SELECT * FROM events ORDER BY event_id NULLS LAST LIMIT 5)",
+)
+def q_profile_sample(spark, sf_dir):
+    (events,) = read_tables(spark, sf_dir, "events")
+    return sample_records(events, ["event_id"])
+
+
+_names = ",".join(c for c, *_ in EVENTS_COLUMNS)
+_num = ",".join(c for c, _, k, _ in EVENTS_COLUMNS if k == "numeric")
+_cat = ",".join(c for c, _, k, _ in EVENTS_COLUMNS if k == "categorical")
+_dtypes = ";".join(f"{c}={d}" for c, d, *_ in sorted(EVENTS_COLUMNS))
+
+
+@register(
+    "profile_summary",
+    f"""WITH feats AS ({features_sql('events', EVENTS_COLUMNS)}),
+sample AS (SELECT {_EVENTS_JSON} AS rec, event_id FROM (SELECT * FROM events ORDER BY event_id NULLS LAST LIMIT 5))
+SELECT 'events.parquet' AS filename, max(row_count) AS rows, {len(EVENTS_COLUMNS)} AS columns,
+  {o.q(_names)} AS column_names, {o.q(_dtypes)} AS dtypes, {o.q(_num)} AS numeric_columns,
+  {o.q(_cat)} AS categorical_columns,
+  string_agg(column_name || '=' || CAST(missing_count AS VARCHAR), ';' ORDER BY column_name) AS missing_values,
+  (SELECT '[' || string_agg(rec, ',' ORDER BY event_id) || ']' FROM sample) AS sample_rows
+FROM feats""",
+)
+def q_profile_summary(spark, sf_dir):
+    (events,) = read_tables(spark, sf_dir, "events")
+    p = profile_summary(events, "events.parquet", ["event_id"])
+
+    def map_text(m):
+        return F.array_join(
+            F.transform(F.array_sort(F.map_keys(m)), lambda k: F.concat(k, F.lit("="), m[k].cast("string"))), ";"
+        )
+
+    return p.select(
+        "filename",
+        "rows",
+        "columns",
+        F.array_join("column_names", ",").alias("column_names"),
+        map_text(F.col("dtypes")).alias("dtypes"),
+        F.array_join("numeric_columns", ",").alias("numeric_columns"),
+        F.array_join("categorical_columns", ",").alias("categorical_columns"),
+        map_text(F.col("missing_values")).alias("missing_values"),
+        "sample_rows",
+    )
+
+
+# ---- analyses -----------------------------------------------------------------------------
+
+RUNS_CTE = """
+runs AS (
+  SELECT job_id AS run_id, customer_name AS account, workload_name AS workload, region,
+    partition_date AS run_date, CAST(duration_min AS DOUBLE) AS duration_minutes, spill_gb AS shuffle_spill_gb,
+    cost_cents / 100e0 AS cost_usd, failed_tasks AS error_count, retried_tasks AS retry_count, sla_minutes
+  FROM telemetry
+), scored AS (
+  SELECT *, CASE WHEN duration_minutes - sla_minutes < 0 THEN 0 ELSE duration_minutes - sla_minutes END
+    AS sla_overrun_minutes FROM runs
+), risk AS (
+  SELECT *, sla_overrun_minutes + error_count * 8 + retry_count * 3 + shuffle_spill_gb * 0.5e0 AS risk_score
+  FROM scored
+), ranking AS (
+  SELECT account, workload, count(run_id) AS runs,
+    MEAN(duration_minutes) AS avg_duration_minutes, MEAN(cost_usd) AS avg_cost_usd,
+    CAST(coalesce(sum(error_count), 0) AS BIGINT) AS errors, CAST(coalesce(sum(retry_count), 0) AS BIGINT) AS retries,
+    MEAN(sla_overrun_minutes) AS avg_sla_overrun_minutes, MEAN(risk_score) AS risk_score
+  FROM risk WHERE account IS NOT NULL AND workload IS NOT NULL GROUP BY account, workload
+)"""
+
+
+def _runs_sql(body: str) -> str:
+    cte = RUNS_CTE
+    for col in ["duration_minutes", "cost_usd", "sla_overrun_minutes", "risk_score"]:
+        cte = cte.replace(f"MEAN({col})", o.mean_exact(col))
+    return o.with_ctes(o.TELEMETRY, cte, body=body)
+
+
+_RISK_ORDER = "risk_score DESC NULLS LAST, account, workload"
+
+
+@register("workload_risk", _runs_sql(f"SELECT * FROM ranking ORDER BY {_RISK_ORDER} LIMIT 10"))
+def q_workload_risk(spark, sf_dir):
+    return an.workload_risk(load_workload_runs(spark, sf_dir))
+
+
+@register("top_risk", _runs_sql(f"SELECT * FROM ranking ORDER BY {_RISK_ORDER} LIMIT 1"))
+def q_top_risk(spark, sf_dir):
+    return an.top_risk(load_workload_runs(spark, sf_dir))
+
+
+@register(
+    "auto_analyze",
+    _runs_sql(f"SELECT * FROM ranking ORDER BY {_RISK_ORDER} LIMIT 10"),
+)
+def q_auto_analyze(spark, sf_dir):
+    runs = load_workload_runs(spark, sf_dir)
+    return an.auto_analyze(runs, "Which account and workload carry the most operational risk?").frame
+
+
+@register(
+    "chart_table",
+    _runs_sql(
+        f"SELECT account AS x, risk_score AS y, workload AS color FROM ranking ORDER BY {_RISK_ORDER} LIMIT 10"
+    ),
+)
+def q_chart_table(spark, sf_dir):
+    runs = load_workload_runs(spark, sf_dir)
+    return an.chart_table(an.auto_analyze(runs, "Where is risk concentrated?"))
+
+
+@register(
+    "mean_by_group",
+    _runs_sql(
+        f"SELECT account, {o.mean_exact('duration_minutes')} AS duration_minutes FROM runs "
+        "WHERE account IS NOT NULL GROUP BY account"
+    ),
+)
+def q_mean_by_group(spark, sf_dir):
+    return an.mean_by_group(load_workload_runs(spark, sf_dir), "account", "duration_minutes")
+
+
+_CAT_SQL = (
+    f"SELECT event_type, count(value) AS count, {o.mean_exact('value')} AS mean, min(value) AS min, "
+    "max(value) AS max FROM events WHERE event_type IS NOT NULL GROUP BY event_type "
+    "ORDER BY mean DESC NULLS LAST, event_type LIMIT 10"
+)
+
+
+@register("category_summary", _CAT_SQL)
+def q_category_summary(spark, sf_dir):
+    (events,) = read_tables(spark, sf_dir, "events")
+    return an.category_summary(events, "event_type", "value")
+
+
+@register("auto_analyze_category", _CAT_SQL)
+def q_auto_analyze_category(spark, sf_dir):
+    (events,) = read_tables(spark, sf_dir, "events")
+    a = an.auto_analyze(events.select("event_id", "event_type", "value"), "Compare the value by event type")
+    return a.frame
+
+
+def _quantile_sql(p: float) -> str:
+    h = f"((CAST(n AS DOUBLE) - 1) * {p!r}e0)"
+    return f"""(SELECT CASE WHEN t >= 0.5 THEN b - (b - a) * (1e0 - t) ELSE a + (b - a) * t END FROM (
+      SELECT max(v) FILTER (WHERE pos = lo) AS a, max(v) FILTER (WHERE pos = hi) AS b, any_value(t) AS t
+      FROM pos, (SELECT CAST(floor({h}) AS BIGINT) AS lo, least(CAST(floor({h}) AS BIGINT) + 1, n - 1) AS hi,
+                        {h} - floor({h}) AS t FROM first) k))"""
+
+
+_U = "CAST(round(v * 1e6) AS DECIMAL(38,0))"
+
+DESCRIBE_SQL = f"""WITH vals AS (
+  SELECT CAST(value AS DOUBLE) AS v FROM events WHERE value IS NOT NULL AND NOT isnan(value)
+), first AS (
+  SELECT count(*) AS n, sum({_U}) AS s1, min(v) AS mn, max(v) AS mx FROM vals
+), piv AS (
+  SELECT CAST(round(CAST(s1 AS DOUBLE) / CAST(n AS DOUBLE)) AS DECIMAL(38,0)) AS c FROM first
+), dev AS (
+  SELECT CAST(sum({_U} - c) AS DOUBLE) AS d1, CAST(sum(({_U} - c) * ({_U} - c)) AS DOUBLE) AS d2 FROM vals, piv
+), pos AS (
+  SELECT v, row_number() OVER (ORDER BY v) - 1 AS pos FROM vals
+)
+SELECT n AS count, CAST(s1 AS DOUBLE) / (CAST(n AS DOUBLE) * 1e6) AS mean,
+  CASE WHEN n > 1 THEN sqrt((d2 - d1 * d1 / CAST(n AS DOUBLE)) / (CAST(n AS DOUBLE) - 1e0)) / 1e6 END AS std,
+  mn AS min, {_quantile_sql(0.25)} AS p25, {_quantile_sql(0.5)} AS p50, {_quantile_sql(0.75)} AS p75, mx AS max
+FROM first, dev"""
+
+
+@register("numeric_describe", DESCRIBE_SQL)
+def q_numeric_describe(spark, sf_dir):
+    (events,) = read_tables(spark, sf_dir, "events")
+    return an.numeric_describe(events, "value")
+
+
+@register(
+    "histogram",
+    """WITH vals AS (
+  SELECT CAST(value AS DOUBLE) AS v FROM events WHERE value IS NOT NULL AND NOT isnan(value)
+), b AS (SELECT min(v) AS lo, max(v) AS hi FROM vals),
+binned AS (
+  SELECT CASE WHEN hi = lo THEN 0 ELSE least(9, CAST(floor((v - lo) / ((hi - lo) / 10e0)) AS INTEGER)) END AS bin,
+    lo, hi FROM vals, b
+)
+SELECT bin, CASE WHEN hi = lo THEN lo ELSE lo + bin * ((hi - lo) / 10e0) END AS bin_start,
+  CASE WHEN hi = lo THEN hi ELSE lo + (bin + 1) * ((hi - lo) / 10e0) END AS bin_end, count(*) AS count
+FROM binned GROUP BY bin, lo, hi""",
+)
+def q_histogram(spark, sf_dir):
+    (events,) = read_tables(spark, sf_dir, "events")
+    return an.histogram(events, "value", 10)
+
+
+@register("preview", "SELECT * FROM events ORDER BY event_id NULLS LAST LIMIT 10")
+def q_preview(spark, sf_dir):
+    (events,) = read_tables(spark, sf_dir, "events")
+    return an.preview(events, ["event_id"])
