@@ -1 +1,216 @@
-"""placeholder"""
+"""Sources, sinks, run logs and streaming queries (A, H, K).
+
+Queries that write go to a fresh folder under the cluster's shared
+checkpoint folder and return the rows read back, so SQL over the source
+tables is their oracle.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from fleetlake.functions.exprs import iso_seconds
+from fleetlake.operators.incidents import build_incident_queue
+from fleetlake.operators.runlog import decode_summary, encode_summary, recent_runs, session_list, upsert
+from fleetlake.operators.silver import build_silver
+from fleetlake.plans import oracle as o
+from fleetlake.plans.catalog import register
+from fleetlake.plans.medallion import run_feature_pipeline
+from fleetlake.plans.queries_medallion import HEALTH_COLUMNS
+from fleetlake.plans.queries_serving import QUEUE_COLS
+from fleetlake.session import scratch_path
+from fleetlake.sources.files import csv_scan, land_bronze, read_parquet_dataset, write_csv, write_parquet_dataset
+from fleetlake.sources.records import records_json
+from fleetlake.sources.telemetry import TELEMETRY_SCHEMA, load_telemetry, read_tables
+from fleetlake.streaming.refresh import latest_gold, run_gold_stream, run_silver_stream
+
+
+@register("csv_scan", "SELECT * FROM events")
+def q_csv_scan(spark, sf_dir):
+    (events,) = read_tables(spark, sf_dir, "events")
+    path = scratch_path(spark, "csv") + "/events.csv"
+    write_csv(events, path)
+    return csv_scan(spark, path)
+
+
+@register("parquet_roundtrip", o.with_ctes(o.TELEMETRY, body="SELECT * FROM telemetry"))
+def q_parquet_roundtrip(spark, sf_dir):
+    tel = load_telemetry(spark, sf_dir)
+    path = scratch_path(spark, "parquet") + "/telemetry"
+    write_parquet_dataset(tel, path, ["status", "account_tier"])
+    back = read_parquet_dataset(spark, path, TELEMETRY_SCHEMA)
+    return back.select(*[f.name for f in TELEMETRY_SCHEMA.fields])
+
+
+@register("bronze_land", "SELECT * FROM events")
+def q_bronze_land(spark, sf_dir):
+    (events,) = read_tables(spark, sf_dir, "events")
+    landed = land_bronze(events, scratch_path(spark, "bronze") + "/events")
+    return landed.drop("_ingested_at")
+
+
+_REC_SQL = (
+    "json_object('incident_id', incident_id, 'job_id', job_id, 'customer_id', customer_id, "
+    "'customer_name', customer_name, 'workload_name', workload_name, "
+    "'event_ts', strftime(event_ts, '%Y-%m-%dT%H:%M:%S'), 'severity', severity, 'severity_rank', severity_rank, "
+    "'reliability_score', reliability_score, 'needs_customer_update', needs_customer_update, "
+    "'summary_line', summary_line)::VARCHAR"
+)
+
+
+@register("records_json", o.incidents_sql(f"SELECT {_REC_SQL} AS record FROM queue"))
+def q_records_json(spark, sf_dir):
+    queue = build_incident_queue(build_silver(load_telemetry(spark, sf_dir)))
+    return records_json(queue.select(*[c.strip() for c in QUEUE_COLS.split(",")]))
+
+
+@register(
+    "pipeline_manifest",
+    o.incidents_sql(
+        "SELECT (SELECT count(*) FROM telemetry) AS raw_rows, (SELECT count(*) FROM silver) AS feature_rows, "
+        "(SELECT count(*) FROM queue) AS incident_count, (SELECT count(*) FROM customer_health) AS customer_count"
+    ),
+)
+def q_pipeline_manifest(spark, sf_dir):
+    m = run_feature_pipeline(spark, load_telemetry(spark, sf_dir), scratch_path(spark, "lake"))
+    return m.select("raw_rows", "feature_rows", "incident_count", "customer_count")
+
+
+# ---- run log: the events table replayed as status updates onto user ids ---------------------
+
+
+def _updates(spark, sf_dir):
+    (events,) = read_tables(spark, sf_dir, "events")
+    return events.select(
+        F.col("user_id").cast("string").alias("id"),
+        F.col("event_type").alias("status"),
+        iso_seconds("ts").alias("started_at"),
+        F.lit(None).cast("string").alias("finished_at"),
+        F.col("props").alias("summary_json"),
+        F.lit(None).cast("string").alias("error_text"),
+        F.col("event_id").alias("_seq"),
+    )
+
+
+def _runlog(spark, sf_dir):
+    updates = _updates(spark, sf_dir)
+    base = updates.limit(0)
+    return upsert(base, updates)
+
+
+_LATEST_SQL = """latest AS (
+  SELECT CAST(user_id AS VARCHAR) AS id, event_type AS status, strftime(ts, '%Y-%m-%dT%H:%M:%S') AS started_at,
+    CAST(NULL AS VARCHAR) AS finished_at, props AS summary_json, CAST(NULL AS VARCHAR) AS error_text, event_id AS _seq
+  FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) = 1
+)"""
+
+
+@register("runlog_upsert", o.with_ctes(_LATEST_SQL, body="SELECT * FROM latest"))
+def q_runlog_upsert(spark, sf_dir):
+    return _runlog(spark, sf_dir)
+
+
+@register(
+    "runlog_recent",
+    o.with_ctes(_LATEST_SQL, body="SELECT * FROM latest ORDER BY started_at DESC NULLS LAST, id LIMIT 6"),
+)
+def q_runlog_recent(spark, sf_dir):
+    return recent_runs(_runlog(spark, sf_dir))
+
+
+@register(
+    "runlog_decode",
+    o.with_ctes(
+        _LATEST_SQL,
+        body="SELECT id, status, CAST(json_extract(summary_json, '$.k') AS INTEGER) AS k FROM latest",
+    ),
+)
+def q_runlog_decode(spark, sf_dir):
+    decoded = decode_summary(_runlog(spark, sf_dir), "k INT")
+    return decoded.select("id", "status", F.col("summary.k").alias("k"))
+
+
+@register(
+    "runlog_encode",
+    "SELECT CAST(event_id AS VARCHAR) AS id, json_object('event_type', event_type, 'value', value, "
+    "'user_id', user_id)::VARCHAR AS summary_json FROM events",
+)
+def q_runlog_encode(spark, sf_dir):
+    (events,) = read_tables(spark, sf_dir, "events")
+    return events.select(
+        F.col("event_id").cast("string").alias("id"),
+        encode_summary(
+            {"event_type": F.col("event_type"), "value": F.col("value"), "user_id": F.col("user_id")}
+        ).alias("summary_json"),
+    )
+
+
+_SESSIONS_SQL = """sessions AS (
+  SELECT 'session-' || CAST(user_id AS VARCHAR) AS id, 'user-' || CAST(user_id AS VARCHAR) || '.csv' AS filename,
+    max(ts) AS created_at, count(*) AS n, count(DISTINCT event_type) AS k
+  FROM events GROUP BY user_id
+)"""
+
+
+@register(
+    "session_list",
+    o.with_ctes(
+        _SESSIONS_SQL,
+        body="SELECT id, filename, created_at, n AS rows, CAST(k AS INTEGER) AS columns, "
+        "'event_type,value' AS column_names FROM sessions ORDER BY created_at DESC NULLS LAST, id LIMIT 25",
+    ),
+)
+def q_session_list(spark, sf_dir):
+    (events,) = read_tables(spark, sf_dir, "events")
+    sessions = events.groupBy("user_id").agg(
+        F.max("ts").alias("created_at"),
+        F.to_json(
+            F.struct(
+                F.count(F.lit(1)).alias("rows"),
+                F.count_distinct("event_type").cast("int").alias("columns"),
+                F.array(F.lit("event_type"), F.lit("value")).alias("column_names"),
+            )
+        ).alias("profile_json"),
+    )
+    sessions = sessions.select(
+        F.concat(F.lit("session-"), F.col("user_id").cast("string")).alias("id"),
+        F.concat(F.lit("user-"), F.col("user_id").cast("string"), F.lit(".csv")).alias("filename"),
+        "profile_json",
+        "created_at",
+    )
+    out = session_list(sessions)
+    return out.withColumn("column_names", F.array_join("column_names", ","))
+
+
+# ---- streaming -------------------------------------------------------------------------------
+
+
+def _stage_source(spark, sf_dir, files: int = 4) -> str:
+    """Land telemetry as several files, as if they arrived one by one."""
+    src = scratch_path(spark, "stream-src")
+    load_telemetry(spark, sf_dir).repartition(files, "partition_date").write.parquet(src)
+    return src
+
+
+_STREAM_SILVER_COLS = (
+    "job_id, customer_id, event_ts, latency_over_sla_min, memory_pressure_score, queue_pressure_score, "
+    "shuffle_pressure_score, reliability_score, severity, severity_rank, root_cause_guess, customer_summary"
+)
+
+
+@register("stream_silver", o.silver_sql(f"SELECT {_STREAM_SILVER_COLS} FROM silver"))
+def q_stream_silver(spark, sf_dir):
+    src = _stage_source(spark, sf_dir)
+    out, ckpt = scratch_path(spark, "stream-silver"), scratch_path(spark, "stream-ckpt")
+    run_silver_stream(spark, src, TELEMETRY_SCHEMA, out, ckpt)
+    return spark.read.parquet(out).select(*[c.strip() for c in _STREAM_SILVER_COLS.split(",")])
+
+
+@register("stream_gold", o.health_sql(7, f"SELECT {HEALTH_COLUMNS} FROM customer_health"))
+def q_stream_gold(spark, sf_dir):
+    src = _stage_source(spark, sf_dir)
+    silver, gold, ckpt = (scratch_path(spark, t) for t in ("sg-silver", "sg-gold", "sg-ckpt"))
+    run_gold_stream(spark, src, TELEMETRY_SCHEMA, silver, gold, ckpt, days=7)
+    return latest_gold(spark, gold).select(*[c.strip() for c in HEALTH_COLUMNS.split(",")])
+
+
