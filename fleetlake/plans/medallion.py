@@ -48,19 +48,19 @@ def run_feature_pipeline(spark: SparkSession, raw: DataFrame, base: str, days: i
     started = spark.range(1).select(utc_now_text()).first()[0]
 
     bronze = build_bronze(raw)
-    bronze_path = publish_version(
-        bronze.sortWithinPartitions("partition_date", "event_ts", "job_id"), layout.table("bronze"), version,
-        ["partition_date"],
+    order = ["event_ts", "job_id"]
+    bronze_path = publish_version(bronze, layout.table("bronze"), version, ["partition_date"], order)
+    # read back with the written schemas: partition values stay text, not inferred dates
+    silver_df = build_silver(spark.read.schema(bronze.schema).parquet(bronze_path))
+    silver_path = publish_version(silver_df, layout.table("silver"), version, ["severity"], order)
+    silver = spark.read.schema(silver_df.schema).parquet(silver_path)
+    health_path = publish_version(
+        build_customer_health(silver, days, ordered=False), layout.table("customer_health"), version, ["risk_band"]
     )
-    silver_path = publish_version(
-        build_silver(spark.read.parquet(bronze_path)), layout.table("silver"), version, ["severity"]
-    )
-    silver = spark.read.parquet(silver_path)
-    health_path = publish_version(build_customer_health(silver, days), layout.table("customer_health"), version, ["risk_band"])
     queue_path = publish_version(build_incident_queue(silver), layout.table("incident_queue"), version, ["severity"])
 
     counts = {
-        "raw_rows": spark.read.parquet(bronze_path).select(F.count(F.lit(1))).scalar(),
+        "raw_rows": spark.read.schema(bronze.schema).parquet(bronze_path).select(F.count(F.lit(1))).scalar(),
         "feature_rows": silver.select(F.count(F.lit(1))).scalar(),
         "incident_count": spark.read.parquet(queue_path).select(F.count(F.lit(1))).scalar(),
         "customer_count": spark.read.parquet(health_path).select(F.count(F.lit(1))).scalar(),
