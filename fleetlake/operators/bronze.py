@@ -15,8 +15,8 @@ def _parsed_ts(col_name: str, dtype: T.DataType):
         return c
     if isinstance(dtype, T.DateType):
         return c.cast("timestamp_ntz")
-    # text such as 2026-04-24T09:13; unparseable text becomes null
-    return F.try_to_timestamp(c.cast("string")).cast("timestamp_ntz")
+    # text such as 2026-04-24T09:13 (wall-clock time, no zone); unparseable text becomes null
+    return c.cast("string").try_cast("timestamp_ntz")
 
 
 def build_bronze(raw: DataFrame, stamp: bool = True) -> DataFrame:
@@ -35,7 +35,7 @@ def build_bronze(raw: DataFrame, stamp: bool = True) -> DataFrame:
     elif isinstance(pd_type, (T.DateType, T.TimestampType, T.TimestampNTZType)):
         pdate = F.col("partition_date")
     else:
-        pdate = F.try_to_timestamp(F.col("partition_date").cast("string"))
+        pdate = F.col("partition_date").cast("string").try_cast("timestamp_ntz")
     out = out.withColumn("partition_date", F.date_format(pdate, "yyyy-MM-dd"))
     if stamp:
         out = out.withColumn("ingested_at", utc_now_text())

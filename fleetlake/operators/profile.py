@@ -102,7 +102,7 @@ def sample_records(df: DataFrame, order_by: list[str] | None = None, n: int = PR
     ready = _json_ready(numbered)
     fields = [F.col(f"`{c}`") for c in ready.columns if c != "_fl_i"]
     record = F.to_json(F.struct(*fields), {"ignoreNullFields": "false"})
-    return ready.select(F.col("_fl_i").alias("sample_index"), record.alias("record"))
+    return ready.select(F.col("_fl_i").cast("bigint").alias("sample_index"), record.alias("record"))
 
 
 def profile_summary(

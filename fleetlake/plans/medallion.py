@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import uuid
 from dataclasses import dataclass
+from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -45,7 +46,7 @@ def run_feature_pipeline(spark: SparkSession, raw: DataFrame, base: str, days: i
     layout = Layout(base)
     run_id = f"pipe-{uuid.uuid4().hex[:8]}"
     version = run_id
-    started = spark.range(1).select(utc_now_text()).first()[0]
+    started = datetime.now(timezone.utc).replace(microsecond=0).isoformat()
 
     bronze = build_bronze(raw)
     order = ["event_ts", "job_id"]

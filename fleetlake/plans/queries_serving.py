@@ -207,7 +207,7 @@ def q_triage_comparables(spark, sf_dir):
     return r.select(
         "incident_id",
         F.array_join(F.transform("comparable_incidents", lambda x: x["incident_id"]), ",").alias("comparable_ids"),
-        F.size("comparable_incidents").alias("matches"),
+        F.size("comparable_incidents").cast("bigint").alias("matches"),
     )
 
 

@@ -42,8 +42,6 @@ def _fits(c, t: str):
         return F.lower(c).isin(_BOOL_TEXT)
     if t == "date":
         return c.rlike(_DATE_ONLY) & c.try_cast("date").isNotNull()
-    if t == "timestamp_ntz":
-        return F.try_to_timestamp(c).isNotNull()
     return c.try_cast(t).isNotNull()
 
 
@@ -69,8 +67,6 @@ def infer_types(text: DataFrame) -> dict[str, str]:
 def _convert(c, t: str):
     if t == "boolean":
         return F.lower(c) == F.lit("true")
-    if t == "timestamp_ntz":
-        return F.try_to_timestamp(c).cast("timestamp_ntz")
     return c.try_cast(t)
 
 

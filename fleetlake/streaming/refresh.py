@@ -16,7 +16,10 @@ Incident ids need a position over the whole table, so the stream keeps
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from fleetlake.operators.bronze import build_bronze
@@ -54,13 +57,31 @@ def run_gold_stream(
     checkpoint_dir: str,
     days: int = 7,
 ) -> None:
-    """K2: append silver and rebuild customer health after every micro-batch."""
+    """K2: append silver and rebuild customer health after every micro-batch.
+
+    The latest event seen so far is kept as a one-row-per-epoch state table
+    (the batch maximum), so the trailing window needs no scan of all silver:
+    each epoch's files are sorted by event_ts and read with a literal cutoff,
+    so parquet min/max statistics skip old files and row groups.
+    """
+    state_dir = f"{checkpoint_dir.rstrip('/')}/_latest_event"
 
     def refresh(batch: DataFrame, epoch_id: int) -> None:
+        sp = batch.sparkSession
         # one directory per epoch, overwritten on retry: a replayed batch is idempotent
-        batch.write.mode("overwrite").parquet(f"{silver_dir}/batch={epoch_id}")
-        silver = batch.sparkSession.read.parquet(silver_dir).drop("batch")
-        health = build_customer_health(silver, days, ordered=False)
+        epoch_path = f"{silver_dir}/batch={epoch_id}"
+        batch.sortWithinPartitions("event_ts").write.mode("overwrite").parquet(epoch_path)
+        # the batch maximum from the written files (one column), not a second run of the batch
+        sp.read.parquet(epoch_path).agg(F.max("event_ts").alias("latest")).write.mode("overwrite").parquet(
+            f"{state_dir}/epoch={epoch_id}"
+        )
+        seen = sp.read.parquet(state_dir).filter(F.col("epoch") <= epoch_id)
+        latest = seen.agg(F.max("latest")).first()[0]  # one value
+        if latest is None:
+            return
+        cutoff = latest - dt.timedelta(days=days)
+        recent = sp.read.schema(batch.schema).parquet(silver_dir).filter(F.col("event_ts") >= F.lit(cutoff))
+        health = build_customer_health(recent, days, ordered=False)
         health.write.mode("overwrite").parquet(f"{gold_dir}/epoch={epoch_id}")
 
     q = (

@@ -26,6 +26,19 @@ TABLES = (
 ).split()
 
 
+TYPE_MAP = {
+    "bigint": "BIGINT",
+    "int": "INTEGER",
+    "double": "DOUBLE",
+    "string": "VARCHAR",
+    "boolean": "BOOLEAN",
+    "timestamp_ntz": "TIMESTAMP",
+    "date": "DATE",
+    "array": "VARCHAR",
+    "float": "FLOAT",
+}
+
+
 def canon(v):
     if v is None:
         return (0, "")
@@ -98,6 +111,15 @@ def main():
             bad += 1
             print(f"FAIL {name}: rows spark={len(sdata)} duck={len(ddata)}")
             continue
+        stypes = dict(sdf.dtypes)
+        dtypes = dict(zip(dcols, [str(t) for t in rel.types]))
+        tdiff = [
+            (c, stypes[c], dtypes[c])
+            for c in scols
+            if TYPE_MAP.get(stypes[c].split("(")[0].split("<")[0], "?") != dtypes[c].split("(")[0].split("[")[0]
+        ]
+        if tdiff:
+            print(f"TYPE {name}: {tdiff}")
         a, cols = rows_of(scols, sdata)
         b, _ = rows_of(dcols, ddata)
         exact = a == b
