@@ -283,3 +283,16 @@ def q_histogram(spark, sf_dir):
 def q_preview(spark, sf_dir):
     (events,) = read_tables(spark, sf_dir, "events")
     return an.preview(events, ["event_id"])
+
+
+@register(
+    "analysis_row_limit",
+    _runs_sql(f"SELECT * FROM ranking ORDER BY {_RISK_ORDER} LIMIT 10").replace(
+        "FROM risk WHERE account IS NOT NULL",
+        "FROM (SELECT * FROM risk ORDER BY run_id LIMIT 5000) WHERE account IS NOT NULL",
+    ),
+)
+def q_analysis_row_limit(spark, sf_dir):
+    """The original's row cap as an explicit option (first 5,000 runs by id)."""
+    runs = load_workload_runs(spark, sf_dir)
+    return an.auto_analyze(runs, "Which workloads are most at risk?", row_limit=5000, order_by=["run_id"]).frame

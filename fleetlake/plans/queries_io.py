@@ -11,7 +11,15 @@ from pyspark.sql import functions as F
 
 from fleetlake.functions.exprs import iso_seconds
 from fleetlake.operators.incidents import build_incident_queue
-from fleetlake.operators.runlog import decode_summary, encode_summary, recent_runs, session_list, upsert
+from fleetlake.operators.runlog import (
+    append_runs,
+    decode_summary,
+    encode_summary,
+    load_session,
+    recent_runs,
+    session_list,
+    upsert,
+)
 from fleetlake.operators.silver import build_silver
 from fleetlake.plans import oracle as o
 from fleetlake.plans.catalog import register
@@ -161,24 +169,7 @@ _SESSIONS_SQL = """sessions AS (
     ),
 )
 def q_session_list(spark, sf_dir):
-    (events,) = read_tables(spark, sf_dir, "events")
-    sessions = events.groupBy("user_id").agg(
-        F.max("ts").alias("created_at"),
-        F.to_json(
-            F.struct(
-                F.count(F.lit(1)).alias("rows"),
-                F.count_distinct("event_type").cast("int").alias("columns"),
-                F.array(F.lit("event_type"), F.lit("value")).alias("column_names"),
-            )
-        ).alias("profile_json"),
-    )
-    sessions = sessions.select(
-        F.concat(F.lit("session-"), F.col("user_id").cast("string")).alias("id"),
-        F.concat(F.lit("user-"), F.col("user_id").cast("string"), F.lit(".csv")).alias("filename"),
-        "profile_json",
-        "created_at",
-    )
-    out = session_list(sessions)
+    out = session_list(_sessions(spark, sf_dir))
     return out.withColumn("column_names", F.array_join("column_names", ","))
 
 
@@ -214,3 +205,58 @@ def q_stream_gold(spark, sf_dir):
     return latest_gold(spark, gold).select(*[c.strip() for c in HEALTH_COLUMNS.split(",")])
 
 
+
+
+# ---- sessions and appended runs ------------------------------------------------------------
+
+
+def _sessions(spark, sf_dir):
+    (events,) = read_tables(spark, sf_dir, "events")
+    grouped = events.groupBy("user_id").agg(
+        F.max("ts").alias("created_at"),
+        F.to_json(
+            F.struct(
+                F.count(F.lit(1)).alias("rows"),
+                F.count_distinct("event_type").cast("int").alias("columns"),
+                F.array(F.lit("event_type"), F.lit("value")).alias("column_names"),
+            )
+        ).alias("profile_json"),
+    )
+    return grouped.select(
+        F.concat(F.lit("session-"), F.col("user_id").cast("string")).alias("id"),
+        F.concat(F.lit("user-"), F.col("user_id").cast("string"), F.lit(".csv")).alias("filename"),
+        "profile_json",
+        "created_at",
+    )
+
+
+@register(
+    "session_lookup",
+    o.with_ctes(
+        _SESSIONS_SQL,
+        body="SELECT id, filename, created_at FROM sessions WHERE id = "
+        "(SELECT id FROM sessions ORDER BY created_at DESC NULLS LAST, id LIMIT 1)",
+    ),
+)
+def q_session_lookup(spark, sf_dir):
+    sessions = _sessions(spark, sf_dir)
+    newest = sessions.orderBy(F.col("created_at").desc_nulls_last(), "id").limit(1).select("id").scalar()
+    return load_session(sessions, newest).select("id", "filename", "created_at")
+
+
+@register(
+    "runlog_append",
+    "SELECT CAST(user_id AS VARCHAR) AS session_id, event_type AS query, props AS result_json, "
+    "ts AS created_at FROM events",
+)
+def q_runlog_append(spark, sf_dir):
+    (events,) = read_tables(spark, sf_dir, "events")
+    runs = events.select(
+        F.col("user_id").cast("string").alias("session_id"),
+        F.col("event_type").alias("query"),
+        F.col("props").alias("result_json"),
+        F.col("ts").alias("created_at"),
+    )
+    path = scratch_path(spark, "runs") + "/copilot_runs"
+    append_runs(runs, path)
+    return spark.read.parquet(path)

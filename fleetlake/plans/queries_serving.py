@@ -4,10 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from fleetlake.functions.exprs import iso_seconds
+
 from fleetlake.operators import dashboard as dash
 from fleetlake.operators.health import build_customer_health
 from fleetlake.operators.incidents import build_incident_queue, incident_candidates, top_incidents
 from fleetlake.operators.silver import build_silver
+from fleetlake.operators.runlog import encode_summary, recent_agent_runs
 from fleetlake.operators.triage import build_triage, triage_context, triage_rejects
 from fleetlake.plans import oracle as o
 from fleetlake.plans.catalog import register
@@ -259,3 +262,31 @@ def q_triage_report(spark, sf_dir):
         F.array_join(F.transform("comparable_incidents", lambda x: x["incident_id"]), ",").alias("comparable_ids"),
         F.size("steps").alias("step_count"),
     )
+
+
+@register(
+    "agent_runs_recent",
+    o.triage_sql(
+        "SELECT 'triage-' || incident_id AS id, incident_id, 'completed' AS status, "
+        "strftime(event_ts, '%Y-%m-%dT%H:%M:%S') AS started_at, "
+        "json_object('severity', severity, 'root_cause', root_cause, 'matches', matches)::VARCHAR AS summary_json "
+        "FROM report ORDER BY started_at DESC NULLS LAST, id LIMIT 8"
+    ),
+)
+def q_agent_runs_recent(spark, sf_dir):
+    _, cands, health = gold(spark, sf_dir)
+    report = build_triage(cands, health)
+    runs = report.join(cands.select("incident_id", "event_ts"), "incident_id").select(
+        F.col("run_id").alias("id"),
+        "incident_id",
+        F.lit("completed").alias("status"),
+        iso_seconds("event_ts").alias("started_at"),
+        encode_summary(
+            {
+                "severity": F.col("severity"),
+                "root_cause": F.col("root_cause"),
+                "matches": F.size("comparable_incidents"),
+            }
+        ).alias("summary_json"),
+    )
+    return recent_agent_runs(runs)
