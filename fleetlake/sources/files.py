@@ -25,6 +25,10 @@ from fleetlake.functions.fixed_values import MISSING_TOKENS
 _TRY_TYPES = ["bigint", "double", "boolean", "date", "timestamp_ntz"]
 _DATE_ONLY = r"^\d{4}-\d{2}-\d{2}$"
 _BOOL_TEXT = ["true", "false"]
+# text shapes accepted as numbers (the cast alone is looser: with ANSI off it
+# truncates "1.5" to a bigint, and it accepts Java suffixes such as "1d")
+_INT_TEXT = r"^[+-]?[0-9]+$"
+_FLOAT_TEXT = r"(?i)^[+-]?([0-9]+[.]?[0-9]*|[.][0-9]+)(e[+-]?[0-9]+)?$|^[+-]?(inf|infinity)$"
 
 
 def _q(name: str):
@@ -42,6 +46,10 @@ def _fits(c, t: str):
         return F.lower(c).isin(_BOOL_TEXT)
     if t == "date":
         return c.rlike(_DATE_ONLY) & c.try_cast("date").isNotNull()
+    if t == "bigint":
+        return c.rlike(_INT_TEXT) & c.try_cast(t).isNotNull()
+    if t == "double":
+        return c.rlike(_FLOAT_TEXT) & c.try_cast(t).isNotNull()
     return c.try_cast(t).isNotNull()
 
 

@@ -69,3 +69,14 @@ def test_records_use_second_precision_timestamps(spark):
 
     df = spark.createDataFrame([(dt.datetime(2024, 4, 24, 9, 13, 5, 123), float("nan"))], "ts timestamp_ntz, v double")
     assert records_json(df).first()[0] == '{"ts":"2024-04-24T09:13:05","v":null}'
+
+
+def test_numeric_inference_is_strict_about_text_shape(spark):
+    p = _csv("a,b,c,d\n1,1.5,1d,+3\n2,2,2,-4\n3,1e3,3,5\n")
+    types = dict(csv_scan(spark, p).dtypes)
+    assert types == {"a": "bigint", "b": "double", "c": "string", "d": "bigint"}
+    spark.conf.set("spark.sql.ansi.enabled", "false")
+    try:
+        assert dict(csv_scan(spark, p).dtypes) == types
+    finally:
+        spark.conf.set("spark.sql.ansi.enabled", "true")
