@@ -21,7 +21,7 @@ def _parsed_ts(col_name: str, dtype: T.DataType):
 
 def build_bronze(raw: DataFrame, stamp: bool = True) -> DataFrame:
     """B1 parse ``event_ts``; B2 ``partition_date`` as yyyy-MM-dd; B3 stamp
-    ``ingested_at`` (UTC text, whole seconds).
+    ``ingested_at`` (UTC text, whole seconds); NaN metrics become null.
 
     B4 (order by event_ts) is not a separate sort here: a DataFrame has no
     row order to keep. The order is applied where it is observable -- the
@@ -37,6 +37,10 @@ def build_bronze(raw: DataFrame, stamp: bool = True) -> DataFrame:
     else:
         pdate = F.col("partition_date").cast("string").try_cast("timestamp_ntz")
     out = out.withColumn("partition_date", F.date_format(pdate, "yyyy-MM-dd"))
+    # NaN -> null: Spark orders NaN above every number (NaN > 40 is true), where
+    # pandas comparisons with NaN are false; null keeps the pandas meaning
+    floats = [f.name for f in out.schema.fields if isinstance(f.dataType, (T.FloatType, T.DoubleType))]
+    out = out.withColumns({c: F.when(F.isnan(F.col(c)), F.lit(None)).otherwise(F.col(c)) for c in floats})
     if stamp:
         out = out.withColumn("ingested_at", utc_now_text())
     return out

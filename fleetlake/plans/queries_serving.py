@@ -9,7 +9,7 @@ from fleetlake.functions.exprs import iso_seconds
 from fleetlake.operators import dashboard as dash
 from fleetlake.operators.health import build_customer_health
 from fleetlake.operators.incidents import build_incident_queue, incident_candidates, top_incidents
-from fleetlake.operators.silver import build_silver
+from fleetlake.operators.silver import build_silver, score_silver
 from fleetlake.operators.runlog import encode_summary, recent_agent_runs
 from fleetlake.operators.triage import build_triage, triage_context, triage_rejects
 from fleetlake.plans import oracle as o
@@ -68,7 +68,7 @@ def q_dashboard_overview(spark, sf_dir):
     ),
 )
 def q_customer_ranking(spark, sf_dir):
-    silver = build_silver(load_telemetry(spark, sf_dir))
+    silver = score_silver(load_telemetry(spark, sf_dir))  # health needs no incident ids
     health = build_customer_health(silver, 90, ordered=False)
     return dash.customer_ranking(health).select("customer_id", "customer_health_score", "risk_band", "health_rank")
 
@@ -101,7 +101,7 @@ def q_incident_lookup(spark, sf_dir):
     ),
 )
 def q_customer_lookup(spark, sf_dir):
-    silver, _, health = gold(spark, sf_dir)
+    health = build_customer_health(score_silver(load_telemetry(spark, sf_dir)), 7, ordered=False)
     worst = health.orderBy(F.col("customer_health_score").asc_nulls_last(), "customer_id").limit(1)
     out = dash.load_customer_health(health, worst.select("customer_id").scalar())
     return out.select(*[c for c in out.columns])

@@ -52,3 +52,8 @@ def test_comparables_use_window_group_limit(spark):
     )
     p = plan(comparables_by_category(pool, runbook_dimension(spark)))
     assert "WindowGroupLimit" in p
+
+
+def test_incident_ids_use_no_global_window(spark):
+    p = plan(queries()["incident_ids"](spark, SF_SMALL))
+    assert "row_number" not in p.lower() and "SinglePartition" not in p.split("BroadcastExchange")[0]

@@ -110,3 +110,10 @@ def test_incident_ids_ties_and_width(spark):
     for pos, (_, _, iid) in enumerate(got):
         assert iid == f"inc-meridian-0424-{pos:04d}"
     assert got[-1][2].endswith("-10049")
+
+
+def test_bronze_turns_nan_into_null(spark):
+    from fleetlake.operators.bronze import build_bronze
+
+    out = score_silver(build_bronze(rows(spark, dict(spill_gb=float("nan"))))).first()
+    assert out.spill_gb is None and out.reliability_score is None and out.severity == "low"
