@@ -13,7 +13,6 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from fleetlake.functions import fixed_values as fv
 from fleetlake.functions.exprs import clip, exact_mean, lit_d, micro_units

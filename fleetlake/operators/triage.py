@@ -259,5 +259,5 @@ def build_triage(
         "deployment_plan",
         "customer_update",
         "comparable_incidents",
-        steps.alias("steps"),
+        steps.cast(T.ArrayType(STEP_TYPE)).alias("steps"),
     )

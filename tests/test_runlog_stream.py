@@ -1,4 +1,3 @@
-from pyspark.sql import functions as F
 
 from fleetlake.operators.runlog import PIPELINE_RUNS_SCHEMA, decode_summary, recent_runs, upsert
 from fleetlake.operators.silver import score_silver
