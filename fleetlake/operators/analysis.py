@@ -164,26 +164,21 @@ def numeric_describe(df: DataFrame, metric: str) -> DataFrame:
     )
     pivot = first.select(F.round(F.col("_s1").cast("double") / F.col("count").cast("double")).cast("decimal(38,0)")).scalar()
     d = u - pivot
-    second = vals.agg(F.sum(d).alias("_d1"), F.sum(d * d).alias("_d2"))
-    d1, d2 = second.select("_d1").scalar().cast("double"), second.select("_d2").scalar().cast("double")
+    # one scalar subquery per aggregate, returning a struct (not one per field)
+    dev = vals.agg(F.struct(F.sum(d).cast("double").alias("d1"), F.sum(d * d).cast("double").alias("d2"))).scalar()
+    d1, d2 = dev["d1"], dev["d2"]
     n = F.col("count").cast("double")
     var_units = (d2 - d1 * d1 / n) / (n - F.lit(1.0))
     quart = exact_quantiles(df, metric, [0.25, 0.5, 0.75])
-    base = first.select(
+    q = quart.select(F.struct("p25", "p50", "p75")).scalar()
+    return first.select(
         "count",
         (F.col("_s1").cast("double") / (n * F.lit(MICRO))).alias("mean"),
         F.when(F.col("count") > 1, F.sqrt(var_units) / F.lit(MICRO)).alias("std"),
         "min",
-        F.col("max"),
-    )
-    return base.select(
-        "count",
-        "mean",
-        "std",
-        "min",
-        quart.select("p25").scalar().alias("p25"),
-        quart.select("p50").scalar().alias("p50"),
-        quart.select("p75").scalar().alias("p75"),
+        q["p25"].alias("p25"),
+        q["p50"].alias("p50"),
+        q["p75"].alias("p75"),
         "max",
     )
 
@@ -191,8 +186,8 @@ def numeric_describe(df: DataFrame, metric: str) -> DataFrame:
 def histogram(df: DataFrame, metric: str, bins: int = 10) -> DataFrame:
     """Fixed-width bins between min and max (one bin when they are equal)."""
     vals = _values(df, metric)
-    bounds = vals.agg(F.min("v").alias("lo"), F.max("v").alias("hi"))
-    lo, hi = bounds.select("lo").scalar(), bounds.select("hi").scalar()
+    bounds = vals.agg(F.struct(F.min("v").alias("lo"), F.max("v").alias("hi"))).scalar()
+    lo, hi = bounds["lo"], bounds["hi"]
     width = (hi - lo) / F.lit(float(bins))
     b = F.when(hi == lo, F.lit(0)).otherwise(
         F.least(F.lit(bins - 1), F.floor((F.col("v") - lo) / width).cast("int"))
