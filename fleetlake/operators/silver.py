@@ -21,31 +21,6 @@ from fleetlake.functions.fixed_values import (
 )
 from fleetlake.operators.position import with_global_position
 
-SCORE_COLUMNS = [
-    "latency_over_sla_min",
-    "memory_pressure_score",
-    "queue_pressure_score",
-    "shuffle_pressure_score",
-    "reliability_score",
-]
-
-
-def latency_over_sla(df_cols=None):
-    return clip(F.col("duration_min") - F.col("sla_minutes"), lower=0)
-
-
-def memory_pressure(mem="memory_utilization_pct", spill="spill_gb"):
-    return r1(clip(F.col(mem) - F.lit(68), lower=0) * lit_d(0.8) + F.col(spill) * lit_d(1.7))
-
-
-def queue_pressure(queue="queue_depth"):
-    return r1(clip(F.col(queue) / F.lit(20) * F.lit(100), lower=0, upper=100))
-
-
-def shuffle_pressure(shuffle="shuffle_gb", rows="input_rows_m"):
-    return r1(clip(safe_div(F.col(shuffle), F.col(rows)), lower=0.4) * lit_d(16))
-
-
 def status_penalty(status="status"):
     out = F.lit(0.0)
     for name, value in reversed(list(STATUS_PENALTY.items())):
@@ -53,8 +28,9 @@ def status_penalty(status="status"):
     return out
 
 
-def reliability(latency):
-    penalty = (
+def penalty(latency):
+    """C6+C7: the reliability penalty, in the original's operand order."""
+    raw = (
         latency * lit_d(0.65)
         + F.col("failed_tasks") * lit_d(0.85)
         + F.col("retried_tasks") * lit_d(0.28)
@@ -62,8 +38,7 @@ def reliability(latency):
         + F.col("spill_gb") * lit_d(0.95)
         + clip(F.col("memory_utilization_pct") - F.lit(70), lower=0) * lit_d(0.42)
     )
-    penalty = penalty + status_penalty()
-    return r1(clip(F.lit(100) - penalty, lower=8, upper=99))
+    return raw + status_penalty()
 
 
 def severity(status, rel, latency, queue):
@@ -95,17 +70,32 @@ def customer_summary():
 
 
 def score_silver(bronze: DataFrame) -> DataFrame:
-    """Scores, severity, lookups, customer summary (stateless)."""
-    lat = latency_over_sla()
-    out = bronze.withColumns(
+    """Scores, severity, lookups, customer summary (stateless).
+
+    Raw (unclipped) values are staged as columns first: ``clip`` reads its
+    input three times, and a column reference keeps the plan small where an
+    inlined expression tree would triple (the optimizer does not re-inline an
+    expensive expression that is used more than once).
+    """
+    raw = bronze.withColumns(
         {
-            "latency_over_sla_min": lat,
-            "memory_pressure_score": memory_pressure(),
-            "queue_pressure_score": queue_pressure(),
-            "shuffle_pressure_score": shuffle_pressure(),
+            "_fl_lat": F.col("duration_min") - F.col("sla_minutes"),
+            "_fl_mem": clip(F.col("memory_utilization_pct") - F.lit(68), lower=0) * lit_d(0.8)
+            + F.col("spill_gb") * lit_d(1.7),
+            "_fl_queue": F.col("queue_depth") / F.lit(20) * F.lit(100),
+            "_fl_shuffle": safe_div(F.col("shuffle_gb"), F.col("input_rows_m")),
         }
     )
-    out = out.withColumn("reliability_score", reliability(F.col("latency_over_sla_min")))
+    out = raw.withColumns(
+        {
+            "latency_over_sla_min": clip(F.col("_fl_lat"), lower=0),
+            "memory_pressure_score": r1(F.col("_fl_mem")),
+            "queue_pressure_score": r1(clip(F.col("_fl_queue"), lower=0, upper=100)),
+            "shuffle_pressure_score": r1(clip(F.col("_fl_shuffle"), lower=0.4) * lit_d(16)),
+        }
+    )
+    out = out.withColumn("_fl_rel", F.lit(100) - penalty(F.col("latency_over_sla_min")))
+    out = out.withColumn("reliability_score", r1(clip(F.col("_fl_rel"), lower=8, upper=99)))
     sev = severity(F.col("status"), F.col("reliability_score"), F.col("latency_over_sla_min"), F.col("queue_depth"))
     out = out.withColumn("severity", sev)
     return out.withColumns(
@@ -115,7 +105,7 @@ def score_silver(bronze: DataFrame) -> DataFrame:
             "recommended_action": lookup(ACTION_BY_CATEGORY, F.col("failure_category")),
             "customer_summary": customer_summary(),
         }
-    )
+    ).drop("_fl_lat", "_fl_mem", "_fl_queue", "_fl_shuffle", "_fl_rel")
 
 
 def incident_id_expr(position):
