@@ -74,6 +74,10 @@ def main():
     sf_dir = sys.argv[1] if len(sys.argv) > 1 else "/root/testdata/sf0.01"
     only = set(sys.argv[2:])
     spark = local_session()
+    # optional session overrides, e.g. EXTRA_CONF="spark.sql.ansi.enabled=false,spark.sql.session.timeZone=America/New_York"
+    for kv in filter(None, os.environ.get("EXTRA_CONF", "").split(",")):
+        k, v = kv.split("=", 1)
+        spark.conf.set(k, v)
     con = duckdb.connect()
     for t in TABLES:
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{sf_dir}/{t}.parquet')")
