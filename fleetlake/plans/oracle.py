@@ -247,7 +247,10 @@ ctx AS (
   FROM incidents
 ), comps AS (
   SELECT c.incident_id, list(p.incident_id ORDER BY p.rn) AS ids
-  FROM ctx c JOIN ordered_pool p ON p.failure_category = c.failure_category AND p.incident_id <> c.incident_id
+  FROM ctx c JOIN ordered_pool p
+    ON p.failure_category = c.failure_category AND p.incident_id <> c.incident_id
+    -- exact: leaving out the incident itself, its first 3 others lie in the top 4
+    AND p.rn <= 4
   GROUP BY c.incident_id
 ), tri AS (
   SELECT c.*,

@@ -11,6 +11,7 @@ from __future__ import annotations
 import math
 import os
 import sys
+import threading
 import time
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
@@ -99,6 +100,8 @@ def main():
         if name not in sqls:
             print(f"ROWS {name}: {len(sdata)} rows (no oracle) {ts:.2f}s")
             continue
+        timer = threading.Timer(float(os.environ.get("ORACLE_TIMEOUT", "600")), con.interrupt)
+        timer.start()
         try:
             rel = con.sql(sqls[name])
             dcols = rel.columns
@@ -107,6 +110,8 @@ def main():
             bad += 1
             print(f"FAIL {name}: duckdb error {str(e)[:400]}")
             continue
+        finally:
+            timer.cancel()
         if sorted(scols) != sorted(dcols):
             bad += 1
             print(f"FAIL {name}: columns differ spark={sorted(scols)} duck={sorted(dcols)}")
