@@ -7,9 +7,16 @@ inside each partition, and add the row count of all earlier partitions. The
 per-partition counts are one row per partition, a size bound we choose, so
 broadcasting them is safe.
 
-The numbered rows are checkpointed (reliable checkpoint in the cluster's
-shared checkpoint folder) before counting, so the counts and the numbers
-come from the same materialised partitioning even if a stage is retried.
+The numbering must be materialised before counting, so that the counts and
+the numbers come from the same partitioning even if a stage is retried (the
+range bounds come from a sample, and a second run would sample again). Two
+ways:
+
+* ``with_global_position`` checkpoints the numbered rows (reliable checkpoint
+  in the cluster's shared checkpoint folder);
+* a job that writes the rows anyway (bronze, B4 "sort and renumber") stores
+  ``number_rows`` output and later calls ``positions_from_numbered`` on the
+  stored table, which saves one full materialisation.
 """
 
 from __future__ import annotations
@@ -19,8 +26,35 @@ from pyspark.sql import functions as F
 
 from fleetlake.session import ensure_checkpoint_dir
 
-_PART = "_fl_part"
-_MID = "_fl_mid"
+BLOCK = "row_block"  # range partition the row fell into
+ROW = "row_in_block"  # increasing id inside the block (block << 33 | index)
+
+
+def number_rows(df: DataFrame, order_by: list[Column], num_partitions: int | None = None) -> DataFrame:
+    """Range-partition and sort on ``order_by``; add the block and in-block ids."""
+    n = num_partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return (
+        df.repartitionByRange(n, *order_by)
+        .sortWithinPartitions(*order_by)
+        .withColumn(BLOCK, F.spark_partition_id())
+        .withColumn(ROW, F.monotonically_increasing_id())
+    )
+
+
+def positions_from_numbered(numbered: DataFrame, name: str = "position") -> DataFrame:
+    """``name`` = 0-based position, from MATERIALISED ``number_rows`` output."""
+    counts = numbered.groupBy(BLOCK).agg(F.count(F.lit(1)).alias("_fl_cnt"))
+    offsets = counts.select(
+        BLOCK,
+        (F.sum("_fl_cnt").over(Window.orderBy(BLOCK).rowsBetween(Window.unboundedPreceding, -1))).alias("_fl_off"),
+    ).fillna(0, subset=["_fl_off"])
+    # monotonically_increasing_id = partition index << 33 | row index in partition
+    local = F.col(ROW) - F.shiftleft(F.col(BLOCK).cast("bigint"), 33)
+    return (
+        numbered.join(F.broadcast(offsets), BLOCK)
+        .withColumn(name, F.col("_fl_off") + local)
+        .drop(BLOCK, ROW, "_fl_off")
+    )
 
 
 def with_global_position(
@@ -34,25 +68,6 @@ def with_global_position(
     ``order_by`` must be a total order (end it with a unique key) for the
     positions to be deterministic.
     """
-    spark = df.sparkSession
-    ensure_checkpoint_dir(spark)
-    n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    numbered = (
-        df.repartitionByRange(n, *order_by)
-        .sortWithinPartitions(*order_by)
-        .withColumn(_PART, F.spark_partition_id())
-        .withColumn(_MID, F.monotonically_increasing_id())
-        .checkpoint(eager=True)
-    )
-    counts = numbered.groupBy(_PART).agg(F.count(F.lit(1)).alias("_fl_cnt"))
-    offsets = counts.select(
-        _PART,
-        (F.sum("_fl_cnt").over(Window.orderBy(_PART).rowsBetween(Window.unboundedPreceding, -1))).alias("_fl_off"),
-    ).fillna(0, subset=["_fl_off"])
-    # monotonically_increasing_id = partition index << 33 | row index in partition
-    local = F.col(_MID) - F.shiftleft(F.col(_PART).cast("bigint"), 33)
-    return (
-        numbered.join(F.broadcast(offsets), _PART)
-        .withColumn(name, F.col("_fl_off") + local)
-        .drop(_PART, _MID, "_fl_off")
-    )
+    ensure_checkpoint_dir(df.sparkSession)
+    numbered = number_rows(df, order_by, num_partitions).checkpoint(eager=True)
+    return positions_from_numbered(numbered, name)

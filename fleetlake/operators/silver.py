@@ -19,7 +19,7 @@ from fleetlake.functions.fixed_values import (
     SEVERITY_RANK_OTHER,
     STATUS_PENALTY,
 )
-from fleetlake.operators.position import with_global_position
+from fleetlake.operators.position import number_rows, positions_from_numbered, with_global_position
 
 def status_penalty(status="status"):
     out = F.lit(0.0)
@@ -120,12 +120,29 @@ def incident_id_expr(position):
     )
 
 
+def incident_order():
+    """Event order for positions: event_ts, then job_id (nulls last)."""
+    return [F.col("event_ts").asc_nulls_last(), F.col("job_id").asc_nulls_last()]
+
+
 def with_incident_ids(df: DataFrame, num_partitions: int | None = None) -> DataFrame:
     """Position in (event_ts, job_id) order over the whole table, from 0."""
-    order = [F.col("event_ts").asc_nulls_last(), F.col("job_id").asc_nulls_last()]
-    positioned = with_global_position(df, order, "_fl_pos", num_partitions)
+    positioned = with_global_position(df, incident_order(), "_fl_pos", num_partitions)
     return positioned.withColumn("incident_id", incident_id_expr(F.col("_fl_pos"))).drop("_fl_pos")
 
 
+def number_bronze(bronze: DataFrame, num_partitions: int | None = None) -> DataFrame:
+    """Bronze sorted by event time and renumbered (block + row-in-block),
+    to be stored; the stored numbering gives incident positions without a
+    second materialisation."""
+    return number_rows(bronze, incident_order(), num_partitions)
+
+
 def build_silver(bronze: DataFrame, num_partitions: int | None = None) -> DataFrame:
     return score_silver(with_incident_ids(bronze, num_partitions))
+
+
+def build_silver_from_numbered(stored_bronze: DataFrame) -> DataFrame:
+    """Silver from a STORED ``number_bronze`` table (no checkpoint needed)."""
+    positioned = positions_from_numbered(stored_bronze, "_fl_pos")
+    return score_silver(positioned.withColumn("incident_id", incident_id_expr(F.col("_fl_pos"))).drop("_fl_pos"))

@@ -24,7 +24,7 @@ from fleetlake.functions.exprs import utc_now_text
 from fleetlake.operators.bronze import build_bronze
 from fleetlake.operators.health import build_customer_health
 from fleetlake.operators.incidents import build_incident_queue
-from fleetlake.operators.silver import build_silver
+from fleetlake.operators.silver import build_silver_from_numbered, number_bronze
 from fleetlake.sources.files import publish_version
 from fleetlake.sources.records import load_manifest, manifest_row, persist_manifest
 
@@ -48,11 +48,15 @@ def run_feature_pipeline(spark: SparkSession, raw: DataFrame, base: str, days: i
     version = run_id
     started = datetime.now(timezone.utc).replace(microsecond=0).isoformat()
 
-    bronze = build_bronze(raw)
+    # Bronze is stored sorted by event time and renumbered; silver takes the
+    # incident positions from that stored numbering (one materialisation, not two)
+    bronze = number_bronze(build_bronze(raw))
+    bronze_path = f"{layout.table('bronze').rstrip('/')}/version={version}"
+    # rows arrive range-partitioned by event time, so each task writes few date directories
+    bronze.write.mode("overwrite").partitionBy("partition_date").parquet(bronze_path)
+    stored_bronze = spark.read.schema(bronze.schema).parquet(bronze_path)
     order = ["event_ts", "job_id"]
-    bronze_path = publish_version(bronze, layout.table("bronze"), version, ["partition_date"], order)
-    # read back with the written schemas: partition values stay text, not inferred dates
-    silver_df = build_silver(spark.read.schema(bronze.schema).parquet(bronze_path))
+    silver_df = build_silver_from_numbered(stored_bronze)
     silver_path = publish_version(silver_df, layout.table("silver"), version, ["severity"], order)
     silver = spark.read.schema(silver_df.schema).parquet(silver_path)
     health_path = publish_version(
@@ -61,7 +65,7 @@ def run_feature_pipeline(spark: SparkSession, raw: DataFrame, base: str, days: i
     queue_path = publish_version(build_incident_queue(silver), layout.table("incident_queue"), version, ["severity"])
 
     counts = {
-        "raw_rows": spark.read.schema(bronze.schema).parquet(bronze_path).select(F.count(F.lit(1))).scalar(),
+        "raw_rows": stored_bronze.select(F.count(F.lit(1))).scalar(),
         "feature_rows": silver.select(F.count(F.lit(1))).scalar(),
         "incident_count": spark.read.parquet(queue_path).select(F.count(F.lit(1))).scalar(),
         "customer_count": spark.read.parquet(health_path).select(F.count(F.lit(1))).scalar(),

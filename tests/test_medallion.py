@@ -26,3 +26,14 @@ def test_refresh_publishes_versions_and_manifest(spark):
     assert m2.output_paths["silver"] != m1.output_paths["silver"]
     assert spark.read.parquet(m1.output_paths["silver"]).count() == tel.count()
     assert m2.run_id != m1.run_id
+
+
+def test_refresh_ids_equal_the_checkpointed_positions(spark):
+    from fleetlake.operators.silver import build_silver
+
+    base = scratch_path(spark, "lake-ids")
+    tel = load_telemetry(spark, SF_SMALL)
+    run_feature_pipeline(spark, tel, base)
+    stored = current_table(spark, base, "silver").select("job_id", "incident_id")
+    direct = build_silver(tel, num_partitions=3).select("job_id", "incident_id")
+    assert sorted(map(tuple, stored.collect())) == sorted(map(tuple, direct.collect()))
