@@ -57,6 +57,15 @@ def number_rows(df: DataFrame, order_by: list[Column], num_partitions: int | Non
 def positions_from_numbered(numbered: DataFrame, name: str = "position") -> DataFrame:
     """``name`` = 0-based position, from MATERIALISED ``number_rows`` output."""
     counts = numbered.groupBy(BLOCK).agg(F.count(F.lit(1)).alias("_fl_cnt"))
+    # the in-block id has 33 bits: a larger block would make positions collide,
+    # so fail loudly (inside the plan, no extra job) instead of numbering wrongly
+    counts = counts.withColumn(
+        "_fl_cnt",
+        F.when(
+            F.col("_fl_cnt") >= F.lit(1 << 33),
+            F.raise_error(F.lit("position block over 2^33 rows: use more partitions")),
+        ).otherwise(F.col("_fl_cnt")),
+    )
     offsets = counts.select(
         BLOCK,
         (F.sum("_fl_cnt").over(Window.orderBy(BLOCK).rowsBetween(Window.unboundedPreceding, -1))).alias("_fl_off"),
