@@ -23,9 +23,16 @@ def latest_event(silver: DataFrame) -> Column:
     return silver.select(F.max("event_ts")).scalar()
 
 
-def recent_window(silver: DataFrame, days: int = 7) -> DataFrame:
-    """Runs with event_ts >= latest - days (both ends kept)."""
-    cutoff = latest_event(silver) - F.make_dt_interval(F.lit(days))
+def recent_window(silver: DataFrame, days: int = 7, latest=None) -> DataFrame:
+    """Runs with event_ts >= latest - days (both ends kept).
+
+    ``latest`` defaults to the scalar subquery over ``silver``. A caller that
+    reads a stored, time-sorted silver table passes the value itself (a
+    datetime): a literal cutoff is pushed into the parquet scan, so min/max
+    statistics skip the files outside the window.
+    """
+    top = latest_event(silver) if latest is None else F.lit(latest).cast("timestamp_ntz")
+    cutoff = top - F.make_dt_interval(F.lit(days))
     return silver.filter(F.col("event_ts") >= cutoff)
 
 
@@ -102,9 +109,10 @@ def exec_summary() -> Column:
     )
 
 
-def build_customer_health(silver: DataFrame, days: int = 7, ordered: bool = True) -> DataFrame:
-    """D1-D9 end to end. ``ordered`` applies D9 (score ascending)."""
-    recent = recent_window(silver, days)
+def build_customer_health(silver: DataFrame, days: int = 7, ordered: bool = True, latest=None) -> DataFrame:
+    """D1-D9 end to end. ``ordered`` applies D9 (score ascending); ``latest``
+    see ``recent_window``."""
+    recent = recent_window(silver, days, latest)
     grouped = customer_aggregates(recent)
     health = grouped.join(worst_workload(recent), "customer_id", "left")
     health = health.withColumn("customer_health_score", health_score())

@@ -59,9 +59,11 @@ def run_feature_pipeline(spark: SparkSession, raw: DataFrame, base: str, days: i
     silver_df = build_silver_from_numbered(stored_bronze)
     silver_path = publish_version(silver_df, layout.table("silver"), version, ["severity"], order)
     silver = spark.read.schema(silver_df.schema).parquet(silver_path)
-    health_path = publish_version(
-        build_customer_health(silver, days, ordered=False), layout.table("customer_health"), version, ["risk_band"]
-    )
+    # D1 as one value: the literal cutoff is pushed into the scan of the
+    # time-sorted silver files (a subquery cutoff would not be)
+    latest = silver.agg(F.max("event_ts")).first()[0]
+    health = build_customer_health(silver, days, ordered=False, latest=latest)
+    health_path = publish_version(health, layout.table("customer_health"), version, ["risk_band"])
     queue_path = publish_version(build_incident_queue(silver), layout.table("incident_queue"), version, ["severity"])
 
     counts = {
