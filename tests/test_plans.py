@@ -57,3 +57,20 @@ def test_comparables_use_window_group_limit(spark):
 def test_incident_ids_use_no_global_window(spark):
     p = plan(queries()["incident_ids"](spark, SF_SMALL))
     assert "row_number" not in p.lower() and "SinglePartition" not in p.split("BroadcastExchange")[0]
+
+
+def test_literal_window_cutoff_reaches_the_scan(spark):
+    from pyspark.sql import functions as F
+
+    from fleetlake.operators.health import build_customer_health
+    from fleetlake.operators.silver import score_silver
+    from fleetlake.session import scratch_path
+    from fleetlake.sources.files import write_parquet_dataset
+    from fleetlake.sources.telemetry import load_telemetry
+
+    path = scratch_path(spark, "push")
+    write_parquet_dataset(score_silver(load_telemetry(spark, SF_SMALL)), path, ["severity"], ["event_ts", "job_id"])
+    silver = spark.read.parquet(path)
+    latest = silver.agg(F.max("event_ts")).first()[0]
+    p = plan(build_customer_health(silver, 7, latest=latest))
+    assert "GreaterThanOrEqual(event_ts," in p
