@@ -111,3 +111,41 @@ def load_session(sessions: DataFrame, session_id) -> DataFrame:
 def append_runs(runs: DataFrame, path: str) -> None:
     """H8: append analysis runs."""
     runs.write.mode("append").parquet(path)
+
+
+def _commits(table_dir: str) -> str:
+    return f"{table_dir.rstrip('/')}/_commits"
+
+
+def current_version(spark, table_dir: str) -> int | None:
+    """Newest committed version: the commit log is append-only (one tiny JSON
+    row per version, written after the version's data), so a reader never sees
+    a version whose files are still being written."""
+    from pyspark.errors import AnalysisException
+
+    try:
+        log = spark.read.schema("version INT").json(_commits(table_dir))
+    except AnalysisException:
+        return None
+    return log.agg(F.max("version")).first()[0]  # one value
+
+
+def read_current(spark, table_dir: str, schema) -> DataFrame:
+    """The newest committed version (an empty frame before the first commit)."""
+    v = current_version(spark, table_dir)
+    if v is None:
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(f"{table_dir.rstrip('/')}/version={v:08d}")
+
+
+def publish_upsert(spark, table_dir: str, updates: DataFrame, schema, key: str = "id", seq: str = SEQ) -> int:
+    """H1 on storage: upsert ``updates`` into the newest version and write the
+    result as the next version, then commit it. The version being read is
+    never overwritten. Returns the new version number."""
+    from fleetlake.sources.files import publish_version
+
+    v = current_version(spark, table_dir)
+    new = 1 if v is None else v + 1
+    publish_version(upsert(read_current(spark, table_dir, schema), updates, key, seq), table_dir, f"{new:08d}")
+    spark.createDataFrame([(new,)], "version INT").coalesce(1).write.mode("append").json(_commits(table_dir))
+    return new

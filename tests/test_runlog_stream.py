@@ -45,3 +45,19 @@ def test_stream_silver_equals_batch(spark):
     # a second availableNow run over the same folder finds nothing new
     run_silver_stream(spark, src, TELEMETRY_SCHEMA, out, ck)
     assert spark.read.parquet(out).count() == tel.count()
+
+
+def test_publish_upsert_versions(spark):
+    from fleetlake.operators.runlog import publish_upsert, read_current
+
+    schema = ",".join(f"{c} {'bigint' if c == '_seq' else 'string'}" for c in COLS)
+    table = scratch_path(spark, "runlog")
+    assert read_current(spark, table, schema).count() == 0
+    v1 = publish_upsert(spark, table, _runs(spark, [("p1", "running", "t0", None, None, None, 1)]), schema)
+    v2 = publish_upsert(spark, table, _runs(spark, [("p1", "success", "t0", "t1", "{}", None, 2)]), schema)
+    assert (v1, v2) == (1, 2)
+    cur = read_current(spark, table, schema).collect()
+    assert [(r.id, r.status, r._seq) for r in cur] == [("p1", "success", 2)]
+    # the first version is untouched
+    old = spark.read.schema(schema).parquet(f"{table}/version=00000001").collect()
+    assert [(r.status, r._seq) for r in old] == [("running", 1)]
