@@ -59,12 +59,15 @@ def manifest_row(
 
 
 def persist_manifest(manifest: DataFrame, path: str) -> None:
-    manifest.coalesce(1).write.mode("overwrite").json(path)
+    """Append the run's manifest row: the log is append-only, so there is no
+    moment without a manifest (an overwrite would delete first)."""
+    manifest.coalesce(1).write.mode("append").json(path)
 
 
 def load_manifest(spark: SparkSession, path: str) -> DataFrame:
-    """The stored manifest, or an empty frame when none was written yet."""
+    """The newest manifest row, or an empty frame when none was written yet."""
     try:
-        return spark.read.schema(MANIFEST_SCHEMA).json(path)
+        log = spark.read.schema(MANIFEST_SCHEMA).json(path)
     except Exception:  # noqa: BLE001 - a missing manifest reads as empty
         return spark.createDataFrame([], MANIFEST_SCHEMA)
+    return log.orderBy(F.col("finished_at").desc_nulls_last(), F.col("run_id").desc()).limit(1)
