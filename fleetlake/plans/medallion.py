@@ -26,7 +26,7 @@ from fleetlake.operators.health import build_customer_health
 from fleetlake.operators.incidents import build_incident_queue
 from fleetlake.operators.silver import build_silver_from_numbered, number_bronze
 from fleetlake.sources.files import publish_version
-from fleetlake.sources.records import load_manifest, manifest_row, persist_manifest
+from fleetlake.sources.records import MANIFEST_SCHEMA, load_manifest, manifest_row, persist_manifest
 
 
 @dataclass
@@ -75,7 +75,8 @@ def run_feature_pipeline(spark: SparkSession, raw: DataFrame, base: str, days: i
     paths = {"bronze": bronze_path, "silver": silver_path, "customer_health": health_path, "incident_queue": queue_path}
     manifest = manifest_row(spark, run_id, started, counts, paths, finished_at=utc_now_text())
     persist_manifest(manifest, layout.manifest)
-    return load_manifest(spark, layout.manifest)
+    # this run's row, as stored (the log may hold other runs)
+    return spark.read.schema(MANIFEST_SCHEMA).json(layout.manifest).filter(F.col("run_id") == run_id)
 
 
 def current_table(spark: SparkSession, base: str, name: str) -> DataFrame:
