@@ -193,7 +193,7 @@ _STREAM_SILVER_COLS = (
 def q_stream_silver(spark, sf_dir):
     src = _stage_source(spark, sf_dir)
     out, ckpt = scratch_path(spark, "stream-silver"), scratch_path(spark, "stream-ckpt")
-    run_silver_stream(spark, src, TELEMETRY_SCHEMA, out, ckpt)
+    run_silver_stream(spark, src, TELEMETRY_SCHEMA, out, ckpt, files_per_trigger=1)  # one epoch per file
     return spark.read.parquet(out).select(*[c.strip() for c in _STREAM_SILVER_COLS.split(",")])
 
 
@@ -201,7 +201,7 @@ def q_stream_silver(spark, sf_dir):
 def q_stream_gold(spark, sf_dir):
     src = _stage_source(spark, sf_dir)
     silver, gold, ckpt = (scratch_path(spark, t) for t in ("sg-silver", "sg-gold", "sg-ckpt"))
-    run_gold_stream(spark, src, TELEMETRY_SCHEMA, silver, gold, ckpt, days=7)
+    run_gold_stream(spark, src, TELEMETRY_SCHEMA, silver, gold, ckpt, days=7, files_per_trigger=1)
     return latest_gold(spark, gold).select(*[c.strip() for c in HEALTH_COLUMNS.split(",")])
 
 

@@ -27,17 +27,24 @@ from fleetlake.operators.health import build_customer_health
 from fleetlake.operators.silver import score_silver
 
 
-def silver_stream(spark: SparkSession, source_dir: str, schema: T.StructType, files_per_trigger: int = 1) -> DataFrame:
+def silver_stream(
+    spark: SparkSession, source_dir: str, schema: T.StructType, files_per_trigger: int = 1000
+) -> DataFrame:
     raw = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(source_dir)
     return score_silver(build_bronze(raw))
 
 
 def run_silver_stream(
-    spark: SparkSession, source_dir: str, schema: T.StructType, silver_dir: str, checkpoint_dir: str
+    spark: SparkSession,
+    source_dir: str,
+    schema: T.StructType,
+    silver_dir: str,
+    checkpoint_dir: str,
+    files_per_trigger: int = 1000,
 ) -> None:
     """K1: process every file present now (availableNow), then stop."""
     q = (
-        silver_stream(spark, source_dir, schema)
+        silver_stream(spark, source_dir, schema, files_per_trigger)
         .writeStream.format("parquet")
         .option("path", silver_dir)
         .option("checkpointLocation", checkpoint_dir)
@@ -56,6 +63,7 @@ def run_gold_stream(
     gold_dir: str,
     checkpoint_dir: str,
     days: int = 7,
+    files_per_trigger: int = 1000,
 ) -> None:
     """K2: append silver and rebuild customer health after every micro-batch.
 
@@ -85,7 +93,7 @@ def run_gold_stream(
         health.write.mode("overwrite").parquet(f"{gold_dir}/epoch={epoch_id}")
 
     q = (
-        silver_stream(spark, source_dir, schema)
+        silver_stream(spark, source_dir, schema, files_per_trigger)
         .writeStream.foreachBatch(refresh)
         .option("checkpointLocation", checkpoint_dir)
         .trigger(availableNow=True)

@@ -37,7 +37,7 @@ def test_stream_silver_equals_batch(spark):
     src = scratch_path(spark, "t-src")
     tel.repartition(3).write.parquet(src)
     out, ck = scratch_path(spark, "t-out"), scratch_path(spark, "t-ck")
-    run_silver_stream(spark, src, TELEMETRY_SCHEMA, out, ck)
+    run_silver_stream(spark, src, TELEMETRY_SCHEMA, out, ck, files_per_trigger=1)
     cols = ["job_id", "reliability_score", "severity", "customer_summary"]
     streamed = sorted(map(tuple, spark.read.parquet(out).select(*cols).collect()))
     batch = sorted(map(tuple, score_silver(tel).select(*cols).collect()))
