@@ -96,28 +96,37 @@ def _metrics(*pairs: tuple[str, Column]) -> Column:
     return F.create_map(*args)
 
 
-def triage_context(incidents: DataFrame, health: DataFrame) -> DataFrame:
-    """G1: incidents with their customer's health score and open incidents."""
-    cust = health.select(
+def customer_context(health: DataFrame) -> DataFrame:
+    """One health row per customer_id: the lowest score when an id appears in
+    several rows (the original reads the first match of the score-sorted
+    table). A partial aggregate over a customer-sized table."""
+    best = F.min_by(
+        F.struct("customer_health_score", "open_incidents"),
+        F.struct(F.col("customer_health_score").isNull(), F.col("customer_health_score")),
+    )
+    return health.groupBy("customer_id").agg(best.alias("_c")).select(
         "customer_id",
-        F.col("customer_health_score"),
-        F.col("open_incidents").alias("customer_open_incidents"),
+        F.col("_c.customer_health_score").alias("customer_health_score"),
+        F.col("_c.open_incidents").alias("customer_open_incidents"),
     )
-    return incidents.join(cust, "customer_id", "inner")
+
+
+def triage_context(incidents: DataFrame, health: DataFrame) -> DataFrame:
+    """G1: incidents with their customer's health score and open incidents."""
+    return incidents.join(customer_context(health), "customer_id", "inner")
 
 
 def triage_rejects(incidents: DataFrame, health: DataFrame) -> DataFrame:
-    """Incidents that cannot be triaged, with the reason (the original raises)."""
+    """Incidents that cannot be triaged, with the reason (the original raises).
+    One left join to the customers and one broadcast join to the runbook."""
     spark = incidents.sparkSession
-    no_customer = incidents.join(health.select("customer_id"), "customer_id", "left_anti").select(
-        "incident_id", F.lit(fv.REJECT_NO_CUSTOMER).alias("reason")
-    )
-    known = runbook_dimension(spark).select("failure_category")
-    with_customer = incidents.join(health.select("customer_id"), "customer_id", "left_semi")
-    unknown = with_customer.join(F.broadcast(known), "failure_category", "left_anti").select(
-        "incident_id", F.lit(fv.REJECT_UNKNOWN_CATEGORY).alias("reason")
+    known = runbook_dimension(spark).select("failure_category", F.lit(True).alias("_fl_rb"))
+    custs = customer_context(health).select("customer_id", F.lit(True).alias("_fl_c"))
+    flagged = incidents.join(custs, "customer_id", "left").join(F.broadcast(known), "failure_category", "left")
+    reason = F.when(F.col("_fl_c").isNull(), F.lit(fv.REJECT_NO_CUSTOMER)).when(
+        F.col("_fl_rb").isNull(), F.lit(fv.REJECT_UNKNOWN_CATEGORY)
     )
-    return no_customer.unionByName(unknown)
+    return flagged.select("incident_id", reason.alias("reason")).filter(F.col("reason").isNotNull())
 
 
 def build_triage(

@@ -57,3 +57,17 @@ def test_unknown_category_and_missing_customer_are_rejected(spark):
     # every incident is either triaged or rejected
     total = incidents.count()
     assert build_triage(incidents, health).count() + triage_rejects(incidents, health).count() == total
+
+
+def test_duplicate_customer_rows_give_one_report_with_the_lowest_score(spark):
+    incidents, health = _gold(spark)
+    cid = health.orderBy("customer_id").select("customer_id").first()[0]
+    twin = health.filter(F.col("customer_id") == cid).withColumn("customer_name", F.lit("Other Name")).withColumn(
+        "customer_health_score", F.col("customer_health_score") - 1
+    )
+    doubled = health.unionByName(twin)
+    rep = build_triage(incidents, doubled)
+    assert rep.count() == build_triage(incidents, health).count()
+    low = twin.select("customer_health_score").first()[0]
+    got = rep.filter(F.col("customer_id") == cid).select(F.col("steps")[1]["metrics"]["customer_health_score"]).first()
+    assert got is None or float(got[0]) == low
