@@ -257,6 +257,7 @@ def build_triage(
     return ctx.select(
         rid.alias("run_id"),
         "incident_id",
+        F.col("event_ts").alias("incident_ts"),
         "customer_id",
         "customer_name",
         "workload_name",

@@ -276,11 +276,11 @@ def q_triage_report(spark, sf_dir):
 def q_agent_runs_recent(spark, sf_dir):
     _, cands, health = gold(spark, sf_dir)
     report = build_triage(cands, health)
-    runs = report.join(cands.select("incident_id", "event_ts"), "incident_id").select(
+    runs = report.select(
         F.col("run_id").alias("id"),
         "incident_id",
         F.lit("completed").alias("status"),
-        iso_seconds("event_ts").alias("started_at"),
+        iso_seconds("incident_ts").alias("started_at"),
         encode_summary(
             {
                 "severity": F.col("severity"),
