@@ -80,3 +80,14 @@ def test_numeric_inference_is_strict_about_text_shape(spark):
         assert dict(csv_scan(spark, p).dtypes) == types
     finally:
         spark.conf.set("spark.sql.ansi.enabled", "true")
+
+
+def test_csv_dates_are_categorical(spark):
+    from fleetlake.operators.profile import categorical_columns, numeric_columns
+
+    p = _csv("run_date,account,cost\n2024-01-02,a,1.5\n2024-01-03,b,2\n")
+    df = csv_scan(spark, p)
+    assert dict(df.dtypes)["run_date"] == "date"
+    assert categorical_columns(df.schema, source="csv") == ["run_date", "account"]
+    assert categorical_columns(df.schema) == ["account"]
+    assert numeric_columns(df.schema) == ["cost"]
