@@ -46,91 +46,94 @@ SEVERITY_RANK_OTHER = 3
 STATUS_PENALTY: dict[str, float] = {"success": 0.0, "degraded": 12.0, "failed": 28.0}
 
 # --- FIXED VALUES: triage runbook library ------------------------------------
-# category -> (root cause, actions, deployment steps)
-RUNBOOK_LIBRARY: dict[str, tuple[str, list[str], list[str]]] = {
-    "executor_oom": (
-        "Executor memory was undersized for a wide join and the spill curve climbed sharply.",
-        [
+RUNBOOK_LIBRARY: dict[str, dict[str, object]] = {
+    "executor_oom": {
+        "root_cause": "Executor memory was undersized for a wide join and the spill curve climbed sharply.",
+        "actions": [
             "Pin the workload to a higher-memory executor profile for the next run.",
             "Increase shuffle partitions before the feature join to reduce per-task peak memory.",
             "Replay only the failed partition window instead of reprocessing the full batch.",
         ],
-        [
+        "deployment": [
             "Update the workload config in staging with the higher-memory profile.",
             "Validate spill and retry metrics on one replay partition.",
             "Promote the config to production and keep the reserved queue warm for the next scheduled run.",
         ],
-    ),
-    "skewed_shuffle": (
-        "One or two keys are dominating partition sizes and forcing large shuffle retries.",
-        [
+    },
+    "skewed_shuffle": {
+        "root_cause": "One or two keys are dominating partition sizes and forcing large shuffle retries.",
+        "actions": [
             "Salt the hot key and raise shuffle partition count for this workload.",
             "Backfill the heaviest partition range first to unblock downstream freshness.",
             "Capture a skew snapshot so the customer team can see exactly which dimension exploded.",
         ],
-        [
+        "deployment": [
             "Apply key salting behind a feature flag in staging.",
             "Run a targeted replay against the skewed date range.",
             "Promote the change once shuffle skew and task retry counts normalize.",
         ],
-    ),
-    "metadata_timeout": (
-        "The workload stalled on control-plane metadata calls during publish or manifest reads.",
-        [
+    },
+    "metadata_timeout": {
+        "root_cause": "The workload stalled on control-plane metadata calls during publish or manifest reads.",
+        "actions": [
             "Retry against a warm metastore replica and move the publish off the busiest minute of the window.",
             "Cache the manifest lookup for repeated read-heavy stages.",
             "Add a stakeholder status note because the pipeline can recover without data loss.",
         ],
-        [
+        "deployment": [
             "Validate catalog connectivity in staging.",
             "Shift the publish window by 10 minutes and rerun the affected stage.",
             "Deploy the retry configuration and confirm downstream readers reopen cleanly.",
         ],
-    ),
-    "hot_partition": (
-        "A single partition or merge key is absorbing disproportionate write pressure.",
-        [
+    },
+    "hot_partition": {
+        "root_cause": "A single partition or merge key is absorbing disproportionate write pressure.",
+        "actions": [
             "Compact the hot partition before the next merge.",
             "Split the write scope into smaller micro-batches for the overloaded partition.",
             "Run a targeted validation on downstream reads before widening the backfill.",
         ],
-        [
+        "deployment": [
             "Apply the partition split in staging.",
             "Run a micro-batch backfill on the hotspot.",
             "Promote once merge latency and retry counts stabilize.",
         ],
-    ),
-    "queue_saturation": (
-        "The workload contended with other production jobs and never acquired enough reserved slots.",
-        [
+    },
+    "queue_saturation": {
+        "root_cause": "The workload contended with other production jobs and never acquired enough reserved slots.",
+        "actions": [
             "Move the workload to a reserved queue during the customer SLA window.",
             "Shift low-priority backfills out of the same time block.",
             "Keep the customer updated because latency is driven by shared-cluster pressure, not bad data.",
         ],
-        [
+        "deployment": [
             "Reserve capacity for the workload in staging.",
             "Replay one representative batch to confirm end-to-end runtime.",
             "Promote the schedule and queue policy before the next customer window.",
         ],
-    ),
-    "late_input_arrival": (
-        "The upstream ingest landed late and compressed the downstream processing window.",
-        [
+    },
+    "late_input_arrival": {
+        "root_cause": "The upstream ingest landed late and compressed the downstream processing window.",
+        "actions": [
             "Trigger the upstream catch-up flow and rerun only the delayed partitions.",
             "Add a freshness guard so the downstream publish waits for the complete landing set.",
             "Flag the upstream dependency in the customer update so ownership is clear.",
         ],
-        [
+        "deployment": [
             "Patch the freshness guard in staging.",
             "Replay the delayed slice and validate the publish checkpoint.",
             "Roll out the guard before the next scheduled ingest window.",
         ],
-    ),
-    "none": (
-        "The pipeline is operating inside the normal performance envelope.",
-        ["Keep monitoring the workload and compare next-run latency to the current baseline."],
-        ["No deployment change is required."],
-    ),
+    },
+    "none": {
+        "root_cause": "The pipeline is operating inside the normal performance envelope.",
+        "actions": [
+            "Keep monitoring the workload and compare next-run latency to the current baseline.",
+        ],
+        "deployment": [
+            "No deployment change is required.",
+        ],
+    },
 }
 
 # --- FIXED VALUES: triage conditional steps and thresholds -------------------

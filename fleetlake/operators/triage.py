@@ -58,7 +58,7 @@ def runbook_dimension(spark: SparkSession) -> DataFrame:
             T.StructField("rb_deployment", T.ArrayType(T.StringType())),
         ]
     )
-    rows = [(k, rc, list(a), list(d)) for k, (rc, a, d) in fv.RUNBOOK_LIBRARY.items()]
+    rows = [(k, v["root_cause"], list(v["actions"]), list(v["deployment"])) for k, v in fv.RUNBOOK_LIBRARY.items()]
     return spark.createDataFrame(rows, schema)
 
 

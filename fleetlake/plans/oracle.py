@@ -231,7 +231,10 @@ def sql_list(items) -> str:
 
 RUNBOOK = (
     "runbook AS (SELECT * FROM (VALUES "
-    + ", ".join(f"({q(k)}, {q(rc)}, {sql_list(a)}, {sql_list(d)})" for k, (rc, a, d) in fv.RUNBOOK_LIBRARY.items())
+    + ", ".join(
+        f"({q(k)}, {q(v['root_cause'])}, {sql_list(v['actions'])}, {sql_list(v['deployment'])})"
+        for k, v in fv.RUNBOOK_LIBRARY.items()
+    )
     + ") t(failure_category, rb_root_cause, rb_actions, rb_deployment))"
 )
 
