@@ -43,7 +43,7 @@ USER_IMPACT_BY_CATEGORY: dict[str, str] = {
 # --- FIXED VALUES: severity order and status penalty ------------------------
 SEVERITY_RANK: dict[str, int] = {"high": 0, "medium": 1, "low": 2}
 SEVERITY_RANK_OTHER = 3
-STATUS_PENALTY: dict[str, float] = {"success": 0.0, "degraded": 12.0, "failed": 28.0}
+STATUS_PENALTY: dict[str, int] = {"success": 0, "degraded": 12, "failed": 28}
 
 # --- FIXED VALUES: triage runbook library ------------------------------------
 RUNBOOK_LIBRARY: dict[str, dict[str, object]] = {
