@@ -37,3 +37,16 @@ def test_refresh_ids_equal_the_checkpointed_positions(spark):
     stored = current_table(spark, base, "silver").select("job_id", "incident_id")
     direct = build_silver(tel, num_partitions=3).select("job_id", "incident_id")
     assert sorted(map(tuple, stored.collect())) == sorted(map(tuple, direct.collect()))
+
+
+def test_published_health_equals_direct_health(spark):
+    from fleetlake.operators.health import build_customer_health
+    from fleetlake.operators.silver import score_silver
+
+    base = scratch_path(spark, "lake-health")
+    tel = load_telemetry(spark, SF_SMALL)
+    run_feature_pipeline(spark, tel, base, days=90)
+    published = current_table(spark, base, "customer_health")
+    direct = build_customer_health(score_silver(tel), 90)
+    cols = sorted(direct.columns)
+    assert sorted(map(tuple, published.select(*cols).collect())) == sorted(map(tuple, direct.select(*cols).collect()))
