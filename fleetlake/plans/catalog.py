@@ -33,7 +33,7 @@ def _load_all() -> None:
     # importing the modules fills the registries
     from fleetlake.plans import queries_medallion  # noqa: F401
     from fleetlake.plans import queries_serving  # noqa: F401
-    from fleetlake.plans import queries_copilot  # noqa: F401
+    from fleetlake.plans import queries_datasets  # noqa: F401
     from fleetlake.plans import queries_io  # noqa: F401
 
 

@@ -257,6 +257,6 @@ def q_runlog_append(spark, sf_dir):
         F.col("props").alias("result_json"),
         F.col("ts").alias("created_at"),
     )
-    path = scratch_path(spark, "runs") + "/copilot_runs"
+    path = scratch_path(spark, "runs") + "/analysis_runs"
     append_runs(runs, path)
     return spark.read.parquet(path)
