@@ -104,9 +104,16 @@ def utc_now_text() -> Column:
     return F.concat(iso_seconds(F.convert_timezone(None, F.lit("UTC"), F.localtimestamp())), F.lit("+00:00"))
 
 
+def nan_to_null(x) -> Column:
+    """NaN as missing (pandas skips NaN in counts, means, min and max)."""
+    x = _c(x)
+    return F.when(F.isnan(x), F.lit(None)).otherwise(x)
+
+
 def micro_units(x, scale: int = 6) -> Column:
-    """x rounded to 10^-scale, as an exact integer decimal (no bigint overflow)."""
-    return F.round(_c(x).cast("double") * F.lit(float(10**scale))).cast("decimal(38,0)")
+    """x rounded to 10^-scale, as an exact integer decimal (no bigint overflow;
+    null for values a decimal cannot hold, such as infinities)."""
+    return F.round(_c(x).cast("double") * F.lit(float(10**scale))).try_cast("decimal(38,0)")
 
 
 def exact_mean(x, scale: int = 6) -> Column:
@@ -114,6 +121,16 @@ def exact_mean(x, scale: int = 6) -> Column:
 
     The sum is exact (decimal), so every partitioning gives the same bits;
     one double division gives the correctly rounded mean of the rounded values.
+    NaN counts as missing; infinities give the pandas result (+inf, -inf, or
+    NaN when both signs occur).
     """
-    x = _c(x)
-    return F.sum(micro_units(x, scale)).cast("double") / (F.count(x).cast("double") * F.lit(float(10**scale)))
+    v = nan_to_null(_c(x).cast("double"))
+    inf = F.lit(float("inf"))
+    pos, neg = F.count_if(v == inf), F.count_if(v == -inf)
+    exact = F.sum(micro_units(v, scale)).cast("double") / (F.count(v).cast("double") * F.lit(float(10**scale)))
+    return (
+        F.when((pos > 0) & (neg > 0), F.lit(float("nan")))
+        .when(pos > 0, inf)
+        .when(neg > 0, -inf)
+        .otherwise(exact)
+    )

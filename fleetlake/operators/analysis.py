@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fleetlake.functions import fixed_values as fv
-from fleetlake.functions.exprs import clip, exact_mean, lit_d, micro_units
+from fleetlake.functions.exprs import clip, exact_mean, lit_d, micro_units, nan_to_null
 from fleetlake.operators.position import with_global_position
 from fleetlake.operators.profile import categorical_columns, numeric_columns
 
@@ -90,7 +90,7 @@ def top_risk(df: DataFrame) -> DataFrame:
 
 def category_summary(df: DataFrame, category: str, metric: str, top: int = fv.SUMMARY_TOP) -> DataFrame:
     """Count / mean / min / max of a metric per category, mean descending."""
-    m = _q(metric)
+    m = nan_to_null(_q(metric))
     return (
         df.filter(_q(category).isNotNull())
         .groupBy(_q(category).alias(category))

@@ -84,3 +84,14 @@ def test_histogram_counts_all_rows(spark):
 def test_keyword_order_when_no_column_is_named(spark):
     runs = spark.createDataFrame(RUNS, SCHEMA).select("account", "cost_usd", "duration_minutes")
     assert an.choose_analysis(runs, "what does it cost?")[1]["metric"] == "duration_minutes"
+
+
+def test_nan_and_infinity_follow_pandas(spark):
+    rows = [("a", 1.0), ("a", float("nan")), ("a", 3.0), ("b", float("inf")), ("b", 1.0), ("c", float("-inf")), ("c", float("inf"))]
+    df = spark.createDataFrame(rows, "g string, x double")
+    got = {r.g: r for r in an.category_summary(df, "g", "x").collect()}
+    p = pd.DataFrame(rows, columns=["g", "x"]).groupby("g").x.agg(["count", "mean", "min", "max"])
+    assert got["a"]["count"] == p.loc["a", "count"] == 2
+    assert got["a"]["mean"] == p.loc["a", "mean"] == 2.0 and got["a"]["max"] == 3.0
+    assert got["b"]["mean"] == float("inf") == p.loc["b", "mean"]
+    assert np.isnan(got["c"]["mean"]) and np.isnan(p.loc["c", "mean"])
