@@ -152,13 +152,16 @@ def numeric_describe(df: DataFrame, metric: str) -> DataFrame:
     """Count, mean, std (n-1), min, 25/50/75% (linear), max in one row.
 
     std comes from exact decimal sums of deviations from an integer pivot
-    near the mean, so it is stable and independent of partitioning.
+    near the mean, so it is stable and independent of partitioning. With an
+    infinite value the mean is infinite and std is NaN, as in pandas.
     """
     vals = _values(df, metric)
     u = micro_units(F.col("v"))
     first = vals.agg(
         F.count(F.lit(1)).alias("count"),
         F.sum(u).alias("_s1"),
+        exact_mean(F.col("v")).alias("mean"),
+        F.count_if(F.abs(F.col("v")) == F.lit(float("inf"))).alias("_inf"),
         F.min("v").alias("min"),
         F.max("v").alias("max"),
     )
@@ -171,10 +174,11 @@ def numeric_describe(df: DataFrame, metric: str) -> DataFrame:
     var_units = (d2 - d1 * d1 / n) / (n - F.lit(1.0))
     quart = exact_quantiles(df, metric, [0.25, 0.5, 0.75])
     q = quart.select(F.struct("p25", "p50", "p75")).scalar()
+    std = F.when(F.col("_inf") > 0, F.lit(float("nan"))).otherwise(F.sqrt(var_units) / F.lit(MICRO))
     return first.select(
         "count",
-        (F.col("_s1").cast("double") / (n * F.lit(MICRO))).alias("mean"),
-        F.when(F.col("count") > 1, F.sqrt(var_units) / F.lit(MICRO)).alias("std"),
+        "mean",
+        F.when(F.col("count") > 1, std).alias("std"),
         "min",
         q["p25"].alias("p25"),
         q["p50"].alias("p50"),

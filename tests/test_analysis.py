@@ -95,3 +95,12 @@ def test_nan_and_infinity_follow_pandas(spark):
     assert got["a"]["mean"] == p.loc["a", "mean"] == 2.0 and got["a"]["max"] == 3.0
     assert got["b"]["mean"] == float("inf") == p.loc["b", "mean"]
     assert np.isnan(got["c"]["mean"]) and np.isnan(p.loc["c", "mean"])
+
+
+def test_describe_with_infinity(spark):
+    vals = [1.0, 2.0, float("inf")]
+    got = an.numeric_describe(spark.createDataFrame([(v,) for v in vals], "v double"), "v").first()
+    want = pd.Series(vals).describe()
+    assert got["mean"] == want["mean"] == float("inf")
+    assert np.isnan(got["std"]) and np.isnan(want["std"])
+    assert got["max"] == float("inf") and got["p25"] == want["25%"]
