@@ -242,6 +242,7 @@ class Analysis:
     kind: str  # risk | category | numeric | preview
     frame: DataFrame
     params: dict
+    data: DataFrame | None = None  # the analysed rows (for the chart table)
 
 
 def choose_analysis(df: DataFrame, question: str, source: str = "parquet") -> tuple[str, dict]:
@@ -276,12 +277,15 @@ def auto_analyze(
         frame = numeric_describe(df, params["metric"])
     else:
         frame = preview(df, order_by)
-    return Analysis(kind, frame, params)
+    return Analysis(kind, frame, params, df)
 
 
-def chart_table(analysis: Analysis) -> DataFrame | None:
-    """The bar chart's x / y / colour columns; histogram bins for numeric."""
+def chart_table(analysis: Analysis, bins: int = 10) -> DataFrame | None:
+    """The bar chart's x / y / colour columns; histogram bins (J6) for a
+    numeric analysis; nothing for a preview."""
     f = analysis.frame
+    if analysis.kind == "numeric" and analysis.data is not None:
+        return histogram(analysis.data, analysis.params["metric"], bins)
     if analysis.kind == "risk":
         return f.select(F.col("account").alias("x"), F.col("risk_score").alias("y"), F.col("workload").alias("color"))
     if analysis.kind == "category":

@@ -104,3 +104,11 @@ def test_describe_with_infinity(spark):
     assert got["mean"] == want["mean"] == float("inf")
     assert np.isnan(got["std"]) and np.isnan(want["std"])
     assert got["max"] == float("inf") and got["p25"] == want["25%"]
+
+
+def test_numeric_chart_table_is_the_histogram(spark):
+    df = spark.range(100).selectExpr("cast(id as double) as cost")
+    a = an.auto_analyze(df, "cost spread")
+    assert a.kind == "numeric"
+    bins = an.chart_table(a).collect()
+    assert sum(r["count"] for r in bins) == 100 and len(bins) == 10
