@@ -239,15 +239,17 @@ RUNBOOK = (
 )
 
 _no_text = "[]::VARCHAR[]"
-TRIAGE = f"""
+def triage_ctes(src: str = "incidents") -> str:
+    """Triage CTEs over ``src`` (incidents to triage = comparables pool)."""
+    return f"""
 ctx AS (
   SELECT i.*, h.customer_health_score, h.open_incidents AS customer_open_incidents,
     r.rb_root_cause AS root_cause, r.rb_actions, r.rb_deployment
-  FROM incidents i JOIN customer_health h USING (customer_id) JOIN runbook r USING (failure_category)
+  FROM {src} i JOIN customer_health h USING (customer_id) JOIN runbook r USING (failure_category)
 ), ordered_pool AS (
   SELECT failure_category, incident_id,
     row_number() OVER (PARTITION BY failure_category ORDER BY {QUEUE_ORDER}) AS rn
-  FROM incidents
+  FROM {src}
 ), comps AS (
   SELECT c.incident_id, list(p.incident_id ORDER BY p.rn) AS ids
   FROM ctx c JOIN ordered_pool p
@@ -283,8 +285,8 @@ ctx AS (
 )"""
 
 
-def triage_sql(body: str) -> str:
-    return with_ctes(TELEMETRY, SILVER, recent(7), HEALTH_FROM_RECENT, INCIDENTS, RUNBOOK, TRIAGE, body=body)
+def triage_sql(body: str, src: str = "incidents") -> str:
+    return with_ctes(TELEMETRY, SILVER, recent(7), HEALTH_FROM_RECENT, INCIDENTS, RUNBOOK, triage_ctes(src), body=body)
 
 
 def incidents_sql(body: str, days: int = 7) -> str:

@@ -235,18 +235,16 @@ def q_triage_steps(spark, sf_dir):
     )
 
 
-@register(
-    "triage_report",
-    o.triage_sql(
-        "SELECT incident_id, customer_id, customer_name, workload_name, severity, root_cause, executive_summary, "
-        "customer_update, array_to_string(evidence, ' | ') AS evidence, "
-        "array_to_string(next_actions, ' | ') AS next_actions, "
-        "array_to_string(deployment_plan, ' | ') AS deployment_plan, "
-        "array_to_string(comparable_ids, ',') AS comparable_ids, 5 AS step_count FROM report"
-    ),
+_REPORT_SQL = (
+    "SELECT incident_id, customer_id, customer_name, workload_name, severity, root_cause, executive_summary, "
+    "customer_update, array_to_string(evidence, ' | ') AS evidence, "
+    "array_to_string(next_actions, ' | ') AS next_actions, "
+    "array_to_string(deployment_plan, ' | ') AS deployment_plan, "
+    "array_to_string(comparable_ids, ',') AS comparable_ids, 5 AS step_count FROM report"
 )
-def q_triage_report(spark, sf_dir):
-    r = _report(spark, sf_dir)
+
+
+def _flat_report(r):
     return r.select(
         "incident_id",
         "customer_id",
@@ -264,6 +262,19 @@ def q_triage_report(spark, sf_dir):
     )
 
 
+@register("triage_report", o.triage_sql(_REPORT_SQL))
+def q_triage_report(spark, sf_dir):
+    return _flat_report(_report(spark, sf_dir))
+
+
+@register("triage_queue_report", o.triage_sql(_REPORT_SQL, src="queue"))
+def q_triage_queue_report(spark, sf_dir):
+    """The original's own use: triage the 16 queued incidents, comparables from the queue."""
+    _, cands, health = gold(spark, sf_dir)
+    queue = top_incidents(cands)
+    return _flat_report(build_triage(queue, health, pool=queue))
+
+
 @register(
     "agent_runs_recent",
     o.triage_sql(
