@@ -91,3 +91,23 @@ def test_csv_dates_are_categorical(spark):
     assert categorical_columns(df.schema, source="csv") == ["run_date", "account"]
     assert categorical_columns(df.schema) == ["account"]
     assert numeric_columns(df.schema) == ["cost"]
+
+
+def test_csv_landing_to_silver_equals_typed_path(spark):
+    from pyspark.sql import functions as F
+
+    from fleetlake.operators.bronze import build_bronze
+    from fleetlake.operators.silver import score_silver
+    from fleetlake.session import scratch_path
+    from fleetlake.sources.files import write_csv
+    from fleetlake.sources.telemetry import load_telemetry
+    from tests.conftest import SF_SMALL
+
+    tel = load_telemetry(spark, SF_SMALL)
+    path = scratch_path(spark, "raw") + "/events.csv"
+    write_csv(tel.withColumn("event_ts", F.date_format("event_ts", "yyyy-MM-dd'T'HH:mm")), path)
+    raw = csv_scan(spark, path)  # inferred types, as for an uploaded file
+    cols = ["job_id", "event_ts", "partition_date", "reliability_score", "severity", "customer_summary"]
+    via_csv = score_silver(build_bronze(raw)).select(*cols)
+    direct = score_silver(build_bronze(tel)).select(*cols)
+    assert sorted(map(tuple, via_csv.collect())) == sorted(map(tuple, direct.collect()))
