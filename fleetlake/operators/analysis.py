@@ -188,8 +188,9 @@ def numeric_describe(df: DataFrame, metric: str) -> DataFrame:
 
 
 def histogram(df: DataFrame, metric: str, bins: int = 10) -> DataFrame:
-    """Fixed-width bins between min and max (one bin when they are equal)."""
-    vals = _values(df, metric)
+    """Fixed-width bins between min and max (one bin when they are equal).
+    Bins cover the finite values; infinities cannot be binned."""
+    vals = _values(df, metric).filter(F.abs(F.col("v")) != F.lit(float("inf")))
     bounds = vals.agg(F.struct(F.min("v").alias("lo"), F.max("v").alias("hi"))).scalar()
     lo, hi = bounds["lo"], bounds["hi"]
     width = (hi - lo) / F.lit(float(bins))

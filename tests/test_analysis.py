@@ -112,3 +112,9 @@ def test_numeric_chart_table_is_the_histogram(spark):
     assert a.kind == "numeric"
     bins = an.chart_table(a).collect()
     assert sum(r["count"] for r in bins) == 100 and len(bins) == 10
+
+
+def test_histogram_ignores_infinities(spark):
+    df = spark.createDataFrame([(1.0,), (2.0,), (float("inf"),), (float("nan"),)], "v double")
+    out = an.histogram(df, "v", 2).collect()
+    assert [(r.bin, r["count"]) for r in out] == [(0, 1), (1, 1)]
