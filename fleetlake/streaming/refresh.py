@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import datetime as dt
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -79,12 +80,25 @@ def run_gold_stream(
         # one directory per epoch, overwritten on retry: a replayed batch is idempotent
         epoch_path = f"{silver_dir}/batch={epoch_id}"
         batch.sortWithinPartitions("event_ts").write.mode("overwrite").parquet(epoch_path)
-        # the batch maximum from the written files (one column), not a second run of the batch
-        sp.read.parquet(epoch_path).agg(F.max("event_ts").alias("latest")).write.mode("overwrite").parquet(
+        # running latest event: this batch's maximum (from the written files, one
+        # column) folded into the previous epoch's state, so each epoch reads one
+        # tiny file; the full state history is read only to recover a missing step
+        batch_max = sp.read.parquet(epoch_path).agg(F.max("event_ts").alias("latest"))
+        try:
+            prev = sp.read.parquet(f"{state_dir}/epoch={epoch_id - 1}")
+        except AnalysisException:
+            prev = None
+            if epoch_id > 0:
+                try:
+                    hist = sp.read.parquet(state_dir)
+                    prev = hist.filter(F.col("epoch") < epoch_id).select("latest")
+                except AnalysisException:
+                    prev = None
+        running = batch_max if prev is None else batch_max.unionByName(prev.select("latest"))
+        latest = running.agg(F.max("latest")).first()[0]  # one value
+        sp.createDataFrame([(latest,)], "latest timestamp_ntz").write.mode("overwrite").parquet(
             f"{state_dir}/epoch={epoch_id}"
         )
-        seen = sp.read.parquet(state_dir).filter(F.col("epoch") <= epoch_id)
-        latest = seen.agg(F.max("latest")).first()[0]  # one value
         if latest is None:
             return
         cutoff = latest - dt.timedelta(days=days)
