@@ -68,10 +68,11 @@ def run_gold_stream(
 ) -> None:
     """K2: append silver and rebuild customer health after every micro-batch.
 
-    The latest event seen so far is kept as a one-row-per-epoch state table
-    (the batch maximum), so the trailing window needs no scan of all silver:
-    each epoch's files are sorted by event_ts and read with a literal cutoff,
-    so parquet min/max statistics skip old files and row groups.
+    The latest event seen so far is carried from epoch to epoch as a one-row
+    state file (previous state folded with the batch maximum), so the
+    trailing window needs no scan of all silver: each epoch's files are
+    sorted by event_ts and read with a literal cutoff, so parquet min/max
+    statistics skip old files and row groups.
     """
     state_dir = f"{checkpoint_dir.rstrip('/')}/_latest_event"
 
