@@ -71,3 +71,22 @@ def test_duplicate_customer_rows_give_one_report_with_the_lowest_score(spark):
     low = twin.select("customer_health_score").first()[0]
     got = rep.filter(F.col("customer_id") == cid).select(F.col("steps")[1]["metrics"]["customer_health_score"]).first()
     assert got is None or float(got[0]) == low
+
+
+def test_comparables_with_a_hot_category_match_brute_force(spark):
+    incidents, health = _gold(spark)
+    # two thirds of the incidents move into one category
+    hot = incidents.withColumn(
+        "failure_category",
+        F.when(F.abs(F.hash("incident_id")) % 3 != 0, F.lit("executor_oom")).otherwise(F.col("failure_category")),
+    )
+    rep = build_triage(hot.repartition(7), health)
+    some = rep.filter(F.col("incident_id").endswith("7")).select("incident_id", "comparable_incidents").collect()
+    pool = hot.select("incident_id", "failure_category", "severity_rank", "event_ts").toPandas()
+    assert len(some) > 10 and (pool.failure_category == "executor_oom").mean() > 0.6
+    for r in some:
+        cat = pool.loc[pool.incident_id == r.incident_id, "failure_category"].iloc[0]
+        others = pool[(pool.failure_category == cat) & (pool.incident_id != r.incident_id)].copy()
+        others["neg_ts"] = -others.event_ts.astype("int64")
+        want = others.sort_values(["severity_rank", "neg_ts", "incident_id"]).incident_id.head(3).tolist()
+        assert [c.incident_id for c in r.comparable_incidents] == want
