@@ -74,3 +74,35 @@ def test_csv_round_trip_by_extension(spark):
     back = read_dataset(spark, path)
     assert dict(back.dtypes) == dict(df.dtypes)
     assert sorted(map(tuple, back.collect())) == sorted(map(tuple, df.collect()))
+
+
+def test_golden_dashboard_incident_texts(spark):
+    # one incident of the published dashboard snapshot (FIXTURES A4); the metric
+    # inputs are chosen to reproduce its scores (reliability 28.0, pressures 35.0 / 35.2)
+    df = rows(
+        spark,
+        dict(
+            customer_id="meridian-energy",
+            customer_name="Meridian Energy",
+            workload_name="load_forecast_training",
+            event_ts=dt.datetime(2026, 4, 24, 3, 27),
+            status="degraded",
+            failure_category="skewed_shuffle",
+            duration_min=75,
+            sla_minutes=60,
+            queue_depth=7,
+            memory_utilization_pct=78,
+            spill_gb=16.0,
+            failed_tasks=20,
+            retried_tasks=25,
+        ),
+    )
+    inc = build_incident_queue(build_silver(df)).first()
+    assert (inc.reliability_score, inc.queue_pressure_score, inc.memory_pressure_score) == (28.0, 35.0, 35.2)
+    assert inc.latency_over_sla_min == 15 and inc.severity == "high"
+    assert inc.customer_summary == "Meridian Energy load_forecast_training is degraded because of skewed shuffle."
+    assert inc.summary_line == "skewed shuffle on load_forecast_training for Meridian Energy with reliability 28.0."
+    assert inc.recommended_action == (
+        "Salt the skewed key, raise shuffle partitions, and backfill the worst partition range."
+    )
+    assert inc.incident_id == "inc-meridian-0424-0000"
