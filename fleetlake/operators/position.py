@@ -30,24 +30,17 @@ BLOCK = "row_block"  # range partition the row fell into
 ROW = "row_in_block"  # increasing id inside the block (block << 33 | index)
 
 
-def _default_blocks(df: DataFrame) -> int:
-    """The session's shuffle partition count (or the default parallelism when
-    the setting is not a number, e.g. 'auto' on some platforms)."""
-    value = df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")
-    try:
-        return max(1, int(value))
-    except ValueError:
-        try:
-            return max(1, df.sparkSession.sparkContext.defaultParallelism)
-        except Exception:  # noqa: BLE001 - no SparkContext (Spark Connect)
-            return 200
-
-
 def number_rows(df: DataFrame, order_by: list[Column], num_partitions: int | None = None) -> DataFrame:
-    """Range-partition and sort on ``order_by``; add the block and in-block ids."""
-    n = num_partitions or _default_blocks(df)
+    """Range-partition and sort on ``order_by``; add the block and in-block ids.
+
+    Without ``num_partitions`` the range shuffle uses the session's partition
+    count and AQE may coalesce neighbouring ranges up to its advisory size.
+    Coalesced blocks are still contiguous key ranges in order, so the
+    numbering stays exact and block sizes follow the data.
+    """
+    ranged = df.repartitionByRange(num_partitions, *order_by) if num_partitions else df.repartitionByRange(*order_by)
     return (
-        df.repartitionByRange(n, *order_by)
+        ranged
         .sortWithinPartitions(*order_by)
         .withColumn(BLOCK, F.spark_partition_id())
         .withColumn(ROW, F.monotonically_increasing_id())

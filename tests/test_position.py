@@ -18,3 +18,10 @@ def test_matches_single_window_with_skewed_key(spark):
 def test_empty_input(spark):
     df = spark.range(0).select(F.col("id").alias("k"))
     assert with_global_position(df, [F.col("k")], "p").count() == 0
+
+
+def test_adaptive_block_count(spark):
+    df = spark.range(5000).select((F.col("id") * 7919 % 5000).alias("k"), F.col("id"))
+    want = df.withColumn("p", F.row_number().over(Window.orderBy("k", "id")) - 1)
+    got = with_global_position(df, [F.col("k"), F.col("id")], "p")
+    assert sorted(got.collect()) == sorted(want.collect())
