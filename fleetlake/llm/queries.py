@@ -4,11 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fleetlake.llm.common import read
 from fleetlake.llm.decontaminate import contaminated, contamination
+from fleetlake.llm.fingerprint import compare_neighbours
+from fleetlake.llm.packing import pack
 from fleetlake.llm.sharding import assign_shards
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -25,8 +28,9 @@ def register(name: str, sql: str | None = None):
     return deco
 
 
-def hex_sha256(col) -> F.Column:
-    return F.sha2(col, 256)
+def tokenizer_path() -> str:
+    """The vocabulary file, installed beside its library on every machine."""
+    return public_tokenizers.path("byte_bpe_50k.json")
 
 
 _WORDS = (
@@ -80,3 +84,13 @@ def op8_shard(spark, sf_dir):
         "slot",
         F.lit(None).cast("int").alias("grown_shard"),
     )
+
+
+@register("op5_fingerprint")
+def op5_fingerprint(spark, sf_dir):
+    return compare_neighbours(read(spark, sf_dir, "documents"))
+
+
+@register("op7_pack")
+def op7_pack(spark, sf_dir):
+    return pack(read(spark, sf_dir, "documents"), tokenizer_path())
