@@ -13,6 +13,7 @@ from fleetlake.llm.decontaminate import contaminated, contamination
 from fleetlake.llm.fingerprint import compare_neighbours
 from fleetlake.llm.packing import pack
 from fleetlake.llm.sharding import assign_shards
+from fleetlake.llm.substring_dedup import remove_repeats
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -94,3 +95,24 @@ def op5_fingerprint(spark, sf_dir):
 @register("op7_pack")
 def op7_pack(spark, sf_dir):
     return pack(read(spark, sf_dir, "documents"), tokenizer_path())
+
+
+@register(
+    "op10_substring_dedup",
+    """
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+win AS (SELECT doc_id, i, array_to_string(w[i : i + 19], ' ') AS win
+  FROM (SELECT doc_id, w, unnest(range(1, len(w) - 18)) AS i FROM d WHERE len(w) >= 20)),
+later AS (SELECT doc_id, i FROM win QUALIFY row_number() OVER (PARTITION BY win ORDER BY doc_id, i) > 1),
+gone AS (SELECT doc_id, list(DISTINCT p) AS ps FROM (SELECT doc_id, unnest(range(i, i + 20)) AS p FROM later) GROUP BY doc_id),
+kept AS (SELECT doc_id, list(word ORDER BY p) AS ws FROM (
+    SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS p FROM d) x
+  WHERE NOT EXISTS (SELECT 1 FROM (SELECT doc_id AS g, unnest(ps) AS q FROM gone) y WHERE y.g = x.doc_id AND y.q = x.p)
+  GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(len(ps), 0) AS BIGINT) AS n_removed,
+  sha256(coalesce(array_to_string(ws, ' '), '')) AS kept_sha256
+FROM d LEFT JOIN gone USING (doc_id) LEFT JOIN kept USING (doc_id)
+""",
+)
+def op10_substring_dedup(spark, sf_dir):
+    return remove_repeats(read(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", "kept_sha256")
