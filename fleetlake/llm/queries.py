@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from fleetlake.llm.common import read
 from fleetlake.llm.decontaminate import contaminated, contamination
 from fleetlake.llm.fingerprint import compare_neighbours
+from fleetlake.llm.neardup import near_duplicates
 from fleetlake.llm.packing import pack
 from fleetlake.llm.sharding import assign_shards
 from fleetlake.llm.substring_dedup import remove_repeats
@@ -87,6 +88,11 @@ def op8_shard(spark, sf_dir):
     )
 
 
+@register("op4_near_dedup")
+def op4_near_dedup(spark, sf_dir):
+    return near_duplicates(read(spark, sf_dir, "documents")).select("doc_id", "group_id")
+
+
 @register("op5_fingerprint")
 def op5_fingerprint(spark, sf_dir):
     return compare_neighbours(read(spark, sf_dir, "documents"))
