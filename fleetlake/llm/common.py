@@ -59,3 +59,23 @@ def text_chunks(
 def narrow(docs: DataFrame, *cols: str) -> DataFrame:
     """Only the columns an operator reads, so that clashing names of other columns cannot matter."""
     return docs.select(*[F.col(f"`{c}`") for c in cols])
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, max_rows: int) -> DataFrame:
+    """``order``, ``doc_id``, ``text``, ``label`` of at most ``max_rows`` labelled ids, by a hash of the id.
+
+    The sample of ids has a proven size, so it is broadcast and texts stay
+    where they are. Null labels and ids are left out; of several labels of an
+    id the largest counts.
+    """
+    order = F.xxhash64(F.lit(2), "doc_id")
+    chosen = (
+        labels.select("doc_id", F.col("label").cast("int"))
+        .dropna()
+        .groupBy("doc_id")
+        .agg(F.max("label").alias("label"))
+        .withColumn("order", order)
+        .orderBy("order")
+        .limit(max_rows)
+    )
+    return narrow(docs, "doc_id", "text").join(F.broadcast(chosen), "doc_id")

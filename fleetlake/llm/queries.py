@@ -13,8 +13,10 @@ from fleetlake.llm.decontaminate import contaminated, contamination
 from fleetlake.llm.fingerprint import compare_neighbours
 from fleetlake.llm.neardup import near_duplicates
 from fleetlake.llm.packing import pack
+from fleetlake.llm.quality import resample
 from fleetlake.llm.sharding import assign_shards
 from fleetlake.llm.substring_dedup import remove_repeats
+from fleetlake.llm.toxicity import fit, held_out, score
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -88,6 +90,16 @@ def op8_shard(spark, sf_dir):
     )
 
 
+@register("op2_toxicity")
+def op2_toxicity(spark, sf_dir):
+    docs = read(spark, sf_dir, "documents")
+    labels = read(spark, sf_dir, "labels").filter(~held_out())
+    weights = fit(docs, labels.select("doc_id", F.col("toxic").alias("label")))
+    return score(docs, weights).select(
+        "doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted")
+    )
+
+
 @register("op4_near_dedup")
 def op4_near_dedup(spark, sf_dir):
     return near_duplicates(read(spark, sf_dir, "documents")).select("doc_id", "group_id")
@@ -98,6 +110,12 @@ def op5_fingerprint(spark, sf_dir):
     return compare_neighbours(read(spark, sf_dir, "documents"))
 
 
+@register("op6_quality")
+def op6_quality(spark, sf_dir):
+    labels = read(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("label"))
+    return resample(read(spark, sf_dir, "documents"), labels)
+
+
 @register("op7_pack")
 def op7_pack(spark, sf_dir):
     return pack(read(spark, sf_dir, "documents"), tokenizer_path())

@@ -51,6 +51,7 @@ class Words:
         joined = b" " + b" ".join(texts) + b" "
         self.raw = joined.translate(LOWER) if lower else joined
         self.buf = np.frombuffer(self.raw, np.uint8)
+        self.plain = np.frombuffer(joined, np.uint8) if lower else self.buf
         inside = table[self.buf].view(np.int8)
         edge = np.diff(inside)
         self.start = np.flatnonzero(edge == 1) + 1
