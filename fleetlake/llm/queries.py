@@ -14,7 +14,9 @@ from fleetlake.llm.fingerprint import compare_neighbours
 from fleetlake.llm.neardup import near_duplicates
 from fleetlake.llm.packing import pack
 from fleetlake.llm.quality import resample
+from fleetlake.llm.secret_scan import STRONG, scan
 from fleetlake.llm.sharding import assign_shards
+from fleetlake.llm.spans import listed
 from fleetlake.llm.substring_dedup import remove_repeats
 from fleetlake.llm.toxicity import fit, held_out, score
 
@@ -121,6 +123,16 @@ def op7_pack(spark, sf_dir):
     return pack(read(spark, sf_dir, "documents"), tokenizer_path())
 
 
+@register("op9_secrets")
+def op9_secrets(spark, sf_dir):
+    return scan(read(spark, sf_dir, "documents")).select(
+        "doc_id",
+        *[f"n_{k}" for k in STRONG],
+        F.sha2(listed(F.col("base")), 256).alias("base_sha256"),
+        listed(F.col("spans")).alias("spans"),
+    )
+
+
 @register(
     "op10_substring_dedup",
     """
