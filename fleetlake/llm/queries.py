@@ -13,6 +13,7 @@ from fleetlake.llm.decontaminate import contaminated, contamination
 from fleetlake.llm.fingerprint import compare_neighbours
 from fleetlake.llm.neardup import near_duplicates
 from fleetlake.llm.packing import pack
+from fleetlake.llm.personal_data import KINDS, personal_data
 from fleetlake.llm.quality import resample
 from fleetlake.llm.secret_scan import STRONG, scan
 from fleetlake.llm.sharding import assign_shards
@@ -102,6 +103,21 @@ def op2_toxicity(spark, sf_dir):
     )
 
 
+@register("op3_personal_data")
+def op3_personal_data(spark, sf_dir):
+    found = personal_data(read(spark, sf_dir, "documents"))
+
+    def count(kind):
+        return F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("bigint").alias(f"n_{kind}")
+
+    return found.select(
+        "doc_id",
+        *[count(k) for k in KINDS],
+        F.sha2(listed(F.col("base")), 256).alias("base_sha256"),
+        listed(F.col("spans")).alias("spans"),
+    )
+
+
 @register("op4_near_dedup")
 def op4_near_dedup(spark, sf_dir):
     return near_duplicates(read(spark, sf_dir, "documents")).select("doc_id", "group_id")
