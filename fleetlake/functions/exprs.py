@@ -52,12 +52,6 @@ def exact_mean_tenths(x) -> Column:
     return F.sum(tenths(x)).cast("double") / (F.count(x).cast("double") * F.lit(10.0))
 
 
-def exact_mean_int(x) -> Column:
-    """Mean of an integer column: exact integer sum, one division."""
-    x = _c(x)
-    return F.sum(x.cast("bigint")).cast("double") / F.count(x).cast("double")
-
-
 def safe_div(num, den) -> Column:
     """pandas-style division under ANSI mode.
 
@@ -110,27 +104,11 @@ def nan_to_null(x) -> Column:
     return F.when(F.isnan(x), F.lit(None)).otherwise(x)
 
 
-def micro_units(x, scale: int = 6) -> Column:
-    """x rounded to 10^-scale, as an exact integer decimal (no bigint overflow;
-    null for values a decimal cannot hold, such as infinities)."""
-    return F.round(_c(x).cast("double") * F.lit(float(10**scale))).try_cast("decimal(38,0)")
-
+def mean(x) -> Column:
+    """Mean at full double precision; NaN counts as missing, as in pandas.
 
-def exact_mean(x, scale: int = 6) -> Column:
-    """Order-independent mean of any numeric column at 10^-scale resolution.
-
-    The sum is exact (decimal), so every partitioning gives the same bits;
-    one double division gives the correctly rounded mean of the rounded values.
-    NaN counts as missing; infinities give the pandas result (+inf, -inf, or
-    NaN when both signs occur).
+    Infinities give +inf, -inf, or NaN when both signs occur. Queries that are
+    compared with another engine round it: sums of doubles depend on the order
+    partitions are merged in, in the last bits.
     """
-    v = nan_to_null(_c(x).cast("double"))
-    inf = F.lit(float("inf"))
-    pos, neg = F.count_if(v == inf), F.count_if(v == -inf)
-    exact = F.sum(micro_units(v, scale)).cast("double") / (F.count(v).cast("double") * F.lit(float(10**scale)))
-    return (
-        F.when((pos > 0) & (neg > 0), F.lit(float("nan")))
-        .when(pos > 0, inf)
-        .when(neg > 0, -inf)
-        .otherwise(exact)
-    )
+    return F.avg(nan_to_null(_c(x).cast("double")))

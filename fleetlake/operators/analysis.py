@@ -1,25 +1,23 @@
 """Question-driven analyses over any tabular dataset.
 
-Each analysis is a DataFrame plan over all rows (the original caps input at
-5,000 rows; here ``row_limit`` is an explicit option, off by default).
-Means use exact decimal sums so results do not depend on partitioning;
-quantiles are exact and computed by a distributed sort (range partitioning
-plus per-partition offsets), never by gathering a column into one task.
+Each analysis is a DataFrame plan over all rows; the original's cap of 5,000
+rows (J12) is left out, as it changes answers. Means and deviations have full
+double precision. Quantiles are exact: equal values are counted first, so a hot
+value is one row, and the different values are sorted by range partitions.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fleetlake.functions import fixed_values as fv
-from fleetlake.functions.exprs import clip, exact_mean, lit_d, micro_units, nan_to_null
-from fleetlake.operators.position import with_global_position
+from fleetlake.functions.exprs import clip, lit_d, mean, nan_to_null
+from fleetlake.operators.position import BLOCK, ROW, number_rows
 from fleetlake.operators.profile import categorical_columns, numeric_columns
-
-MICRO = 1e6
+from fleetlake.session import ensure_checkpoint_dir
 
 
 def _q(name: str) -> Column:
@@ -60,17 +58,17 @@ def workload_risk(df: DataFrame, top: int = fv.SUMMARY_TOP) -> DataFrame:
     scored = with_risk(df).dropna(subset=["account", "workload"])
     aggs = [
         (F.count("run_id") if "run_id" in df.columns else F.count(F.lit(1))).alias("runs"),
-        exact_mean("duration_minutes").alias("avg_duration_minutes"),
+        mean("duration_minutes").alias("avg_duration_minutes"),
     ]
     if "cost_usd" in df.columns:
-        aggs.append(exact_mean("cost_usd").alias("avg_cost_usd"))
+        aggs.append(mean("cost_usd").alias("avg_cost_usd"))
     if "error_count" in df.columns:
-        aggs.append(F.coalesce(F.sum("error_count"), F.lit(0)).cast("bigint").alias("errors"))
+        aggs.append(F.coalesce(F.sum("error_count"), F.lit(0)).alias("errors"))
     if "retry_count" in df.columns:
-        aggs.append(F.coalesce(F.sum("retry_count"), F.lit(0)).cast("bigint").alias("retries"))
+        aggs.append(F.coalesce(F.sum("retry_count"), F.lit(0)).alias("retries"))
     aggs += [
-        exact_mean("sla_overrun_minutes").alias("avg_sla_overrun_minutes"),
-        exact_mean("risk_score").alias("risk_score"),
+        mean("sla_overrun_minutes").alias("avg_sla_overrun_minutes"),
+        mean("risk_score").alias("risk_score"),
     ]
     return (
         scored.groupBy("account", "workload")
@@ -96,7 +94,7 @@ def category_summary(df: DataFrame, category: str, metric: str, top: int = fv.SU
         .groupBy(_q(category).alias(category))
         .agg(
             F.count(m).alias("count"),
-            exact_mean(m).alias("mean"),
+            mean(m).alias("mean"),
             F.min(m).alias("min"),
             F.max(m).alias("max"),
         )
@@ -113,32 +111,44 @@ def _values(df: DataFrame, metric: str) -> DataFrame:
 def exact_quantiles(df: DataFrame, metric: str, probs: list[float]) -> DataFrame:
     """Exact linear-interpolation quantiles (the numpy default rule).
 
-    Values are globally ordered by a range-partitioned sort; only the (at
-    most 2 per probability) rows at the needed positions are kept.
+    Values are counted (a partial aggregate, so a value that fills a third of
+    the table is one row per task), the different values are sorted by range
+    partitions, and running counts give each value its positions. Only the (at
+    most 2 per probability) values at the needed positions are kept.
     """
-    vals = _values(df, metric)
-    n = vals.select(F.count(F.lit(1))).scalar()
-    pos = with_global_position(vals, [F.col("v").asc()], "pos")
+    ensure_checkpoint_dir(df.sparkSession)
+    counted = _values(df, metric).groupBy("v").agg(F.count(F.lit(1)).alias("c"))
+    numbered = number_rows(counted, [F.col("v").asc()]).checkpoint(eager=True)
+    n = numbered.select(F.sum("c")).scalar()
+    before = Window.orderBy(BLOCK).rowsBetween(Window.unboundedPreceding, -1)  # one row per block
+    offsets = numbered.groupBy(BLOCK).agg(F.sum("c").alias("_n")).select(
+        BLOCK, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off")
+    )
+    inside = Window.partitionBy(BLOCK).orderBy(ROW).rowsBetween(Window.unboundedPreceding, -1)
+    placed = numbered.withColumn("_in", F.coalesce(F.sum("c").over(inside), F.lit(0))).join(offsets, BLOCK)
+    first = F.col("_off") + F.col("_in")
     cols = []
     for i, p in enumerate(probs):
         h = (n - F.lit(1)).cast("double") * lit_d(p)
         prev = F.floor(h).cast("bigint")
         nxt = F.least(prev + 1, n - F.lit(1))
         cols += [prev.alias(f"_lo{i}"), nxt.alias(f"_hi{i}"), (h - prev.cast("double")).alias(f"_t{i}")]
-    wanted = pos.select("pos", "v", *cols)
-    need = None
+    wanted = placed.select(first.alias("_first"), (first + F.col("c")).alias("_next"), "v", *cols)
+
+    def holds(name: str) -> Column:
+        return (F.col(name) >= F.col("_first")) & (F.col(name) < F.col("_next"))
+
+    need = F.lit(False)
     for i in range(len(probs)):
-        c = (F.col("pos") == F.col(f"_lo{i}")) | (F.col("pos") == F.col(f"_hi{i}"))
-        need = c if need is None else need | c
-    picked = wanted.filter(need)
+        need = need | holds(f"_lo{i}") | holds(f"_hi{i}")
     aggs = []
     for i in range(len(probs)):
         aggs += [
-            F.max(F.when(F.col("pos") == F.col(f"_lo{i}"), F.col("v"))).alias(f"_a{i}"),
-            F.max(F.when(F.col("pos") == F.col(f"_hi{i}"), F.col("v"))).alias(f"_b{i}"),
+            F.max(F.when(holds(f"_lo{i}"), F.col("v"))).alias(f"_a{i}"),
+            F.max(F.when(holds(f"_hi{i}"), F.col("v"))).alias(f"_b{i}"),
             F.first(f"_t{i}").alias(f"_t{i}"),
         ]
-    row = picked.agg(*aggs)
+    row = wanted.filter(need).agg(*aggs)
     out = []
     for i, p in enumerate(probs):
         a, b, t = F.col(f"_a{i}"), F.col(f"_b{i}"), F.col(f"_t{i}")
@@ -151,34 +161,24 @@ def exact_quantiles(df: DataFrame, metric: str, probs: list[float]) -> DataFrame
 def numeric_describe(df: DataFrame, metric: str) -> DataFrame:
     """Count, mean, std (n-1), min, 25/50/75% (linear), max in one row.
 
-    std comes from exact decimal sums of deviations from an integer pivot
-    near the mean, so it is stable and independent of partitioning. With an
-    infinite value the mean is infinite and std is NaN, as in pandas.
+    Spark's ``stddev`` merges central moments, so it is stable for values far
+    from 0. With an infinite value the mean is infinite and std is NaN, as in
+    pandas.
     """
     vals = _values(df, metric)
-    u = micro_units(F.col("v"))
-    first = vals.agg(
+    row = vals.agg(
         F.count(F.lit(1)).alias("count"),
-        F.sum(u).alias("_s1"),
-        exact_mean(F.col("v")).alias("mean"),
-        F.count_if(F.abs(F.col("v")) == F.lit(float("inf"))).alias("_inf"),
+        F.avg("v").alias("mean"),
+        F.stddev_samp("v").alias("std"),
         F.min("v").alias("min"),
         F.max("v").alias("max"),
     )
-    pivot = first.select(F.round(F.col("_s1").cast("double") / F.col("count").cast("double")).cast("decimal(38,0)")).scalar()
-    d = u - pivot
-    # one scalar subquery per aggregate, returning a struct (not one per field)
-    dev = vals.agg(F.struct(F.sum(d).cast("double").alias("d1"), F.sum(d * d).cast("double").alias("d2"))).scalar()
-    d1, d2 = dev["d1"], dev["d2"]
-    n = F.col("count").cast("double")
-    var_units = (d2 - d1 * d1 / n) / (n - F.lit(1.0))
     quart = exact_quantiles(df, metric, [0.25, 0.5, 0.75])
     q = quart.select(F.struct("p25", "p50", "p75")).scalar()
-    std = F.when(F.col("_inf") > 0, F.lit(float("nan"))).otherwise(F.sqrt(var_units) / F.lit(MICRO))
-    return first.select(
+    return row.select(
         "count",
         "mean",
-        F.when(F.col("count") > 1, std).alias("std"),
+        "std",
         "min",
         q["p25"].alias("p25"),
         q["p50"].alias("p50"),
@@ -217,12 +217,12 @@ def mean_by_group(df: DataFrame, group: str, metric: str) -> DataFrame:
     return (
         df.filter(_q(group).isNotNull())
         .groupBy(_q(group).alias(group))
-        .agg(exact_mean(metric).alias(metric))
+        .agg(mean(metric).alias(metric))
         .orderBy(F.col(f"`{metric}`").desc_nulls_last(), F.col(f"`{group}`"))
     )
 
 
-# ---- J8-J10, J12: choosing and running an analysis ---------------------------------------
+# ---- J8-J10: choosing and running an analysis ---------------------------------------
 
 
 def preferred_column(columns: list[str], question: str, preferences: list[str]) -> str:
@@ -263,12 +263,8 @@ def choose_analysis(df: DataFrame, question: str, source: str = "parquet") -> tu
     return "preview", {}
 
 
-def auto_analyze(
-    df: DataFrame, question: str, row_limit: int | None = None, source: str = "parquet", order_by=None
-) -> Analysis:
-    """Pick the analysis for the question and build its plan."""
-    if row_limit is not None:  # J12, off by default: it changes answers
-        df = preview(df, order_by, row_limit)
+def auto_analyze(df: DataFrame, question: str, source: str = "parquet", order_by=None) -> Analysis:
+    """Pick the analysis for the question and build its plan, over all rows."""
     kind, params = choose_analysis(df, question, source)
     if kind == "risk":
         frame = workload_risk(df)

@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fleetlake.functions.exprs import clip, exact_mean_int, exact_mean_tenths, lit_d, num_text, r1
+from fleetlake.functions.exprs import clip, exact_mean_tenths, lit_d, num_text, r1
 
 GROUP_KEYS = ["customer_id", "customer_name", "region", "account_tier", "cluster_name"]
 
@@ -48,9 +48,9 @@ def customer_aggregates(recent: DataFrame) -> DataFrame:
             F.count_if(status == "degraded").alias("degraded_jobs"),
             F.count_if(sev == "high").alias("open_incidents"),
             exact_mean_tenths("reliability_score").alias("avg_reliability_score"),
-            exact_mean_int("latency_over_sla_min").alias("avg_latency_over_sla_min"),
-            exact_mean_int("queue_depth").alias("avg_queue_depth"),
-            exact_mean_int("duration_min").alias("avg_duration_min"),
+            F.avg("latency_over_sla_min").alias("avg_latency_over_sla_min"),
+            F.avg("queue_depth").alias("avg_queue_depth"),
+            F.avg("duration_min").alias("avg_duration_min"),
             r1(
                 F.count_if(status == "success").cast("double") / F.count(F.lit(1)).cast("double") * F.lit(100)
             ).alias("success_rate_pct"),

@@ -160,7 +160,7 @@ runs AS (
 def _runs_sql(body: str) -> str:
     cte = RUNS_CTE
     for col in ["duration_minutes", "cost_usd", "sla_overrun_minutes", "risk_score"]:
-        cte = cte.replace(f"MEAN({col})", o.mean_exact(col))
+        cte = cte.replace(f"MEAN({col})", o.rounded_mean(col))
     return o.with_ctes(o.TELEMETRY, cte, body=body)
 
 
@@ -169,12 +169,12 @@ _RISK_ORDER = "risk_score DESC NULLS LAST, account, workload"
 
 @register("workload_risk", _runs_sql(f"SELECT * FROM ranking ORDER BY {_RISK_ORDER} LIMIT 10"))
 def q_workload_risk(spark, sf_dir):
-    return an.workload_risk(load_workload_runs(spark, sf_dir))
+    return rounded(an.workload_risk(load_workload_runs(spark, sf_dir)), *RISK_MEANS)
 
 
 @register("top_risk", _runs_sql(f"SELECT * FROM ranking ORDER BY {_RISK_ORDER} LIMIT 1"))
 def q_top_risk(spark, sf_dir):
-    return an.top_risk(load_workload_runs(spark, sf_dir))
+    return rounded(an.top_risk(load_workload_runs(spark, sf_dir)), *RISK_MEANS)
 
 
 @register(
@@ -183,7 +183,8 @@ def q_top_risk(spark, sf_dir):
 )
 def q_auto_analyze(spark, sf_dir):
     runs = load_workload_runs(spark, sf_dir)
-    return an.auto_analyze(runs, "Which account and workload carry the most operational risk?").frame
+    found = an.auto_analyze(runs, "Which account and workload carry the most operational risk?")
+    return rounded(found.frame, *RISK_MEANS)
 
 
 @register(
@@ -194,22 +195,22 @@ def q_auto_analyze(spark, sf_dir):
 )
 def q_chart_table(spark, sf_dir):
     runs = load_workload_runs(spark, sf_dir)
-    return an.chart_table(an.auto_analyze(runs, "Where is risk concentrated?"))
+    return rounded(an.chart_table(an.auto_analyze(runs, "Where is risk concentrated?")), "y")
 
 
 @register(
     "mean_by_group",
     _runs_sql(
-        f"SELECT account, {o.mean_exact('duration_minutes')} AS duration_minutes FROM runs "
+        f"SELECT account, {o.rounded_mean('duration_minutes')} AS duration_minutes FROM runs "
         "WHERE account IS NOT NULL GROUP BY account"
     ),
 )
 def q_mean_by_group(spark, sf_dir):
-    return an.mean_by_group(load_workload_runs(spark, sf_dir), "account", "duration_minutes")
+    return rounded(an.mean_by_group(load_workload_runs(spark, sf_dir), "account", "duration_minutes"), "duration_minutes")
 
 
 _CAT_SQL = (
-    f"SELECT event_type, count(value) AS count, {o.mean_exact('value')} AS mean, min(value) AS min, "
+    f"SELECT event_type, count(value) AS count, {o.rounded_mean('value')} AS mean, min(value) AS min, "
     "max(value) AS max FROM events WHERE event_type IS NOT NULL GROUP BY event_type "
     "ORDER BY mean DESC NULLS LAST, event_type LIMIT 10"
 )
@@ -218,47 +219,37 @@ _CAT_SQL = (
 @register("category_summary", _CAT_SQL)
 def q_category_summary(spark, sf_dir):
     (events,) = read_tables(spark, sf_dir, "events")
-    return an.category_summary(events, "event_type", "value")
+    return rounded(an.category_summary(events, "event_type", "value"), "mean")
 
 
 @register("auto_analyze_category", _CAT_SQL)
 def q_auto_analyze_category(spark, sf_dir):
     (events,) = read_tables(spark, sf_dir, "events")
     a = an.auto_analyze(events.select("event_id", "event_type", "value"), "Compare the value by event type")
-    return a.frame
+    return rounded(a.frame, "mean")
 
 
-def _quantile_sql(p: float) -> str:
-    h = f"((CAST(n AS DOUBLE) - 1) * {p!r}e0)"
-    return f"""(SELECT CASE WHEN t >= 0.5 THEN b - (b - a) * (1e0 - t) ELSE a + (b - a) * t END FROM (
-      SELECT max(v) FILTER (WHERE pos = lo) AS a, max(v) FILTER (WHERE pos = hi) AS b, any_value(t) AS t
-      FROM pos, (SELECT CAST(floor({h}) AS BIGINT) AS lo, least(CAST(floor({h}) AS BIGINT) + 1, n - 1) AS hi,
-                        {h} - floor({h}) AS t FROM first) k))"""
+DESCRIBE_SQL = """WITH vals AS (
+  SELECT CAST(value AS DOUBLE) AS v FROM events WHERE value IS NOT NULL AND NOT isnan(value)
+)
+SELECT count(*) AS count, round(avg(v), 6) AS mean, round(stddev_samp(v), 6) AS std, min(v) AS min,
+  round(quantile_cont(v, 0.25), 6) AS p25, round(quantile_cont(v, 0.5), 6) AS p50,
+  round(quantile_cont(v, 0.75), 6) AS p75, max(v) AS max
+FROM vals"""
 
 
-_U = "CAST(round(v * 1e6) AS DECIMAL(38,0))"
+def rounded(df, *names):
+    """The named columns at six decimals, as in the SQL."""
+    return df.withColumns({n: F.round(n, 6) for n in names})
 
-DESCRIBE_SQL = f"""WITH vals AS (
-  SELECT CAST(value AS DOUBLE) AS v FROM events WHERE value IS NOT NULL AND NOT isnan(value)
-), first AS (
-  SELECT count(*) AS n, sum({_U}) AS s1, min(v) AS mn, max(v) AS mx FROM vals
-), piv AS (
-  SELECT CAST(round(CAST(s1 AS DOUBLE) / CAST(n AS DOUBLE)) AS DECIMAL(38,0)) AS c FROM first
-), dev AS (
-  SELECT CAST(sum({_U} - c) AS DOUBLE) AS d1, CAST(sum(({_U} - c) * ({_U} - c)) AS DOUBLE) AS d2 FROM vals, piv
-), pos AS (
-  SELECT v, row_number() OVER (ORDER BY v) - 1 AS pos FROM vals
-)
-SELECT n AS count, CAST(s1 AS DOUBLE) / (CAST(n AS DOUBLE) * 1e6) AS mean,
-  CASE WHEN n > 1 THEN sqrt((d2 - d1 * d1 / CAST(n AS DOUBLE)) / (CAST(n AS DOUBLE) - 1e0)) / 1e6 END AS std,
-  mn AS min, {_quantile_sql(0.25)} AS p25, {_quantile_sql(0.5)} AS p50, {_quantile_sql(0.75)} AS p75, mx AS max
-FROM first, dev"""
+
+RISK_MEANS = ("avg_duration_minutes", "avg_cost_usd", "avg_sla_overrun_minutes", "risk_score")
 
 
 @register("numeric_describe", DESCRIBE_SQL)
 def q_numeric_describe(spark, sf_dir):
     (events,) = read_tables(spark, sf_dir, "events")
-    return an.numeric_describe(events, "value")
+    return rounded(an.numeric_describe(events, "value"), "mean", "std", "p25", "p50", "p75")
 
 
 @register(
@@ -283,16 +274,3 @@ def q_histogram(spark, sf_dir):
 def q_preview(spark, sf_dir):
     (events,) = read_tables(spark, sf_dir, "events")
     return an.preview(events, ["event_id"])
-
-
-@register(
-    "analysis_row_limit",
-    _runs_sql(f"SELECT * FROM ranking ORDER BY {_RISK_ORDER} LIMIT 10").replace(
-        "FROM risk WHERE account IS NOT NULL",
-        "FROM (SELECT * FROM risk ORDER BY run_id LIMIT 5000) WHERE account IS NOT NULL",
-    ),
-)
-def q_analysis_row_limit(spark, sf_dir):
-    """The original's row cap as an explicit option (first 5,000 runs by id)."""
-    runs = load_workload_runs(spark, sf_dir)
-    return an.auto_analyze(runs, "Which workloads are most at risk?", row_limit=5000, order_by=["run_id"]).frame

@@ -16,9 +16,10 @@ from fleetlake.operators.runlog import (
     decode_summary,
     encode_summary,
     load_session,
+    publish_upsert,
+    read_current,
     recent_runs,
     session_list,
-    upsert,
 )
 from fleetlake.operators.silver import build_silver
 from fleetlake.plans import oracle as o
@@ -27,7 +28,14 @@ from fleetlake.plans.medallion import run_feature_pipeline
 from fleetlake.plans.queries_medallion import HEALTH_COLUMNS
 from fleetlake.plans.queries_serving import QUEUE_COLS
 from fleetlake.session import scratch_path
-from fleetlake.sources.files import csv_scan, land_bronze, read_parquet_dataset, write_csv, write_parquet_dataset
+from fleetlake.sources.files import (
+    csv_scan,
+    land_bronze,
+    read_dataset,
+    read_parquet_dataset,
+    write_csv,
+    write_parquet_dataset,
+)
 from fleetlake.sources.records import records_json
 from fleetlake.sources.telemetry import TELEMETRY_SCHEMA, load_telemetry, read_tables
 from fleetlake.streaming.refresh import latest_gold, run_gold_stream, run_silver_stream
@@ -41,11 +49,38 @@ def q_csv_scan(spark, sf_dir):
     return csv_scan(spark, path)
 
 
+def _text_roundtrip(spark, sf_dir, table: str):
+    """A table whose texts hold line breaks and quotes, through CSV and back."""
+    (df,) = read_tables(spark, sf_dir, table)
+    path = scratch_path(spark, "csv") + f"/{table}.csv"
+    write_csv(df, path)
+    return csv_scan(spark, path, df.schema, multi_line=True)
+
+
+@register("csv_scan_documents", "SELECT * FROM documents")
+def q_csv_scan_documents(spark, sf_dir):
+    return _text_roundtrip(spark, sf_dir, "documents")
+
+
+@register("csv_scan_pages", "SELECT * FROM pages")
+def q_csv_scan_pages(spark, sf_dir):
+    return _text_roundtrip(spark, sf_dir, "pages")
+
+
+@register("read_dataset", "SELECT event_id, user_id, event_type, value FROM events")
+def q_read_dataset(spark, sf_dir):
+    """The reader is chosen by the extension."""
+    (events,) = read_tables(spark, sf_dir, "events")
+    path = scratch_path(spark, "json") + "/events.json"
+    events.select("event_id", "user_id", "event_type", "value").write.json(path)
+    return read_dataset(spark, path, "event_id bigint, user_id bigint, event_type string, value double")
+
+
 @register("parquet_roundtrip", o.with_ctes(o.TELEMETRY, body="SELECT * FROM telemetry"))
 def q_parquet_roundtrip(spark, sf_dir):
     tel = load_telemetry(spark, sf_dir)
     path = scratch_path(spark, "parquet") + "/telemetry"
-    write_parquet_dataset(tel, path, ["status", "account_tier"])
+    write_parquet_dataset(tel, path, ["status", "account_tier"], cluster_by=["event_ts", "job_id"])
     back = read_parquet_dataset(spark, path, TELEMETRY_SCHEMA)
     return back.select(*[f.name for f in TELEMETRY_SCHEMA.fields])
 
@@ -100,10 +135,19 @@ def _updates(spark, sf_dir):
     )
 
 
+RUNLOG_SCHEMA = (
+    "id string, status string, started_at string, finished_at string, summary_json string, error_text string, "
+    "_seq bigint"
+)
+
+
 def _runlog(spark, sf_dir):
-    updates = _updates(spark, sf_dir)
-    base = updates.limit(0)
-    return upsert(base, updates)
+    """Two published versions: every second event first, then the rest, which replaces rows and adds new ids."""
+    updates, table = _updates(spark, sf_dir), scratch_path(spark, "runlog")
+    first = F.col("_seq") % 2 == 0
+    publish_upsert(spark, table, updates.filter(first), RUNLOG_SCHEMA)
+    publish_upsert(spark, table, updates.filter(~first), RUNLOG_SCHEMA)
+    return read_current(spark, table, RUNLOG_SCHEMA)
 
 
 _LATEST_SQL = """latest AS (
@@ -176,10 +220,10 @@ def q_session_list(spark, sf_dir):
 # ---- streaming -------------------------------------------------------------------------------
 
 
-def _stage_source(spark, sf_dir, files: int = 4) -> str:
-    """Land telemetry as several files, as if they arrived one by one."""
+def _stage_source(spark, sf_dir) -> str:
+    """Land telemetry in time order as several files, as if they arrived one by one; tasks follow the data."""
     src = scratch_path(spark, "stream-src")
-    load_telemetry(spark, sf_dir).repartition(files, "partition_date").write.parquet(src)
+    load_telemetry(spark, sf_dir).repartitionByRange("event_ts", "job_id").write.parquet(src)
     return src
 
 
@@ -258,5 +302,6 @@ def q_runlog_append(spark, sf_dir):
         F.col("ts").alias("created_at"),
     )
     path = scratch_path(spark, "runs") + "/analysis_runs"
-    append_runs(runs, path)
+    append_runs(runs.filter(F.col("session_id") < "5"), path)
+    append_runs(runs.filter(F.coalesce(F.col("session_id") >= "5", F.lit(True))), path)
     return spark.read.parquet(path)

@@ -40,7 +40,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder the cluster names.
 
     ``spark.checkpoint.dir`` (or an earlier ``setCheckpointDir``) wins. Only
-    when neither is set, as in local tests, a folder of our own is created.
+    when neither is set and the master is local, as in tests, a folder of our
+    own is created; any other master raises.
     """
     try:
         sc = spark.sparkContext
@@ -51,6 +52,12 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return current
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if not configured:
+        master = spark.conf.get("spark.master", "") or ""
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError(
+                "set spark.checkpoint.dir to a folder that all executors share: "
+                f"a temporary folder of the driver cannot serve master {master or 'unknown'!r}"
+            )
         configured = tempfile.mkdtemp(prefix="fleetlake-ckpt-")
         if sc is None:
             spark.conf.set("spark.checkpoint.dir", configured)

@@ -1,10 +1,13 @@
 """File sources and sinks.
 
-* CSV scan: with a schema it is a plain typed read. Without one, every
-  column is read as text, the missing-value tokens are nulled in one
-  ``select``, and each column's type comes from ONE aggregate of failed
-  ``try_cast`` counts (bigint, double, boolean, date, timestamp, else
-  string) -- a second scan, but never a per-column job.
+* CSV scan: every column is read as text and the missing-value tokens are
+  nulled in one ``select``. With a schema the text is converted to it and
+  cells that do not convert can be listed (``csv_rejects``). Without one, each
+  column's type comes from ONE aggregate of failed ``try_cast`` counts
+  (bigint, double, boolean, date, timestamp, else string) -- a second scan,
+  but never a per-column job. ``multi_line`` reads quoted line breaks; such a
+  file is read by one task, so files declared single-line keep the splittable
+  path, and multi-line ones should be landed as parquet first.
 * Parquet: partitioned writes; reads return an empty typed frame when the
   path does not exist; versioned publish so a reader never sees a table
   half-replaced.
@@ -46,10 +49,10 @@ def _fits(c, t: str):
         return F.lower(c).isin(_BOOL_TEXT)
     if t == "date":
         return c.rlike(_DATE_ONLY) & c.try_cast("date").isNotNull()
-    if t == "bigint":
-        return c.rlike(_INT_TEXT) & c.try_cast(t).isNotNull()
-    if t == "double":
-        return c.rlike(_FLOAT_TEXT) & c.try_cast(t).isNotNull()
+    if t in ("tinyint", "smallint", "int", "bigint"):
+        return F.trim(c).rlike(_INT_TEXT) & F.trim(c).try_cast(t).isNotNull()
+    if t in ("float", "double"):
+        return F.trim(c).rlike(_FLOAT_TEXT) & F.trim(c).try_cast(t).isNotNull()
     return c.try_cast(t).isNotNull()
 
 
@@ -73,19 +76,49 @@ def infer_types(text: DataFrame) -> dict[str, str]:
 
 
 def _convert(c, t: str):
+    if t == "string":
+        return c
     if t == "boolean":
-        return F.lower(c) == F.lit("true")
-    return c.try_cast(t)
+        return F.when(F.lower(c).isin(_BOOL_TEXT), F.lower(c) == F.lit("true"))
+    numeric = t in ("tinyint", "smallint", "int", "bigint", "float", "double")
+    value = (F.trim(c) if numeric else c).try_cast(t)
+    return F.when(_fits(c, t), value) if numeric else value
 
 
-def csv_scan(spark: SparkSession, path: str, schema: T.StructType | str | None = None) -> DataFrame:
-    """A1: CSV with a header. Typed read with a schema, else A1b inference."""
-    reader = spark.read.option("header", True).option("escape", '"')
+def _csv_text(spark: SparkSession, path: str, multi_line: bool) -> DataFrame:
+    reader = spark.read.option("header", True).option("escape", '"').option("multiLine", multi_line)
+    return null_missing_tokens(reader.option("inferSchema", False).csv(path))
+
+
+def _as_struct(schema: T.StructType | str) -> T.StructType:
+    return schema if isinstance(schema, T.StructType) else T.StructType.fromDDL(schema)
+
+
+def csv_scan(
+    spark: SparkSession, path: str, schema: T.StructType | str | None = None, multi_line: bool = False
+) -> DataFrame:
+    """A1: CSV with a header, missing tokens as nulls. Typed by ``schema``
+    (cells that do not convert are null, see ``csv_rejects``), else A1b."""
+    text = _csv_text(spark, path, multi_line)
     if schema is not None:
-        return reader.schema(schema).csv(path)
-    text = null_missing_tokens(reader.option("inferSchema", False).csv(path))
-    types = infer_types(text)
-    return text.select(*[_convert(_q(c), types[c]).alias(c) for c in text.columns])
+        kinds = {f.name: f.dataType.simpleString() for f in _as_struct(schema).fields}
+    else:
+        kinds = infer_types(text)
+    return text.select(*[_convert(_q(c), t).alias(c) for c, t in kinds.items()])
+
+
+def csv_rejects(spark: SparkSession, path: str, schema: T.StructType | str, multi_line: bool = False) -> DataFrame:
+    """``column``, ``rejected``: how many cells of each column had text that the schema's type does not hold."""
+    text = _csv_text(spark, path, multi_line)
+    fields = _as_struct(schema).fields
+    counts = [
+        F.struct(
+            F.lit(f.name).alias("column"),
+            F.count_if(_q(f.name).isNotNull() & _convert(_q(f.name), f.dataType.simpleString()).isNull()).alias("rejected"),
+        )
+        for f in fields
+    ]
+    return text.agg(F.array(*counts).alias("r")).select(F.explode("r").alias("r")).select("r.*")
 
 
 def write_csv(df: DataFrame, path: str) -> None:
@@ -94,6 +127,8 @@ def write_csv(df: DataFrame, path: str) -> None:
         df.write.mode("overwrite")
         .option("header", True)
         .option("escape", '"')
+        .option("ignoreLeadingWhiteSpace", False)
+        .option("ignoreTrailingWhiteSpace", False)
         .option("timestampNTZFormat", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")
         .option("timestampFormat", "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX")
         .csv(path)
@@ -153,18 +188,14 @@ def land_bronze(df: DataFrame, path: str) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
-def read_dataset(spark: SparkSession, path: str, schema=None) -> DataFrame:
+def read_dataset(spark: SparkSession, path: str, schema=None, multi_line: bool = False) -> DataFrame:
     """Choose the reader by file extension."""
     suffix = os.path.splitext(path.rstrip("/"))[1].lower()
     if suffix in (".xlsx", ".xls"):
         raise ValueError("Excel files are not supported; save the sheet as CSV or parquet.")
     if suffix == ".csv":
-        return csv_scan(spark, path, schema)
+        return csv_scan(spark, path, schema, multi_line)
     if suffix in (".json", ".jsonl"):
         return spark.read.schema(schema).json(path) if schema is not None else spark.read.json(path)
     return read_parquet_dataset(spark, path, schema)
 
-
-def rows_to_table(spark: SparkSession, rows, schema) -> DataFrame:
-    """A10: rows held in memory (small, bounded) as a table."""
-    return spark.createDataFrame(rows, schema)

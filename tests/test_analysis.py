@@ -1,5 +1,6 @@
 import numpy as np
 import pandas as pd
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -118,3 +119,20 @@ def test_histogram_ignores_infinities(spark):
     df = spark.createDataFrame([(1.0,), (2.0,), (float("inf"),), (float("nan"),)], "v double")
     out = an.histogram(df, "v", 2).collect()
     assert [(r.bin, r["count"]) for r in out] == [(0, 1), (1, 1)]
+
+
+@pytest.mark.parametrize(
+    "vals", [[1e-7, 3e-7], [1.0, 1e13, 5e13, 9e13], [1e9 + 0.25, 1e9 + 0.5, 1e9 + 0.75], [0.0] * 700 + [0.5, 1.5, 2.5]]
+)
+def test_describe_matches_pandas_at_any_magnitude(spark, vals):
+    want = pd.Series(vals).describe()
+    got = an.numeric_describe(spark.createDataFrame([(v,) for v in vals], "x double").repartition(5), "x").first()
+    for a, b in [("count", "count"), ("mean", "mean"), ("std", "std"), ("min", "min"), ("25%", "p25"), ("50%", "p50"),
+                 ("75%", "p75"), ("max", "max")]:
+        assert got[b] == pytest.approx(want[a], rel=1e-9), a
+
+
+def test_a_value_in_most_rows_is_one_counted_row(spark):
+    df = spark.range(20000).selectExpr("if(id % 3 < 2, 0.0, id * 1.0) as x")
+    want = np.quantile([0.0 if i % 3 < 2 else float(i) for i in range(20000)], [0.25, 0.5, 0.75])
+    assert tuple(an.exact_quantiles(df, "x", [0.25, 0.5, 0.75]).first()) == pytest.approx(tuple(want))

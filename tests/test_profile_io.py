@@ -1,9 +1,12 @@
 import os
 import tempfile
 
+import pytest
+
 from fleetlake.operators.analysis import mean_by_group
 from fleetlake.operators.profile import column_features, profile_summary
-from fleetlake.sources.files import csv_scan, read_dataset, read_parquet_dataset
+from fleetlake.session import scratch_path
+from fleetlake.sources.files import csv_scan, read_dataset, read_parquet_dataset, write_csv
 from fleetlake.sources.records import records_json
 
 
@@ -111,3 +114,36 @@ def test_csv_landing_to_silver_equals_typed_path(spark):
     via_csv = score_silver(build_bronze(raw)).select(*cols)
     direct = score_silver(build_bronze(tel)).select(*cols)
     assert sorted(map(tuple, via_csv.collect())) == sorted(map(tuple, direct.collect()))
+
+
+def test_csv_keeps_line_breaks_quotes_and_padded_numbers(spark):
+    from fleetlake.sources.files import csv_rejects
+
+    path = scratch_path(spark, "csv-text") + "/t.csv"
+    rows = [(1, 'two\nlines, "quoted"', " 1.5"), (2, " padded text ", "2"), (3, "plain", "NA")]
+    write_csv(spark.createDataFrame(rows, "i int, t string, x string"), path)
+    back = csv_scan(spark, path, multi_line=True)
+    assert dict(back.dtypes) == {"i": "bigint", "t": "string", "x": "double"}
+    assert sorted(map(tuple, back.collect())) == [(1, rows[0][1], 1.5), (2, rows[1][1], 2.0), (3, "plain", None)]
+    typed = csv_scan(spark, path, "i int, t string, x bigint", multi_line=True)
+    assert sorted((r.i, r.x) for r in typed.collect()) == [(1, None), (2, 2), (3, None)]
+    rejects = {r.column: r.rejected for r in csv_rejects(spark, path, "i int, t string, x bigint", True).collect()}
+    assert rejects == {"i": 0, "t": 0, "x": 1}
+
+
+def test_a_cluster_without_a_shared_folder_is_refused(spark, monkeypatch):
+    import fleetlake.session as session
+
+    class Conf:
+        def get(self, key, default=None):
+            return {"spark.master": "spark://host:7077"}.get(key, default)
+
+    class Context:
+        def getCheckpointDir(self):
+            return None
+
+    class Session:
+        conf, sparkContext = Conf(), Context()
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        session.ensure_checkpoint_dir(Session())
