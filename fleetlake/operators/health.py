@@ -1,16 +1,16 @@
 """Gold customer health over a trailing window.
 
 Plan: the latest event is a scalar subquery (one global aggregate, partial
-max per task); the window filter then applies to the silver scan. Two hash
-aggregates (5-key group and worst-workload per customer) each do map-side
-partial aggregation, so a customer holding a third of all runs costs one
-partial row per task, not a hot reducer. The left join between the two is
-on customer-sized inputs.
+max per task); the window filter then applies to the silver scan. One pass
+groups by the five keys with map-side partial aggregation, so a customer
+holding a third of all runs costs one partial row per task, not a hot reducer,
+and keeps each group's candidate for the worst workload. A window over the
+groups of a customer picks the customer's; the runs are not read again.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fleetlake.functions.exprs import clip, exact_mean_tenths, lit_d, num_text, r1
@@ -36,47 +36,48 @@ def recent_window(silver: DataFrame, days: int = 7, latest=None) -> DataFrame:
     return silver.filter(F.col("event_ts") >= cutoff)
 
 
+def _group_measures() -> list[Column]:
+    status, sev = F.col("status"), F.col("severity")
+    return [
+        F.count("job_id").alias("jobs_last_7d"),
+        F.count_if(status == "failed").alias("failed_jobs"),
+        F.count_if(status == "degraded").alias("degraded_jobs"),
+        F.count_if(sev == "high").alias("open_incidents"),
+        exact_mean_tenths("reliability_score").alias("avg_reliability_score"),
+        F.avg("latency_over_sla_min").alias("avg_latency_over_sla_min"),
+        F.avg("queue_depth").alias("avg_queue_depth"),
+        F.avg("duration_min").alias("avg_duration_min"),
+        r1(
+            F.count_if(status == "success").cast("double") / F.count(F.lit(1)).cast("double") * F.lit(100)
+        ).alias("success_rate_pct"),
+    ]
+
+
 def customer_aggregates(recent: DataFrame) -> DataFrame:
     """D3: per-customer counts and means; rows with a null key are dropped."""
-    status, sev = F.col("status"), F.col("severity")
-    return (
-        recent.dropna(subset=GROUP_KEYS)
-        .groupBy(*GROUP_KEYS)
-        .agg(
-            F.count("job_id").alias("jobs_last_7d"),
-            F.count_if(status == "failed").alias("failed_jobs"),
-            F.count_if(status == "degraded").alias("degraded_jobs"),
-            F.count_if(sev == "high").alias("open_incidents"),
-            exact_mean_tenths("reliability_score").alias("avg_reliability_score"),
-            F.avg("latency_over_sla_min").alias("avg_latency_over_sla_min"),
-            F.avg("queue_depth").alias("avg_queue_depth"),
-            F.avg("duration_min").alias("avg_duration_min"),
-            r1(
-                F.count_if(status == "success").cast("double") / F.count(F.lit(1)).cast("double") * F.lit(100)
-            ).alias("success_rate_pct"),
-        )
-    )
+    return recent.dropna(subset=GROUP_KEYS).groupBy(*GROUP_KEYS).agg(*_group_measures())
+
+
+def _first_in_reliability_order(column: str) -> Column:
+    """Smallest (reliability, time, job; nulls last) with a non-null ``column``, as a struct that ends in it."""
+    order = [x for c in ("reliability_score", "event_ts", "job_id") for x in (F.col(c).isNull(), F.col(c))]
+    fields = [x.alias(f"k{i}") for i, x in enumerate(order)]
+    return F.min(F.when(F.col(column).isNotNull(), F.struct(*fields, F.col(column).alias("value"))))
 
 
 def worst_workload(recent: DataFrame) -> DataFrame:
     """Per customer, the first non-null workload / category in
     reliability order (nulls last; ties by event_ts, job_id)."""
-    ordered = recent.filter(F.col("customer_id").isNotNull()).withColumn(
-        "_ord",
-        F.struct(
-            F.col("reliability_score").isNull().alias("a"),
-            F.col("reliability_score").alias("b"),
-            F.col("event_ts").isNull().alias("c"),
-            F.col("event_ts").alias("d"),
-            F.col("job_id").isNull().alias("e"),
-            F.col("job_id").alias("f"),
-        ),
+    found = (
+        recent.filter(F.col("customer_id").isNotNull())
+        .groupBy("customer_id")
+        .agg(
+            _first_in_reliability_order("workload_name").alias("w"),
+            _first_in_reliability_order("failure_category").alias("f"),
+        )
     )
-    return ordered.groupBy("customer_id").agg(
-        F.expr("min_by(workload_name, _ord) FILTER (WHERE workload_name IS NOT NULL)").alias("at_risk_workload"),
-        F.expr("min_by(failure_category, _ord) FILTER (WHERE failure_category IS NOT NULL)").alias(
-            "dominant_failure"
-        ),
+    return found.select(
+        "customer_id", F.col("w.value").alias("at_risk_workload"), F.col("f.value").alias("dominant_failure")
     )
 
 
@@ -112,9 +113,20 @@ def exec_summary() -> Column:
 def build_customer_health(silver: DataFrame, days: int = 7, ordered: bool = True, latest=None) -> DataFrame:
     """D1-D9 end to end. ``ordered`` applies D9 (score ascending); ``latest``
     see ``recent_window``."""
-    recent = recent_window(silver, days, latest)
-    grouped = customer_aggregates(recent)
-    health = grouped.join(worst_workload(recent), "customer_id", "left")
+    recent = recent_window(silver, days, latest).filter(F.col("customer_id").isNotNull())
+    own = Window.partitionBy("customer_id")
+    health = (
+        recent.groupBy(*GROUP_KEYS)
+        .agg(
+            *_group_measures(),
+            _first_in_reliability_order("workload_name").alias("_w"),
+            _first_in_reliability_order("failure_category").alias("_f"),
+        )
+        .withColumn("at_risk_workload", F.min("_w").over(own)["value"])
+        .withColumn("dominant_failure", F.min("_f").over(own)["value"])
+        .drop("_w", "_f")
+        .dropna(subset=GROUP_KEYS)
+    )
     health = health.withColumn("customer_health_score", health_score())
     health = health.withColumn("risk_band", risk_band(F.col("customer_health_score")))
     health = health.withColumn("exec_summary", exec_summary())

@@ -69,13 +69,6 @@ def column_features(df: DataFrame) -> DataFrame:
     )
 
 
-def profile_columns(df: DataFrame, source: str = "parquet") -> DataFrame:
-    """Each column with its dtype and kind (numeric / categorical / other)."""
-    spark = df.sparkSession
-    rows = [(i, f.name, f.dataType.simpleString(), column_kind(f, source)) for i, f in enumerate(df.schema.fields)]
-    return spark.createDataFrame(rows, "ordinal int, column_name string, spark_dtype string, kind string")
-
-
 def _json_ready(df: DataFrame) -> DataFrame:
     """NaN -> null, timestamps as ISO text (microseconds only if present)."""
     cols = []

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from fleetlake.functions.fixed_values import AGENT_RUNS_SHOWN, PIPELINE_RUNS_SHOWN, SESSIONS_SHOWN
+from fleetlake.functions.fixed_values import PIPELINE_RUNS_SHOWN, SESSIONS_SHOWN
 
 PIPELINE_RUNS_SCHEMA = T.StructType(
     [
@@ -70,10 +70,6 @@ def recent_runs(runs: DataFrame, n: int = PIPELINE_RUNS_SHOWN) -> DataFrame:
     return runs.orderBy(F.col("started_at").desc_nulls_last(), F.col("id")).limit(n)
 
 
-def recent_agent_runs(runs: DataFrame, n: int = AGENT_RUNS_SHOWN) -> DataFrame:
-    return recent_runs(runs, n)
-
-
 def decode_summary(runs: DataFrame, schema: T.StructType | str, column: str = "summary_json") -> DataFrame:
     """H4: ``summary`` parsed from JSON text; null when the text is null or empty."""
     text = F.col(column)
@@ -102,10 +98,14 @@ def session_list(sessions: DataFrame, n: int = SESSIONS_SHOWN) -> DataFrame:
     )
 
 
-def load_session(sessions: DataFrame, session_id) -> DataFrame:
-    """H7: one session by id (a pushed-down filter)."""
+def load_session(sessions: DataFrame, session_id, profile_schema: T.StructType | str | None = None) -> DataFrame:
+    """H7: one session by id (a pushed-down filter); its profile JSON is
+    decoded into ``profile`` when its schema is given."""
     key = F.lit(session_id) if isinstance(session_id, str) else session_id
-    return sessions.filter(F.col("id") == key)
+    found = sessions.filter(F.col("id") == key)
+    if profile_schema is None:
+        return found
+    return found.withColumn("profile", F.from_json("profile_json", profile_schema)).drop("profile_json")
 
 
 def append_runs(runs: DataFrame, path: str) -> None:

@@ -63,7 +63,7 @@ def run_feature_pipeline(spark: SparkSession, raw: DataFrame, base: str, days: i
     # time-sorted silver files (a subquery cutoff would not be)
     latest = silver.agg(F.max("event_ts")).first()[0]
     health = build_customer_health(silver, days, ordered=False, latest=latest)
-    health_path = publish_version(health, layout.table("customer_health"), version, ["risk_band"])
+    health_path = publish_version(health, layout.table("customer_health"), version, ["risk_band"], ["customer_id"])
     queue_path = publish_version(build_incident_queue(silver), layout.table("incident_queue"), version, ["severity"])
 
     counts = {

@@ -252,6 +252,21 @@ def q_numeric_describe(spark, sf_dir):
     return rounded(an.numeric_describe(events, "value"), "mean", "std", "p25", "p50", "p75")
 
 
+@register("auto_analyze_numeric", DESCRIBE_SQL)
+def q_auto_analyze_numeric(spark, sf_dir):
+    """J9 on numbers only: a describe."""
+    (events,) = read_tables(spark, sf_dir, "events")
+    found = an.auto_analyze(events.select("value"), "How is the value distributed?")
+    return rounded(found.frame, "mean", "std", "p25", "p50", "p75")
+
+
+@register("auto_analyze_preview", "SELECT event_type, props FROM events ORDER BY event_type, props LIMIT 10")
+def q_auto_analyze_preview(spark, sf_dir):
+    """J9 without numbers: a preview."""
+    (events,) = read_tables(spark, sf_dir, "events")
+    return an.auto_analyze(events.select("event_type", "props"), "Show me the data").frame
+
+
 @register(
     "histogram",
     """WITH vals AS (

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from fleetlake.functions.exprs import iso_seconds
 from fleetlake.operators.incidents import build_incident_queue
 from fleetlake.operators.runlog import (
+    PROFILE_HEAD_SCHEMA,
     append_runs,
     decode_summary,
     encode_summary,
@@ -278,14 +279,21 @@ def _sessions(spark, sf_dir):
     "session_lookup",
     o.with_ctes(
         _SESSIONS_SQL,
-        body="SELECT id, filename, created_at FROM sessions WHERE id = "
+        body="SELECT id, filename, created_at, n AS rows, 'event_type,value' AS column_names FROM sessions WHERE id = "
         "(SELECT id FROM sessions ORDER BY created_at DESC NULLS LAST, id LIMIT 1)",
     ),
 )
 def q_session_lookup(spark, sf_dir):
     sessions = _sessions(spark, sf_dir)
     newest = sessions.orderBy(F.col("created_at").desc_nulls_last(), "id").limit(1).select("id").scalar()
-    return load_session(sessions, newest).select("id", "filename", "created_at")
+    found = load_session(sessions, newest, PROFILE_HEAD_SCHEMA)
+    return found.select(
+        "id",
+        "filename",
+        "created_at",
+        F.col("profile.rows").alias("rows"),
+        F.array_join("profile.column_names", ",").alias("column_names"),
+    )
 
 
 @register(

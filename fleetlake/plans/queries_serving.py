@@ -10,7 +10,8 @@ from fleetlake.operators import dashboard as dash
 from fleetlake.operators.health import build_customer_health
 from fleetlake.operators.incidents import build_incident_queue, incident_candidates, top_incidents
 from fleetlake.operators.silver import build_silver, score_silver
-from fleetlake.operators.runlog import encode_summary, recent_agent_runs
+from fleetlake.functions.fixed_values import AGENT_RUNS_SHOWN
+from fleetlake.operators.runlog import encode_summary, recent_runs
 from fleetlake.operators.triage import build_triage, triage_context, triage_rejects
 from fleetlake.plans import oracle as o
 from fleetlake.plans.catalog import register
@@ -300,4 +301,4 @@ def q_agent_runs_recent(spark, sf_dir):
             }
         ).alias("summary_json"),
     )
-    return recent_agent_runs(runs)
+    return recent_runs(runs, AGENT_RUNS_SHOWN)

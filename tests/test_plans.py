@@ -1,5 +1,7 @@
 """Plan-shape checks: the optimizer does what the design relies on."""
 
+import re
+
 from fleetlake.plans.catalog import queries
 from tests.conftest import SF_SMALL
 
@@ -76,3 +78,11 @@ def test_literal_window_cutoff_reaches_the_scan(spark):
     latest = silver.agg(F.max("event_ts")).first()[0]
     p = plan(build_customer_health(silver, 7, latest=latest))
     assert "GreaterThanOrEqual(event_ts," in p
+
+
+def test_customer_health_reads_each_table_once_for_its_aggregates(spark):
+    """One pass over the runs; the only further read is the latest event's subquery over orders."""
+    df = queries()["customer_health"](spark, SF_SMALL)
+    p = plan(df)
+    assert len(set(re.findall(r"FileScan parquet \[(l_orderkey#\d+)", p))) == 1
+    assert len(set(re.findall(r"FileScan parquet \[(o_orderkey#\d+)", p))) == 2
