@@ -39,7 +39,7 @@ from fleetlake.sources.files import (
 )
 from fleetlake.sources.records import records_json
 from fleetlake.sources.telemetry import TELEMETRY_SCHEMA, load_telemetry, read_tables
-from fleetlake.streaming.refresh import latest_gold, run_gold_stream, run_silver_stream
+from fleetlake.streaming.refresh import QUEUE, latest_gold, run_gold_stream, run_silver_stream
 
 
 @register("csv_scan", "SELECT * FROM events")
@@ -222,9 +222,10 @@ def q_session_list(spark, sf_dir):
 
 
 def _stage_source(spark, sf_dir) -> str:
-    """Land telemetry in time order as several files, as if they arrived one by one; tasks follow the data."""
+    """Land telemetry in time order as several files, as if they arrived one by one; their number follows the cluster."""
     src = scratch_path(spark, "stream-src")
-    load_telemetry(spark, sf_dir).repartitionByRange("event_ts", "job_id").write.parquet(src)
+    files = max(2, int(spark.conf.get("spark.sql.shuffle.partitions")) // 2)
+    load_telemetry(spark, sf_dir).repartitionByRange(files, "event_ts", "job_id").write.parquet(src)
     return src
 
 
@@ -242,11 +243,31 @@ def q_stream_silver(spark, sf_dir):
     return spark.read.parquet(out).select(*[c.strip() for c in _STREAM_SILVER_COLS.split(",")])
 
 
+def _gold_stream(spark, src: str) -> str:
+    silver, gold, ckpt = (scratch_path(spark, t) for t in ("sg-silver", "sg-gold", "sg-ckpt"))
+    run_gold_stream(spark, src, TELEMETRY_SCHEMA, silver, gold, ckpt, days=7, files_per_trigger=1)  # one epoch per file
+    return gold
+
+
+_STREAM_QUEUE_COLS = "job_id, customer_id, event_ts, severity, severity_rank, needs_customer_update, summary_line"
+
+
+@register(
+    "stream_incidents",
+    o.incidents_sql(
+        f"SELECT {_STREAM_QUEUE_COLS} FROM incidents "
+        "ORDER BY severity_rank NULLS LAST, event_ts DESC NULLS LAST, job_id NULLS LAST LIMIT 16"
+    ),
+)
+def q_stream_incidents(spark, sf_dir):
+    queue = latest_gold(spark, _gold_stream(spark, _stage_source(spark, sf_dir)), QUEUE)
+    return queue.select(*[c.strip() for c in _STREAM_QUEUE_COLS.split(",")])
+
+
 @register("stream_gold", o.health_sql(7, f"SELECT {HEALTH_COLUMNS} FROM customer_health"))
 def q_stream_gold(spark, sf_dir):
     src = _stage_source(spark, sf_dir)
-    silver, gold, ckpt = (scratch_path(spark, t) for t in ("sg-silver", "sg-gold", "sg-ckpt"))
-    run_gold_stream(spark, src, TELEMETRY_SCHEMA, silver, gold, ckpt, days=7, files_per_trigger=1)
+    gold = _gold_stream(spark, src)
     return latest_gold(spark, gold).select(*[c.strip() for c in HEALTH_COLUMNS.split(",")])
 
 

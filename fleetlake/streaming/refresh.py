@@ -6,11 +6,14 @@ the silver table, with a checkpoint so a restarted query resumes where it
 stopped (exactly-once file sink).
 
 K2: health hangs on the latest event over ALL silver (a global maximum), so
-it is not an incremental aggregate. After each micro-batch, ``foreachBatch``
-recomputes gold from the stored silver with the trailing-window filter
-(which the parquet scan pushes down) and publishes a new gold version.
-
-Incident ids need a position over the whole table, so the stream keeps
+it is not an incremental aggregate. Silver is partitioned by event month, and
+after each micro-batch ``foreachBatch`` recomputes health from the months of
+the trailing window only. The incident queue is a top-k, so it is the top-k of
+the last queue and the batch's incidents. Both tables of an epoch are written
+first and then committed by a row in an append-only log; readers take the
+newest committed epoch, also when its tables are empty.
+
+Incident ids need a position over the whole table, so the stream's queue keeps
 ``job_id`` as its key; ids are assigned when gold is rebuilt in batch.
 """
 
@@ -23,8 +26,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from fleetlake.functions.fixed_values import INCIDENT_QUEUE_SIZE
 from fleetlake.operators.bronze import build_bronze
 from fleetlake.operators.health import build_customer_health
+from fleetlake.operators.incidents import incident_candidates
 from fleetlake.operators.silver import score_silver
 
 
@@ -56,6 +61,43 @@ def run_silver_stream(
     q.awaitTermination()
 
 
+HEALTH, QUEUE = "customer_health", "incident_queue"
+#: Silver's partition column: the first day of the event's month (a file per day and batch would be too small).
+PERIOD = "event_month"
+
+
+def _commit_dir(gold_dir: str) -> str:
+    return f"{gold_dir.rstrip('/')}/_commits"
+
+
+def committed_epoch(spark: SparkSession, gold_dir: str, before: int | None = None) -> int | None:
+    """The newest committed epoch (smaller than ``before``)."""
+    try:
+        log = spark.read.schema("epoch BIGINT").json(_commit_dir(gold_dir))
+    except AnalysisException:
+        return None
+    if before is not None:
+        log = log.filter(F.col("epoch") < before)
+    return log.agg(F.max("epoch")).first()[0]  # one value
+
+
+def recent_silver(spark: SparkSession, silver_dir: str, schema: T.StructType, cutoff: dt.datetime) -> DataFrame:
+    """Stored silver from ``cutoff`` on: the period prunes folders, the time what is left."""
+    stored = spark.read.schema(T.StructType([*schema.fields, T.StructField(PERIOD, T.DateType())]))
+    return (
+        stored.parquet(silver_dir)
+        .filter((F.col(PERIOD) >= F.lit(cutoff.date().replace(day=1))) & (F.col("event_ts") >= F.lit(cutoff)))
+        .drop(PERIOD, "batch")
+    )
+
+
+def stream_queue(incidents: DataFrame, n: int = INCIDENT_QUEUE_SIZE) -> DataFrame:
+    """Top-n by severity, then newest; ``job_id`` breaks ties."""
+    return incidents.orderBy(
+        F.col("severity_rank").asc_nulls_last(), F.col("event_ts").desc_nulls_last(), F.col("job_id").asc_nulls_last()
+    ).limit(n)
+
+
 def run_gold_stream(
     spark: SparkSession,
     source_dir: str,
@@ -66,13 +108,11 @@ def run_gold_stream(
     days: int = 7,
     files_per_trigger: int = 1000,
 ) -> None:
-    """K2: append silver and rebuild customer health after every micro-batch.
+    """K2: append silver, rebuild customer health and fold the incident queue after every micro-batch.
 
     The latest event seen so far is carried from epoch to epoch as a one-row
-    state file (previous state folded with the batch maximum), so the
-    trailing window needs no scan of all silver: each epoch's files are
-    sorted by event_ts and read with a literal cutoff, so parquet min/max
-    statistics skip old files and row groups.
+    state file (previous state folded with the batch maximum), so the trailing
+    window needs no scan of all silver.
     """
     state_dir = f"{checkpoint_dir.rstrip('/')}/_latest_event"
 
@@ -80,11 +120,13 @@ def run_gold_stream(
         sp = batch.sparkSession
         # one directory per epoch, overwritten on retry: a replayed batch is idempotent
         epoch_path = f"{silver_dir}/batch={epoch_id}"
-        batch.sortWithinPartitions("event_ts").write.mode("overwrite").parquet(epoch_path)
+        by_time = batch.withColumn(PERIOD, F.trunc("event_ts", "month")).repartitionByRange("event_ts", "job_id")
+        by_time.sortWithinPartitions("event_ts").write.mode("overwrite").partitionBy(PERIOD).parquet(epoch_path)
+        written = sp.read.schema(batch.schema).parquet(epoch_path)
         # running latest event: this batch's maximum (from the written files, one
         # column) folded into the previous epoch's state, so each epoch reads one
         # tiny file; the full state history is read only to recover a missing step
-        batch_max = sp.read.parquet(epoch_path).agg(F.max("event_ts").alias("latest"))
+        batch_max = written.agg(F.max("event_ts").alias("latest"))
         try:
             prev = sp.read.parquet(f"{state_dir}/epoch={epoch_id - 1}")
         except AnalysisException:
@@ -102,10 +144,15 @@ def run_gold_stream(
         )
         if latest is None:
             return
-        cutoff = latest - dt.timedelta(days=days)
-        recent = sp.read.schema(batch.schema).parquet(silver_dir).filter(F.col("event_ts") >= F.lit(cutoff))
-        health = build_customer_health(recent, days, ordered=False)
-        health.write.mode("overwrite").parquet(f"{gold_dir}/epoch={epoch_id}")
+        recent = recent_silver(sp, silver_dir, batch.schema, latest - dt.timedelta(days=days))
+        health = build_customer_health(recent, days, ordered=False, latest=latest)
+        health.write.mode("overwrite").parquet(f"{gold_dir}/{HEALTH}/epoch={epoch_id}")
+        incidents = incident_candidates(written)
+        last = committed_epoch(sp, gold_dir, before=epoch_id)
+        if last is not None:
+            incidents = incidents.unionByName(sp.read.parquet(f"{gold_dir}/{QUEUE}/epoch={last}"))
+        stream_queue(incidents).write.mode("overwrite").parquet(f"{gold_dir}/{QUEUE}/epoch={epoch_id}")
+        sp.createDataFrame([(epoch_id,)], "epoch BIGINT").coalesce(1).write.mode("append").json(_commit_dir(gold_dir))
 
     q = (
         silver_stream(spark, source_dir, schema, files_per_trigger)
@@ -117,8 +164,9 @@ def run_gold_stream(
     q.awaitTermination()
 
 
-def latest_gold(spark: SparkSession, gold_dir: str) -> DataFrame:
-    """The health table of the last completed micro-batch."""
-    epochs = spark.read.parquet(gold_dir)
-    last = epochs.selectExpr("max(epoch)").scalar()
-    return epochs.filter(epochs["epoch"] == last).drop("epoch")
+def latest_gold(spark: SparkSession, gold_dir: str, table: str = HEALTH) -> DataFrame:
+    """``table`` of the newest committed micro-batch."""
+    last = committed_epoch(spark, gold_dir)
+    if last is None:
+        raise FileNotFoundError(f"no committed epoch under {gold_dir}")
+    return spark.read.parquet(f"{gold_dir}/{table}/epoch={last}")
