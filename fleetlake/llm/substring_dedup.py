@@ -29,10 +29,10 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.pandas.types import to_arrow_type
 
 from fleetlake.llm.common import importable, materialise, narrow, text_chunks
 from fleetlake.llm.words import NON_BLANK, Words, mix, ngrams, sliding
@@ -125,38 +125,46 @@ def _joined(left: DataFrame, right: DataFrame, how: str) -> DataFrame:
     return left.join(right, on, how).drop(right["doc_id"], right["text_key"])
 
 
-def _later(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """``rows`` with ``later``: whether rows equal in ``keys`` start earlier. Keys that occur once are left out."""
-    place = F.struct(*_KEY, "start")
-    first = rows.groupBy(*keys).agg(F.min(place).alias("first"), F.max(place).alias("last"))
-    first = first.filter(~F.col("first").eqNullSafe(F.col("last"))).select(*keys, "first")
-    return rows.join(first, keys).withColumn("later", ~place.eqNullSafe(F.col("first"))).drop("first")
+def _frame_chunks(batches, max_bytes: int = 1 << 19):
+    """Slices of batches whose third column is a zstd frame, with the texts in it, by about ``max_bytes``."""
+    unpack = zstandard.ZstdDecompressor().decompress
+    for batch in batches:
+        lo, texts, size = 0, [], 0
+        for i, frame in enumerate(batch.column(2).to_pylist()):
+            text = unpack(frame)
+            if texts and size + len(text) > max_bytes:
+                yield batch.slice(lo, i - lo), texts
+                lo, texts, size = i, [], 0
+            texts.append(text)
+            size += len(text)
+        if texts:
+            yield batch.slice(lo), texts
+
 
+def _flat(lists: pa.ListArray, *fields: str) -> list[np.ndarray]:
+    """Row number and each field of all structs of a list column; null lists are empty."""
+    size = pc.fill_null(pc.list_value_length(lists), 0).to_numpy()
+    values = pc.list_flatten(lists)
+    out = [np.repeat(np.arange(len(lists)), size)]
+    return out + [pc.struct_field(values, f).to_numpy(zero_copy_only=False).astype(np.int64) for f in fields]
 
-def branch_windows(texts: DataFrame, span: int, kind: str, arrow: pa.DataType) -> DataFrame:
+
+def branch_windows(texts: DataFrame, span: int, kind: str) -> DataFrame:
     """Two hashes and the coordinates of every window of the paths listed in ``paths``."""
 
     def run(batches):
-        unpack = zstandard.ZstdDecompressor().decompress
-        for batch in batches:
-            ids, keys, frames, lists = (batch.column(i).to_pylist() for i in range(4))
-            out: list[tuple] = []
-            for doc_id, key, frame, found in zip(ids, keys, frames, lists, strict=True):
-                w = Words([unpack(frame)], NON_BLANK, lower=False)
-                at = np.array([(p["start"], p["windows"]) for p in found], np.int64)
-                start = np.repeat(at[:, 0], at[:, 1])
-                start += np.arange(len(start)) - np.repeat(np.cumsum(at[:, 1]) - at[:, 1], at[:, 1])
-                out.append((doc_id, key, start, ngrams(w.hash, span, 0)[start], ngrams(w.hash, span, 1)[start]))
-            if not out:
-                continue
-            size = [len(x[2]) for x in out]
+        for batch, chunk in _frame_chunks(batches):
+            w = Words(chunk, NON_BLANK, lower=False)
+            row, start, count = _flat(batch.column(3), "start", "windows")
+            own = np.repeat(row, count)
+            at = np.repeat(start, count) + np.arange(len(own)) - np.repeat(np.cumsum(count) - count, count)
+            hashes = [ngrams(w.hash, span, salt)[w.ptr[own] + at].view(np.int64) for salt in (0, 1)]
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array(np.concatenate([x[3] for x in out]).view(np.int64)),
-                    pa.array(np.concatenate([x[4] for x in out]).view(np.int64)),
-                    pa.array([x[0] for x in out], arrow).take(pa.array(np.repeat(np.arange(len(out)), size))),
-                    pa.array(np.repeat(np.array([x[1] for x in out], np.int32), size)),
-                    pa.array(np.concatenate([x[2] for x in out]).astype(np.int32)),
+                    *map(pa.array, hashes),
+                    batch.column(0).take(pa.array(own)),
+                    batch.column(1).take(pa.array(own)),
+                    pa.array(at.astype(np.int32)),
                 ],
                 names=["h1", "h2", *_KEY, "start"],
             )
@@ -165,29 +173,38 @@ def branch_windows(texts: DataFrame, span: int, kind: str, arrow: pa.DataType) -
 
 
 def removable(docs: DataFrame, span: int = SPAN, gram: int = GRAM) -> DataFrame:
-    """``doc_id``, ``text_key``, ``lo``, ``hi``: word ranges covered by windows that start earlier elsewhere."""
+    """``doc_id``, ``text_key``, ``lo``, ``hi``: word ranges covered by windows that start earlier elsewhere.
+
+    What is joined by seed, path or window is written first, so that both
+    sides of each join are plain shuffles and Spark can split hot keys.
+    """
     keyed = _with_key(docs)
-    kind, arrow = dict(docs.dtypes)["doc_id"], to_arrow_type(docs.schema["doc_id"].dataType)
+    kind = dict(docs.dtypes)["doc_id"]
     found = document_paths(keyed, span, gram)
     repeated = found.groupBy("seed").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("seed")
-    found = materialise(found.join(repeated, "seed", "left_semi"), "paths")
-    compact = _later(found, ["seed", "path"]).filter("later")
+    found = materialise(found.join(materialise(repeated, "seeds"), "seed", "left_semi"), "paths")
+    place = F.struct(*_KEY, "start", "windows")
+    firsts = materialise(
+        found.groupBy("seed", "path").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")), "path-firsts"
+    )
+    later = found.join(firsts.filter("n > 1").select("seed", "path", "first"), ["seed", "path"]).filter(place != F.col("first"))
     spans = materialise(
-        compact.select(*_KEY, F.col("start").alias("lo"), (F.col("start") + F.col("windows") + span - 1).alias("hi")),
+        later.select(*_KEY, F.col("start").alias("lo"), (F.col("start") + F.col("windows") + span - 1).alias("hi")),
         "path-spans",
     )
-    place = F.struct(*_KEY, "start", "windows")
-    firsts = found.groupBy("seed", "path").agg(F.min(place).alias("p"))
     branching = firsts.groupBy("seed").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("seed")
     by_text = (
-        firsts.join(branching, "seed", "left_semi")
-        .select("p.*")
+        firsts.join(materialise(branching, "branchings"), "seed", "left_semi")
+        .select("first.*")
         .groupBy(*_KEY)
         .agg(F.collect_list(F.struct("start", "windows")).alias("paths"))
     )
     texts = _joined(_compressed(keyed), by_text, "inner")
-    windows = materialise(branch_windows(texts, span, kind, arrow), "branch-windows")
-    single = _later(windows, ["h1", "h2"]).filter("later")
+    windows = materialise(branch_windows(texts, span, kind), "branch-windows")
+    place = F.struct(*_KEY, "start")
+    firsts = windows.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n"))
+    firsts = materialise(firsts.filter("n > 1").drop("n"), "window-firsts")
+    single = windows.join(firsts, ["h1", "h2"]).filter(place != F.col("first"))
     return spans.unionByName(
         single.select(*_KEY, F.col("start").alias("lo"), (F.col("start") + F.lit(span)).alias("hi"))
     )
@@ -201,34 +218,38 @@ def remove_repeats(docs: DataFrame, span: int = SPAN, gram: int = GRAM) -> DataF
     by_text = spans.groupBy(*_KEY).agg(F.collect_list(F.struct("lo", "hi")).alias("ranges"))
     copy = Window.partitionBy(*_KEY).orderBy(F.lit(0))
     texts = _compressed(_with_key(docs)).withColumn("copy", F.row_number().over(copy))
-    joined = _joined(texts, by_text, "left").select("doc_id", "frame", "copy", "ranges")
+    joined = _joined(texts, by_text, "left").select(*_KEY, "frame", "copy", "ranges")
 
     def run(batches):
-        unpack, pack = zstandard.ZstdDecompressor().decompress, zstandard.ZstdCompressor(level=1).compress
-        for batch in batches:
-            rows = []
-            ids, frames, copies, lists = (batch.column(i).to_pylist() for i in range(4))
-            for doc_id, frame, copy_, ranges in zip(ids, frames, copies, lists, strict=True):
-                w = Words([unpack(frame)], NON_BLANK, lower=False, hashes=False)
-                n = len(w.start)
-                if copy_ > 1 and n >= span:
-                    ranges = [{"lo": 0, "hi": n}]
-                if ranges:
-                    step = np.zeros(n + 1, np.int64)
-                    np.add.at(step, [r["lo"] for r in ranges], 1)
-                    np.add.at(step, [r["hi"] for r in ranges], -1)
-                    keep = np.cumsum(step[:-1]) == 0
-                else:
-                    keep = np.ones(n, bool)
-                start, end = w.start[keep].tolist(), w.end[keep].tolist()
-                kept = b" ".join([w.raw[a:b] for a, b in zip(start, end, strict=True)])
-                rows.append((doc_id, n, n - len(start), hashlib.sha256(kept).hexdigest(), pack(kept)))
-            if rows:
-                columns = list(zip(*rows, strict=True))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(columns[0], batch.schema.types[0]), *[pa.array(c) for c in columns[1:]]],
-                    names=["doc_id", "n_words", "n_removed", "kept_sha256", "kept"],
-                )
+        pack = zstandard.ZstdCompressor(level=1).compress
+        for batch, chunk in _frame_chunks(batches):
+            w = Words(chunk, NON_BLANK, lower=False, hashes=False)
+            row, lo, hi = _flat(batch.column(4), "lo", "hi")
+            step = np.zeros(len(w.start) + 1, np.int64)
+            np.add.at(step, w.ptr[row] + lo, 1)
+            np.add.at(step, w.ptr[row] + hi, -1)
+            again = (batch.column(3).to_numpy() > 1) & (w.n >= span)  # equal rows start earlier
+            keep = (np.cumsum(step[:-1]) == 0) & ~np.repeat(again, w.n)
+            # the bytes of kept words, each with the byte after it turned into a blank
+            byte = np.zeros(len(w.buf) + 1, np.int8)
+            byte[w.start[keep]] = 1
+            byte[w.end[keep] + 1] -= 1
+            plain = w.buf.copy()
+            plain[w.end] = 0x20
+            kept = plain[np.cumsum(byte[:-1], dtype=np.int8) > 0].tobytes()
+            size = np.concatenate(([0], np.cumsum((w.end - w.start + 1) * keep)))[w.ptr]
+            left = np.concatenate(([0], np.cumsum(keep)))[w.ptr]
+            texts_ = [kept[a : max(a, b - 1)] for a, b in zip(size[:-1].tolist(), size[1:].tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch.column(0),
+                    pa.array(w.n.astype(np.int64)),
+                    pa.array((w.n - np.diff(left)).astype(np.int64)),
+                    pa.array([hashlib.sha256(t).hexdigest() for t in texts_]),
+                    pa.array([pack(t) for t in texts_], pa.binary()),
+                ],
+                names=["doc_id", "n_words", "n_removed", "kept_sha256", "kept"],
+            )
 
     return joined.mapInArrow(
         run, f"doc_id {kind}, n_words bigint, n_removed bigint, kept_sha256 string, kept binary"
