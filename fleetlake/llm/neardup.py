@@ -10,10 +10,16 @@
 3. Every text takes ``BANDS * ROWS`` samples whose collision probability is
    the weighted Jaccard similarity; ``ROWS`` samples make a band. Texts of
    similarity 0.8 share none of the bands with probability 1e-5.
-4. Texts that share a band are compared by exact weighted Jaccard similarity.
-   Never all pairs of a band: first each text with the first one of its
-   bands, then, as long as a band holds texts of different classes, those with
-   each other. Similar pairs join classes; components are found by joins.
+4. Texts that share a band are compared by exact weighted Jaccard similarity,
+   never all pairs of a band: first each text with the most central text of
+   its bands, then with that of each band. Similar pairs join classes, whose
+   components are found by joins.
+5. What is left are bands that still hold several classes. Their texts get a
+   longer signature and are dealt into blocks; a task holds two blocks and
+   compares signatures across classes. Only pairs whose estimate is within
+   ``SLACK`` of the threshold leave the task (a similar pair is missed with
+   probability below 1e-3, one at 0.68 passes with about 1e-3), and are
+   compared exactly.
 
 Cases: texts of one to four words are one shingle; texts without words are
 compared by their bytes only; null is empty; equal texts are always one class;
@@ -35,6 +41,10 @@ from fleetlake.llm.words import ALNUM, Words, mix, ngrams
 SHINGLE = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 16, 3
+#: Samples of the longer signature, and how far its estimate may lie below the similarity (over three deviations).
+LONG_SAMPLES = 512
+SLACK = 0.06
+BLOCK = 512
 TABLE_BITS = 18
 RARE = 1 / 256
 
@@ -120,7 +130,7 @@ def _quantiles() -> tuple[np.ndarray, np.ndarray]:
 
 
 _GAMMA, _LOG_GAMMA = _quantiles()
-_SEEDS = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C13))
+_SEEDS = mix(np.arange(1, 1025, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C13))
 
 
 def consistent_samples(s: Shingles, idf: np.ndarray, samples: int) -> np.ndarray:
@@ -154,7 +164,7 @@ def band_keys(samples: np.ndarray, bands: int, rows: int) -> np.ndarray:
 
 
 def ngrams_of(columns: np.ndarray, salt: int) -> np.ndarray:
-    out = np.full(len(columns), _SEEDS[128 + salt], np.uint64)
+    out = np.full(len(columns), _SEEDS[1000 - salt], np.uint64)
     for j in range(columns.shape[1]):
         out = mix(out ^ columns[:, j])
     return out
@@ -174,13 +184,16 @@ def _weighted(text: bytes, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def signatures(docs: DataFrame, idf, bands: int, rows: int) -> DataFrame:
-    """``doc_id``, ``text_key``, ``content``, ``keys`` (one per band; none for wordless texts)."""
+    """``doc_id``, ``text_key``, ``content``, ``keys`` (one per band; none for wordless texts), ``centre``."""
 
     def run(batches):
         for batch, texts in text_chunks(batches):
             s = Shingles(texts)
             keys = band_keys(consistent_samples(s, idf.value, bands * rows), bands, rows).view(np.int64)
             has = np.diff(s.ptr) > 0
+            # mean weight of a shingle: low where a text has little that few others have
+            weight = s.count * idf.value[(s.hash & np.uint64(len(idf.value) - 1)).astype(np.int64)]
+            centre = np.bincount(s.doc, weight, len(texts)) / np.maximum(1, np.bincount(s.doc, s.count, len(texts)))
             offsets = np.concatenate(([0], np.cumsum(has * bands))).astype(np.int32)
             yield pa.RecordBatch.from_arrays(
                 [
@@ -188,13 +201,14 @@ def signatures(docs: DataFrame, idf, bands: int, rows: int) -> DataFrame:
                     batch.column(2),
                     pa.array(s.content(texts), pa.binary()),
                     pa.ListArray.from_arrays(pa.array(offsets), pa.array(keys[has].ravel())),
+                    pa.array(centre),
                 ],
-                names=["doc_id", "text_key", "content", "keys"],
+                names=["doc_id", "text_key", "content", "keys", "centre"],
             )
 
     kind = dict(docs.dtypes)["doc_id"]
     keyed = narrow(docs, "doc_id", "text").withColumn("text_key", F.xxhash64("text"))
-    return keyed.mapInArrow(run, f"doc_id {kind}, text_key bigint, content binary, keys array<bigint>")
+    return keyed.mapInArrow(run, f"doc_id {kind}, text_key bigint, content binary, keys array<bigint>, centre double")
 
 
 def components(edges: DataFrame, tag: str = "components") -> DataFrame:
@@ -251,12 +265,16 @@ def near_duplicates(
     table, total = document_frequencies(docs)
     idf = spark.sparkContext.broadcast(idf_table(table, total))
     signed = materialise(signatures(docs, idf, bands, rows), "signatures")
-    contents = signed.groupBy("content").agg(F.first("keys").alias("keys"))
-    band = contents.select("content", F.explode("keys").alias("key"))
-    shared = band.groupBy("key").agg(F.min("content").alias("first"), F.max("content").alias("last"))
-    shared = shared.filter("first != last").select("key", "first")
-    # members of bands that hold different texts, with the first text of the band
-    members = materialise(band.join(shared, "key"), "bands")
+    contents = signed.groupBy("content").agg(F.first("keys").alias("keys"), F.min("centre").alias("centre"))
+    band = contents.select("content", "centre", F.explode("keys").alias("key"))
+    shared = (
+        band.groupBy("key")
+        .agg(F.count(F.lit(1)).alias("size"), F.min(F.struct("centre", "content")).alias("first"))
+        .filter("size > 1")
+    )
+    shared = materialise(shared.select("key", "size", "first"), "shared-bands")
+    # members of bands that hold different texts, with the most central text of the band
+    members = materialise(band.select("key", "content").join(shared, "key"), "bands")
     involved = members.select("content").distinct()
     firsts = signed.join(involved, "content").groupBy("content").agg(F.min(F.struct("doc_id", "text_key")).alias("d"))
     keyed = narrow(docs, "doc_id", "text").withColumn("text_key", F.xxhash64("text"))
@@ -266,17 +284,18 @@ def near_duplicates(
         .dropDuplicates(["content"]),
         "near-texts",
     )
-    # 1: each text with the smallest first text of its bands; 2: with the first texts of all its bands
-    stars = members.filter("content != first").select(F.col("content").alias("a"), F.col("first").alias("b")).distinct()
-    tested = materialise(stars.groupBy("a").agg(F.min("b").alias("b")), "pairs")
+    # each text with the most central of its bands' first texts, then with the first texts of all its bands
+    stars = members.filter("content != first.content").select(F.col("content").alias("a"), "first").distinct()
+    tested = materialise(stars.groupBy("a").agg(F.min("first").alias("f")).select("a", F.col("f.content").alias("b")), "pairs")
     links = materialise(_verified(tested, texts, idf, similarity), "links")
     roots = components(links)
-    for candidates in (lambda c: stars, lambda c: _across(members, c)):
-        open_ = _unlinked(candidates(roots), roots)
-        pairs = materialise(open_.join(tested, ["a", "b"], "left_anti"), "pairs")
-        tested = tested.unionByName(pairs)
-        links = links.unionByName(materialise(_verified(pairs, texts, idf, similarity), "links"))
-        roots = components(links)
+    rest = _unlinked(stars.select("a", F.col("first.content").alias("b")), roots).join(tested, ["a", "b"], "left_anti")
+    links = links.unionByName(materialise(_verified(materialise(rest, "pairs"), texts, idf, similarity), "links"))
+    roots = components(links)
+    # bands that still hold several classes
+    rest = materialise(_across(members, roots, texts, idf, similarity), "pairs")
+    links = links.unionByName(materialise(_verified(rest, texts, idf, similarity), "links"))
+    roots = components(links)
     classes = signed.join(roots, signed["content"] == roots["node"], "left").withColumn(
         "root", F.coalesce("root", "content")
     )
@@ -293,20 +312,92 @@ def _unlinked(pairs: DataFrame, roots: DataFrame) -> DataFrame:
     return _rooted(_rooted(pairs, roots, "a", "ra"), roots, "b", "rb").filter("ra != rb").select("a", "b")
 
 
-def _across(members: DataFrame, roots: DataFrame) -> DataFrame:
-    """Pairs of different classes that share a band; bands within one class give none."""
-    rooted = _rooted(members.select("key", "content"), roots, "content", "r")
+def _long_signatures(texts: DataFrame, idf) -> DataFrame:
+    """``content``, ``long``: one byte of each of ``LONG_SAMPLES`` samples, equal by chance once in 256."""
+
+    def run(batches):
+        for batch, chunk in text_chunks(batches):
+            samples = consistent_samples(Shingles(chunk), idf.value, LONG_SAMPLES).astype(np.uint8)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array([x.tobytes() for x in samples], pa.binary())], names=["content", "long"]
+            )
+
+    return texts.select("content", "text").mapInArrow(run, "content binary, long binary")
+
+
+def _across(members: DataFrame, roots: DataFrame, texts: DataFrame, idf, similarity: float) -> DataFrame:
+    """Pairs ``a``, ``b`` of different classes that share a band and have close signatures."""
+    rooted = _rooted(members.select("key", "size", "content"), roots, "content", "r")
     split = rooted.groupBy("key").agg(F.min("r").alias("lo"), F.max("r").alias("hi")).filter("lo != hi").select("key")
-    rooted = rooted.join(split, "key", "left_semi")
-    left = rooted.select("key", F.col("content").alias("a"), F.col("r").alias("ra"))
-    right = rooted.select("key", F.col("content").alias("b"), F.col("r").alias("rb"))
-    return left.join(right, "key").filter("a > b AND ra != rb").select("a", "b").distinct()
+    rooted = materialise(rooted.join(materialise(split, "open-bands"), "key", "left_semi"), "open-members")
+    involved = rooted.select("content").distinct()
+    long = materialise(_long_signatures(texts.join(involved, "content", "left_semi"), idf), "long-signatures")
+    blocks = F.ceil(F.col("size") / F.lit(BLOCK)).cast("int")
+    own = F.pmod(F.xxhash64("content"), blocks).cast("int")
+    # a text meets every block of its band, in the task of the two blocks
+    dealt = (
+        rooted.withColumn("own", own)
+        .withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+        .join(long, "content")
+        .select(
+            "key",
+            F.least("own", "other").alias("i"),
+            F.greatest("own", "other").alias("j"),
+            F.col("own").alias("own"),
+            "content",
+            F.xxhash64("r").alias("r"),
+            "long",
+        )
+    )
+    place = ["key", "i", "j"]
+    dealt = dealt.repartition(*place).sortWithinPartitions(*place)
+    least = int(np.ceil((similarity - SLACK) * LONG_SAMPLES))
+
+    def close(rows: pa.RecordBatch) -> list[tuple]:
+        own, group = rows.column(3).to_numpy(), rows.column(5).to_numpy()
+        if len(own) < 2 or (group == group[0]).all():
+            return []
+        sig = np.frombuffer(b"".join(rows.column(6).to_pylist()), np.uint8).reshape(len(own), -1)
+        i, j = rows.column(1)[0].as_py(), rows.column(2)[0].as_py()
+        left, right = np.flatnonzero(own == i), np.flatnonzero(own == j)
+        content, out = rows.column(4), []
+        for at in left.tolist():
+            others = right[right > at] if i == j else right
+            others = others[group[others] != group[at]]
+            equal = (sig[others] == sig[at]).sum(axis=1)
+            for b in others[equal >= least].tolist():
+                x, y = content[at].as_py(), content[b].as_py()
+                out.append((max(x, y), min(x, y)))
+        return out
+
+    def run(batches):
+        kept = None
+        for batch in batches:
+            table = pa.Table.from_batches([kept, batch] if kept is not None else [batch]).combine_chunks()
+            batch = table.to_batches()[0] if len(table) else batch
+            keys = [batch.column(c).to_numpy() for c in range(3)]
+            new = np.flatnonzero(np.any([k[1:] != k[:-1] for k in keys], axis=0)) + 1
+            cuts = [0, *new.tolist()]
+            found = [p for lo, hi in zip(cuts[:-1], cuts[1:], strict=True) for p in close(batch.slice(lo, hi - lo))]
+            kept = batch.slice(cuts[-1])
+            yield _pairs(found)
+        if kept is not None and len(kept):
+            yield _pairs(close(kept))
+
+    return dealt.mapInArrow(run, "a binary, b binary").distinct()
+
+
+def _pairs(found: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays(
+        [pa.array([p[k] for p in found], pa.binary()) for k in (0, 1)], names=["a", "b"]
+    )
 
 
 def keep_one(docs: DataFrame, **options) -> DataFrame:
-    """``docs`` with one row of each near-duplicate class: the smallest id, then text hash."""
+    """``docs`` with one row of each near-duplicate class: the smallest id (null last), then text hash."""
     found = near_duplicates(docs, **options)
-    kept = found.groupBy("class").agg(F.min(F.struct("doc_id", "text_key")).alias("d")).select("d.*").distinct()
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_key"))
+    kept = found.groupBy("class").agg(first.alias("d")).select("d.*").distinct()
     kept = kept.select(F.col("doc_id").alias("i"), F.col("text_key").alias("k"))
     key = F.xxhash64(docs["text"])
     copy = Window.partitionBy(docs["doc_id"], key).orderBy(F.lit(0))
