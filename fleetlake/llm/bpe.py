@@ -30,11 +30,11 @@ _CHAR = np.random.default_rng(22).integers(0, 2**64, LIMIT + 1, dtype=np.uint64)
 _MULT = 0x9E3779B97F4A7C13
 #: Endings that the vocabulary's pattern splits off after an apostrophe.
 ENDINGS = ("s", "t", "re", "ve", "m", "ll", "d")
-#: Different words remembered by a worker, about 30 bytes each; then it starts anew.
-KNOWN_WORDS = 3_000_000
+#: Different words remembered by a worker, about 50 bytes each; then it starts anew.
+KNOWN_WORDS = 500_000
 
 
-@lru_cache(maxsize=2)
+@lru_cache(maxsize=1)
 def _powers(size: int) -> tuple[np.ndarray, np.ndarray]:
     def row(base: int) -> np.ndarray:
         out = np.full(size, base, np.uint64)
@@ -141,7 +141,7 @@ class Bpe:
         chars = np.frombuffer(text.encode("utf-32-le"), "<u4").astype(np.int64)
         starts = word_starts(chars, text)
         ends = np.append(starts[1:], len(chars))
-        up, down = _powers(1 << max(20, len(chars).bit_length()))
+        up, down = _powers(1 << max(19, len(chars).bit_length()))
         total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(_CHAR[chars] * up[: len(chars)])))
         keys = mix((total[ends] - total[starts]) * down[starts]) + (ends - starts).astype(np.uint64)
         known, first, which = np.unique(keys, return_index=True, return_inverse=True)

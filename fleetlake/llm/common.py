@@ -45,15 +45,18 @@ def text_chunks(
     """Slices of Arrow batches holding about ``max_bytes`` of UTF-8 text, or one longer text; null is empty."""
     for batch in batches:
         col = batch.column(batch.schema.get_field_index(text)).cast(pa.binary())
-        texts = [t or b"" for t in col.to_pylist()]
-        lo = size = 0
-        for i, t in enumerate(texts):
-            if size and size + len(t) > max_bytes:
-                yield batch.slice(lo, i - lo), texts[lo:i]
-                lo, size = i, 0
-            size += len(t)
-        if lo < len(texts):
-            yield batch.slice(lo), texts[lo:]
+        lo, texts, size = 0, [], 0
+        # few texts at a time leave Arrow's buffers, however many a batch holds
+        for at in range(0, len(col), 64):
+            for i, t in enumerate(col.slice(at, 64).to_pylist(), at):
+                t = t or b""
+                if size and size + len(t) > max_bytes:
+                    yield batch.slice(lo, i - lo), texts
+                    lo, texts, size = i, [], 0
+                texts.append(t)
+                size += len(t)
+        if texts:
+            yield batch.slice(lo), texts
 
 
 def narrow(docs: DataFrame, *cols: str) -> DataFrame:
