@@ -113,7 +113,7 @@ def _weighted(docs: DataFrame, ratios, at_least: float | None, narrowed: bool) -
     def run(batches):
         for batch, texts in text_chunks(batches):
             doc, slot = form_slots(texts, bits)
-            weight = np.bincount(doc, ratios.value[slot], len(texts))
+            weight = np.bincount(doc, ratios.value[slot], len(texts)).astype(np.float64)  # int without n-grams
             u = (mix(batch.column(1).to_numpy().view(np.uint64)) >> np.uint64(11)).astype(np.float64) + 0.5
             key = weight - np.log(-np.log(u * 2.0**-53))
             own = batch.columns[2:]
