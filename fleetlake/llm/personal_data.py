@@ -5,9 +5,11 @@ are the seeds. The one or two words in front of a seed are a lexical pattern.
 Identifier-like tokens (three digits or more) with words in front of them are
 instances that patterns point to. Patterns and instances form a graph, scored
 in rounds: a pattern's confidence is the mean score of its different instances
-(seeds count 1), an instance's score the largest confidence of its patterns.
-Patterns with enough seeds and high confidence discover further identifiers,
-which are reported as kind ``found``.
+(seeds count 1), an instance's score the largest confidence of its accepted
+patterns, never of the pattern being scored. A pattern is accepted when its
+confidence is high and the lower confidence bound of its share of seeds is at
+least ``MIN_BOUND``; both are shares, so a larger corpus does not loosen them.
+Accepted patterns discover further identifiers, reported as kind ``found``.
 
 Per text only matches and their contexts are kept, so the graph's tables are
 small; hot patterns and values are aggregated before they are shuffled.
@@ -37,8 +39,10 @@ BYTE = r"^0*([0-9]{1,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5])$"
 TOKEN = r"(?<![^\s])(?=[^\s0-9]*+[0-9][^\s0-9]*+[0-9][^\s0-9]*+[0-9])[A-Za-z0-9][A-Za-z0-9._@:/#+-]{4,99}(?![A-Za-z0-9._@:/#+-])"
 
 ROUNDS = 3
-MIN_SEEDS = 5
 MIN_CONFIDENCE = 0.8
+# Evidence: the one-sided 95% lower bound of a pattern's share of seeds.
+MIN_BOUND = 0.5
+Z = 1.645
 _SPANS = "array<struct<kind:string,start:int,end:int>>"
 
 
@@ -121,24 +125,41 @@ def _edges(found: DataFrame) -> DataFrame:
     )
 
 
+def _bound(mean: Column, n: Column) -> Column:
+    """Lower end of the Wilson interval of a mean of ``n`` scores in 0..1."""
+    z2 = F.lit(Z * Z)
+    middle = mean + z2 / (2 * n)
+    half = Z * F.sqrt(F.greatest(mean * (1 - mean), F.lit(0.0)) / n + z2 / (4 * n * n))
+    return (middle - half) / (1 + z2 / n)
+
+
 def confident_patterns(
-    edges: DataFrame, rounds: int = ROUNDS, min_seeds: int = MIN_SEEDS, min_confidence: float = MIN_CONFIDENCE
+    edges: DataFrame, rounds: int = ROUNDS, min_bound: float = MIN_BOUND, min_confidence: float = MIN_CONFIDENCE
 ) -> DataFrame:
-    """``pattern``, ``confidence`` after ``rounds`` of scoring patterns by instances and instances by patterns."""
+    """``pattern``, ``confidence`` of the patterns accepted within ``rounds`` rounds.
+
+    A pattern that is accepted stays so with the confidence it was accepted
+    with, and only accepted patterns score instances. The patterns scored in
+    a round are not yet accepted, so no score that they get is their own.
+    """
     scored = edges.withColumn("score", F.col("seed").cast("double"))
-    patterns = None
+    accepted = None
     for _ in range(rounds):
-        patterns = materialise(
+        made = (
             scored.groupBy("pattern")
-            .agg(F.sum("seed").alias("seeds"), F.avg("score").alias("confidence"))
-            .filter(F.col("seeds") >= min_seeds),
-            "patterns",
+            .agg(F.count("*").alias("n"), F.avg("seed").alias("share"), F.avg("score").alias("mean"))
+            .withColumn("confidence", F.round("mean", 9))
+            .filter((F.col("confidence") >= min_confidence) & (_bound(F.col("share"), F.col("n")) >= min_bound))
+            .select("pattern", "confidence")
         )
-        reached = edges.join(patterns, "pattern").groupBy("value").agg(F.max("confidence").alias("reached"))
+        if accepted is not None:
+            made = accepted.unionByName(made.join(accepted, "pattern", "left_anti"))
+        accepted = materialise(made, "patterns")
+        reached = edges.join(accepted, "pattern").groupBy("value").agg(F.max("confidence").alias("reached"))
         scored = edges.join(reached, "value", "left").withColumn(
             "score", F.when(F.col("seed") == 1, 1.0).otherwise(F.coalesce("reached", F.lit(0.0)))
         )
-    return patterns.filter(F.col("confidence") >= min_confidence).select("pattern", "confidence")
+    return accepted
 
 
 def personal_data(docs: DataFrame, **options) -> DataFrame:
