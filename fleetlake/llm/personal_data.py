@@ -3,13 +3,13 @@
 Base matches (addresses, numbers) of four kinds are found by their patterns and
 are the seeds. The one or two words in front of a seed are a lexical pattern.
 Identifier-like tokens (three digits or more) with words in front of them are
-instances that patterns point to. Patterns and instances form a graph, scored
-in rounds: a pattern's confidence is the mean score of its different instances
-(seeds count 1), an instance's score the largest confidence of its accepted
-patterns, never of the pattern being scored. A pattern is accepted when its
-confidence is high and the lower confidence bound of its share of seeds is at
-least ``MIN_BOUND``; both are shares, so a larger corpus does not loosen them.
-Accepted patterns discover further identifiers, reported as kind ``found``.
+instances that patterns point to. Patterns and instances form a graph, and the
+seeds grow over it in ``ROUNDS`` rounds: a pattern's confidence is the share of
+seeds among its different instances, and it is accepted when that is high and
+its lower confidence bound at least ``MIN_BOUND`` (both are shares, so a larger
+corpus does not loosen them). The instances of accepted patterns become seeds
+for the patterns not yet accepted, so no pattern is supported by its own finds.
+An accepted value is reported as kind ``found`` wherever it is an instance.
 
 Per text only matches and their contexts are kept, so the graph's tables are
 small; hot patterns and values are aggregated before they are shuffled.
@@ -138,30 +138,33 @@ def confident_patterns(
 ) -> DataFrame:
     """``pattern``, ``confidence`` of the patterns accepted within ``rounds`` rounds.
 
-    A pattern that is accepted stays so with the confidence it was accepted
-    with, and only accepted patterns score instances. The patterns scored in
-    a round are not yet accepted, so no score that they get is their own.
+    After each round the values of accepted patterns join the seeds, and the
+    support of the other patterns is counted anew. An accepted pattern stays
+    so with the confidence it was accepted with; a pattern that is scored is
+    not yet accepted, so none of its seeds is its own find.
     """
-    scored = edges.withColumn("score", F.col("seed").cast("double"))
+    scored = edges
     accepted = None
     for _ in range(rounds):
         made = (
             scored.groupBy("pattern")
-            .agg(F.count("*").alias("n"), F.avg("seed").alias("share"), F.avg("score").alias("mean"))
-            .withColumn("confidence", F.round("mean", 9))
-            .filter((F.col("confidence") >= min_confidence) & (_bound(F.col("share"), F.col("n")) >= min_bound))
+            .agg(F.count("*").alias("n"), F.avg("seed").alias("confidence"))
+            .filter((F.col("confidence") >= min_confidence) & (_bound(F.col("confidence"), F.col("n")) >= min_bound))
             .select("pattern", "confidence")
         )
         if accepted is not None:
             made = accepted.unionByName(made.join(accepted, "pattern", "left_anti"))
         accepted = materialise(made, "patterns")
-        reached = edges.join(accepted, "pattern").groupBy("value").agg(F.max("confidence").alias("reached"))
-        scored = edges.join(reached, "value", "left").withColumn(
-            "score", F.when(F.col("seed") == 1, 1.0).otherwise(F.coalesce("reached", F.lit(0.0)))
-        )
+        found = accepted_values(edges, accepted).withColumn("known", F.lit(1))
+        scored = edges.join(found, "value", "left").withColumn("seed", F.greatest("seed", F.coalesce("known", F.lit(0))))
     return accepted
 
 
+def accepted_values(edges: DataFrame, patterns: DataFrame) -> DataFrame:
+    """``value`` of every instance of ``patterns``."""
+    return edges.join(patterns.select("pattern"), "pattern", "left_semi").select("value").distinct()
+
+
 def personal_data(docs: DataFrame, **options) -> DataFrame:
     """``doc_id``, ``text_key``, ``base`` and ``spans`` (kind, start, end; by kind, then start) of every row."""
     base = F.concat(*[F.col(k) for k in KINDS])
@@ -171,13 +174,14 @@ def personal_data(docs: DataFrame, **options) -> DataFrame:
             "tokens", lambda t: ~F.exists(base, lambda b: (b["start"] < t["end"]) & (t["start"] < b["end"]))
         ),
     )
-    patterns = confident_patterns(materialise(_edges(found), "pattern-edges"), **options)
+    edges = materialise(_edges(found), "pattern-edges")
+    values = accepted_values(edges, confident_patterns(edges, **options))
     added = (
         found.filter(F.size("fresh") > 0)
         .select("doc_id", "text_key", F.explode("fresh").alias("t"))
-        .select("doc_id", "text_key", "t.start", "t.end", F.col("t.context").alias("pattern"))
+        .select("doc_id", "text_key", "t.start", "t.end", "t.value")
         .distinct()
-        .join(patterns.select("pattern"), "pattern", "left_semi")
+        .join(values, "value", "left_semi")
         .groupBy("doc_id", "text_key")
         .agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("added"))
     )

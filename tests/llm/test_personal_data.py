@@ -98,3 +98,17 @@ def test_a_pattern_does_not_raise_its_own_confidence(spark):
         docs += [(1000 + i, f"please send to {70000 + 7 * i} soon") for i in range(other)]
         df = spark.createDataFrame(docs, "doc_id bigint, text string")
         assert not [r for r in personal_data(df, rounds=6).collect() if any(s.kind == "found" for s in r.spans)]
+
+
+def test_found_values_become_seeds_and_are_reported_everywhere(spark):
+    docs = [(i, f"please write to contact {'me%d@mail.org' % i} soon") for i in range(40)]
+    docs += [(100 + i, f"please write to contact staff{1000 + i} soon") for i in range(9)]
+    docs += [(200 + i, f"his badge number staff{1000 + i} is new") for i in range(9)]
+    docs += [(300, "his badge number staff7777 is new"), (301, "room of staff7777 and staff1003"), (302, "room of staff5555")]
+    docs += [(400 + i, f"one order number {20000 + i} was sent") for i in range(20)] + [(500, "one order number staff1000 was sent")]
+    df = spark.createDataFrame(docs, "doc_id bigint, text string")
+    text = dict(docs)
+    found = {r.doc_id: {text[r.doc_id][s.start : s.end] for s in r.spans if s.kind == "found"} for r in personal_data(df).collect()}
+    assert all(found[200 + i] == {f"staff{1000 + i}"} for i in range(9))
+    assert found[300] == {"staff7777"} and found[301] == {"staff7777", "staff1003"} and found[302] == set()
+    assert not any(found[400 + i] for i in range(20)) and found[500] == {"staff1000"}
