@@ -1,9 +1,12 @@
 """Personal data by bootstrapped contextual extraction.
 
 Base matches (addresses, numbers) of four kinds are found by their patterns and
-are the seeds. The one or two words in front of a seed are a lexical pattern.
-Identifier-like tokens (three digits or more) with words in front of them are
-instances that patterns point to. Patterns and instances form a graph, and the
+are the seeds. The one or two words in front of a seed are a lexical pattern, in
+which values in front of it are marks and a list of values is one mark.
+Identifier-like tokens are the instances that patterns point to: five or more
+ASCII letters, digits and ``._@:/#+-`` of any length, beginning with a letter or
+digit, three digits or more, behind a blank, a quote, a bracket or one of
+``,;|=``. Patterns and instances form a graph, and the
 seeds grow over it in ``ROUNDS`` rounds: a pattern's confidence is the share of
 seeds among its different instances, and it is accepted when that is high and
 its lower confidence bound at least ``MIN_BOUND`` (both are shares, so a larger
@@ -25,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fleetlake.llm.common import materialise
-from fleetlake.llm.spans import join_rows, keyed, matches
+from fleetlake.llm.spans import MARK, join_rows, keyed, matches
 
 KINDS = ("email", "ip", "card", "phone")
 # The kinds' patterns, written so that no repetition backtracks; a match starts at a run's
@@ -35,8 +38,13 @@ IP = r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}"
 CARD = r"[0-9]++(?:[\x20-][0-9]++)*+"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 BYTE = r"^0*([0-9]{1,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5])$"
-# A token with at least three digits, letters, digits and marks only.
-TOKEN = r"(?<![^\s])(?=[^\s0-9]*+[0-9][^\s0-9]*+[0-9][^\s0-9]*+[0-9])[A-Za-z0-9][A-Za-z0-9._@:/#+-]{4,99}(?![A-Za-z0-9._@:/#+-])"
+# A token of five characters or more with at least three digits, letters, digits and marks only, at the start of the
+# text or behind a blank or a separator.
+TOKEN = (
+    r"""(?<![^\s,;|=()\[\]{}<>"'])(?=(?:[A-Za-z._@:/#+-]*+[0-9]){3})[A-Za-z0-9][A-Za-z0-9._@:/#+-]{4,}+"""
+)
+# What a context names only as a mark: whatever may be a match of some kind, and other digits.
+VALUE = rf"{EMAIL}|{PHONE}|{TOKEN}|[0-9]++"
 
 ROUNDS = 3
 MIN_CONFIDENCE = 0.8
@@ -71,8 +79,10 @@ def _card_holds(value: Column) -> Column:
 
 
 def _context(before: Column) -> Column:
-    """The one or two words that end at a match; null without a word."""
-    words = F.filter(F.split(F.lower(F.regexp_replace(before, r"[0-9]+", "0")), r"\s+"), lambda w: w != "")
+    """The one or two words that end at a match, values as marks and lists of values as one; null without a word."""
+    marked = F.regexp_replace(before, VALUE, MARK)
+    short = F.regexp_replace(marked, rf"{MARK}(?:[^\p{{L}}\p{{N}}{MARK}]*+{MARK})++", MARK)
+    words = F.filter(F.split(F.lower(short), r"\s+"), lambda w: w != "")
     return F.when(F.size(words) > 0, F.array_join(F.slice(words, F.greatest(F.lit(1), F.size(words) - 1), 2), " "))
 
 

@@ -8,11 +8,17 @@ from pyspark.sql import functions as F
 SPAN = "array<struct<start:int,end:int,value:string,before:string>>"
 #: Code points before a match that are kept with it.
 CONTEXT = 80
+#: Stands for an earlier match in ``before``.
+MARK = "\ufffc"
 
 
 def matches(text: Column, pattern: str, when: Column) -> Column:
     """All leftmost non-overlapping matches, ``end`` exclusive, with what stands ``before`` each.
 
+    ``before`` are the last code points of the text in front of the match, each
+    earlier match replaced by ``MARK``. Matches with no letter or digit between
+    them share one mark, so what stands in front of a list is kept for all of it.
+
     The text between matches comes from ``split``, the matches from
     ``regexp_extract_all``; their lengths give the positions. ``when`` is a
     cheap condition that every text with a match meets.
@@ -24,7 +30,7 @@ def matches(text: Column, pattern: str, when: Column) -> Column:
             between,
             found,
             lambda gap, m: F.struct(
-                F.length(gap).alias("gap"), m.alias("value"), F.right(gap, F.lit(CONTEXT)).alias("before")
+                F.length(gap).alias("gap"), m.alias("value"), F.right(gap, F.lit(CONTEXT)).alias("near")
             ),
         ),
         lambda x: x["value"].isNotNull(),
@@ -33,10 +39,14 @@ def matches(text: Column, pattern: str, when: Column) -> Column:
     def step(acc: Column, x: Column) -> Column:
         start = acc["at"] + x["gap"]
         end = start + F.length(x["value"])
-        one = F.struct(start.alias("start"), end.alias("end"), x["value"].alias("value"), x["before"].alias("before"))
-        return F.struct(end.alias("at"), F.concat(acc["out"], F.array(one)).alias("out"))
+        before = F.right(F.concat(acc["tail"], x["near"]), F.lit(CONTEXT))
+        # a gap longer than its kept end has room for words
+        listed_on = (x["gap"] <= CONTEXT) & F.endswith(acc["tail"], F.lit(MARK)) & ~F.rlike(x["near"], F.lit(r"[\p{L}\p{N}]"))
+        tail = F.when(listed_on, acc["tail"]).otherwise(F.concat(before, F.lit(MARK)))
+        one = F.struct(start.alias("start"), end.alias("end"), x["value"].alias("value"), before.alias("before"))
+        return F.struct(end.alias("at"), F.concat(acc["out"], F.array(one)).alias("out"), tail.alias("tail"))
 
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast(SPAN).alias("out"))
+    zero = F.struct(F.lit(0).alias("at"), F.array().cast(SPAN).alias("out"), F.lit("").alias("tail"))
     placed = F.aggregate(zipped, zero, step, lambda acc: acc["out"])
     return F.coalesce(F.when(when, placed), F.array().cast(SPAN))
 

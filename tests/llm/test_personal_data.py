@@ -4,7 +4,7 @@ import re
 
 from pyspark.sql import functions as F
 
-from fleetlake.llm.personal_data import personal_data, redact
+from fleetlake.llm.personal_data import find_matches, personal_data, redact
 from fleetlake.llm.queries import op3_personal_data
 from tests.conftest import SF_SMALL
 
@@ -112,3 +112,19 @@ def test_found_values_become_seeds_and_are_reported_everywhere(spark):
     assert all(found[200 + i] == {f"staff{1000 + i}"} for i in range(9))
     assert found[300] == {"staff7777"} and found[301] == {"staff7777", "staff1003"} and found[302] == set()
     assert not any(found[400 + i] for i in range(20)) and found[500] == {"staff1000"}
+
+
+def test_lists_and_long_tokens_keep_their_context(spark):
+    long = "k1" * 300
+    texts = ["ids: 12345 67890 24680", "ids: " + " ".join(str(10000 + i) for i in range(60)), "row,12345,67890, 24680",
+             f"session key {long} ends", "see 12345 to 67890", "see me@x.org to 67890", "mail a@b.org, c@d.org e@f.org", "abcde,123"]
+    rows = find_matches(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")).collect()
+    got = {r.doc_id: [(s.value, s.context) for s in r.tokens] for r in rows}
+    m = "\ufffc"
+    assert got[0] == [("12345", "ids:"), ("67890", f"ids: {m}"), ("24680", f"ids: {m}")]
+    assert [c for _, c in got[1]] == ["ids:"] + [f"ids: {m}"] * 59
+    assert [v for v, _ in got[2]] == ["12345", "67890", "24680"] and all(c for _, c in got[2])
+    assert got[3] == [(long, "session key")] and got[7] == []
+    assert got[4][1] == got[5][0] == ("67890", f"{m} to")
+    mails = {r.doc_id: [s.context for s in r.email] for r in rows}[6]
+    assert mails == ["mail", f"mail {m},", f"mail {m}"]
