@@ -42,10 +42,9 @@ _VALUE = r"""["']?\x20*[:=]\x20*["']?"""
 IDENTIFIER = rf"(?i:user_?name|user_?id|user|login|account|client_?id|access_?key_?id|access_?key|key_?id){_VALUE}[A-Za-z0-9._@+-]{{3,}}"
 ENDPOINT = rf"(?:[a-z][a-z0-9+.-]{{1,15}}://[A-Za-z0-9._~%/?=&:@-]+|(?i:host_?name|host|server|endpoint){_VALUE}[A-Za-z0-9.-]{{3,}}(?::[0-9]+)?)"
 SECRET = rf"(?i:passphrase|pass|pwd|private_?key|auth_?key|auth|credentials?|signature){_VALUE}[A-Za-z0-9+/_.=-]{{6,}}"
-RANDOM = (
-    r"(?<![A-Za-z0-9+/_-])(?=[^0-9\s]{0,200}[0-9])(?=[^A-Z\s]{0,200}[A-Z])(?=[^a-z\s]{0,200}[a-z])"
-    r"[A-Za-z0-9+/_-]{20,200}(?![A-Za-z0-9+/_-])"
-)
+# a whole run of any length; MIXED is tested on the run itself
+RANDOM = r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}+"
+MIXED = ("[0-9]", "[A-Z]", "[a-z]")
 WEAK = {"identifier": ("weak_id", IDENTIFIER), "endpoint": ("weak_endpoint", ENDPOINT), "secret": ("weak_secret", SECRET)}
 LISTED = (*STRONG, *[kind for kind, _ in WEAK.values()], "weak_random")
 
@@ -82,7 +81,11 @@ def find_parts(docs: DataFrame) -> DataFrame:
     )
     # unlabelled strings matter only beside another part that could complete them
     other = (F.size("access") > 0) | (F.size("weak_id") > 0) | (F.size("weak_endpoint") > 0)
-    return found.withColumn("weak_random", matches(text, RANDOM, other)).select(
+    mixed = F.filter(
+        matches(text, RANDOM, other),
+        lambda s: s["value"].rlike(MIXED[0]) & s["value"].rlike(MIXED[1]) & s["value"].rlike(MIXED[2]),
+    )
+    return found.withColumn("weak_random", mixed).select(
         "doc_id", "text_key", *[_bare(F.col(k)).alias(k) for k in LISTED]
     )
 

@@ -97,3 +97,14 @@ def test_links_match_all_pairs(spark):
             or any(roles[q[0]] != roles[p[0]] and q[1] - p[2] <= 200 and p[1] - q[2] <= 200 for q in parts)
         }
         assert {(s.kind, s.start, s.end) for s in r.spans} == want
+
+
+def test_random_strings_of_any_length_and_only_mixed_ones(spark):
+    id_ = "login: alice "
+    runs = {n: ("aB3-" * n)[:n] for n in (20, 200, 201, 342, 100000)}
+    docs = [(n, id_ + run) for n, run in runs.items()]
+    docs += [(1, id_ + "z" * 300 + "B3"), (2, id_ + "abcdefghij" * 3 + ",A1"), (3, id_ + ("aB3-" * 5)[:19])]
+    rows = scan(spark.createDataFrame(docs, "doc_id bigint, text string")).collect()
+    got = {r.doc_id: [(s.start, s.end) for s in r.spans if s.kind == "weak_random"] for r in rows}
+    assert all(got[n] == [(13, 13 + n)] for n in runs)
+    assert got[1] == [(13, 315)] and got[2] == got[3] == []
