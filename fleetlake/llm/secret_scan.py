@@ -163,7 +163,7 @@ def scan(docs: DataFrame, scope: int = SCOPE) -> DataFrame:
     # a weak part that lies inside a strong match is the same thing
     fresh = F.filter(
         F.col("added"),
-        lambda a: ~F.exists(F.col("strong"), lambda s: (s["start"] < a["end"]) & (a["start"] < s["end"])),
+        lambda a: ~F.exists(F.col("strong"), lambda s: (s["start"] <= a["start"]) & (a["end"] <= s["end"])),
     )
     return joined.select(
         "doc_id",

@@ -108,3 +108,13 @@ def test_random_strings_of_any_length_and_only_mixed_ones(spark):
     got = {r.doc_id: [(s.start, s.end) for s in r.spans if s.kind == "weak_random"] for r in rows}
     assert all(got[n] == [(13, 13 + n)] for n in runs)
     assert got[1] == [(13, 315)] and got[2] == got[3] == []
+
+
+def test_weak_parts_around_a_strong_match_are_kept(spark):
+    docs = [(1, "see https://host.example/path?token=abcdef123 now"), (2, "login: alice token = abcdef123")]
+    docs += [(3, "login: alice password: 'abcdefghijKLMNOPQRST123'")]
+    rows = scan(spark.createDataFrame(docs, "doc_id bigint, text string")).collect()
+    got = {r.doc_id: {docs[r.doc_id - 1][1][s.start : s.end]: s.kind for s in r.spans} for r in rows}
+    assert got[1] == {"https://host.example/path?token=abcdef123": "weak_endpoint", "token=abcdef123": "assign"}
+    assert got[2] == {"login: alice": "weak_id", "token = abcdef123": "assign"}
+    assert set(got[3].values()) == {"weak_id", "assign"}
