@@ -3,8 +3,10 @@
 A sketch holds every shingle hash (five words) below a fixed fraction of the
 hash range, so its size follows the text's, sketches of parts merge into the
 sketch of the whole, and containment can be estimated between very unequal
-texts. A text none of whose hashes is below the threshold keeps its smallest
-one instead. Hashes are stored as 48 bits.
+texts. A text of fewer than ``WHOLE`` different shingles (or with none below
+the threshold) keeps them all, flagged by ``FLAG`` at the end: two such sketches
+are compared exactly, and against a scaled one only the hashes below the
+threshold count. Hashes are stored as 48 bits.
 
 Cases: a text of one to four words is one shingle; a text without words is
 one shingle of its bytes; null and empty text has the empty sketch. Two empty
@@ -29,46 +31,62 @@ from fleetlake.llm.common import importable, materialise, narrow, text_chunks
 from fleetlake.llm.words import ALNUM, Words, ngrams
 
 SHINGLE = 5
-FRACTION = 1 / 16
+FRACTION = 1 / 4
+WHOLE = 64
+#: Last of a sketch that holds all shingles.
+FLAG = (1 << 48) - 1
 
 
 def sketches(texts: list[bytes], fraction: float = FRACTION, shingle: int = SHINGLE) -> list[np.ndarray]:
     """Sorted 48-bit hashes of each text's sketch."""
     w = Words(texts, ALNUM, lower=True)
     left, n = w.left(), np.repeat(w.n, w.n)
-    limit = np.uint64(int(fraction * 2**64))
+    limit = np.uint64(int(fraction * 2**48))
+    flag = np.array([FLAG], np.uint64)
     whole = left >= shingle
     hashes = ngrams(w.hash, shingle)
     for size in np.unique(w.n[(w.n > 0) & (w.n < shingle)]).tolist():
         at = (left == size) & (n == size)
         hashes[at] = ngrams(w.hash, size, 1)[at]
         whole |= at
-    at = np.flatnonzero(whole & (hashes < limit))
+    at = np.flatnonzero(whole)
     kept, cut = hashes[at] >> np.uint64(16), np.searchsorted(at, w.ptr)
     out = []
     for i, text in enumerate(texts):
         x = np.unique(kept[cut[i] : cut[i + 1]])
         if not len(x) and text:
-            lo, hi = w.ptr[i], w.ptr[i + 1]
-            if lo < hi:
-                x = hashes[lo:hi][whole[lo:hi]].min(keepdims=True) >> np.uint64(16)
-            else:
-                x = np.array([int.from_bytes(hashlib.sha256(text).digest()[:6], "big")], np.uint64)
+            x = np.array([int.from_bytes(hashlib.sha256(text).digest()[:6], "big")], np.uint64)
+        if len(x) and (len(x) < WHOLE or x[0] >= limit):
+            x = np.concatenate([x, flag])
+        else:
+            x = x[: np.searchsorted(x, limit)]
         out.append(x)
     return out
 
 
-def likeness(a: np.ndarray, b: np.ndarray) -> float:
+def _comparable(a: np.ndarray, b: np.ndarray, fraction: float) -> tuple[np.ndarray, np.ndarray]:
+    """All hashes of two whole sets, else of both those below the threshold."""
+    if len(a) and len(b) and a[-1] == b[-1] == FLAG:
+        return a[:-1], b[:-1]
+    limit = np.uint64(int(fraction * 2**48))
+    return tuple(x[: min(np.searchsorted(x, limit), len(x) - (x[-1:] == FLAG).sum())] for x in (a, b))
+
+
+def likeness(a: np.ndarray, b: np.ndarray, fraction: float = FRACTION) -> float:
     """Jaccard similarity of two sketches."""
     if not len(a) or not len(b):
         return float(len(a) == len(b))
+    a, b = _comparable(a, b, fraction)
     both = len(np.intersect1d(a, b, assume_unique=True))
     return both / (len(a) + len(b) - both)
 
 
-def containment(a: np.ndarray, b: np.ndarray) -> float:
-    """Estimated share of a that b holds."""
-    return len(np.intersect1d(a, b, assume_unique=True)) / len(a) if len(a) else 1.0
+def containment(a: np.ndarray, b: np.ndarray, fraction: float = FRACTION) -> float:
+    """Estimated share of a that b holds; not a number when no hash of a can be compared with b's."""
+    if not len(a) or not len(b):
+        return float(not len(a))
+    a, b = _comparable(a, b, fraction)
+    return len(np.intersect1d(a, b, assume_unique=True)) / len(a) if len(a) else float("nan")
 
 
 def packed(sketch: np.ndarray) -> bytes:
@@ -90,6 +108,51 @@ def fingerprints(docs: DataFrame, fraction: float = FRACTION) -> DataFrame:
     return made.select("doc_id", F.lower(F.hex("sketch")).alias("fingerprint"))
 
 
+def _hashes(prints: DataFrame, key: str) -> DataFrame:
+    """``key``, ``whole`` and each ``hash`` of ``fingerprint`` (flags left out)."""
+    flag = f"{FLAG:012x}"
+    listed = F.filter(F.regexp_extract_all("fingerprint", F.lit("(.{12})"), F.lit(1)), lambda h: h != flag)
+    return prints.select(key, F.endswith("fingerprint", F.lit(flag)).alias("whole"), F.explode(listed).alias("hash"))
+
+
+def merge(prints: DataFrame, key: str, fraction: float = FRACTION) -> DataFrame:
+    """``key`` and the ``fingerprint`` of all shingles of its rows, as the sketch of their union."""
+    limit = F.lit(f"{int(fraction * 2**48):012x}")
+    below = F.col("hash") < limit if fraction < 1 else F.lit(True)
+    all_whole = F.min(F.when(F.col("fingerprint") != "", F.endswith("fingerprint", F.lit(f"{FLAG:012x}"))))
+    groups = prints.groupBy(key).agg(all_whole.alias("all_whole")).withColumnRenamed(key, "k")
+    each = _hashes(prints, key).select(F.col(key).alias("g"), "hash").distinct()
+    union = each.groupBy("g").agg(
+        F.count("*").alias("n"),
+        F.array_sort(F.collect_list("hash")).alias("all"),
+        F.array_sort(F.collect_list(F.when(below, F.col("hash")))).alias("low"),
+    )
+    short = F.col("all_whole") & ((F.col("n") < WHOLE) | (F.size("low") == 0))
+    made = F.when(short, F.concat(F.array_join("all", ""), F.lit(f"{FLAG:012x}"))).otherwise(F.array_join("low", ""))
+    joined = groups.join(union, F.col("k").eqNullSafe(F.col("g")), "left")
+    return joined.select(F.col("k").alias(key), F.coalesce(made, F.lit("")).alias("fingerprint"))
+
+
+def containments(pairs: DataFrame, prints: DataFrame, fraction: float = FRACTION) -> DataFrame:
+    """``a``, ``b`` of ``pairs`` (ids, each with one print) and the ``share`` of a's shingles that b holds; null if unknown."""
+    limit = F.lit(f"{int(fraction * 2**48):012x}")
+    flag = F.lit(f"{FLAG:012x}")
+    info = prints.select("doc_id", F.endswith("fingerprint", flag).alias("whole"), (F.col("fingerprint") == "").alias("empty"))
+    a, b = (info.select(*[F.col(c).alias(f"{x}_{c}") for c in info.columns]) for x in "ab")
+    told = pairs.select("a", "b").distinct()
+    told = told.join(a, F.col("a") == F.col("a_doc_id")).join(b, F.col("b") == F.col("b_doc_id"))
+    held = _hashes(prints, "doc_id")
+    own = held.select(F.col("doc_id").alias("a"), "hash")
+    other = held.select(F.col("doc_id").alias("b"), "hash", F.lit(1).alias("hit"))
+    usable = (F.col("a_whole") & F.col("b_whole")) | (F.col("hash") < limit) | F.lit(fraction >= 1)
+    counted = (
+        told.join(own, "a").filter(usable).join(other, ["b", "hash"], "left").groupBy("a", "b")
+        .agg((F.count("hit") / F.count("*")).alias("share"))
+    )
+    share = F.when(F.col("a_empty"), 1.0).when(F.col("b_empty"), 0.0).otherwise(F.col("share"))
+    return told.join(counted, ["a", "b"], "left").select("a", "b", share.alias("share"))
+
+
 def edited(text: str, other: str) -> str:
     """The last half of the code points replaced by as many from the head of ``other``."""
     half = len(text) // 2
@@ -105,8 +168,8 @@ def _compare(texts: list[bytes], others: list[bytes], fraction: float) -> list[t
             hashlib.sha256(c).hexdigest(),
             packed(a),
             packed(e),
-            likeness(a, e),
-            likeness(a, b),
+            likeness(a, e, fraction),
+            likeness(a, b, fraction),
         )
         for t, c, a, b, e in zip(texts, changed, own, next_, new, strict=True)
     ]

@@ -1,6 +1,14 @@
 import hashlib
 
-from fleetlake.llm.fingerprint import compare_neighbours, containment, fingerprints, likeness, sketches
+from fleetlake.llm.fingerprint import (
+    compare_neighbours,
+    containment,
+    containments,
+    fingerprints,
+    likeness,
+    merge,
+    sketches,
+)
 from fleetlake.llm.queries import op5_fingerprint
 from tests.conftest import SF_SMALL
 
@@ -43,3 +51,31 @@ def test_containment_of_unequal_texts():
     part, whole = sketches([" ".join(words[:4000]).encode(), " ".join(words).encode()])
     assert containment(part, whole) > 0.98
     assert 0.05 < containment(whole, part) < 0.15
+
+
+def test_short_texts_are_compared_exactly_and_found_in_long_ones():
+    for n in (6, 20, 60):
+        one, two = [f"w{i}" for i in range(n)], [f"w{i}" for i in range(n // 2 + 2)] + [f"v{i}" for i in range(n // 3)]
+        a, b = sketches([" ".join(one).encode(), " ".join(two).encode()])
+        of = lambda w: {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
+        assert likeness(a, b) == len(of(one) & of(two)) / len(of(one) | of(two))
+    long = [f"w{i}" for i in range(4000)]
+    for at in range(0, 3900, 100):
+        part, whole = sketches([" ".join(long[at : at + 40]).encode(), " ".join(long).encode()])
+        assert containment(part, whole) == 1.0
+
+
+def test_merge_and_containments_as_tables(spark):
+    words = [f"w{i}" for i in range(3000)]
+    docs = [(1, " ".join(words[:1504])), (2, " ".join(words[1500:])), (3, " ".join(words)), (4, " ".join(words[:30])),
+            (5, " ".join(words[26:50])), (6, " ".join(words[:50])), (7, "")]
+    prints = fingerprints(spark.createDataFrame(docs, "doc_id bigint, text string")).localCheckpoint()
+    own = {r.doc_id: r.fingerprint for r in prints.collect()}
+    group = "CASE WHEN doc_id IN (1, 2) THEN 3 WHEN doc_id IN (4, 5) THEN 6 ELSE 7 END AS part_of"
+    got = {r.part_of: r.fingerprint for r in merge(prints.filter("doc_id NOT IN (3, 6)").selectExpr("*", group), "part_of").collect()}
+    assert got == {3: own[3], 6: own[6], 7: ""}
+    pairs = spark.createDataFrame([(a, b) for a in own for b in own], "a bigint, b bigint")
+    array = dict(zip([i for i, _ in docs], sketches([t.encode() for _, t in docs]), strict=True))
+    shares = {(r.a, r.b): r.share for r in containments(pairs, prints).collect()}
+    assert shares == {(a, b): containment(array[a], array[b]) for a in own for b in own}
+    assert shares[4, 3] == shares[4, 6] == 1.0
