@@ -99,3 +99,14 @@ def test_components_of_chains_and_stars(spark):
 def test_empty_table(spark):
     df = spark.createDataFrame([], "doc_id bigint, text string")
     assert near_duplicates(df).collect() == [] and keep_one(df).collect() == []
+
+
+def test_signature_cut_misses_less_than_the_bands():
+    from math import ceil, comb
+
+    from fleetlake.llm import neardup as nd
+
+    least = ceil((nd.SIMILARITY - nd.SLACK) * nd.LONG_SAMPLES)
+    p, n = nd.SIMILARITY, nd.LONG_SAMPLES
+    below = sum(comb(n, i) * p**i * (1 - p) ** (n - i) for i in range(least))
+    assert below < (1 - p**nd.ROWS) ** nd.BANDS
