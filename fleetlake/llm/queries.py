@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from fleetlake.llm.common import read
 from fleetlake.llm.decontaminate import contaminated, contamination
 from fleetlake.llm.fingerprint import compare_neighbours
+from fleetlake.llm.merkle import FIELDS, fold, manifest, row_digest, siblings
 from fleetlake.llm.neardup import near_duplicates
 from fleetlake.llm.packing import pack
 from fleetlake.llm.personal_data import KINDS, personal_data
@@ -168,3 +169,87 @@ FROM d LEFT JOIN gone USING (doc_id) LEFT JOIN kept USING (doc_id)
 )
 def op10_substring_dedup(spark, sf_dir):
     return remove_repeats(read(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
+def _sql_crc32(value: str) -> str:
+    """CRC-32 of ASCII text in DuckDB, bit by bit."""
+    return (
+        f"xor(list_reduce(list_transform(string_split({value}, ''), lambda c: ascii(c)), lambda crc, b: "
+        "list_reduce(range(8), lambda x, k: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END, xor(crc, b)), "
+        "4294967295::BIGINT), 4294967295::BIGINT)"
+    )
+
+
+def _sql_framed(value: str) -> str:
+    return f"coalesce(strlen(CAST({value} AS VARCHAR)) || ':' || CAST({value} AS VARCHAR), '-')"
+
+
+def _sql_leaf(text: str) -> str:
+    return "sha256(" + " || ".join(_sql_framed(c) for c in ("doc_id", "source", "lang", "n_chars", text)) + ")"
+
+
+def _sql_forest(name: str, leaves: str) -> str:
+    """Levels ``name`` (tree, lvl, pos, digest, n) and children lists ``name_kids`` of the trees over ``leaves``."""
+    return f"""
+{name} AS (
+  SELECT tree, 0 AS lvl, pos, digest, n FROM {leaves}
+  UNION ALL
+  SELECT tree, lvl + 1, pos // 3, sha256(string_agg(digest, '' ORDER BY pos)), (any_value(n) + 2) // 3
+  FROM {name} WHERE n > 1 GROUP BY tree, lvl, pos // 3),
+{name}_kids AS (
+  SELECT tree, lvl, pos // 3 AS parent, list(digest ORDER BY pos) AS cs FROM {name} WHERE n > 1 GROUP BY ALL)"""
+
+
+def _sql_walk(name: str, start: str, kids: str) -> str:
+    """Folds ``start`` (id, tree, pos, digest, fold, sibs) up the tree: the last level of each id has its root."""
+    return f"""
+{name} AS (
+  SELECT id, tree, 0 AS lvl, pos, fold, sibs FROM {start}
+  UNION ALL
+  SELECT id, tree, w.lvl + 1, w.pos // 3,
+    sha256(array_to_string(cs[1 : w.pos % 3] || [fold] || cs[w.pos % 3 + 2 :], '')),
+    sibs || array_to_string(cs[1 : w.pos % 3] || cs[w.pos % 3 + 2 :], '')
+  FROM {name} w JOIN {kids} k USING (tree) WHERE k.lvl = w.lvl AND k.parent = w.pos // 3),
+{name}_end AS (SELECT id, tree, fold, sibs FROM {name} QUALIFY lvl = max(lvl) OVER (PARTITION BY id))"""
+
+
+@register(
+    "op11_manifest",
+    f"""
+WITH RECURSIVE l AS (
+  SELECT doc_id, CASE WHEN source IS NULL THEN 'a' ELSE 'b' || source END AS tree, {_sql_leaf("text")} AS digest,
+    {_sql_leaf("replace(text, chr(10), '')")} AS changed,
+    coalesce({_sql_crc32("CAST(doc_id AS VARCHAR)")} % 2 = 0, false) AS hit FROM documents),
+leaves AS (SELECT *, row_number() OVER () AS id, row_number() OVER w - 1 AS pos, count(*) OVER (PARTITION BY tree) AS n
+  FROM l WINDOW w AS (PARTITION BY tree ORDER BY doc_id NULLS FIRST, digest)),
+{_sql_forest("up", "leaves")},
+roots AS (SELECT '' AS tree, tree AS id, row_number() OVER (ORDER BY tree) - 1 AS pos, digest, count(*) OVER () AS n
+  FROM up WHERE n = 1),
+{_sql_forest("top", "roots")},
+start1 AS (SELECT id, tree, pos, CASE WHEN hit THEN changed ELSE digest END AS fold, '' AS sibs FROM leaves),
+{_sql_walk("w1", "start1", "up_kids")},
+start2 AS (SELECT e.id, r.tree, r.pos, e.fold, e.sibs FROM w1_end e JOIN roots r ON r.id = e.tree),
+{_sql_walk("w2", "start2", "top_kids")},
+root AS (SELECT digest AS root FROM top WHERE n = 1)
+SELECT doc_id, leaves.digest AS leaf, roots.digest AS subroot, root, sha256(w2_end.sibs) AS proof_sha256,
+  w2_end.fold AS folded_root, w2_end.fold = root AS verified
+FROM leaves JOIN roots ON roots.id = leaves.tree JOIN w2_end ON w2_end.id = leaves.id, root
+""",
+)
+def op11_manifest(spark, sf_dir):
+    docs = read(spark, sf_dir, "documents")
+    bare = F.replace(F.col("text"), F.lit("\n"), F.lit(""))
+    changed = F.when(
+        F.crc32(F.col("doc_id").cast("string").cast("binary")) % 2 == 0,
+        row_digest([bare if c == "text" else F.col(c) for c in FIELDS]),
+    )
+    found = manifest(docs, altered=changed)
+    folded = fold(F.coalesce("altered", "leaf"), F.col("path"))
+    return found.select(
+        "doc_id",
+        "leaf",
+        "subroot",
+        "root",
+        F.sha2(siblings(F.col("path")), 256).alias("proof_sha256"),
+        folded.alias("folded_root"),
+    ).withColumn("verified", F.col("folded_root") == F.col("root"))
