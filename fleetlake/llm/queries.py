@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetlake.llm.common import read
+from fleetlake.llm.common import narrow, read
 from fleetlake.llm.decontaminate import contaminated, contamination
 from fleetlake.llm.fingerprint import compare_neighbours
 from fleetlake.llm.merkle import FIELDS, fold, manifest, row_digest, siblings
@@ -16,6 +16,7 @@ from fleetlake.llm.neardup import near_duplicates
 from fleetlake.llm.packing import pack
 from fleetlake.llm.personal_data import KINDS, personal_data
 from fleetlake.llm.quality import resample
+from fleetlake.llm.runs import periodic_runs
 from fleetlake.llm.secret_scan import STRONG, scan
 from fleetlake.llm.sharding import assign_shards
 from fleetlake.llm.spans import listed
@@ -253,3 +254,61 @@ def op11_manifest(spark, sf_dir):
         F.sha2(siblings(F.col("path")), 256).alias("proof_sha256"),
         folded.alias("folded_root"),
     ).withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
+@register(
+    "op13_runs",
+    f"""
+WITH d AS (SELECT row_number() OVER () AS id, doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w,
+    {_sql_crc32("CAST(doc_id AS VARCHAR)")} AS h FROM documents),
+p AS (SELECT id, doc_id, w, len(w) AS n, coalesce(h % 10 = 0, false) AND len(w) > 0 AS hit,
+    (h // 10) % greatest(len(w), 1) AS a, 3 + (h // 10) % 8 AS times FROM d),
+m AS (SELECT id, doc_id, n, CASE WHEN hit
+    THEN w[1 : a] || list_transform(range(a, n), lambda i: w[a + (i - a) % (1 + (n - a) // times) + 1]) ELSE w END AS w FROM p),
+e AS (SELECT id, n, unnest(w) AS word, unnest(range(n)) AS i FROM m),
+pairs AS (SELECT x.id, x.i, y.i - x.i AS q FROM e x JOIN e y ON x.id = y.id AND x.word = y.word
+  WHERE y.i > x.i AND (y.i - x.i) * 4 <= x.n),
+stretch AS (SELECT id, q, min(i) AS s, count(*) + q AS size
+  FROM (SELECT *, i - row_number() OVER (PARTITION BY id, q ORDER BY i) AS g FROM pairs)
+  GROUP BY id, q, g HAVING count(*) + q >= greatest(6, 4 * q)),
+runs AS (SELECT id, s, size, min(q) AS q FROM stretch GROUP BY id, s, size),
+gone AS (SELECT DISTINCT id, unnest(range(s + q, s + size)) AS i FROM runs),
+kept AS (SELECT id, string_agg(word, ' ' ORDER BY i) AS text FROM e ANTI JOIN gone USING (id, i) GROUP BY id),
+listed AS (SELECT id, count(*) AS n_runs, string_agg(s || ',' || size || ',' || q || chr(10), '' ORDER BY s, q) AS lines,
+  first(struct_pack(s := s, size := size, q := q) ORDER BY size DESC, s, q) AS best FROM runs GROUP BY id)
+SELECT doc_id, coalesce(n_runs, 0) AS n_runs, CAST(best.s AS BIGINT) AS start, CAST(best.size AS BIGINT) AS length,
+  CAST(best.q AS BIGINT) AS period, CAST(1000 * best.size // best.q AS BIGINT) AS exponent_milli,
+  sha256(coalesce(lines, '')) AS runs_sha256, sha256(coalesce(text, '')) AS collapsed_sha256
+FROM m LEFT JOIN listed USING (id) LEFT JOIN kept USING (id)
+""",
+)
+def op13_runs(spark, sf_dir):
+    found = periodic_runs(_with_periodic_tails(read(spark, sf_dir, "documents")))
+    line = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n")))
+    best = F.array_max(F.transform("runs", lambda r: F.struct(r["length"], -r["start"], -r["period"])))
+    found = found.withColumn("best", best)
+    length, start, period = F.col("best.length"), -F.col("best.col2"), -F.col("best.col3")
+    return found.select(
+        "doc_id",
+        F.size("runs").cast("bigint").alias("n_runs"),
+        start.alias("start"),
+        length.alias("length"),
+        period.alias("period"),
+        F.floor(length * 1000 / period).alias("exponent_milli"),
+        F.sha2(F.array_join(line, ""), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
+def _with_periodic_tails(docs: DataFrame) -> DataFrame:
+    """Documents of which a tenth, by the crc32 of the id, repeat a stretch of their words from some word on."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    docs = narrow(docs, "doc_id", "text").withColumn("h", h)
+    words = F.regexp_extract_all("text", F.lit("[^\\x20\\x09-\\x0D]++"), F.lit(0))
+    docs = docs.withColumn("w", F.when(F.col("h") % 10 == 0, words)).withColumn("n", F.size("w"))
+    docs = docs.withColumn("w", F.when(F.col("n") > 0, F.col("w"))).withColumn("g", F.expr("h div 10"))
+    docs = docs.withColumn("a", F.when(F.col("n") > 0, F.expr("int(g % n)")))
+    docs = docs.withColumn("p", F.expr("int(1 + (n - a) div (3 + g % 8))"))
+    tail = F.flatten(F.array_repeat(F.slice("w", F.col("a") + 1, F.col("p")), F.expr("int((n - a + p - 1) div p)")))
+    changed = F.concat(F.slice("w", F.lit(1), F.col("a")), F.slice(tail, F.lit(1), F.col("n") - F.col("a")))
+    return docs.select("doc_id", F.coalesce(F.array_join(changed, " "), "text").alias("text"))
