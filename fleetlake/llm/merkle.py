@@ -31,7 +31,7 @@ table gives no rows; columns that are not asked for are not read.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -65,7 +65,8 @@ def _slots(fanout: int) -> list[str]:
 def _positions(leaves: DataFrame, key: str, group: str) -> DataFrame:
     """``tree`` (one number a group, ascending with it), ``pos`` in it and its size ``n``, for every leaf."""
     order = [F.col(group).asc_nulls_first(), F.col(key).asc_nulls_first(), F.col("digest")]
-    numbered = materialise(number_rows(leaves, order), "merkle-leaves")
+    # written first: the range shuffle looks at its input twice, which shall not be the texts
+    numbered = materialise(number_rows(materialise(leaves, "merkle-digests"), order), "merkle-leaves")
     # a group is a stretch of neighbouring blocks: one row for each block and group in it
     piece = numbered.groupBy(BLOCK, group).agg(F.min(ROW).alias("lo"), F.count(F.lit(1)).alias("rows"))
     whole = Window.partitionBy(group)
@@ -119,14 +120,15 @@ def _roots(leaves: DataFrame, levels: list[DataFrame]) -> DataFrame:
     return found
 
 
-def _paths(leaves: DataFrame, levels: list[DataFrame], tops: DataFrame, fanout: int) -> DataFrame:
-    """``own``, ``digest`` and ``path`` of every leaf, with the columns of ``tops`` (a row and ``path`` for each tree)."""
-    extra = [c for c in tops.columns if c not in ("tree", "path")]
+def _paths(
+    leaves: DataFrame, levels: list[DataFrame], crown: Callable[[DataFrame], DataFrame], extra: Sequence[str], fanout: int
+) -> DataFrame:
+    """``own``, ``digest``, ``path`` and ``extra`` of every leaf; ``crown`` gives roots their ``path`` and ``extra``."""
     names = _slots(fanout)
     known = None
     for depth in range(len(levels) - 1, -1, -1):
         level = levels[depth]
-        met = level.filter("n = 1").join(tops, "tree")
+        met = crown(level.filter("n = 1"))
         if known is not None:
             met = met.unionByName(level.filter("n > 1").join(known, ["tree", "pos"]))
         child = [
@@ -142,7 +144,7 @@ def _paths(leaves: DataFrame, levels: list[DataFrame], tops: DataFrame, fanout:
         path = F.concat(F.array("x.step"), "path").alias("path")
         wanted = ["x.own", "x.digest"] if depth == 0 else ["tree", "x.pos"]
         known = rows.select(*wanted, path, *extra)
-    lone = leaves.filter("n = 1").join(tops, "tree").select("own", "digest", "path", *extra)
+    lone = crown(leaves.filter("n = 1")).select("own", "digest", "path", *extra)
     return lone if known is None else lone.unionByName(known)
 
 
@@ -170,7 +172,6 @@ def manifest(
     ``altered``, a column over the rows of ``docs``, travels with its row; it
     is meant for the digest of a changed row, to be folded over the path.
     """
-    spark = docs.sparkSession
     own = F.struct(F.col(f"`{key}`").alias("key"), (F.lit(None).cast("string") if altered is None else altered).alias("altered"))
     rows = narrow(docs, *dict.fromkeys([*fields, key, group])).select(
         F.col(f"`{key}`").alias("k"),
@@ -189,11 +190,11 @@ def manifest(
     upper = positions_from_numbered(numbered, "pos").withColumns({"tree": F.lit(0), "n": F.lit(groups)})
     above = _levels(upper, fanout, "merkle-top")
     found = _roots(upper, above).select("digest").first()  # one digest
-    top = spark.range(1).select(F.lit(0).alias("tree"), F.array().cast("array<struct<left:string,right:string>>").alias("path"))
-    tops = _paths(upper, above, top, fanout).select(
+    nothing = F.array().cast("array<struct<left:string,right:string>>")
+    tops = _paths(upper, above, lambda root: root.withColumn("path", nothing), [], fanout).select(
         F.col("own").alias("tree"), F.col("digest").alias("subroot"), "path"
     )
-    return _paths(leaves, levels, tops, fanout).select(
+    return _paths(leaves, levels, lambda roots: roots.join(tops, "tree"), ["subroot"], fanout).select(
         F.col("own.key").alias(key),
         F.col("digest").alias("leaf"),
         "subroot",
