@@ -55,7 +55,7 @@ def _text_roundtrip(spark, sf_dir, table: str):
     (df,) = read_tables(spark, sf_dir, table)
     path = scratch_path(spark, "csv") + f"/{table}.csv"
     write_csv(df, path)
-    return csv_scan(spark, path, df.schema, multi_line=True)
+    return csv_scan(spark, path, df.schema)
 
 
 @register("csv_scan_documents", "SELECT * FROM documents")

@@ -38,7 +38,7 @@ def _runs(base: str) -> str:
 
 
 def upload_dataset(
-    spark: SparkSession, path: str, base: str, session_id: str, schema=None, multi_line: bool = False, order_by=None
+    spark: SparkSession, path: str, base: str, session_id: str, schema=None, multi_line: bool = True, order_by=None
 ) -> DataFrame:
     """The stored session row of the file at ``path``, its profile decoded."""
     filename = os.path.basename(path.rstrip("/"))

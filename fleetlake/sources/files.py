@@ -5,9 +5,9 @@
   cells that do not convert can be listed (``csv_rejects``). Without one, each
   column's type comes from ONE aggregate of failed ``try_cast`` counts
   (bigint, double, boolean, date, timestamp, else string) -- a second scan,
-  but never a per-column job. ``multi_line`` reads quoted line breaks; such a
-  file is read by one task, so files declared single-line keep the splittable
-  path, and multi-line ones should be landed as parquet first.
+  but never a per-column job. Line breaks in quoted values are looked for and
+  kept; such a file is split over as many tasks as any other
+  (``csv_records``). ``multi_line=False`` skips the look.
 * Parquet: partitioned writes; reads return an empty typed frame when the
   path does not exist; versioned publish so a reader never sees a table
   half-replaced.
@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from fleetlake.functions.fixed_values import MISSING_TOKENS
+from fleetlake.sources.csv_records import csv_multiline_text
 
 # candidate types in the order they are tried
 _TRY_TYPES = ["bigint", "double", "boolean", "date", "timestamp_ntz"]
@@ -86,8 +87,13 @@ def _convert(c, t: str):
 
 
 def _csv_text(spark: SparkSession, path: str, multi_line: bool) -> DataFrame:
-    reader = spark.read.option("header", True).option("escape", '"').option("multiLine", multi_line)
-    return null_missing_tokens(reader.option("inferSchema", False).csv(path))
+    options = {"escape": '"', "multiLine": "true"}
+    if multi_line:
+        names = spark.read.options(**options, header=True).csv(path).columns
+        text = csv_multiline_text(spark, path, names, options)
+        if text is not None:
+            return null_missing_tokens(text)
+    return null_missing_tokens(spark.read.option("header", True).option("escape", '"').csv(path))
 
 
 def _as_struct(schema: T.StructType | str) -> T.StructType:
@@ -95,7 +101,7 @@ def _as_struct(schema: T.StructType | str) -> T.StructType:
 
 
 def csv_scan(
-    spark: SparkSession, path: str, schema: T.StructType | str | None = None, multi_line: bool = False
+    spark: SparkSession, path: str, schema: T.StructType | str | None = None, multi_line: bool = True
 ) -> DataFrame:
     """A1: CSV with a header, missing tokens as nulls. Typed by ``schema``
     (cells that do not convert are null, see ``csv_rejects``), else A1b."""
@@ -107,7 +113,7 @@ def csv_scan(
     return text.select(*[_convert(_q(c), t).alias(c) for c, t in kinds.items()])
 
 
-def csv_rejects(spark: SparkSession, path: str, schema: T.StructType | str, multi_line: bool = False) -> DataFrame:
+def csv_rejects(spark: SparkSession, path: str, schema: T.StructType | str, multi_line: bool = True) -> DataFrame:
     """``column``, ``rejected``: how many cells of each column had text that the schema's type does not hold."""
     text = _csv_text(spark, path, multi_line)
     fields = _as_struct(schema).fields
@@ -188,7 +194,7 @@ def land_bronze(df: DataFrame, path: str) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
-def read_dataset(spark: SparkSession, path: str, schema=None, multi_line: bool = False) -> DataFrame:
+def read_dataset(spark: SparkSession, path: str, schema=None, multi_line: bool = True) -> DataFrame:
     """Choose the reader by file extension."""
     suffix = os.path.splitext(path.rstrip("/"))[1].lower()
     if suffix in (".xlsx", ".xls"):
