@@ -58,7 +58,7 @@ def customer_aggregates(recent: DataFrame) -> DataFrame:
     return recent.dropna(subset=GROUP_KEYS).groupBy(*GROUP_KEYS).agg(*_group_measures())
 
 
-def _first_in_reliability_order(column: str) -> Column:
+def first_in_reliability_order(column: str) -> Column:
     """Smallest (reliability, time, job; nulls last) with a non-null ``column``, as a struct that ends in it."""
     order = [x for c in ("reliability_score", "event_ts", "job_id") for x in (F.col(c).isNull(), F.col(c))]
     fields = [x.alias(f"k{i}") for i, x in enumerate(order)]
@@ -72,8 +72,8 @@ def worst_workload(recent: DataFrame) -> DataFrame:
         recent.filter(F.col("customer_id").isNotNull())
         .groupBy("customer_id")
         .agg(
-            _first_in_reliability_order("workload_name").alias("w"),
-            _first_in_reliability_order("failure_category").alias("f"),
+            first_in_reliability_order("workload_name").alias("w"),
+            first_in_reliability_order("failure_category").alias("f"),
         )
     )
     return found.select(
@@ -110,26 +110,34 @@ def exec_summary() -> Column:
     )
 
 
-def build_customer_health(silver: DataFrame, days: int = 7, ordered: bool = True, latest=None) -> DataFrame:
-    """D1-D9 end to end. ``ordered`` applies D9 (score ascending); ``latest``
-    see ``recent_window``."""
-    recent = recent_window(silver, days, latest).filter(F.col("customer_id").isNotNull())
+def finish_health(grouped: DataFrame) -> DataFrame:
+    """D4-D8 from one row for each group with its measures and worst candidates ``_w``, ``_f``."""
     own = Window.partitionBy("customer_id")
     health = (
-        recent.groupBy(*GROUP_KEYS)
-        .agg(
-            *_group_measures(),
-            _first_in_reliability_order("workload_name").alias("_w"),
-            _first_in_reliability_order("failure_category").alias("_f"),
-        )
-        .withColumn("at_risk_workload", F.min("_w").over(own)["value"])
+        grouped.withColumn("at_risk_workload", F.min("_w").over(own)["value"])
         .withColumn("dominant_failure", F.min("_f").over(own)["value"])
         .drop("_w", "_f")
         .dropna(subset=GROUP_KEYS)
     )
     health = health.withColumn("customer_health_score", health_score())
     health = health.withColumn("risk_band", risk_band(F.col("customer_health_score")))
-    health = health.withColumn("exec_summary", exec_summary())
-    if ordered:
-        health = health.orderBy(F.col("customer_health_score").asc_nulls_last(), F.col("customer_id"))
-    return health
+    return health.withColumn("exec_summary", exec_summary())
+
+
+def by_score(health: DataFrame) -> DataFrame:
+    """Score ascending."""
+    return health.orderBy(F.col("customer_health_score").asc_nulls_last(), F.col("customer_id"))
+
+
+def build_customer_health(silver: DataFrame, days: int = 7, ordered: bool = True, latest=None) -> DataFrame:
+    """D1-D9 end to end. ``ordered`` applies D9 (score ascending); ``latest``
+    see ``recent_window``."""
+    recent = recent_window(silver, days, latest).filter(F.col("customer_id").isNotNull())
+    health = finish_health(
+        recent.groupBy(*GROUP_KEYS).agg(
+            *_group_measures(),
+            first_in_reliability_order("workload_name").alias("_w"),
+            first_in_reliability_order("failure_category").alias("_f"),
+        )
+    )
+    return by_score(health) if ordered else health

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from fleetlake.functions.exprs import iso_seconds
-from fleetlake.operators.incidents import build_incident_queue
+from fleetlake.operators.incidents import build_incident_queue, incident_candidates
 from fleetlake.operators.runlog import (
     PROFILE_HEAD_SCHEMA,
     append_runs,
@@ -22,12 +22,13 @@ from fleetlake.operators.runlog import (
     recent_runs,
     session_list,
 )
-from fleetlake.operators.silver import build_silver
+from fleetlake.operators.silver import build_silver, score_silver
 from fleetlake.plans import oracle as o
 from fleetlake.plans.catalog import register
 from fleetlake.plans.medallion import run_feature_pipeline
 from fleetlake.plans.queries_medallion import HEALTH_COLUMNS
 from fleetlake.plans.queries_serving import QUEUE_COLS
+from fleetlake.plans.timeline import add_runs
 from fleetlake.session import scratch_path
 from fleetlake.sources.files import (
     csv_scan,
@@ -221,12 +222,16 @@ def q_session_list(spark, sf_dir):
 # ---- streaming -------------------------------------------------------------------------------
 
 
-def _stage_source(spark, sf_dir) -> str:
-    """Land telemetry in time order as several files, as if they arrived one by one; their number follows the cluster."""
+#: Micro-batches of the streaming queries, whatever the number of files.
+EPOCHS = 4
+
+
+def _stage_source(spark, sf_dir) -> tuple[str, int]:
+    """Land telemetry in time order as files, as if they arrived in turn; returns how many to take at a time."""
     src = scratch_path(spark, "stream-src")
-    files = max(2, int(spark.conf.get("spark.sql.shuffle.partitions")) // 2)
-    load_telemetry(spark, sf_dir).repartitionByRange(files, "event_ts", "job_id").write.parquet(src)
-    return src
+    load_telemetry(spark, sf_dir).repartitionByRange("event_ts", "job_id").write.parquet(src)
+    files = len(spark.read.schema(TELEMETRY_SCHEMA).parquet(src).inputFiles())
+    return src, max(1, -(-files // EPOCHS))
 
 
 _STREAM_SILVER_COLS = (
@@ -237,15 +242,16 @@ _STREAM_SILVER_COLS = (
 
 @register("stream_silver", o.silver_sql(f"SELECT {_STREAM_SILVER_COLS} FROM silver"))
 def q_stream_silver(spark, sf_dir):
-    src = _stage_source(spark, sf_dir)
+    src, files = _stage_source(spark, sf_dir)
     out, ckpt = scratch_path(spark, "stream-silver"), scratch_path(spark, "stream-ckpt")
-    run_silver_stream(spark, src, TELEMETRY_SCHEMA, out, ckpt, files_per_trigger=1)  # one epoch per file
+    run_silver_stream(spark, src, TELEMETRY_SCHEMA, out, ckpt, files_per_trigger=files)
     return spark.read.parquet(out).select(*[c.strip() for c in _STREAM_SILVER_COLS.split(",")])
 
 
-def _gold_stream(spark, src: str) -> str:
+def _gold_stream(spark, sf_dir) -> str:
+    src, files = _stage_source(spark, sf_dir)
     silver, gold, ckpt = (scratch_path(spark, t) for t in ("sg-silver", "sg-gold", "sg-ckpt"))
-    run_gold_stream(spark, src, TELEMETRY_SCHEMA, silver, gold, ckpt, days=7, files_per_trigger=1)  # one epoch per file
+    run_gold_stream(spark, src, TELEMETRY_SCHEMA, silver, gold, ckpt, days=7, files_per_trigger=files)
     return gold
 
 
@@ -260,17 +266,50 @@ _STREAM_QUEUE_COLS = "job_id, customer_id, event_ts, severity, severity_rank, ne
     ),
 )
 def q_stream_incidents(spark, sf_dir):
-    queue = latest_gold(spark, _gold_stream(spark, _stage_source(spark, sf_dir)), QUEUE)
+    queue = latest_gold(spark, _gold_stream(spark, sf_dir), QUEUE)
     return queue.select(*[c.strip() for c in _STREAM_QUEUE_COLS.split(",")])
 
 
 @register("stream_gold", o.health_sql(7, f"SELECT {HEALTH_COLUMNS} FROM customer_health"))
 def q_stream_gold(spark, sf_dir):
-    src = _stage_source(spark, sf_dir)
-    gold = _gold_stream(spark, src)
-    return latest_gold(spark, gold).select(*[c.strip() for c in HEALTH_COLUMNS.split(",")])
+    return latest_gold(spark, _gold_stream(spark, sf_dir)).select(*[c.strip() for c in HEALTH_COLUMNS.split(",")])
+
+
+# ---- the timeline: runs that arrive late, numbered and summed by period ----------------------
+
+
+def _timeline(spark, sf_dir):
+    """A fifth of the runs arrives after the others."""
+    silver = score_silver(load_telemetry(spark, sf_dir))
+    late, base = F.pmod(F.xxhash64("job_id"), F.lit(5)) == 0, scratch_path(spark, "timeline")
+    add_runs(spark, base, silver.filter(~late), grain="month")
+    return add_runs(spark, base, silver.filter(late), grain="month")
+
+
+@register("timeline_incident_ids", o.silver_sql("SELECT job_id, event_ts, incident_id FROM silver"))
+def q_timeline_incident_ids(spark, sf_dir):
+    return _timeline(spark, sf_dir).silver().select("job_id", "event_ts", "incident_id")
+
+
+@register(
+    "timeline_lookup",
+    o.incidents_sql(f"SELECT {QUEUE_COLS} FROM incidents ORDER BY {o.QUEUE_ORDER} LIMIT 1"),
+)
+def q_timeline_lookup(spark, sf_dir):
+    line = _timeline(spark, sf_dir)
+    wanted = build_incident_queue(line.silver(), 1).first()  # one row
+    found = incident_candidates(line.incident(wanted["incident_id"] if wanted else ""))
+    return found.select(*[c.strip() for c in QUEUE_COLS.split(",")])
+
+
+@register("timeline_health", o.health_sql(7, f"SELECT {HEALTH_COLUMNS} FROM customer_health"))
+def q_timeline_health(spark, sf_dir):
+    return _timeline(spark, sf_dir).health(7).select(*[c.strip() for c in HEALTH_COLUMNS.split(",")])
 
 
+@register("timeline_health_90d", o.health_sql(90, f"SELECT {HEALTH_COLUMNS} FROM customer_health"))
+def q_timeline_health_90d(spark, sf_dir):
+    return _timeline(spark, sf_dir).health(90).select(*[c.strip() for c in HEALTH_COLUMNS.split(",")])
 
 
 # ---- sessions and appended runs ------------------------------------------------------------

@@ -5,13 +5,17 @@ stateless silver scoring (the same ``score_silver`` as batch) and appends to
 the silver table, with a checkpoint so a restarted query resumes where it
 stopped (exactly-once file sink).
 
-K2: health hangs on the latest event over ALL silver (a global maximum), so
-it is not an incremental aggregate. Silver is partitioned by event month, and
-after each micro-batch ``foreachBatch`` recomputes health from the months of
-the trailing window only. The incident queue is a top-k, so it is the top-k of
-the last queue and the batch's incidents. Both tables of an epoch are written
-first and then committed by a row in an append-only log; readers take the
-newest committed epoch, also when its tables are empty.
+K2: health hangs on the latest event over ALL silver (a global maximum) and
+its window starts in the middle of a day. Each micro-batch adds its daily panes
+(``operators/panes``: mergeable counts, sums and worst runs), late runs
+included, and health is folded from the panes of the window; silver is read
+again only for the one day that the window's start cuts through. Panes and
+silver are stored by event month first, so an epoch lists the months it needs
+however many epochs there were. The incident queue is a top-k, so it is the
+top-k of the last queue and the batch's incidents. All tables of an epoch are
+written first and then committed by a row in an append-only log; readers take
+the newest committed epoch, also when its tables are empty. The gold tables of
+all but the last ``KEPT_EPOCHS`` epochs are removed.
 
 Incident ids need a position over the whole table, so the stream's queue keeps
 ``job_id`` as its key; ids are assigned when gold is rebuilt in batch.
@@ -28,8 +32,8 @@ from pyspark.sql import types as T
 
 from fleetlake.functions.fixed_values import INCIDENT_QUEUE_SIZE
 from fleetlake.operators.bronze import build_bronze
-from fleetlake.operators.health import build_customer_health
 from fleetlake.operators.incidents import incident_candidates
+from fleetlake.operators.panes import DAY, daily_panes, health_from_panes, window_start
 from fleetlake.operators.silver import score_silver
 
 
@@ -61,9 +65,12 @@ def run_silver_stream(
     q.awaitTermination()
 
 
-HEALTH, QUEUE = "customer_health", "incident_queue"
-#: Silver's partition column: the first day of the event's month (a file per day and batch would be too small).
+HEALTH, QUEUE, PANES = "customer_health", "incident_queue", "_panes"
+#: The first partition column: the first day of the event's month (a file per day and batch would be too small).
 PERIOD = "event_month"
+BATCH = "batch"
+#: Epochs whose gold tables stay, for readers that are still at an older one.
+KEPT_EPOCHS = 10
 
 
 def _commit_dir(gold_dir: str) -> str:
@@ -81,14 +88,29 @@ def committed_epoch(spark: SparkSession, gold_dir: str, before: int | None = Non
     return log.agg(F.max("epoch")).first()[0]  # one value
 
 
-def recent_silver(spark: SparkSession, silver_dir: str, schema: T.StructType, cutoff: dt.datetime) -> DataFrame:
-    """Stored silver from ``cutoff`` on: the period prunes folders, the time what is left."""
-    stored = spark.read.schema(T.StructType([*schema.fields, T.StructField(PERIOD, T.DateType())]))
-    return (
-        stored.parquet(silver_dir)
-        .filter((F.col(PERIOD) >= F.lit(cutoff.date().replace(day=1))) & (F.col("event_ts") >= F.lit(cutoff)))
-        .drop(PERIOD, "batch")
-    )
+def _store_by_month(df: DataFrame, time: str, path: str, epoch_id: int) -> None:
+    """Add the epoch's rows; written again, the epoch replaces its own folders only."""
+    placed = df.withColumns({PERIOD: F.trunc(time, "month"), BATCH: F.lit(epoch_id)})
+    placed.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(PERIOD, BATCH).parquet(path)
+
+
+def _read_months(spark: SparkSession, path: str, schema: T.StructType, first: dt.date, last: dt.date) -> DataFrame:
+    """Rows of the months from ``first`` to ``last``; other months' folders are not listed."""
+    months, month = [], first.replace(day=1)
+    while month <= last:
+        months.append(month.isoformat())
+        month = (month + dt.timedelta(days=32)).replace(day=1)
+    stored = T.StructType([*schema.fields, T.StructField(PERIOD, T.DateType()), T.StructField(BATCH, T.LongType())])
+    try:
+        found = spark.read.schema(stored).option("basePath", path).parquet(f"{path}/{PERIOD}={{{','.join(months)}}}")
+    except AnalysisException:  # none of the months has rows
+        found = spark.createDataFrame([], stored)
+    return found.drop(PERIOD, BATCH)
+
+
+def _forget(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def stream_queue(incidents: DataFrame, n: int = INCIDENT_QUEUE_SIZE) -> DataFrame:
@@ -108,24 +130,29 @@ def run_gold_stream(
     days: int = 7,
     files_per_trigger: int = 1000,
 ) -> None:
-    """K2: append silver, rebuild customer health and fold the incident queue after every micro-batch.
+    """K2: append silver and panes, fold customer health and the incident queue after every micro-batch.
 
     The latest event seen so far is carried from epoch to epoch as a one-row
     state file (previous state folded with the batch maximum), so the trailing
-    window needs no scan of all silver.
+    window needs no scan of all silver. Runs without a time are in no window;
+    they reach the queue only.
     """
     state_dir = f"{checkpoint_dir.rstrip('/')}/_latest_event"
 
+    panes_dir = f"{gold_dir.rstrip('/')}/{PANES}"
+
     def refresh(batch: DataFrame, epoch_id: int) -> None:
         sp = batch.sparkSession
-        # one directory per epoch, overwritten on retry: a replayed batch is idempotent
-        epoch_path = f"{silver_dir}/batch={epoch_id}"
-        by_time = batch.withColumn(PERIOD, F.trunc("event_ts", "month")).repartitionByRange("event_ts", "job_id")
-        by_time.sortWithinPartitions("event_ts").write.mode("overwrite").partitionBy(PERIOD).parquet(epoch_path)
+        # computed and sorted once; silver, panes, the latest event and the incidents come from the written rows
+        epoch_path = f"{checkpoint_dir.rstrip('/')}/_epoch/{epoch_id % 2}"
+        by_time = batch.repartitionByRange("event_ts", "job_id").sortWithinPartitions("event_ts")
+        by_time.write.mode("overwrite").parquet(epoch_path)
         written = sp.read.schema(batch.schema).parquet(epoch_path)
-        # running latest event: this batch's maximum (from the written files, one
-        # column) folded into the previous epoch's state, so each epoch reads one
-        # tiny file; the full state history is read only to recover a missing step
+        _store_by_month(written.filter(F.col("event_ts").isNotNull()), "event_ts", silver_dir, epoch_id)
+        panes = daily_panes(written)
+        _store_by_month(panes, DAY, panes_dir, epoch_id)
+        # the running latest event: this batch's maximum folded into the previous epoch's
+        # state; the full state history is read only to recover a missing step
         batch_max = written.agg(F.max("event_ts").alias("latest"))
         try:
             prev = sp.read.parquet(f"{state_dir}/epoch={epoch_id - 1}")
@@ -144,8 +171,12 @@ def run_gold_stream(
         )
         if latest is None:
             return
-        recent = recent_silver(sp, silver_dir, batch.schema, latest - dt.timedelta(days=days))
-        health = build_customer_health(recent, days, ordered=False, latest=latest)
+        cutoff, first = window_start(latest, days)
+        cut_day = _read_months(sp, silver_dir, batch.schema, first, first).filter(
+            (F.col("event_ts") >= F.lit(cutoff)) & (F.col("event_ts") < F.lit(dt.datetime.combine(first, dt.time()) + dt.timedelta(1)))
+        )
+        window = _read_months(sp, panes_dir, panes.schema, first, latest.date())
+        health = health_from_panes(window, cut_day, days, latest, ordered=False)
         health.write.mode("overwrite").parquet(f"{gold_dir}/{HEALTH}/epoch={epoch_id}")
         incidents = incident_candidates(written)
         last = committed_epoch(sp, gold_dir, before=epoch_id)
@@ -153,6 +184,8 @@ def run_gold_stream(
             incidents = incidents.unionByName(sp.read.parquet(f"{gold_dir}/{QUEUE}/epoch={last}"))
         stream_queue(incidents).write.mode("overwrite").parquet(f"{gold_dir}/{QUEUE}/epoch={epoch_id}")
         sp.createDataFrame([(epoch_id,)], "epoch BIGINT").coalesce(1).write.mode("append").json(_commit_dir(gold_dir))
+        for table in (HEALTH, QUEUE):
+            _forget(sp, f"{gold_dir}/{table}/epoch={epoch_id - KEPT_EPOCHS}")
 
     q = (
         silver_stream(spark, source_dir, schema, files_per_trigger)

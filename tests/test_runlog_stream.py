@@ -83,3 +83,34 @@ def test_gold_stream_restart_equals_batch(spark):
     streamed = sorted(map(tuple, latest_gold(spark, gold).select(*cols).collect()))
     batch = sorted(map(tuple, build_customer_health(score_silver(tel), 90).select(*cols).collect()))
     assert streamed == batch
+
+
+def test_gold_stream_with_late_files_reads_few_rows_again(spark):
+    """Late runs fall into old panes; health equals the batch, and only its own last epochs stay."""
+    import os
+
+    from pyspark.sql import functions as F
+
+    from fleetlake.operators.health import build_customer_health
+    from fleetlake.streaming import refresh
+    from fleetlake.streaming.refresh import latest_gold, run_gold_stream
+
+    tel = load_telemetry(spark, SF_SMALL).filter("event_ts >= '1998-03-01'").cache()
+    src = scratch_path(spark, "late-src")
+    folders = [scratch_path(spark, t) for t in ("late-silver", "late-gold", "late-ck")]
+    for part in range(3):  # each file spans the whole time
+        tel.filter(F.pmod(F.hash("job_id"), F.lit(3)) == part).coalesce(1).write.mode("append").parquet(src)
+        run_gold_stream(spark, src, TELEMETRY_SCHEMA, *folders, days=30, files_per_trigger=1)
+    cols = ["customer_id", "jobs_last_7d", "avg_duration_min", "customer_health_score", "at_risk_workload", "dominant_failure"]
+    streamed = sorted(map(tuple, latest_gold(spark, folders[1]).select(*cols).collect()))
+    assert streamed == sorted(map(tuple, build_customer_health(score_silver(tel), 30).select(*cols).collect()))
+    silver = folders[0].removeprefix("file:")
+    assert all(name.startswith(("event_month=", "_", ".")) for name in os.listdir(silver))
+    kept, refresh.KEPT_EPOCHS = refresh.KEPT_EPOCHS, 1
+    try:
+        tel.limit(1).coalesce(1).write.mode("append").parquet(src)
+        run_gold_stream(spark, src, TELEMETRY_SCHEMA, *folders, days=30, files_per_trigger=1)
+    finally:
+        refresh.KEPT_EPOCHS = kept
+    assert sorted(os.listdir(f"{folders[1].removeprefix('file:')}/customer_health"))[-1] == "epoch=3"
+    assert "epoch=2" not in os.listdir(f"{folders[1].removeprefix('file:')}/customer_health")
