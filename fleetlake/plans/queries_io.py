@@ -11,14 +11,13 @@ from pyspark.sql import functions as F
 
 from fleetlake.functions.exprs import iso_seconds
 from fleetlake.operators.incidents import build_incident_queue, incident_candidates
+from fleetlake.operators.keyed import read_rows, upsert_rows
 from fleetlake.operators.runlog import (
     PROFILE_HEAD_SCHEMA,
     append_runs,
     decode_summary,
     encode_summary,
     load_session,
-    publish_upsert,
-    read_current,
     recent_runs,
     session_list,
 )
@@ -29,6 +28,7 @@ from fleetlake.plans.medallion import run_feature_pipeline
 from fleetlake.plans.queries_medallion import HEALTH_COLUMNS
 from fleetlake.plans.queries_serving import QUEUE_COLS
 from fleetlake.plans.timeline import add_runs
+from fleetlake.plans.uploads import PROFILE_SCHEMA, analyse_session, analysis_runs, stored_sessions, upload_dataset
 from fleetlake.session import scratch_path
 from fleetlake.sources.files import (
     csv_scan,
@@ -144,12 +144,12 @@ RUNLOG_SCHEMA = (
 
 
 def _runlog(spark, sf_dir):
-    """Two published versions: every second event first, then the rest, which replaces rows and adds new ids."""
+    """Two upserts: every second event first, then the rest, which replaces rows and adds new ids."""
     updates, table = _updates(spark, sf_dir), scratch_path(spark, "runlog")
     first = F.col("_seq") % 2 == 0
-    publish_upsert(spark, table, updates.filter(first), RUNLOG_SCHEMA)
-    publish_upsert(spark, table, updates.filter(~first), RUNLOG_SCHEMA)
-    return read_current(spark, table, RUNLOG_SCHEMA)
+    upsert_rows(spark, table, updates.filter(first), RUNLOG_SCHEMA)
+    upsert_rows(spark, table, updates.filter(~first), RUNLOG_SCHEMA)
+    return read_rows(spark, table, RUNLOG_SCHEMA)
 
 
 _LATEST_SQL = """latest AS (
@@ -356,6 +356,54 @@ def q_session_lookup(spark, sf_dir):
     )
 
 
+@register(
+    "upload_session",
+    "SELECT 'events.csv' AS filename, 'csv' AS source, count(*) AS rows, 4 AS columns, "
+    "'event_id,user_id,event_type,value' AS column_names, 'event_type' AS categorical, "
+    "count(*) FILTER (WHERE value IS NULL) AS missing_values, 2 AS uploads FROM events",
+)
+def q_upload_session(spark, sf_dir):
+    """H5: the file is uploaded twice under one id; the session is replaced, both landings stay readable."""
+    (events,) = read_tables(spark, sf_dir, "events")
+    base = scratch_path(spark, "uploads")
+    path = f"{base}/in/events.csv"
+    write_csv(events.select("event_id", "user_id", "event_type", "value"), path)
+    first = upload_dataset(spark, path, base, "s", order_by=["event_id"]).first()  # one row
+    second = upload_dataset(spark, path, base, "s", order_by=["event_id"])
+    profile = F.from_json("profile_json", PROFILE_SCHEMA)
+    old = spark.read.parquet(first["bronze_path"]).groupBy().agg(F.count(F.lit(1)).alias("n")).scalar()
+    sessions = stored_sessions(spark, base).withColumn("profile", profile)
+    kept = second.select("bronze_path").scalar() != F.lit(first["bronze_path"])
+    return sessions.select(
+        "filename",
+        "source",
+        F.col("profile.rows").alias("rows"),
+        F.col("profile.columns").alias("columns"),
+        F.array_join("profile.column_names", ",").alias("column_names"),
+        F.array_join("profile.categorical_columns", ",").alias("categorical"),
+        F.col("profile.missing_values")["value"].alias("missing_values"),
+        F.when(kept & (old == F.col("profile.rows")), 2).otherwise(1).alias("uploads"),
+    )
+
+
+@register(
+    "upload_answer",
+    "SELECT event_type, count(value) AS runs, round(avg(value), 6) AS mean, min(value) AS min, max(value) AS max "
+    "FROM events WHERE event_type IS NOT NULL GROUP BY event_type ORDER BY mean DESC LIMIT 10",
+)
+def q_upload_answer(spark, sf_dir):
+    """A question to an uploaded file: the answer's rows as the analysis log keeps them."""
+    (events,) = read_tables(spark, sf_dir, "events")
+    base = scratch_path(spark, "uploads")
+    path = f"{base}/in/events.csv"
+    write_csv(events.select("event_type", "value"), path)
+    upload_dataset(spark, path, base, "s")
+    analyse_session(spark, base, "s", "Compare value by event type")
+    answer = "array<struct<event_type:string,count:bigint,mean:double,min:double,max:double>>"
+    rows = analysis_runs(spark, base).select(F.explode(F.from_json("result_json", answer)).alias("r")).select("r.*")
+    return rows.select("event_type", F.col("count").alias("runs"), F.round("mean", 6).alias("mean"), "min", "max")
+
+
 @register(
     "runlog_append",
     "SELECT CAST(user_id AS VARCHAR) AS session_id, event_type AS query, props AS result_json, "

@@ -2,20 +2,24 @@
 
 ``upload_dataset`` reads the file, lands it as bronze, stores its feature
 table, profiles it and upserts the session row, which carries the kind of
-source along. ``analyse_session`` loads a session, analyses its landed rows
-and appends the run with its result.
+source along. Every upload has folders of its own and the session row names
+them, so a second upload under the same id leaves running analyses their rows,
+and rows, features and profile always belong together. ``analyse_session``
+loads a session, analyses its landed rows and appends the run with its result.
 """
 
 from __future__ import annotations
 
 import os
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fleetlake.operators.analysis import auto_analyze
+from fleetlake.operators.keyed import read_row, read_rows, upsert_rows
 from fleetlake.operators.profile import column_features, profile_summary
-from fleetlake.operators.runlog import append_runs, load_session, publish_upsert, read_current
+from fleetlake.operators.runlog import append_runs, load_session
 from fleetlake.sources.files import land_bronze, read_dataset, write_parquet_dataset
 
 SESSION_SCHEMA = (
@@ -44,7 +48,8 @@ def upload_dataset(
     filename = os.path.basename(path.rstrip("/"))
     source = os.path.splitext(filename)[1].lstrip(".").lower() or "parquet"
     root = base.rstrip("/")
-    bronze_path, features_path = f"{root}/bronze/{session_id}", f"{root}/features/{session_id}"
+    upload = uuid.uuid4().hex
+    bronze_path, features_path = f"{root}/bronze/{session_id}/{upload}", f"{root}/features/{session_id}/{upload}"
     landed = land_bronze(read_dataset(spark, path, schema, multi_line), bronze_path)
     data = landed.drop("_ingested_at")
     write_parquet_dataset(column_features(data), features_path)
@@ -58,13 +63,18 @@ def upload_dataset(
         F.current_timestamp().alias("created_at"),
         F.unix_micros(F.current_timestamp()).alias("_seq"),
     )
-    publish_upsert(spark, _sessions(base), row, SESSION_SCHEMA)
+    upsert_rows(spark, _sessions(base), row, SESSION_SCHEMA)
     return stored_session(spark, base, session_id)
 
 
 def stored_session(spark: SparkSession, base: str, session_id: str) -> DataFrame:
     """H7: the session with its profile decoded."""
-    return load_session(read_current(spark, _sessions(base), SESSION_SCHEMA), session_id, PROFILE_SCHEMA)
+    return load_session(read_row(spark, _sessions(base), SESSION_SCHEMA, session_id), session_id, PROFILE_SCHEMA)
+
+
+def stored_sessions(spark: SparkSession, base: str) -> DataFrame:
+    """All sessions as stored."""
+    return read_rows(spark, _sessions(base), SESSION_SCHEMA)
 
 
 def analyse_session(spark: SparkSession, base: str, session_id: str, question: str, order_by=None) -> DataFrame:
