@@ -21,10 +21,11 @@ from fleetlake.operators.runlog import (
     recent_runs,
     session_list,
 )
-from fleetlake.operators.silver import build_silver, score_silver
+from fleetlake.operators.silver import score_silver
 from fleetlake.plans import oracle as o
 from fleetlake.plans.catalog import register
 from fleetlake.plans.medallion import run_feature_pipeline
+from fleetlake.plans.published import published
 from fleetlake.plans.queries_medallion import HEALTH_COLUMNS
 from fleetlake.plans.queries_serving import QUEUE_COLS
 from fleetlake.plans.timeline import add_runs
@@ -105,7 +106,7 @@ _REC_SQL = (
 
 @register("records_json", o.incidents_sql(f"SELECT {_REC_SQL} AS record FROM queue"))
 def q_records_json(spark, sf_dir):
-    queue = build_incident_queue(build_silver(load_telemetry(spark, sf_dir)))
+    queue = published(spark, sf_dir, "incident_queue")
     return records_json(queue.select(*[c.strip() for c in QUEUE_COLS.split(",")]))
 
 

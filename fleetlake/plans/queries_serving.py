@@ -4,18 +4,16 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from fleetlake.functions.exprs import iso_seconds
-
 from fleetlake.operators import dashboard as dash
-from fleetlake.operators.health import build_customer_health
+from fleetlake.operators.health import build_customer_health, by_score
 from fleetlake.operators.incidents import build_incident_queue, incident_candidates, top_incidents
-from fleetlake.operators.silver import build_silver, score_silver
-from fleetlake.functions.fixed_values import AGENT_RUNS_SHOWN
-from fleetlake.operators.runlog import encode_summary, recent_runs
-from fleetlake.operators.triage import build_triage, triage_context, triage_rejects
+from fleetlake.operators.runlog import recent_runs
+from fleetlake.operators.triage import build_triage, runbook_dimension, triage_context, triage_rejects
 from fleetlake.plans import oracle as o
 from fleetlake.plans.catalog import register
-from fleetlake.sources.telemetry import load_telemetry, read_tables
+from fleetlake.plans.medallion import agent_runs, current_table, last_refresh, pipeline_runs, run_triage
+from fleetlake.plans.published import published, published_lake
+from fleetlake.sources.telemetry import read_tables
 
 QUEUE_COLS = (
     "incident_id, job_id, customer_id, customer_name, workload_name, event_ts, severity, severity_rank, "
@@ -24,23 +22,22 @@ QUEUE_COLS = (
 _qc = [c.strip() for c in QUEUE_COLS.split(",")]
 
 
-def gold(spark, sf_dir, days: int = 7):
-    """Silver (with ids), all incidents, and health from the same silver."""
-    silver = build_silver(load_telemetry(spark, sf_dir))
-    return silver, incident_candidates(silver), build_customer_health(silver, days, ordered=False)
+def gold(spark, sf_dir):
+    """Published silver (with ids), all incidents, and health of the same refresh."""
+    return tuple(published(spark, sf_dir, t) for t in ("silver", "incidents", "customer_health"))
 
 
 @register(
     "incident_filter", o.incidents_sql("SELECT incident_id, job_id, severity, status, needs_customer_update FROM incidents")
 )
 def q_incident_filter(spark, sf_dir):
-    silver = build_silver(load_telemetry(spark, sf_dir))
+    silver = published(spark, sf_dir, "silver")
     return incident_candidates(silver).select("incident_id", "job_id", "severity", "status", "needs_customer_update")
 
 
 @register("incident_queue", o.incidents_sql(f"SELECT {QUEUE_COLS} FROM queue"))
 def q_incident_queue(spark, sf_dir):
-    return build_incident_queue(build_silver(load_telemetry(spark, sf_dir))).select(*_qc)
+    return build_incident_queue(published(spark, sf_dir, "silver")).select(*_qc)
 
 
 @register(
@@ -50,13 +47,16 @@ def q_incident_queue(spark, sf_dir):
   coalesce({o.r1(o.mean_tenths('customer_health_score'))}, 0e0) AS average_health_score,
   CAST(coalesce(sum(jobs_last_7d), 0) AS BIGINT) AS jobs_last_7d,
   CAST(coalesce((SELECT count(*) FILTER (WHERE severity = 'high') FROM queue), 0) AS BIGINT) AS high_priority_incidents,
-  (SELECT max(event_ts) FROM silver) AS latest_event_at
+  (SELECT max(event_ts) FROM silver) AS latest_event_at, true AS refreshed
 FROM customer_health"""
     ),
 )
 def q_dashboard_overview(spark, sf_dir):
-    silver, cands, health = gold(spark, sf_dir)
-    return dash.overview(health, top_incidents(cands), silver)
+    lake = published_lake(spark, sf_dir)
+    silver, queue, health = (current_table(spark, lake, t) for t in ("silver", "incident_queue", "customer_health"))
+    row = dash.overview(health, queue, silver, last_refresh(spark, lake))
+    # a run-time value: only whether it is there can be compared
+    return row.withColumn("refreshed", F.col("last_pipeline_run_at").isNotNull()).drop("last_pipeline_run_at")
 
 
 @register(
@@ -69,8 +69,7 @@ def q_dashboard_overview(spark, sf_dir):
     ),
 )
 def q_customer_ranking(spark, sf_dir):
-    silver = score_silver(load_telemetry(spark, sf_dir))  # health needs no incident ids
-    health = build_customer_health(silver, 90, ordered=False)
+    health = build_customer_health(published(spark, sf_dir, "silver"), 90, ordered=False)
     return dash.customer_ranking(health).select("customer_id", "customer_health_score", "risk_band", "health_rank")
 
 
@@ -79,8 +78,7 @@ def q_customer_ranking(spark, sf_dir):
     o.incidents_sql(f"SELECT {QUEUE_COLS} FROM queue ORDER BY {o.QUEUE_ORDER} LIMIT 14"),
 )
 def q_incident_top14(spark, sf_dir):
-    queue = build_incident_queue(build_silver(load_telemetry(spark, sf_dir)))
-    return dash.dashboard_incidents(queue).select(*_qc)
+    return dash.dashboard_incidents(published(spark, sf_dir, "incident_queue")).select(*_qc)
 
 
 _TOP_ID = f"(SELECT incident_id FROM incidents ORDER BY {o.QUEUE_ORDER} LIMIT 1)"
@@ -88,10 +86,8 @@ _TOP_ID = f"(SELECT incident_id FROM incidents ORDER BY {o.QUEUE_ORDER} LIMIT 1)
 
 @register("incident_lookup", o.incidents_sql(f"SELECT {QUEUE_COLS} FROM incidents WHERE incident_id = {_TOP_ID}"))
 def q_incident_lookup(spark, sf_dir):
-    silver = build_silver(load_telemetry(spark, sf_dir))
-    cands = incident_candidates(silver)
-    top_id = top_incidents(cands, 1).select("incident_id").scalar()
-    return dash.load_incident(cands, top_id).select(*_qc)
+    top = top_incidents(published(spark, sf_dir, "incident_queue"), 1).first()  # one row
+    return dash.load_incident(published(spark, sf_dir, "incidents"), top["incident_id"] if top else "").select(*_qc)
 
 
 @register(
@@ -102,10 +98,9 @@ def q_incident_lookup(spark, sf_dir):
     ),
 )
 def q_customer_lookup(spark, sf_dir):
-    health = build_customer_health(score_silver(load_telemetry(spark, sf_dir)), 7, ordered=False)
-    worst = health.orderBy(F.col("customer_health_score").asc_nulls_last(), "customer_id").limit(1)
-    out = dash.load_customer_health(health, worst.select("customer_id").scalar())
-    return out.select(*[c for c in out.columns])
+    health = published(spark, sf_dir, "customer_health")
+    worst = by_score(health).select("customer_id").first()  # one row
+    return dash.load_customer_health(health, worst["customer_id"] if worst else "")
 
 
 @register(
@@ -118,9 +113,8 @@ ORDER BY {o.QUEUE_ORDER} LIMIT 3"""
     ),
 )
 def q_comparable_incidents(spark, sf_dir):
-    silver = build_silver(load_telemetry(spark, sf_dir))
-    cands = incident_candidates(silver)
-    top = top_incidents(cands, 1)
+    cands = published(spark, sf_dir, "incidents")
+    top = top_incidents(published(spark, sf_dir, "incident_queue"), 1)
     return dash.comparable_incidents(
         cands, top.select("failure_category").scalar(), top.select("incident_id").scalar()
     ).select(*_qc)
@@ -286,19 +280,37 @@ def q_triage_queue_report(spark, sf_dir):
     ),
 )
 def q_agent_runs_recent(spark, sf_dir):
-    _, cands, health = gold(spark, sf_dir)
-    report = build_triage(cands, health)
-    runs = report.select(
-        F.col("run_id").alias("id"),
-        "incident_id",
-        F.lit("completed").alias("status"),
-        iso_seconds("incident_ts").alias("started_at"),
-        encode_summary(
-            {
-                "severity": F.col("severity"),
-                "root_cause": F.col("root_cause"),
-                "matches": F.size("comparable_incidents"),
-            }
-        ).alias("summary_json"),
-    )
-    return recent_runs(runs, AGENT_RUNS_SHOWN)
+    """The newest run rows that a triage of all published incidents has written."""
+    lake = published_lake(spark, sf_dir)
+    run_triage(spark, lake)
+    return agent_runs(spark, lake).select("id", "incident_id", "status", "started_at", "summary_json")
+
+
+@register(
+    "pipeline_runs",
+    o.incidents_sql(
+        "SELECT 'completed' AS status, CAST(NULL AS VARCHAR) AS error_text, true AS finished, "
+        "json_object('raw_rows', (SELECT count(*) FROM telemetry), 'feature_rows', (SELECT count(*) FROM silver), "
+        "'incident_count', (SELECT count(*) FROM queue), 'customer_count', (SELECT count(*) FROM customer_health))::VARCHAR "
+        "AS summary_json"
+    ),
+)
+def q_pipeline_runs(spark, sf_dir):
+    """H2: the row that the refresh left in the run log, first as running and then replaced."""
+    runs = recent_runs(pipeline_runs(spark, published_lake(spark, sf_dir)))
+    return runs.select("status", "error_text", F.col("finished_at").isNotNull().alias("finished"), "summary_json")
+
+
+@register(
+    "runbook_usage",
+    o.triage_sql(
+        "SELECT r.failure_category, r.rb_root_cause AS root_cause, count(i.incident_id) AS incidents "
+        "FROM runbook r LEFT JOIN incidents i USING (failure_category) GROUP BY ALL"
+    ),
+)
+def q_runbook_usage(spark, sf_dir):
+    """A10: rows of the program as a table (the runbook), and how many incidents each entry has."""
+    book = runbook_dimension(spark).select("failure_category", F.col("rb_root_cause").alias("root_cause"))
+    counts = published(spark, sf_dir, "incidents").groupBy("failure_category").agg(F.count("incident_id").alias("n"))
+    met = book.join(counts, "failure_category", "left")
+    return met.select("failure_category", "root_cause", F.coalesce("n", F.lit(0)).alias("incidents"))

@@ -142,7 +142,11 @@ def write_csv(df: DataFrame, path: str) -> None:
 
 
 def write_parquet_dataset(
-    df: DataFrame, path: str, partition_cols: list[str] | None = None, cluster_by: list[str] | None = None
+    df: DataFrame,
+    path: str,
+    partition_cols: list[str] | None = None,
+    cluster_by: list[str] | None = None,
+    lookup_by: list[str] | None = None,
 ) -> None:
     """A3: partitioned parquet.
 
@@ -152,10 +156,16 @@ def write_parquet_dataset(
     across tasks by the clustering keys instead of landing in one task (a
     hash repartition on a 3-value column would use 3 tasks for the whole
     table); and files are sorted, so min/max statistics prune row groups.
+    ``lookup_by`` columns get Bloom filters, so that a filter on one value
+    skips the row groups that cannot hold it, whatever the order of the rows.
     """
     keys = [_q(c) for c in (partition_cols or []) + (cluster_by or [])]
     out = df.repartitionByRange(*keys).sortWithinPartitions(*keys) if keys else df
     writer = out.write.mode("overwrite")
+    for c in lookup_by or []:
+        writer = writer.option(f"parquet.bloom.filter.enabled#{c}", "true")
+    if lookup_by:
+        writer = writer.option("parquet.bloom.filter.adaptive.enabled", "true")
     if partition_cols:
         writer = writer.partitionBy(*partition_cols)
     writer.parquet(path)
@@ -180,11 +190,12 @@ def publish_version(
     version: str,
     partition_cols: list[str] | None = None,
     cluster_by: list[str] | None = None,
+    lookup_by: list[str] | None = None,
 ) -> str:
     """Write a new immutable version directory; readers move to it only when
     the manifest names it (see ``manifest``). Never overwrites a path being read."""
     target = f"{base.rstrip('/')}/version={version}"
-    write_parquet_dataset(df, target, partition_cols, cluster_by)
+    write_parquet_dataset(df, target, partition_cols, cluster_by, lookup_by)
     return target
 
 

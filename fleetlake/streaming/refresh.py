@@ -88,6 +88,16 @@ def committed_epoch(spark: SparkSession, gold_dir: str, before: int | None = Non
     return log.agg(F.max("epoch")).first()[0]  # one value
 
 
+def recent_silver(spark: SparkSession, silver_dir: str, schema: T.StructType, cutoff: dt.datetime) -> DataFrame:
+    """Streamed silver from ``cutoff`` on: the period prunes folders, the time what is left."""
+    stored = spark.read.schema(T.StructType([*schema.fields, T.StructField(PERIOD, T.DateType())]))
+    return (
+        stored.parquet(silver_dir)
+        .filter((F.col(PERIOD) >= F.lit(cutoff.date().replace(day=1))) & (F.col("event_ts") >= F.lit(cutoff)))
+        .drop(PERIOD, BATCH)
+    )
+
+
 def _store_by_month(df: DataFrame, time: str, path: str, epoch_id: int) -> None:
     """Add the epoch's rows; written again, the epoch replaces its own folders only."""
     placed = df.withColumns({PERIOD: F.trunc(time, "month"), BATCH: F.lit(epoch_id)})

@@ -50,3 +50,71 @@ def test_published_health_equals_direct_health(spark):
     direct = build_customer_health(score_silver(tel), 90)
     cols = sorted(direct.columns)
     assert sorted(map(tuple, published.select(*cols).collect())) == sorted(map(tuple, direct.select(*cols).collect()))
+
+
+def test_refresh_and_triage_write_run_rows(spark):
+    import json
+
+    import pytest
+
+    from fleetlake.plans.medallion import agent_runs, pipeline_runs, run_triage
+
+    base = scratch_path(spark, "lake-runs")
+    tel = load_telemetry(spark, SF_SMALL)
+    m = run_feature_pipeline(spark, tel, base).first()
+    assert set(m.output_paths) == {"raw", "bronze", "silver", "customer_health", "incidents", "incident_queue"}
+    assert spark.read.parquet(m.output_paths["raw"]).count() == tel.count()
+    with pytest.raises(Exception):
+        run_feature_pipeline(spark, tel.drop("status"), base)
+    runs = {r.status: r for r in pipeline_runs(spark, base).collect()}
+    assert set(runs) == {"completed", "failed"}
+    assert json.loads(runs["completed"].summary_json)["raw_rows"] == tel.count() and runs["completed"].finished_at
+    assert runs["failed"].error_text and runs["failed"].summary_json is None
+    # the failed refresh has not moved the tables
+    assert current_table(spark, base, "silver").count() == tel.count()
+    reports = run_triage(spark, base)
+    run_triage(spark, base)
+    everything = agent_runs(spark, base, 10**6)
+    assert everything.count() == reports.count() == everything.select("incident_id").distinct().count()
+    assert agent_runs(spark, base).count() == 8
+
+
+def test_bronze_bins_hold_neighbouring_dates(spark):
+    import os
+
+    from fleetlake.plans.medallion import date_bins
+
+    rows = spark.createDataFrame(
+        [("2024-01-01",)] * 3 + [("2024-01-02",)] * 2 + [("2024-01-03",)] * 40 + [("2024-01-04",), (None,)], "partition_date string"
+    )
+    bins = {r.d: r.dates_from for r in date_bins(rows, 5).collect()}
+    first, last = "2024-01-01", "2024-01-04"
+    assert bins == {first: first, "2024-01-02": first, "2024-01-03": "2024-01-03", last: last, None: last}
+    base = scratch_path(spark, "lake-bins")
+    m = run_feature_pipeline(spark, load_telemetry(spark, SF_SMALL), base, bin_rows=400).first()
+    folders = [f for f in os.listdir(m.output_paths["bronze"].removeprefix("file:")) if f.startswith("dates_from=")]
+    assert 3 <= len(folders) <= 5
+
+
+def test_lookups_skip_row_groups(spark):
+    from fleetlake.operators.dashboard import load_incident
+    from fleetlake.sources.files import write_parquet_dataset
+
+    rows = spark.range(20000).selectExpr("concat('inc-', cast(pmod(id * 7919, 20000) as string)) incident_id", "id n").coalesce(1)
+    path = scratch_path(spark, "bloom")
+    spark.conf.set("parquet.block.size", "16384")
+    spark.conf.set("parquet.block.size.row.check.min", "100")
+    try:
+        rows.write.option("parquet.block.size", "16384").parquet(path + "/plain")
+        write_parquet_dataset(rows, path + "/bloom", lookup_by=["incident_id"])
+    finally:
+        spark.conf.unset("parquet.block.size")
+        spark.conf.unset("parquet.block.size.row.check.min")
+
+    def scanned(name):
+        df = load_incident(spark.read.parquet(f"{path}/{name}"), "inc-77")
+        assert df.count() == 1 and len(df.collect()) == 1
+        leaves = df._jdf.queryExecution().executedPlan().collectLeaves()
+        return sum(leaves.apply(i).metrics().apply("numOutputRows").value() for i in range(leaves.length()))
+
+    assert scanned("bloom") < scanned("plain") / 2

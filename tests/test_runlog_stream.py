@@ -114,3 +114,17 @@ def test_gold_stream_with_late_files_reads_few_rows_again(spark):
         refresh.KEPT_EPOCHS = kept
     assert sorted(os.listdir(f"{folders[1].removeprefix('file:')}/customer_health"))[-1] == "epoch=3"
     assert "epoch=2" not in os.listdir(f"{folders[1].removeprefix('file:')}/customer_health")
+
+
+def test_streamed_silver_can_be_read_from_a_time_on(spark):
+    import datetime as dt
+
+    from fleetlake.streaming.refresh import recent_silver, run_gold_stream
+
+    tel = load_telemetry(spark, SF_SMALL).filter("event_ts >= '1998-05-01'")
+    src, silver, gold, ck = (scratch_path(spark, t) for t in ("rs-src", "rs-silver", "rs-gold", "rs-ck"))
+    tel.coalesce(1).write.parquet(src)
+    run_gold_stream(spark, src, TELEMETRY_SCHEMA, silver, gold, ck, days=30)
+    scored = score_silver(tel)
+    found = recent_silver(spark, silver, scored.schema, dt.datetime(1998, 6, 10))
+    assert found.count() == scored.filter("event_ts >= timestamp_ntz'1998-06-10 00:00:00'").count()
