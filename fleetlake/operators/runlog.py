@@ -77,6 +77,20 @@ def decode_summary(runs: DataFrame, schema: T.StructType | str, column: str = "s
     return runs.withColumn("summary", parsed).drop(column)
 
 
+def decode_variant(runs: DataFrame, column: str = "summary_json") -> DataFrame:
+    """H4 without a schema: ``summary`` as VARIANT with whatever fields each run has.
+
+    Null when the text is null, empty or not JSON. Fields are read by path:
+    ``F.try_variant_get("summary", "$.rows", "int")``.
+    """
+    return runs.withColumn("summary", F.try_parse_json(F.nullif(F.col(column), F.lit("")))).drop(column)
+
+
+def summary_fields(runs: DataFrame, column: str = "summary_json") -> str:
+    """The type that holds the summaries of all runs, found by one aggregate (one text)."""
+    return decode_variant(runs, column).select(F.schema_of_variant_agg("summary")).first()[0]
+
+
 PROFILE_HEAD_SCHEMA = "rows BIGINT, columns INT, column_names ARRAY<STRING>"
 
 

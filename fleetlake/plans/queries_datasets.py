@@ -6,9 +6,11 @@ from pyspark.sql import functions as F
 
 from fleetlake.functions.exprs import lookup
 from fleetlake.operators import analysis as an
+from fleetlake.operators.growing import RANK_ERROR, add_file, merge_states, sketched_quantiles, states
 from fleetlake.operators.profile import column_features, column_kind, profile_summary, sample_records
 from fleetlake.plans import oracle as o
 from fleetlake.plans.catalog import register
+from fleetlake.session import scratch_path
 from fleetlake.sources.telemetry import load_workload_runs, read_tables
 
 # Table layouts of the driver's datasets, as Spark reads them (for the SQL side).
@@ -289,3 +291,71 @@ def q_histogram(spark, sf_dir):
 def q_preview(spark, sf_dir):
     (events,) = read_tables(spark, sf_dir, "events")
     return an.preview(events, ["event_id"])
+
+
+# ---- growing data: one scan per file, states merge ------------------------------------------
+
+
+def _grown(spark, sf_dir) -> str:
+    """Events arrive as two files; the second is added twice, which changes nothing."""
+    (events,) = read_tables(spark, sf_dir, "events")
+    table, even = scratch_path(spark, "states"), F.col("event_id") % 2 == 0
+    add_file(spark, table, events.filter(even), "even")
+    for _ in range(2):
+        add_file(spark, table, events.filter(~even), "odd")
+    return table
+
+
+@register(
+    "growing_profile",
+    " UNION ALL ".join(
+        f"SELECT '{c}' AS column_name, count(*) AS row_count, count(*) - count({c}) AS missing_count, "
+        + (
+            f"count({c}) AS \"count\", round(avg({c}), 6) AS mean, round(stddev_samp({c}), 6) AS std, "
+            f"CAST(min({c}) AS DOUBLE) AS min, CAST(max({c}) AS DOUBLE) AS max"
+            if c in ("event_id", "user_id", "value")
+            else "0 AS \"count\", NULL AS mean, NULL AS std, NULL AS min, NULL AS max"
+        )
+        + " FROM events"
+        for c in ("event_id", "ts", "user_id", "event_type", "value", "props")
+    ),
+)
+def q_growing_profile(spark, sf_dir):
+    """A6, I5, J5 of the union of two uploads from their states."""
+    merged = merge_states(states(spark, _grown(spark, sf_dir)))
+    out = merged.select("column_name", "row_count", "missing_count", "count", "mean", "std", "min", "max")
+    return rounded(out, "mean", "std")
+
+
+@register(
+    "quantile_sketch",
+    "SELECT p, true AS within, (SELECT count(value) FROM events) AS \"count\" "
+    "FROM (VALUES (0.01e0), (0.25e0), (0.5e0), (0.75e0), (0.99e0)) t(p)",
+)
+def q_quantile_sketch(spark, sf_dir):
+    """J5 from merged sketches: whether each answer's true ranks come within the stated error of the one asked for."""
+    (events,) = read_tables(spark, sf_dir, "events")
+    merged = merge_states(states(spark, _grown(spark, sf_dir))).filter(F.col("column_name") == "value")
+    found = sketched_quantiles(merged, [0.01, 0.25, 0.5, 0.75, 0.99]).select("p", "quantile")
+    # one row of five answers, as a scalar subquery: all rows are counted against them in one scan
+    answers = found.agg(F.sort_array(F.collect_list(F.struct("p", "quantile")))).scalar()
+    counts = events.filter(F.col("value").isNotNull()).select("value", answers.alias("a")).agg(
+        F.count(F.lit(1)).alias("n"),
+        *[F.count_if(F.col("value") < F.col("a")[i]["quantile"]).alias(f"lt{i}") for i in range(5)],
+        *[F.count_if(F.col("value") <= F.col("a")[i]["quantile"]).alias(f"le{i}") for i in range(5)],
+        F.first("a").alias("a"),
+    )
+    rows = F.array(
+        *[
+            F.struct(
+                F.col("a")[i]["p"].alias("p"),
+                (
+                    (F.col(f"lt{i}") <= (F.col("a")[i]["p"] + RANK_ERROR) * F.col("n"))
+                    & (F.col(f"le{i}") >= (F.col("a")[i]["p"] - RANK_ERROR) * F.col("n"))
+                ).alias("within"),
+                F.col("n").alias("count"),
+            )
+            for i in range(5)
+        ]
+    )
+    return counts.select(F.inline(rows))

@@ -16,6 +16,7 @@ from fleetlake.operators.runlog import (
     PROFILE_HEAD_SCHEMA,
     append_runs,
     decode_summary,
+    decode_variant,
     encode_summary,
     load_session,
     recent_runs,
@@ -185,6 +186,21 @@ def q_runlog_decode(spark, sf_dir):
     return decoded.select("id", "status", F.col("summary.k").alias("k"))
 
 
+@register(
+    "runlog_variant",
+    o.with_ctes(
+        _LATEST_SQL,
+        body="SELECT id, status, CAST(json_extract(summary_json, '$.k') AS INTEGER) AS k, "
+        "CAST(json_extract(summary_json, '$.absent') AS INTEGER) AS absent FROM latest",
+    ),
+)
+def q_runlog_variant(spark, sf_dir):
+    """H4 without a caller's schema: fields are read by path, absent ones are null."""
+    decoded = decode_variant(_runlog(spark, sf_dir))
+    k, absent = (F.try_variant_get("summary", f"$.{f}", "int").alias(f) for f in ("k", "absent"))
+    return decoded.select("id", "status", k, absent)
+
+
 @register(
     "runlog_encode",
     "SELECT CAST(event_id AS VARCHAR) AS id, json_object('event_type', event_type, 'value', value, "
