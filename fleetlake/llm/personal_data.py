@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fleetlake.llm.common import materialise
-from fleetlake.llm.spans import MARK, join_rows, keyed, matches
+from fleetlake.llm.spans import MARK, apart, join_rows, keyed, matches, replaced
 
 KINDS = ("email", "ip", "card", "phone")
 # The kinds' patterns, written so that no repetition backtracks; a match starts at a run's
@@ -180,9 +180,7 @@ def personal_data(docs: DataFrame, **options) -> DataFrame:
     base = F.concat(*[F.col(k) for k in KINDS])
     found = materialise(find_matches(docs), "personal-matches").withColumn(
         "fresh",
-        F.filter(
-            "tokens", lambda t: ~F.exists(base, lambda b: (b["start"] < t["end"]) & (t["start"] < b["end"]))
-        ),
+        apart(F.col("tokens"), base),
     )
     edges = materialise(_edges(found), "pattern-edges")
     values = accepted_values(edges, confident_patterns(edges, **options))
@@ -219,22 +217,8 @@ def redact(docs: DataFrame, **options) -> DataFrame:
     text = docs["text"]
     same = docs["doc_id"].eqNullSafe(F.col("span_id")) & (F.xxhash64(F.coalesce(text, F.lit(""))) == F.col("span_key"))
 
-    def step(acc: Column, s: Column) -> Column:
-        # a span that overlaps the one before it only extends the gap
-        put = F.concat(
-            acc["out"],
-            F.when(
-                s["start"] >= acc["at"],
-                F.concat(F.substring(text, acc["at"] + 1, s["start"] - acc["at"]), F.lit("["), F.upper(s["kind"]), F.lit("]")),
-            ).otherwise(F.lit("")),
-        )
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), put.alias("out"))
-
-    clean = F.aggregate(
-        "spans_by_start",
-        F.struct(F.lit(0).alias("at"), F.lit("").alias("out")),
-        step,
-        lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))),
+    clean = replaced(
+        text, F.col("spans_by_start"), lambda s: F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]"))
     )
     changed = F.col("spans_by_start").isNotNull()
     new = {"text": F.when(changed, clean).otherwise(text)}

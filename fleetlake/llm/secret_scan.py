@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fleetlake.llm.common import materialise
-from fleetlake.llm.spans import join_rows, keyed, matches
+from fleetlake.llm.spans import join_rows, keyed, matches, outside
 
 SCOPE = 200
 
@@ -161,10 +161,7 @@ def scan(docs: DataFrame, scope: int = SCOPE) -> DataFrame:
         F.coalesce("added", empty).alias("added"),
     )
     # a weak part that lies inside a strong match is the same thing
-    fresh = F.filter(
-        F.col("added"),
-        lambda a: ~F.exists(F.col("strong"), lambda s: (s["start"] <= a["start"]) & (a["end"] <= s["end"])),
-    )
+    fresh = outside(F.col("added"), F.col("strong"))
     return joined.select(
         "doc_id",
         "text_key",
