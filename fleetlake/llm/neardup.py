@@ -15,11 +15,12 @@
    its bands, then with that of each band. Similar pairs join classes, whose
    components are found by joins.
 5. What is left are bands that still hold several classes. Their texts get a
-   longer signature and are dealt into blocks; a task holds two blocks and
-   compares signatures across classes. Only pairs whose estimate is within
-   ``SLACK`` of the threshold leave the task (a similar pair is missed with
-   probability below 1e-5, less than by the bands; one at 0.62 passes with
-   about 1e-5), and are compared exactly.
+   longer signature and are dealt, compressed, into blocks; a task holds two
+   blocks and compares signatures across classes. Pairs whose estimate is within
+   ``SLACK`` of the threshold (a similar pair is missed with probability below
+   1e-5, less than by the bands) are compared exactly in the task. A similar
+   pair joins its two classes there and then, and only such pairs leave the
+   task: fewer than it has texts, however alike they are.
 
 Cases: texts of one to four words are one shingle; texts without words are
 compared by their bytes only; null is empty; equal texts are always one class;
@@ -32,6 +33,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -44,7 +46,8 @@ BANDS, ROWS = 16, 3
 #: Samples of the longer signature, and how far its estimate may lie below the similarity (five deviations).
 LONG_SAMPLES = 512
 SLACK = 0.09
-BLOCK = 512
+#: Texts and bytes of text that a block aims at.
+BLOCK, BLOCK_BYTES = 512, 1 << 21
 TABLE_BITS = 18
 RARE = 1 / 256
 
@@ -184,7 +187,7 @@ def _weighted(text: bytes, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def signatures(docs: DataFrame, idf, bands: int, rows: int) -> DataFrame:
-    """``doc_id``, ``text_key``, ``content``, ``keys`` (one per band; none for wordless texts), ``centre``."""
+    """``doc_id``, ``text_key``, ``content``, ``keys`` (one per band; none for wordless texts), ``centre``, ``bytes``."""
 
     def run(batches):
         for batch, texts in text_chunks(batches):
@@ -202,13 +205,16 @@ def signatures(docs: DataFrame, idf, bands: int, rows: int) -> DataFrame:
                     pa.array(s.content(texts), pa.binary()),
                     pa.ListArray.from_arrays(pa.array(offsets), pa.array(keys[has].ravel())),
                     pa.array(centre),
+                    pa.array(list(map(len, texts)), pa.int64()),
                 ],
-                names=["doc_id", "text_key", "content", "keys", "centre"],
+                names=["doc_id", "text_key", "content", "keys", "centre", "bytes"],
             )
 
     kind = dict(docs.dtypes)["doc_id"]
     keyed = narrow(docs, "doc_id", "text").withColumn("text_key", F.xxhash64("text"))
-    return keyed.mapInArrow(run, f"doc_id {kind}, text_key bigint, content binary, keys array<bigint>, centre double")
+    return keyed.mapInArrow(
+        run, f"doc_id {kind}, text_key bigint, content binary, keys array<bigint>, centre double, bytes bigint"
+    )
 
 
 def components(edges: DataFrame, tag: str = "components") -> DataFrame:
@@ -265,14 +271,21 @@ def near_duplicates(
     table, total = document_frequencies(docs)
     idf = spark.sparkContext.broadcast(idf_table(table, total))
     signed = materialise(signatures(docs, idf, bands, rows), "signatures")
-    contents = signed.groupBy("content").agg(F.first("keys").alias("keys"), F.min("centre").alias("centre"))
-    band = contents.select("content", "centre", F.explode("keys").alias("key"))
+    contents = signed.groupBy("content").agg(
+        F.first("keys").alias("keys"), F.min("centre").alias("centre"), F.min("bytes").alias("bytes")
+    )
+    band = contents.select("content", "centre", "bytes", F.explode("keys").alias("key"))
+    blocks = F.greatest(F.ceil(F.count(F.lit(1)) / F.lit(BLOCK)), F.ceil(F.sum("bytes") / F.lit(BLOCK_BYTES)))
     shared = (
         band.groupBy("key")
-        .agg(F.count(F.lit(1)).alias("size"), F.min(F.struct("centre", "content")).alias("first"))
+        .agg(
+            F.count(F.lit(1)).alias("size"),
+            blocks.cast("int").alias("blocks"),
+            F.min(F.struct("centre", "content")).alias("first"),
+        )
         .filter("size > 1")
     )
-    shared = materialise(shared.select("key", "size", "first"), "shared-bands")
+    shared = materialise(shared.select("key", "blocks", "first"), "shared-bands")
     # members of bands that hold different texts, with the most central text of the band
     members = materialise(band.select("key", "content").join(shared, "key"), "bands")
     involved = members.select("content").distinct()
@@ -293,8 +306,7 @@ def near_duplicates(
     links = links.unionByName(materialise(_verified(materialise(rest, "pairs"), texts, idf, similarity), "links"))
     roots = components(links)
     # bands that still hold several classes
-    rest = materialise(_across(members, roots, texts, idf, similarity), "pairs")
-    links = links.unionByName(materialise(_verified(rest, texts, idf, similarity), "links"))
+    links = links.unionByName(materialise(_across(members, roots, texts, idf, similarity), "links"))
     roots = components(links)
     classes = signed.join(roots, signed["content"] == roots["node"], "left").withColumn(
         "root", F.coalesce("root", "content")
@@ -313,40 +325,85 @@ def _unlinked(pairs: DataFrame, roots: DataFrame) -> DataFrame:
 
 
 def _long_signatures(texts: DataFrame, idf) -> DataFrame:
-    """``content``, ``long``: one byte of each of ``LONG_SAMPLES`` samples, equal by chance once in 256."""
+    """``content``, ``long`` (one byte of each of ``LONG_SAMPLES`` samples, equal by chance once in 256), ``frame``."""
 
     def run(batches):
+        pack = zstandard.ZstdCompressor(level=1).compress
         for batch, chunk in text_chunks(batches):
             samples = consistent_samples(Shingles(chunk), idf.value, LONG_SAMPLES).astype(np.uint8)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([x.tobytes() for x in samples], pa.binary())], names=["content", "long"]
-            )
-
-    return texts.select("content", "text").mapInArrow(run, "content binary, long binary")
+            columns = [pa.array([x.tobytes() for x in samples], pa.binary()), pa.array(map(pack, chunk), pa.binary())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=["content", "long", "frame"])
+
+    return texts.select("content", "text").mapInArrow(run, "content binary, long binary, frame binary")
+
+
+class Weighted:
+    """Shingle weights of several texts, to compare one with many exactly."""
+
+    def __init__(self, texts: list[bytes], idf: np.ndarray):
+        s = Shingles(texts)
+        self.ptr = s.ptr
+        self.weight = s.count.astype(np.float64) * idf[(s.hash & np.uint64(len(idf) - 1)).astype(np.int64)]
+        different, self.place = np.unique(s.hash, return_inverse=True)
+        self.own = np.zeros(len(different))
+        self.total = np.bincount(s.doc, self.weight, len(texts))
+
+    def similarity(self, one: int, others: np.ndarray) -> np.ndarray:
+        """Weighted Jaccard similarity of text ``one`` with each of ``others``, none of which is without shingles."""
+        mine = slice(self.ptr[one], self.ptr[one + 1])
+        self.own[self.place[mine]] = self.weight[mine]
+        size = self.ptr[others + 1] - self.ptr[others]
+        begin = np.cumsum(size) - size
+        at = np.arange(size.sum()) + np.repeat(self.ptr[others] - begin, size)
+        low = np.add.reduceat(np.minimum(self.weight[at], self.own[self.place[at]]), begin)
+        self.own[self.place[mine]] = 0
+        return low / (self.total[one] + self.total[others] - low)
+
+
+def class_links(
+    contents: pa.Array, groups: np.ndarray, pairs_of, weighted, similarity: float
+) -> list[tuple]:
+    """Pairs of similar texts that join different classes, one for each time two become one.
+
+    ``pairs_of(at, groups)`` gives the texts of other classes that text ``at``
+    may be similar to; ``weighted()`` makes the exact weights when first needed.
+    """
+    groups, exact, out = groups.copy(), None, []
+    for at in range(len(groups)):
+        others = pairs_of(at, groups)
+        if not len(others):
+            continue
+        exact = exact or weighted()
+        for b in others[exact.similarity(at, others) >= similarity].tolist():
+            if groups[b] != groups[at]:
+                groups[groups == groups[b]] = groups[at]
+                x, y = contents[at].as_py(), contents[b].as_py()
+                out.append((max(x, y), min(x, y)))
+    return out
 
 
 def _across(members: DataFrame, roots: DataFrame, texts: DataFrame, idf, similarity: float) -> DataFrame:
-    """Pairs ``a``, ``b`` of different classes that share a band and have close signatures."""
-    rooted = _rooted(members.select("key", "size", "content"), roots, "content", "r")
+    """Links ``a``, ``b`` that join different classes with a common band."""
+    rooted = _rooted(members.select("key", "blocks", "content"), roots, "content", "r")
     split = rooted.groupBy("key").agg(F.min("r").alias("lo"), F.max("r").alias("hi")).filter("lo != hi").select("key")
     rooted = materialise(rooted.join(materialise(split, "open-bands"), "key", "left_semi"), "open-members")
     involved = rooted.select("content").distinct()
     long = materialise(_long_signatures(texts.join(involved, "content", "left_semi"), idf), "long-signatures")
-    blocks = F.ceil(F.col("size") / F.lit(BLOCK)).cast("int")
-    own = F.pmod(F.xxhash64("content"), blocks).cast("int")
+    own = F.pmod(F.xxhash64("content"), F.col("blocks")).cast("int")
     # a text meets every block of its band, in the task of the two blocks
     dealt = (
         rooted.withColumn("own", own)
-        .withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         .join(long, "content")
         .select(
             "key",
             F.least("own", "other").alias("i"),
             F.greatest("own", "other").alias("j"),
-            F.col("own").alias("own"),
+            "own",
             "content",
             F.xxhash64("r").alias("r"),
             "long",
+            "frame",
         )
     )
     place = ["key", "i", "j"]
@@ -354,21 +411,25 @@ def _across(members: DataFrame, roots: DataFrame, texts: DataFrame, idf, similar
     least = int(np.ceil((similarity - SLACK) * LONG_SAMPLES))
 
     def close(rows: pa.RecordBatch) -> list[tuple]:
-        own, group = rows.column(3).to_numpy(), rows.column(5).to_numpy()
-        if len(own) < 2 or (group == group[0]).all():
+        own, groups = rows.column(3).to_numpy(), rows.column(5).to_numpy()
+        if len(own) < 2 or (groups == groups[0]).all():
             return []
         sig = np.frombuffer(b"".join(rows.column(6).to_pylist()), np.uint8).reshape(len(own), -1)
         i, j = rows.column(1)[0].as_py(), rows.column(2)[0].as_py()
-        left, right = np.flatnonzero(own == i), np.flatnonzero(own == j)
-        content, out = rows.column(4), []
-        for at in left.tolist():
+        left, right = own == i, np.flatnonzero(own == j)
+
+        def pairs_of(at: int, now: np.ndarray) -> np.ndarray:
+            if not left[at]:
+                return right[:0]
             others = right[right > at] if i == j else right
-            others = others[group[others] != group[at]]
-            equal = (sig[others] == sig[at]).sum(axis=1)
-            for b in others[equal >= least].tolist():
-                x, y = content[at].as_py(), content[b].as_py()
-                out.append((max(x, y), min(x, y)))
-        return out
+            others = others[now[others] != now[at]]
+            return others[(sig[others] == sig[at]).sum(axis=1) >= least]
+
+        def weighted() -> Weighted:
+            unpack = zstandard.ZstdDecompressor().decompress
+            return Weighted([unpack(f) for f in rows.column(7).to_pylist()], idf.value)
+
+        return class_links(rows.column(4), groups, pairs_of, weighted, similarity)
 
     def run(batches):
         kept = None

@@ -110,3 +110,75 @@ def test_signature_cut_misses_less_than_the_bands():
     p, n = nd.SIMILARITY, nd.LONG_SAMPLES
     below = sum(comb(n, i) * p**i * (1 - p) ** (n - i) for i in range(least))
     assert below < (1 - p**nd.ROWS) ** nd.BANDS
+
+
+def test_exact_weights_of_many_texts_and_links_that_join_classes():
+    import pyarrow as pa
+
+    from fleetlake.llm.neardup import Weighted, _weighted, class_links
+
+    rng = random.Random(8)
+    base = [f"w{rng.randint(0, 400)}" for _ in range(120)]
+    texts = []
+    for i in range(90):
+        words = list(base) if i % 3 else [f"v{i}{rng.randint(0, 99)}" for _ in range(60)]
+        for _ in range(rng.randint(0, 6)):
+            words[rng.randrange(len(words))] = f"x{rng.randint(0, 10**6)}"
+        texts.append(" ".join(words).encode())
+    idf = np.linspace(1, 2, 1 << 10, dtype=np.float32)
+    w = Weighted(texts, idf)
+    each = [_weighted(t, idf) for t in texts]
+    others = np.arange(90)
+    true = np.array([[weighted_jaccard(a, b) for b in each] for a in each])
+    for i in range(90):
+        assert np.allclose(w.similarity(i, others), true[i])
+    contents = pa.array([f"{i:03d}".encode() for i in range(90)])
+    calls = []
+
+    def pairs_of(at, groups):
+        return others[(others > at) & (groups != groups[at])]
+
+    links = class_links(contents, np.arange(90), pairs_of, lambda: calls.append(1) or w, 0.7)
+    assert len(calls) == 1 and len(links) < 90 and all(true[int(a), int(b)] >= 0.7 for a, b in links)
+    # the links' components are those of all similar pairs
+    parent = list(range(90))
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in links:
+        assert root(int(a)) != root(int(b))
+        parent[root(int(a))] = root(int(b))
+    assert all((root(a) == root(b)) for a in range(90) for b in range(90) if true[a, b] >= 0.7)
+
+
+@pytest.mark.parametrize("n", [150, 450])
+def test_alike_texts_that_are_no_duplicates_leave_few_rows(spark, n):
+    """Copies of one text, each with so many edits of its own that hardly two are similar enough."""
+    from fleetlake.llm import neardup as nd
+
+    rng = random.Random(n)
+    base = [f"b{i}" for i in range(200)]
+    docs = []
+    for i in range(n):
+        words = list(base)
+        for at in rng.sample(range(200), 5):
+            words[at] = f"e{i}x{at}"
+        docs.append((i, " ".join(words)))
+    df = spark.createDataFrame(docs, "doc_id bigint, text string")
+    rows, across = [], nd._across
+
+    def counted(*args):
+        found = across(*args)
+        rows.append(found.count())
+        return found
+
+    nd._across = counted
+    try:
+        classes = near_duplicates(df).select("doc_id", "class").collect()
+    finally:
+        nd._across = across
+    # of all pairs that share a band and have near signatures, only those leave a task that join classes
+    assert len(classes) == n and rows[0] < n
