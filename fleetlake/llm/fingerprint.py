@@ -22,6 +22,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -159,38 +160,62 @@ def edited(text: str, other: str) -> str:
     return text[: len(text) - half] + other[:half]
 
 
-def _compare(texts: list[bytes], others: list[bytes], fraction: float) -> list[tuple]:
-    changed = [edited(a.decode(), b.decode()).encode() for a, b in zip(texts, others, strict=True)]
-    own, next_, new = (sketches(x, fraction) for x in (texts, others, changed))
+def _compare(texts: list[bytes], others: list[bytes] | None, fraction: float) -> list[tuple]:
+    """Results of each text with its neighbour; without ``others`` that is the text behind it, and the last has none."""
+    chain = others is None
+    heads, others = (texts[:-1], texts[1:]) if chain else (texts, others)
+    changed = [edited(a.decode(), b.decode()).encode() for a, b in zip(heads, others, strict=True)]
+    own, new = sketches(texts, fraction), sketches(changed, fraction)
+    next_ = own[1:] if chain else sketches(others, fraction)
     return [
         (
             len(t.decode()),
             hashlib.sha256(c).hexdigest(),
             packed(a),
-            packed(e),
+            *_difference(a, e),
             likeness(a, e, fraction),
             likeness(a, b, fraction),
         )
-        for t, c, a, b, e in zip(texts, changed, own, next_, new, strict=True)
+        for t, c, a, b, e in zip(heads, changed, own[: len(heads)], next_, new, strict=True)
     ]
 
 
+def _difference(base: np.ndarray, other: np.ndarray) -> tuple[bytes, bytes]:
+    """``other`` as a bit for each hash of ``base`` that it has, and the packed hashes that only it has."""
+    return np.packbits(np.isin(base, other)).tobytes(), packed(np.setdiff1d(other, base, assume_unique=True))
+
+
+def _unpacked(sketch: bytes) -> np.ndarray:
+    wide = np.zeros((len(sketch) // 6, 8), np.uint8)
+    wide[:, 2:] = np.frombuffer(sketch, np.uint8).reshape(-1, 6)
+    return wide.view(">u8").ravel().astype(np.uint64)
+
+
+def _restored(sketch: bytes, shared: bytes, more: bytes) -> bytes:
+    base = _unpacked(sketch)
+    same = np.unpackbits(np.frombuffer(shared, np.uint8), count=len(base)).astype(bool)
+    return packed(np.sort(np.concatenate([base[same], _unpacked(more)])))
+
+
 _RESULT = (
-    "n_chars bigint, edited_sha256 string, sketch binary, edited_sketch binary, near_edited double, near_next double"
+    "n_chars bigint, edited_sha256 string, sketch binary, shared binary, more binary, near_edited double, near_next double"
 )
-_RESULT_TYPES = [pa.int64(), pa.string(), pa.binary(), pa.binary(), pa.float64(), pa.float64()]
+_RESULT_TYPES = [pa.int64(), pa.string(), pa.binary(), pa.binary(), pa.binary(), pa.float64(), pa.float64()]
+_FIELDS = len(_RESULT_TYPES)
 
 
 def compare_neighbours(docs: DataFrame, fraction: float = FRACTION) -> DataFrame:
     """Each text's sketch against its edited text's and the next document's.
 
-    The texts are range-partitioned by descending id, so neighbours lie side
-    by side; only the first and last text of each task are kept aside and
-    joined with those of the tasks around it.
+    The texts are range-partitioned by descending id, compressed, so neighbours
+    lie side by side; only the first and last text of each task are kept aside
+    and joined with those of the tasks around it. Of the edited text's sketch,
+    half of which is the text's own, only the difference is stored in between.
     """
     importable(docs.sparkSession)
     kind, arrow = dict(docs.dtypes)["doc_id"], to_arrow_type(docs.schema["doc_id"].dataType)
     names = ["doc_id", *[c.split()[0] for c in _RESULT.split(", ")], "part", "head", "tail"]
+    final = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
     types = [arrow, *_RESULT_TYPES, pa.int32(), pa.binary(), pa.binary()]
     schema = pa.schema(list(zip(names, types, strict=True)))
 
@@ -198,21 +223,40 @@ def compare_neighbours(docs: DataFrame, fraction: float = FRACTION) -> DataFrame
         columns = list(zip(*rows, strict=True)) or [()] * len(types)
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], schema=schema)
 
+    def compressed(batches):
+        pack = zstandard.ZstdCompressor(level=3).compress
+        for batch, texts in text_chunks(batches):
+            frames = pa.array(map(pack, texts), pa.binary())
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:], frames], names=["doc_id", "text_key", "row", "frame"])
+
+    def frame_chunks(batches):
+        unpack = zstandard.ZstdDecompressor().decompress
+        for batch in batches:
+            lo, texts, size = 0, [], 0
+            for i in range(batch.num_rows):
+                texts.append(unpack(batch.column(1)[i].as_py()))
+                size += len(texts[-1])
+                if size > 1 << 19:
+                    yield batch.slice(lo, i + 1 - lo), texts
+                    lo, texts, size = i + 1, [], 0
+            if texts:
+                yield batch.slice(lo), texts
+
     def run(batches):
         part, last = TaskContext.get().partitionId(), None
-        for batch, texts in text_chunks(batches):
+        for batch, texts in frame_chunks(batches):
             ids = batch.column(0).to_pylist()
             rows = []
             if last is None:
-                rows.append((*[None] * 7, part, texts[0], None))
+                rows.append((*[None] * (1 + _FIELDS), part, texts[0], None))
             else:
                 ids, texts = [last[0], *ids], [last[1], *texts]
             last = (ids[-1], texts[-1])
-            made = _compare(texts[:-1], texts[1:], fraction)
+            made = _compare(texts, None, fraction)
             rows += [(i, *m, None, None, None) for i, m in zip(ids[:-1], made, strict=True)]
             yield table(rows)
         if last is not None:
-            yield table([(last[0], *[None] * 6, part, None, last[1])])
+            yield table([(last[0], *[None] * _FIELDS, part, None, last[1])])
 
     def finish(batches):
         for batch, texts in text_chunks(batches):
@@ -220,17 +264,29 @@ def compare_neighbours(docs: DataFrame, fraction: float = FRACTION) -> DataFrame
             made = list(zip(*_compare(texts, others, fraction), strict=True))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), *[pa.array(c, t) for c, t in zip(made, _RESULT_TYPES, strict=True)]],
-                names=names[:7],
+                names=names[: 1 + _FIELDS],
             )
 
+    def restored(batches):
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 512):
+                part = batch.slice(lo, 512)
+                sketch, *rest = (part.column(3 + i).to_pylist() for i in range(3))
+                prints = [pa.array(x, pa.string()) for x in (
+                    [x.hex() for x in sketch],
+                    [_restored(*x).hex() for x in zip(sketch, *rest, strict=True)],
+                )]
+                yield pa.RecordBatch.from_arrays([*part.columns[:3], *prints, *part.columns[6:]], names=final)
+
     order = [F.col("doc_id").desc_nulls_last(), F.col("text_key"), F.col("row")]
+    keyed = narrow(docs, "text", "doc_id").select(
+        "text", "doc_id", F.xxhash64("text").alias("text_key"), F.monotonically_increasing_id().alias("row")
+    )
     sorted_ = (
-        narrow(docs, "doc_id", "text")
-        .withColumn("text_key", F.xxhash64("text"))
-        .withColumn("row", F.monotonically_increasing_id())
+        keyed.mapInArrow(compressed, f"doc_id {kind}, text_key bigint, row bigint, frame binary")
         .repartitionByRange(*order)
         .sortWithinPartitions(*order)
-        .select("doc_id", "text")
+        .select("doc_id", "frame")
     )
     made = materialise(
         sorted_.mapInArrow(run, f"doc_id {kind}, {_RESULT}, part int, head binary, tail binary"), "neighbours"
@@ -247,14 +303,10 @@ def compare_neighbours(docs: DataFrame, fraction: float = FRACTION) -> DataFrame
         .join(heads.select(F.col("part").alias("next_part"), F.col("head").alias("next")), "next_part")
         .select("doc_id", "text", "next")
     )
-    inner = made.filter("part IS NULL").select(*names[:7])
+    inner = made.filter("part IS NULL").select(*names[: 1 + _FIELDS])
     out = inner.unionByName(tails.mapInArrow(finish, f"doc_id {kind}, {_RESULT}"))
-    return out.select(
-        "doc_id",
-        "n_chars",
-        "edited_sha256",
-        F.lower(F.hex("sketch")).alias("fingerprint"),
-        F.lower(F.hex("edited_sketch")).alias("edited_fingerprint"),
-        "near_edited",
-        "near_next",
+    return out.mapInArrow(
+        restored,
+        f"doc_id {kind}, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, "
+        "near_edited double, near_next double",
     )
