@@ -4,7 +4,13 @@ Windows of ``span`` words are the edges of a de Bruijn graph. Each window has
 one seed, the smallest k-word gram in it (the rightmost of equals), which only
 depends on the window's words. Windows of one text around the same seed
 occurrence form a path without branches; a path is known by its seed and the
-hash of all its words, 128 bits together.
+hash of all its words.
+
+Paths and windows are taken as equal by two 64-bit hashes that share nothing:
+one of the words' hashes (the seed; the window) and one of the bytes of the
+words themselves, by other numbers. A false match needs both to collide.
+Minimiser runs stand in for the graph's nonbranching paths: they are found in
+each text alone, so no table of k-mers or degrees is made.
 
 1. Seeds that occur once cannot lie in a repeated window; a join with the
    counted seeds leaves the paths around repeated ones.
@@ -12,12 +18,12 @@ hash of all its words, 128 bits together.
    start) stays, every later one is covered by removable windows.
 3. Seeds with several different paths are the graph's branchings: there, and
    only for the first occurrence of each path, single windows are compared,
-   by two independent 64-bit hashes of their words, and again all but the
-   first by coordinates are removable.
+   and again all but the first by coordinates are removable.
 4. The removable stretches meet each text once more, which gives the kept words.
 
-Texts travel to their stretches compressed. Repeated ids are ordered by a hash
-of their text; of equal rows the first stays and the others count as later.
+Texts travel to their stretches compressed. A row is known by its id and a
+64-bit hash of its text, which also orders repeated ids; of equal rows the first
+stays and the others count as later.
 
 Cases: null text has no words; a text under ``span`` words has no window and
 keeps everything; a null id counts as the smallest; an empty table gives no rows.
@@ -26,6 +32,7 @@ keeps everything; a null id counts as the smallest; an empty table gives no rows
 from __future__ import annotations
 
 import hashlib
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -43,23 +50,41 @@ GRAM = 6
 POSITION_BITS = 28
 
 _MULT = 0xD6E8FEB86659FD93
+_BYTE = np.random.default_rng(22).integers(0, 2**64, 256, dtype=np.uint64)
 _KEY = ["doc_id", "text_key"]
 
 
-def _path_hashes(word_hash: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """Hash of the words ``start:end`` of each path, wherever it lies."""
-    up = np.full(len(word_hash) + 1, _MULT, np.uint64)
-    up[0] = 1
-    down = np.full(len(word_hash) + 1, pow(_MULT, -1, 1 << 64), np.uint64)
-    down[0] = 1
-    up, down = np.multiply.accumulate(up), np.multiply.accumulate(down)
-    total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(word_hash * up[:-1])))
-    return mix((total[end] - total[start]) * down[start] + (end - start).astype(np.uint64))
+@lru_cache(maxsize=1)
+def _powers(size: int) -> tuple[np.ndarray, np.ndarray]:
+    def row(base: int) -> np.ndarray:
+        out = np.full(size, base, np.uint64)
+        out[0] = 1
+        return np.multiply.accumulate(out)
+
+    return row(_MULT), row(pow(_MULT, -1, 1 << 64))
+
+
+def byte_hashes(w: Words, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """Hash of the bytes of words ``first:last``, joined by one blank, of each stretch."""
+    # words with the byte after each as a blank, side by side
+    edge = np.zeros(len(w.buf) + 1, np.int8)
+    edge[w.start] = 1
+    edge[w.end + 1] -= 1
+    plain = w.buf.copy()
+    plain[w.end] = 0x20
+    flat = plain[np.cumsum(edge[:-1], dtype=np.int8) > 0]
+    place = np.concatenate(([0], np.cumsum(w.end - w.start + 1)))
+    up, down = _powers(1 << max(20, int(len(flat) + 1).bit_length()))
+    total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(_BYTE[flat] * up[: len(flat)])))
+    begin, end = place[first], place[last]
+    return mix((total[end] - total[begin]) * down[begin] + (end - begin).astype(np.uint64))
 
 
 def paths(w: Words, span: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Seed hash, path hash, first word and number of windows of every path of a chunk."""
     n = len(w.start)
+    if n >= 1 << POSITION_BITS:
+        raise ValueError(f"a text of {n} words: positions are kept in {POSITION_BITS} bits")
     starts = np.flatnonzero(w.left() >= span)
     if not len(starts):
         return np.zeros(0, np.uint64), np.zeros(0, np.uint64), starts, starts
@@ -74,7 +99,7 @@ def paths(w: Words, span: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.nd
     first = np.flatnonzero(head)
     count = np.diff(np.append(first, len(starts)))
     at = starts[first]
-    return ngrams(w.hash, gram, 1)[seed[first]], _path_hashes(w.hash, at, at + count + span - 1), at, count
+    return ngrams(w.hash, gram, 1)[seed[first]], byte_hashes(w, at, at + count + span - 1), at, count
 
 
 def document_paths(docs: DataFrame, span: int = SPAN, gram: int = GRAM) -> DataFrame:
@@ -99,12 +124,12 @@ def document_paths(docs: DataFrame, span: int = SPAN, gram: int = GRAM) -> DataF
 
     kind = dict(docs.dtypes)["doc_id"]
     return docs.mapInArrow(
-        run, f"seed bigint, path bigint, doc_id {kind}, text_key int, start int, windows int"
+        run, f"seed bigint, path bigint, doc_id {kind}, text_key bigint, start int, windows int"
     )
 
 
 def _with_key(docs: DataFrame) -> DataFrame:
-    return narrow(docs, "doc_id", "text").withColumn("text_key", F.hash("text"))
+    return narrow(docs, "doc_id", "text").withColumn("text_key", F.xxhash64("text"))
 
 
 def _compressed(docs: DataFrame) -> DataFrame:
@@ -116,7 +141,7 @@ def _compressed(docs: DataFrame) -> DataFrame:
             frames = pa.array([pack(t) for t in texts], pa.binary())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), frames], names=[*_KEY, "frame"])
 
-    return docs.mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, text_key int, frame binary")
+    return docs.mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, text_key bigint, frame binary")
 
 
 def _joined(left: DataFrame, right: DataFrame, how: str) -> DataFrame:
@@ -150,7 +175,7 @@ def _flat(lists: pa.ListArray, *fields: str) -> list[np.ndarray]:
 
 
 def branch_windows(texts: DataFrame, span: int, kind: str) -> DataFrame:
-    """Two hashes and the coordinates of every window of the paths listed in ``paths``."""
+    """Both hashes and the coordinates of every window of the paths listed in ``paths``."""
 
     def run(batches):
         for batch, chunk in _frame_chunks(batches):
@@ -158,7 +183,8 @@ def branch_windows(texts: DataFrame, span: int, kind: str) -> DataFrame:
             row, start, count = _flat(batch.column(3), "start", "windows")
             own = np.repeat(row, count)
             at = np.repeat(start, count) + np.arange(len(own)) - np.repeat(np.cumsum(count) - count, count)
-            hashes = [ngrams(w.hash, span, salt)[w.ptr[own] + at].view(np.int64) for salt in (0, 1)]
+            first = w.ptr[own] + at
+            hashes = [x.view(np.int64) for x in (ngrams(w.hash, span)[first], byte_hashes(w, first, first + span))]
             yield pa.RecordBatch.from_arrays(
                 [
                     *map(pa.array, hashes),
@@ -169,7 +195,7 @@ def branch_windows(texts: DataFrame, span: int, kind: str) -> DataFrame:
                 names=["h1", "h2", *_KEY, "start"],
             )
 
-    return texts.mapInArrow(run, f"h1 bigint, h2 bigint, doc_id {kind}, text_key int, start int")
+    return texts.mapInArrow(run, f"h1 bigint, h2 bigint, doc_id {kind}, text_key bigint, start int")
 
 
 def removable(docs: DataFrame, span: int = SPAN, gram: int = GRAM) -> DataFrame:

@@ -50,3 +50,47 @@ def test_repeated_rows_null_ids_and_empty_table(spark):
     rows = sorted((str(r.doc_id), r.n_words, r.n_removed) for r in remove_repeats(df).collect())
     assert rows == [("1", 30, 30), ("1", 30, 30), ("2", 1, 0), ("None", 31, 0)]
     assert remove_repeats(df.limit(0)).collect() == []
+
+
+def test_rows_of_one_id_whose_short_text_hashes_meet(spark):
+    """Two different texts without id and with one 32-bit hash: neither loses words that stand nowhere else."""
+    seen = {}
+    for start in range(0, 10**6, 50000):
+        df = spark.range(start, start + 50000).selectExpr("concat('only ', id, ' here') t").selectExpr("t", "hash(t) h")
+        for t, h in df.collect():
+            seen.setdefault(h, []).append(t)
+        pair = next((x for x in seen.values() if len(x) > 1), None)
+        if pair:
+            break
+    assert len(pair) == 2
+    df = spark.createDataFrame([(None, t) for t in pair] + [(1, "one two")], "doc_id bigint, text string")
+    rows = remove_repeats(df, 2, 2).collect()
+    assert sum(r.n_removed for r in rows) == 0 and sum(r.n_words for r in rows) == 8
+
+
+def test_words_with_equal_hashes_are_told_apart_by_their_bytes():
+    import numpy as np
+
+    from fleetlake.llm.substring_dedup import byte_hashes, paths
+    from fleetlake.llm.words import NON_BLANK, Words
+
+    texts = [" ".join(f"a{i}" for i in range(30)).encode(), "\n".join(f"b{i}" for i in range(30)).encode()]
+    w = Words(texts, NON_BLANK, lower=False)
+    w.hash = np.tile(w.hash[:30], 2)  # as if every word of one text collided with one of the other
+    seed, path, at, count = paths(w, 20, 6)
+    half = len(at) // 2
+    assert (seed[:half] == seed[half:]).all() and (path[:half] != path[half:]).all()
+    # the same words behind other blanks have the same bytes
+    again = Words([b"x  y\tz", b"q x y z"], NON_BLANK, lower=False)
+    assert byte_hashes(again, np.array([0]), np.array([3])) == byte_hashes(again, np.array([4]), np.array([7]))
+
+
+def test_too_many_words_in_one_text_stop_the_job(monkeypatch):
+    import pytest
+
+    from fleetlake.llm import substring_dedup as module
+    from fleetlake.llm.words import NON_BLANK, Words
+
+    monkeypatch.setattr(module, "POSITION_BITS", 5)
+    with pytest.raises(ValueError, match="positions"):
+        module.paths(Words([b"w " * 40], NON_BLANK, lower=False), 20, 6)
