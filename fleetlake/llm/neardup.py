@@ -48,6 +48,8 @@ LONG_SAMPLES = 512
 SLACK = 0.09
 #: Texts and bytes of text that a block aims at.
 BLOCK, BLOCK_BYTES = 512, 1 << 21
+#: Contents of a class whose members do not meet in one task, and how many such classes there can be at most.
+LARGE, MAX_LARGE = 1000, 1 << 20
 TABLE_BITS = 18
 RARE = 1 / 256
 
@@ -308,11 +310,27 @@ def near_duplicates(
     # bands that still hold several classes
     links = links.unionByName(materialise(_across(members, roots, texts, idf, similarity), "links"))
     roots = components(links)
-    classes = signed.join(roots, signed["content"] == roots["node"], "left").withColumn(
-        "root", F.coalesce("root", "content")
+    own = signed.groupBy("content").agg(F.min("doc_id").alias("least"))
+    met = own.join(roots, own["content"] == roots["node"], "left").withColumn("root", F.coalesce("root", "content"))
+    named = _named(materialise(met.drop("node"), "contents"))
+    return signed.select("doc_id", "text_key", "content").join(named, "content")
+
+
+def _named(contents: DataFrame) -> DataFrame:
+    """``content``, ``group_id`` and ``class`` from ``content``, the ``root`` of its class and its ``least`` id.
+
+    The join by class would bring a large class into one task. Classes of more
+    than ``t`` contents are therefore broadcast, with ``t`` so large that there
+    are fewer than ``MAX_LARGE`` of them whatever the input.
+    """
+    classes = materialise(
+        contents.groupBy("root").agg(F.min("least").alias("group_id"), F.count(F.lit(1)).alias("n")), "classes"
     )
-    smallest = classes.groupBy("root").agg(F.min("doc_id").alias("group_id"))
-    return classes.join(smallest, "root").select("doc_id", "text_key", "content", "group_id", F.hex("root").alias("class"))
+    large = F.col("n") > max(LARGE, contents.count() // MAX_LARGE)
+    hot = F.broadcast(classes.filter(large).drop("n"))
+    small = classes.filter(~large).drop("n")
+    met = contents.join(hot, "root").unionByName(contents.join(hot, "root", "left_anti").join(small, "root"))
+    return met.select("content", "group_id", F.hex("root").alias("class"))
 
 
 def _rooted(frame: DataFrame, roots: DataFrame, column: str, name: str) -> DataFrame:

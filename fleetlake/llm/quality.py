@@ -135,8 +135,9 @@ def _weighted(docs: DataFrame, ratios, at_least: float | None, narrowed: bool) -
 def _least_key(scored: DataFrame, take: int | None) -> float:
     """The smallest sample key among the ``take`` largest."""
     if take is None:
-        favoured, equal = scored.agg(F.count_if(F.col("log_weight") > 0), F.count_if(F.col("log_weight") == 0)).first()
-        take = favoured or equal
+        told = scored.agg(F.count_if(F.col("log_weight") > 0), F.count_if(F.col("log_weight") < 0), F.count("*")).first()
+        # texts without n-grams weigh 0 and are not favoured; only without a target, where all weigh 0, all are taken
+        take = told[0] if told[0] or told[1] else told[2]
     if not take:
         return float("inf")
     keys = with_global_position(scored.select("sample_key"), [F.col("sample_key").desc()])

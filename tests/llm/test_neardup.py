@@ -182,3 +182,17 @@ def test_alike_texts_that_are_no_duplicates_leave_few_rows(spark, n):
         nd._across = across
     # of all pairs that share a band and have near signatures, only those leave a task that join classes
     assert len(classes) == n and rows[0] < n
+
+
+def test_large_classes_are_named_without_a_common_task(spark, monkeypatch):
+    from fleetlake.llm import neardup as nd
+
+    monkeypatch.setattr(nd, "LARGE", 2)
+    docs = [(i, "one two three four five six " * 9 + f"end{i % 6}") for i in range(10, 40)] + [(1, "alone " * 8), (None, "no id " * 7)]
+    found = near_duplicates(spark.createDataFrame(docs, "doc_id bigint, text string")).collect()
+    assert sorted({(r.group_id, r["class"]) for r in found if (r.doc_id or 0) >= 10}) == [(10, found_class(found, 10))]
+    assert [r.group_id for r in found if r.doc_id == 1] == [1] and len(found) == len(docs)
+
+
+def found_class(rows, doc_id):
+    return next(r["class"] for r in rows if r.doc_id == doc_id)
