@@ -6,7 +6,10 @@ L1 term keeps most weights at exactly 0, so the model is a short list of slots
 that is broadcast for scoring.
 
 The model is fitted on at most ``MAX_ROWS`` labelled texts, taken by the order
-of a hash of their ids: a bounded sample, one task. Scoring covers every text.
+of a hash of their ids: a bounded sample, one task. That task streams the
+sample's slots in pieces of ``PIECE``, once an epoch in the same order (Spark
+sorts them, on disk where need be), and holds two numbers a slot of the table
+and the slots of one text. Scoring covers every text.
 
 Cases: null or wordless text has the bias alone; a text longer than a chunk is
 scored whole; labels of unknown ids and null labels are left out; with no label
@@ -16,7 +19,6 @@ at all every score is 0.5; repeated rows are scored as rows of their own.
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -31,6 +33,7 @@ ALPHA, BETA, L1, L2 = 2.0, 1.0, 16.0, 0.0
 #: Weight of a toxic text's gradient: they are few, and the score is cut well above one half.
 POSITIVE = 4.0
 BIAS = 0  # its slot
+PIECE = 1 << 12
 
 
 def feature_slots(w: Words, bits: int) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -56,23 +59,23 @@ def _features(texts: list[bytes], bits: int) -> list[np.ndarray]:
     return [slots[a:b] for a, b in zip(cut[:-1], cut[1:], strict=True)]
 
 
-def ftrl(rows: list[tuple[np.ndarray, int]], bits: int, epochs: int) -> np.ndarray:
-    """Weights of all slots after ``epochs`` passes in the given order."""
-    z, n = np.zeros(1 << bits), np.zeros(1 << bits)
+class Ftrl:
+    """FTRL-proximal state: a gradient sum and a squared-gradient sum for each slot."""
 
-    def weights(z, n):
+    def __init__(self, bits: int):
+        self.z, self.n = np.zeros(1 << bits), np.zeros(1 << bits)
+
+    def weights(self, slots=slice(None)) -> np.ndarray:
+        z, n = self.z[slots], self.n[slots]
         return np.where(np.abs(z) <= L1, 0.0, (np.sign(z) * L1 - z) / ((BETA + np.sqrt(n)) / ALPHA + L2))
 
-    for _ in range(epochs):
-        for slots, label in rows:
-            zi, ni = z[slots], n[slots]
-            w = weights(zi, ni)
-            g = 1 / (1 + np.exp(-np.clip(w.sum(), -35, 35))) - label
-            g *= POSITIVE if label else 1.0
-            root = np.sqrt(ni + g * g)
-            z[slots] = zi + g - (root - np.sqrt(ni)) / ALPHA * w
-            n[slots] = ni + g * g
-    return weights(z, n)
+    def update(self, slots: np.ndarray, label: int) -> None:
+        """One step for a text with these different slots."""
+        w, n = self.weights(slots), self.n[slots]
+        g = 1 / (1 + np.exp(-np.clip(w.sum(), -35, 35))) - label
+        g *= POSITIVE if label else 1.0
+        self.z[slots] += g - (np.sqrt(n + g * g) - np.sqrt(n)) / ALPHA * w
+        self.n[slots] = n + g * g
 
 
 def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, bits: int = BITS, epochs: int = EPOCHS) -> dict:
@@ -81,26 +84,51 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, bits: int
 
     def featurise(batches):
         for batch, texts in text_chunks(batches):
-            slots = [np.append(x[x != BIAS], BIAS).astype(np.int32) for x in _features(texts, bits)]
+            at, piece, last, slots = [], [], [], []
+            for i, found in enumerate(_features(texts, bits)):
+                found = np.append(found[found != BIAS], BIAS).astype(np.int32)
+                cuts = range(0, len(found), PIECE)
+                at += [i] * len(cuts)
+                piece += range(len(cuts))
+                last += [False] * (len(cuts) - 1) + [True]
+                slots += [found[c : c + PIECE] for c in cuts]
+            own = batch.select(["order", "content", "row", "label"]).take(pa.array(at, pa.int64()))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(slots, pa.list_(pa.int32())), batch.column(2)],
-                names=["order", "slots", "label"],
+                [*own.columns, pa.array(piece, pa.int32()), pa.array(last), pa.array(slots, pa.list_(pa.int32()))],
+                names=[*own.schema.names, "piece", "last", "slots"],
             )
 
-    def train(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values("order")
-        w = ftrl(list(zip(frame["slots"], frame["label"], strict=True)), bits, epochs)
-        used = np.flatnonzero(w)
-        return pd.DataFrame({"slot": used.astype(np.int32), "weight": w[used]})
-
-    rows = (
-        labelled_sample(docs, labels, max_rows)
-        .select("order", "text", "label")
-        .mapInArrow(featurise, "order bigint, slots array<int>, label int")
+    def train(batches):
+        model, held = Ftrl(bits), []
+        for batch in batches:
+            for label, last, slots in zip(*(batch.column(i) for i in range(3)), strict=True):
+                held.append(slots.values.to_numpy())
+                if last.as_py():
+                    model.update(np.concatenate(held), label.as_py())
+                    held = []
+        weights = model.weights()
+        used = np.flatnonzero(weights)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(used.astype(np.int32)), pa.array(weights[used])], names=["slot", "weight"]
+        )
+
+    sample = labelled_sample(docs, labels, max_rows)
+    # rows of one id may tie; pieces of a row stay together, and rows that tie in full are equal
+    rows = sample.select(
+        "order", F.xxhash64("text").alias("content"), F.monotonically_increasing_id().alias("row"), "label", "text"
+    )
+    pieces = rows.mapInArrow(
+        featurise, "order bigint, content bigint, row bigint, label int, piece int, last boolean, slots array<int>"
+    )
+    passes = F.explode(F.sequence(F.lit(1), F.lit(epochs))).alias("epoch")
+    stream = (
+        pieces.repartition(1)
+        .select("*", passes)  # after the shuffle, which moves the sample once
+        .sortWithinPartitions("epoch", "order", "content", "row", "piece")
+        .select("label", "last", "slots")
     )
-    found = rows.withColumn("sample", F.lit(0)).groupBy("sample").applyInPandas(train, "slot int, weight double")
     # at most 2**bits weights, by L1 a few thousand
-    return {r.slot: r.weight for r in found.collect()}
+    return {r.slot: r.weight for r in stream.mapInArrow(train, "slot int, weight double").collect()}
 
 
 def score(docs: DataFrame, weights: dict, bits: int = BITS) -> DataFrame:
