@@ -6,11 +6,12 @@ depends on the window's words. Windows of one text around the same seed
 occurrence form a path without branches; a path is known by its seed and the
 hash of all its words.
 
-Paths and windows are taken as equal by two 64-bit hashes that share nothing:
-one of the words' hashes (the seed; the window) and one of the bytes of the
-words themselves, by other numbers. A false match needs both to collide.
-Minimiser runs stand in for the graph's nonbranching paths: they are found in
-each text alone, so no table of k-mers or degrees is made.
+Paths and windows meet by two 64-bit hashes that share nothing: one of the
+words' hashes (the seed; the window) and one of the bytes of the words
+themselves, by other numbers. What they find is then verified by the words at
+the source coordinates. Minimiser runs stand in for the graph's nonbranching
+paths: they are found in each text alone, so no table of k-mers or degrees is
+made.
 
 1. Seeds that occur once cannot lie in a repeated window; a join with the
    counted seeds leaves the paths around repeated ones.
@@ -19,7 +20,10 @@ each text alone, so no table of k-mers or degrees is made.
 3. Seeds with several different paths are the graph's branchings: there, and
    only for the first occurrence of each path, single windows are compared,
    and again all but the first by coordinates are removable.
-4. The removable stretches meet each text once more, which gives the kept words.
+4. Overlapping finds at one distance from one source are one long span. The
+   source's words come in blocks of 64, each only to the spans that repeat it.
+5. Where a span's words are the source's, in runs of ``span`` or more, they are
+   removed; where both hashes collided, words are kept.
 
 Texts travel to their stretches compressed. A row is known by its id and a
 64-bit hash of its text, which also orders repeated ids; of equal rows the first
@@ -41,13 +45,15 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from fleetlake.llm.common import importable, materialise, narrow, text_chunks
+from fleetlake.llm.common import discard, importable, materialise, narrow, text_chunks
 from fleetlake.llm.words import NON_BLANK, Words, mix, ngrams, sliding
 
 SPAN = 20
 GRAM = 6
 #: Words a chunk (512 KB, or one longer text) may have; the other 36 bits order the grams.
 POSITION_BITS = 28
+#: Words of a source that travel together to the spans that repeat them.
+BLOCK = 64
 
 _MULT = 0xD6E8FEB86659FD93
 _BYTE = np.random.default_rng(22).integers(0, 2**64, 256, dtype=np.uint64)
@@ -64,16 +70,20 @@ def _powers(size: int) -> tuple[np.ndarray, np.ndarray]:
     return row(_MULT), row(pow(_MULT, -1, 1 << 64))
 
 
-def byte_hashes(w: Words, first: np.ndarray, last: np.ndarray) -> np.ndarray:
-    """Hash of the bytes of words ``first:last``, joined by one blank, of each stretch."""
-    # words with the byte after each as a blank, side by side
+def side_by_side(w: Words) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of all words of a chunk, one blank behind each, and the place of every word in them."""
     edge = np.zeros(len(w.buf) + 1, np.int8)
     edge[w.start] = 1
     edge[w.end + 1] -= 1
     plain = w.buf.copy()
     plain[w.end] = 0x20
     flat = plain[np.cumsum(edge[:-1], dtype=np.int8) > 0]
-    place = np.concatenate(([0], np.cumsum(w.end - w.start + 1)))
+    return flat, np.concatenate(([0], np.cumsum(w.end - w.start + 1)))
+
+
+def byte_hashes(w: Words, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """Hash of the bytes of words ``first:last``, joined by one blank, of each stretch."""
+    flat, place = side_by_side(w)
     up, down = _powers(1 << max(20, int(len(flat) + 1).bit_length()))
     total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(_BYTE[flat] * up[: len(flat)])))
     begin, end = place[first], place[last]
@@ -199,61 +209,182 @@ def branch_windows(texts: DataFrame, span: int, kind: str) -> DataFrame:
 
 
 def removable(docs: DataFrame, span: int = SPAN, gram: int = GRAM) -> DataFrame:
-    """``doc_id``, ``text_key``, ``lo``, ``hi``: word ranges covered by windows that start earlier elsewhere.
+    """Word ranges ``lo:hi`` of rows (``doc_id``, ``text_key``) whose windows start earlier, by their hashes, at a source.
 
-    What is joined by seed, path or window is written first, so that both
-    sides of each join are plain shuffles and Spark can split hot keys.
+    The source is the row ``from_id``, ``from_key``; its words are ``shift``
+    before those of the range. What is joined by seed, path or window is
+    written first, so that both sides of each join are plain shuffles and Spark
+    can split hot keys; these tables are deleted when the ranges are written.
     """
     keyed = _with_key(docs)
     kind = dict(docs.dtypes)["doc_id"]
     found = document_paths(keyed, span, gram)
     repeated = found.groupBy("seed").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("seed")
-    found = materialise(found.join(materialise(repeated, "seeds"), "seed", "left_semi"), "paths")
+    seeds = materialise(repeated, "seeds")
+    found = materialise(found.join(seeds, "seed", "left_semi"), "paths")
+    discard(seeds)
     place = F.struct(*_KEY, "start", "windows")
     firsts = materialise(
         found.groupBy("seed", "path").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")), "path-firsts"
     )
     later = found.join(firsts.filter("n > 1").select("seed", "path", "first"), ["seed", "path"]).filter(place != F.col("first"))
+    source = [
+        F.col("first.doc_id").alias("from_id"),
+        F.col("first.text_key").alias("from_key"),
+        (F.col("start") - F.col("first.start")).alias("shift"),
+    ]
     spans = materialise(
-        later.select(*_KEY, F.col("start").alias("lo"), (F.col("start") + F.col("windows") + span - 1).alias("hi")),
+        later.select(*_KEY, F.col("start").alias("lo"), (F.col("start") + F.col("windows") + span - 1).alias("hi"), *source),
         "path-spans",
     )
+    discard(found)
     branching = firsts.groupBy("seed").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("seed")
+    branching = materialise(branching, "branchings")
     by_text = (
-        firsts.join(materialise(branching, "branchings"), "seed", "left_semi")
+        firsts.join(branching, "seed", "left_semi")
         .select("first.*")
         .groupBy(*_KEY)
         .agg(F.collect_list(F.struct("start", "windows")).alias("paths"))
     )
     texts = _joined(_compressed(keyed), by_text, "inner")
     windows = materialise(branch_windows(texts, span, kind), "branch-windows")
+    discard(branching, firsts)
     place = F.struct(*_KEY, "start")
     firsts = windows.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n"))
     firsts = materialise(firsts.filter("n > 1").drop("n"), "window-firsts")
     single = windows.join(firsts, ["h1", "h2"]).filter(place != F.col("first"))
-    return spans.unionByName(
-        single.select(*_KEY, F.col("start").alias("lo"), (F.col("start") + F.lit(span)).alias("hi"))
+    single = single.select(*_KEY, F.col("start").alias("lo"), (F.col("start") + F.lit(span)).alias("hi"), *source)
+    ranges = materialise(long_spans(spans.unionByName(single)), "ranges")
+    discard(spans, windows, firsts)
+    return ranges
+
+
+def long_spans(spans: DataFrame) -> DataFrame:
+    """Overlapping ranges of a row at one distance from one source, as one range."""
+    line = [*_KEY, "from_id", "from_key", "shift"]
+    order = Window.partitionBy(*line).orderBy("lo")
+    reached = F.max("hi").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    apart = F.coalesce(F.col("lo") > reached, F.lit(True)).cast("int")
+    part = F.sum("apart").over(order.rowsBetween(Window.unboundedPreceding, 0))
+    parts = spans.withColumn("apart", apart).withColumn("part", part).groupBy(*line, "part")
+    return parts.agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).drop("part")
+
+
+def source_blocks(texts: DataFrame, kind: str) -> DataFrame:
+    """``words`` of each block of 64 listed in ``blocks``, one blank behind each word."""
+
+    def run(batches):
+        for batch, chunk in _frame_chunks(batches):
+            w = Words(chunk, NON_BLANK, lower=False, hashes=False)
+            flat, place = side_by_side(w)
+            flat = flat.tobytes()
+            row, block = _flat(batch.column(3), "block")
+            first = w.ptr[row] + block * BLOCK
+            begin, end = place[first], place[np.minimum(first + BLOCK, w.ptr[row + 1])]
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch.column(0).take(pa.array(row)),
+                    batch.column(1).take(pa.array(row)),
+                    pa.array(block),
+                    pa.array([flat[a:b] for a, b in zip(begin.tolist(), end.tolist(), strict=True)], pa.binary()),
+                ],
+                names=["from_id", "from_key", "block", "words"],
+            )
+
+    return texts.mapInArrow(run, f"from_id {kind}, from_key bigint, block bigint, words binary")
+
+
+def with_source_words(docs: DataFrame, ranges: DataFrame) -> DataFrame:
+    """One row for each block of a source that a range repeats, with the words there.
+
+    A source that a third of all rows repeat is one row a block; the ranges'
+    side of the join is a plain shuffle that Spark can split.
+    """
+    kind = dict(docs.dtypes)["doc_id"]
+    at = F.sequence(
+        F.expr(f"(lo - shift) div {BLOCK}").cast("bigint"), F.expr(f"(hi - shift - 1) div {BLOCK}").cast("bigint")
+    )
+    pieces = ranges.withColumn("block", F.explode(at))
+    wanted = (
+        pieces.groupBy("from_id", "from_key")
+        .agg(F.collect_set(F.struct("block")).alias("blocks"))
+        .select(F.col("from_id").alias("doc_id"), F.col("from_key").alias("text_key"), "blocks")
+    )
+    copy = Window.partitionBy(*_KEY).orderBy(F.lit(0))
+    texts = _compressed(_with_key(docs)).withColumn("copy", F.row_number().over(copy)).filter("copy = 1").drop("copy")
+    blocks = source_blocks(_joined(texts, wanted, "inner"), kind)
+    on = (
+        pieces["from_id"].eqNullSafe(blocks["from_id"])
+        & (pieces["from_key"] == blocks["from_key"])
+        & (pieces["block"] == blocks["block"])
     )
+    return pieces.join(blocks, on).drop(blocks["from_id"], blocks["from_key"], blocks["block"])
+
+
+def verified(w: Words, pieces: pa.ListArray, span: int) -> tuple[np.ndarray, np.ndarray]:
+    """First and last word in the chunk of what repeats its source word by word, ``span`` words or more."""
+    row, lo, hi, shift, block, key = _flat(pieces, "lo", "hi", "shift", "block", "from_key")
+    words = pc.struct_field(pc.list_flatten(pieces), "words").to_pylist()
+    if not len(row):
+        return row, row
+    source = Words(words, NON_BLANK, lower=False, hashes=False)
+    (mine, place), (other, spot) = side_by_side(w), side_by_side(source)
+    mine, other = mine.tobytes(), other.tobytes()
+    first = np.maximum(lo - shift, block * BLOCK)
+    size = np.minimum(hi - shift, (block + 1) * BLOCK) - first
+    at, there = w.ptr[row] + first + shift, source.ptr[:-1] + first - block * BLOCK
+    bounds = (place[at], place[at + size], spot[there], spot[there + size])
+    same = np.array([mine[a:b] == other[c:d] for a, b, c, d in zip(*(x.tolist() for x in bounds), strict=True)])
+    begin, end = w.ptr[row] + lo, w.ptr[row] + hi
+    if same.all():
+        return begin, end
+    # ranges with a piece that differs are compared word by word
+    _, which = np.unique(np.stack([row, lo, hi, shift, key]), axis=1, return_inverse=True)
+    which = which.reshape(-1)
+    wrong = np.unique(which[~same])
+    sure = ~np.isin(which, wrong)
+    begins, ends = [begin[sure]], [end[sure]]
+    for g in wrong:
+        members = np.flatnonzero(which == g)
+        base = int(begin[members[0]])
+        equal = np.zeros(int(end[members[0]]) - base + 2, np.int8)
+        for i in members:
+            for j in range(int(size[i])):
+                a, b = at[i] + j, there[i] + j
+                equal[a - base + 1] = mine[place[a] : place[a + 1]] == other[spot[b] : spot[b + 1]]
+        edge = np.diff(equal)
+        lows, highs = np.flatnonzero(edge == 1) + base, np.flatnonzero(edge == -1) + base
+        long = highs - lows >= span
+        begins.append(lows[long])
+        ends.append(highs[long])
+    return np.concatenate(begins), np.concatenate(ends)
 
 
 def remove_repeats(docs: DataFrame, span: int = SPAN, gram: int = GRAM) -> DataFrame:
     """``doc_id``, ``n_words``, ``n_removed``, ``kept`` (compressed kept words) and ``kept_sha256`` of each row."""
     importable(docs.sparkSession)
+    return remove_ranges(docs, removable(docs, span, gram), span)
+
+
+def remove_ranges(docs: DataFrame, ranges: DataFrame, span: int = SPAN) -> DataFrame:
+    """Rows of ``remove_repeats``, without the words of ``ranges`` that are those of their sources."""
     kind = dict(docs.dtypes)["doc_id"]
-    spans = removable(docs, span, gram)
-    by_text = spans.groupBy(*_KEY).agg(F.collect_list(F.struct("lo", "hi")).alias("ranges"))
+    pieces = with_source_words(docs, ranges)
+    by_text = pieces.groupBy(*_KEY).agg(
+        F.collect_list(F.struct("lo", "hi", "shift", "block", "from_key", "words")).alias("pieces")
+    )
     copy = Window.partitionBy(*_KEY).orderBy(F.lit(0))
     texts = _compressed(_with_key(docs)).withColumn("copy", F.row_number().over(copy))
-    joined = _joined(texts, by_text, "left").select(*_KEY, "frame", "copy", "ranges")
+    joined = _joined(texts, by_text, "left").select(*_KEY, "frame", "copy", "pieces")
 
     def run(batches):
         pack = zstandard.ZstdCompressor(level=1).compress
         for batch, chunk in _frame_chunks(batches):
             w = Words(chunk, NON_BLANK, lower=False, hashes=False)
-            row, lo, hi = _flat(batch.column(4), "lo", "hi")
+            begin, end = verified(w, batch.column(4), span)
             step = np.zeros(len(w.start) + 1, np.int64)
-            np.add.at(step, w.ptr[row] + lo, 1)
-            np.add.at(step, w.ptr[row] + hi, -1)
+            np.add.at(step, begin, 1)
+            np.add.at(step, end, -1)
             again = (batch.column(3).to_numpy() > 1) & (w.n >= span)  # equal rows start earlier
             keep = (np.cumsum(step[:-1]) == 0) & ~np.repeat(again, w.n)
             # the bytes of kept words, each with the byte after it turned into a blank

@@ -5,7 +5,7 @@ import re
 import duckdb
 
 from fleetlake.llm.queries import ORACLE, op10_substring_dedup
-from fleetlake.llm.substring_dedup import remove_repeats
+from fleetlake.llm.substring_dedup import long_spans, remove_ranges, remove_repeats
 from tests.conftest import SF_SMALL
 
 
@@ -85,6 +85,40 @@ def test_words_with_equal_hashes_are_told_apart_by_their_bytes():
     assert byte_hashes(again, np.array([0]), np.array([3])) == byte_hashes(again, np.array([4]), np.array([7]))
 
 
+def test_ranges_are_verified_by_the_words_at_the_source(spark):
+    """Ranges as colliding hashes would give them: only runs that are the source's words go."""
+    from pyspark.sql import functions as F
+
+    first = [f"w{i}" for i in range(200)]
+    later = ["q"] * 3 + first[10:190]
+    later[3 + 100] = "other"  # word 110 of the source
+    later[3 + 108] = "other"  # between them 7 equal words, too few
+    docs = [(None, " ".join(first)), (7, "\n".join(later)), (8, " ".join(f"u{i}" for i in range(50))), (9, " ".join(first[60:130]))]
+    df = spark.createDataFrame(docs, "doc_id bigint, text string")
+    key = {r.doc_id: r.k for r in df.select("doc_id", F.xxhash64("text").alias("k")).collect()}
+    rows = [
+        (7, key[7], 3, 183, None, key[None], -7),
+        (8, key[8], 5, 45, None, key[None], 5),  # not one word is the source's
+        (9, key[9], 0, 70, None, key[None], -60),
+    ]
+    ranges = spark.createDataFrame(
+        rows, "doc_id bigint, text_key bigint, lo int, hi int, from_id bigint, from_key bigint, shift int"
+    )
+    got = {r.doc_id: r for r in remove_ranges(df, ranges).collect()}
+    assert {i: r.n_removed for i, r in got.items()} == {None: 0, 7: 100 + 71, 8: 0, 9: 70}
+    kept = " ".join([*later[:3], *later[103:112]])
+    assert got[7].kept_sha256 == hashlib.sha256(kept.encode()).hexdigest()
+
+
+def test_finds_at_one_distance_from_one_source_are_one_span(spark):
+    rows = [(1, 5, lo, lo + 20, 0, 4, shift) for lo, shift in ((0, 3), (7, 3), (27, 3), (48, 3), (7, 2))]
+    spans = spark.createDataFrame(
+        rows, "doc_id int, text_key bigint, lo int, hi int, from_id int, from_key bigint, shift int"
+    )
+    got = sorted((r["shift"], r.lo, r.hi) for r in long_spans(spans).collect())
+    assert got == [(2, 7, 27), (3, 0, 47), (3, 48, 68)]
+
+
 def test_too_many_words_in_one_text_stop_the_job(monkeypatch):
     import pytest
 
