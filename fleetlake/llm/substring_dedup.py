@@ -45,7 +45,7 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from fleetlake.llm.common import discard, importable, materialise, narrow, text_chunks
+from fleetlake.llm.common import discard, importable, materialise, narrow, shuffles_released, text_chunks
 from fleetlake.llm.words import NON_BLANK, Words, mix, ngrams, sliding
 
 SPAN = 20
@@ -363,7 +363,9 @@ def verified(w: Words, pieces: pa.ListArray, span: int) -> tuple[np.ndarray, np.
 def remove_repeats(docs: DataFrame, span: int = SPAN, gram: int = GRAM) -> DataFrame:
     """``doc_id``, ``n_words``, ``n_removed``, ``kept`` (compressed kept words) and ``kept_sha256`` of each row."""
     importable(docs.sparkSession)
-    return remove_ranges(docs, removable(docs, span, gram), span)
+    with shuffles_released(docs.sparkSession):
+        ranges = removable(docs, span, gram)
+    return remove_ranges(docs, ranges, span)
 
 
 def remove_ranges(docs: DataFrame, ranges: DataFrame, span: int = SPAN) -> DataFrame:

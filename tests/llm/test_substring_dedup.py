@@ -50,6 +50,7 @@ def test_repeated_rows_null_ids_and_empty_table(spark):
     rows = sorted((str(r.doc_id), r.n_words, r.n_removed) for r in remove_repeats(df).collect())
     assert rows == [("1", 30, 30), ("1", 30, 30), ("2", 1, 0), ("None", 31, 0)]
     assert remove_repeats(df.limit(0)).collect() == []
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled", None) is None
 
 
 def test_rows_of_one_id_whose_short_text_hashes_meet(spark):
