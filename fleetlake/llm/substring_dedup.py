@@ -312,13 +312,16 @@ def with_source_words(docs: DataFrame, ranges: DataFrame) -> DataFrame:
     )
     copy = Window.partitionBy(*_KEY).orderBy(F.lit(0))
     texts = _compressed(_with_key(docs)).withColumn("copy", F.row_number().over(copy)).filter("copy = 1").drop("copy")
-    blocks = source_blocks(_joined(texts, wanted, "inner"), kind)
+    blocks = materialise(source_blocks(_joined(texts, wanted, "inner"), kind), "source-blocks")
     on = (
         pieces["from_id"].eqNullSafe(blocks["from_id"])
         & (pieces["from_key"] == blocks["from_key"])
         & (pieces["block"] == blocks["block"])
     )
-    return pieces.join(blocks, on).drop(blocks["from_id"], blocks["from_key"], blocks["block"])
+    out = pieces.join(blocks, on).drop(blocks["from_id"], blocks["from_key"], blocks["block"])
+    out = materialise(out, "source-words")
+    discard(blocks)
+    return out
 
 
 def verified(w: Words, pieces: pa.ListArray, span: int) -> tuple[np.ndarray, np.ndarray]:
@@ -371,7 +374,8 @@ def remove_repeats(docs: DataFrame, span: int = SPAN, gram: int = GRAM) -> DataF
 def remove_ranges(docs: DataFrame, ranges: DataFrame, span: int = SPAN) -> DataFrame:
     """Rows of ``remove_repeats``, without the words of ``ranges`` that are those of their sources."""
     kind = dict(docs.dtypes)["doc_id"]
-    pieces = with_source_words(docs, ranges)
+    with shuffles_released(docs.sparkSession):
+        pieces = with_source_words(docs, ranges)
     by_text = pieces.groupBy(*_KEY).agg(
         F.collect_list(F.struct("lo", "hi", "shift", "block", "from_key", "words")).alias("pieces")
     )
