@@ -30,18 +30,32 @@ BLOCK = "row_block"  # range partition the row fell into
 ROW = "row_in_block"  # increasing id inside the block (block << 33 | index)
 
 
-def number_rows(df: DataFrame, order_by: list[Column], num_partitions: int | None = None) -> DataFrame:
+#: Rows that one task sorts. Runs take up to 1 KB each in memory however small they are on disk, where many values repeat.
+SORT_ROWS = 1 << 17
+
+
+def sort_partitions(rows: int) -> int | None:
+    """Partitions for sorting so many runs within a task's memory; None leaves a small number of rows to the session."""
+    return -(-rows // SORT_ROWS) if rows > 2 * SORT_ROWS else None
+
+
+def number_rows(
+    df: DataFrame, order_by: list[Column], num_partitions: int | None = None, first: list[Column] | None = None
+) -> DataFrame:
     """Range-partition and sort on ``order_by``; add the block and in-block ids.
+    ``first`` are columns that follow that order, to sort by before it.
 
     Without ``num_partitions`` the range shuffle uses the session's partition
     count and AQE may coalesce neighbouring ranges up to its advisory size.
     Coalesced blocks are still contiguous key ranges in order, so the
-    numbering stays exact and block sizes follow the data.
+    numbering stays exact and block sizes follow the data. AQE goes by
+    compressed sizes, though, so that large tables should name a count
+    (``sort_partitions``): a block that memory does not hold is spilled.
     """
     ranged = df.repartitionByRange(num_partitions, *order_by) if num_partitions else df.repartitionByRange(*order_by)
     return (
         ranged
-        .sortWithinPartitions(*order_by)
+        .sortWithinPartitions(*(first or []), *order_by)
         .withColumn(BLOCK, F.spark_partition_id())
         .withColumn(ROW, F.monotonically_increasing_id())
     )

@@ -33,6 +33,7 @@ from fleetlake.operators.bronze import build_bronze
 from fleetlake.operators.health import build_customer_health
 from fleetlake.operators.incidents import incident_candidates, top_incidents
 from fleetlake.operators.keyed import read_rows, upsert_rows
+from fleetlake.operators.position import sort_partitions
 from fleetlake.operators.runlog import (
     AGENT_RUNS_SCHEMA,
     PIPELINE_RUNS_SCHEMA,
@@ -152,14 +153,16 @@ def _refresh(spark, raw, layout: Layout, version: str, started: str, days: int,
         raw = spark.read.schema(raw.schema).parquet(raw_path)
     # Bronze is stored sorted by event time and renumbered; silver takes the
     # incident positions from that stored numbering (one materialisation, not two)
-    bronze = number_bronze(_in_bins(build_bronze(raw), raw, bin_rows))
+    # each of the three sorts holds its rows in memory: their tasks are counted by rows
+    tasks = sort_partitions(raw.count())
+    bronze = number_bronze(_in_bins(build_bronze(raw), raw, bin_rows), tasks)
     bronze_path = f"{layout.table('bronze')}/version={version}"
     # rows arrive range-partitioned by event time, so each task writes few bins
     bronze.write.mode("overwrite").partitionBy(DATE_BIN).parquet(bronze_path)
     stored_bronze = spark.read.schema(bronze.drop(DATE_BIN).schema).parquet(bronze_path)
     order = ["event_ts", "job_id"]
     silver_df = build_silver_from_numbered(stored_bronze)
-    silver_path = publish_version(silver_df, layout.table("silver"), version, ["severity"], order)
+    silver_path = publish_version(silver_df, layout.table("silver"), version, ["severity"], order, tasks=tasks)
     silver = spark.read.schema(silver_df.schema).parquet(silver_path)
     # D1 as one value: the literal cutoff is pushed into the scan of the
     # time-sorted silver files (a subquery cutoff would not be)
@@ -169,7 +172,9 @@ def _refresh(spark, raw, layout: Layout, version: str, started: str, days: int,
         health, layout.table("customer_health"), version, ["risk_band"], ["customer_id"], ["customer_id"]
     )
     candidates = incident_candidates(silver)
-    incidents_path = publish_version(candidates, layout.table("incidents"), version, ["severity"], order, ["incident_id"])
+    incidents_path = publish_version(
+        candidates, layout.table("incidents"), version, ["severity"], order, ["incident_id"], tasks
+    )
     incidents = spark.read.schema(candidates.schema).parquet(incidents_path)
     queue_path = publish_version(top_incidents(incidents), layout.table("incident_queue"), version, ["severity"])
 

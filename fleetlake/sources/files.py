@@ -147,6 +147,7 @@ def write_parquet_dataset(
     partition_cols: list[str] | None = None,
     cluster_by: list[str] | None = None,
     lookup_by: list[str] | None = None,
+    tasks: int | None = None,
 ) -> None:
     """A3: partitioned parquet.
 
@@ -158,9 +159,11 @@ def write_parquet_dataset(
     table); and files are sorted, so min/max statistics prune row groups.
     ``lookup_by`` columns get Bloom filters, so that a filter on one value
     skips the row groups that cannot hold it, whatever the order of the rows.
+    ``tasks`` is the number of ranges; without it AQE chooses, by compressed sizes.
     """
     keys = [_q(c) for c in (partition_cols or []) + (cluster_by or [])]
-    out = df.repartitionByRange(*keys).sortWithinPartitions(*keys) if keys else df
+    count = [tasks] if tasks else []
+    out = df.repartitionByRange(*count, *keys).sortWithinPartitions(*keys) if keys else df
     writer = out.write.mode("overwrite")
     for c in lookup_by or []:
         writer = writer.option(f"parquet.bloom.filter.enabled#{c}", "true")
@@ -191,11 +194,12 @@ def publish_version(
     partition_cols: list[str] | None = None,
     cluster_by: list[str] | None = None,
     lookup_by: list[str] | None = None,
+    tasks: int | None = None,
 ) -> str:
     """Write a new immutable version directory; readers move to it only when
     the manifest names it (see ``manifest``). Never overwrites a path being read."""
     target = f"{base.rstrip('/')}/version={version}"
-    write_parquet_dataset(df, target, partition_cols, cluster_by, lookup_by)
+    write_parquet_dataset(df, target, partition_cols, cluster_by, lookup_by, tasks)
     return target
 
 
