@@ -34,14 +34,21 @@ from fleetlake.functions.fixed_values import INCIDENT_QUEUE_SIZE
 from fleetlake.operators.bronze import build_bronze
 from fleetlake.operators.incidents import incident_candidates
 from fleetlake.operators.panes import DAY, daily_panes, health_from_panes, window_start
+from fleetlake.operators.position import sort_partitions
 from fleetlake.operators.silver import score_silver
 
 
-def silver_stream(
+def bronze_stream(
     spark: SparkSession, source_dir: str, schema: T.StructType, files_per_trigger: int = 1000
 ) -> DataFrame:
     raw = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(source_dir)
-    return score_silver(build_bronze(raw))
+    return build_bronze(raw)
+
+
+def silver_stream(
+    spark: SparkSession, source_dir: str, schema: T.StructType, files_per_trigger: int = 1000
+) -> DataFrame:
+    return score_silver(bronze_stream(spark, source_dir, schema, files_per_trigger))
 
 
 def run_silver_stream(
@@ -98,9 +105,12 @@ def recent_silver(spark: SparkSession, silver_dir: str, schema: T.StructType, cu
     )
 
 
-def _store_by_month(df: DataFrame, time: str, path: str, epoch_id: int) -> None:
+def _by_month(df: DataFrame, time: str, epoch_id: int) -> DataFrame:
+    return df.withColumns({PERIOD: F.trunc(time, "month"), BATCH: F.lit(epoch_id)})
+
+
+def _store(placed: DataFrame, path: str) -> None:
     """Add the epoch's rows; written again, the epoch replaces its own folders only."""
-    placed = df.withColumns({PERIOD: F.trunc(time, "month"), BATCH: F.lit(epoch_id)})
     placed.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(PERIOD, BATCH).parquet(path)
 
 
@@ -118,6 +128,14 @@ def _read_months(spark: SparkSession, path: str, schema: T.StructType, first: dt
     return found.drop(PERIOD, BATCH)
 
 
+def _read_epoch(spark: SparkSession, path: str, schema: T.StructType, epoch_id: int) -> DataFrame:
+    """Rows that one epoch stored; a folder of it is looked for in each month."""
+    try:
+        return spark.read.schema(schema).parquet(f"{path}/{PERIOD}=*/{BATCH}={epoch_id}")
+    except AnalysisException:  # the epoch has no rows with a time
+        return spark.createDataFrame([], schema)
+
+
 def _forget(spark: SparkSession, path: str) -> None:
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
@@ -151,16 +169,18 @@ def run_gold_stream(
 
     panes_dir = f"{gold_dir.rstrip('/')}/{PANES}"
 
-    def refresh(batch: DataFrame, epoch_id: int) -> None:
-        sp = batch.sparkSession
-        # computed and sorted once; silver, panes, the latest event and the incidents come from the written rows
-        epoch_path = f"{checkpoint_dir.rstrip('/')}/_epoch/{epoch_id % 2}"
-        by_time = batch.repartitionByRange("event_ts", "job_id").sortWithinPartitions("event_ts")
-        by_time.write.mode("overwrite").parquet(epoch_path)
-        written = sp.read.schema(batch.schema).parquet(epoch_path)
-        _store_by_month(written.filter(F.col("event_ts").isNotNull()), "event_ts", silver_dir, epoch_id)
+    def refresh(bronze: DataFrame, epoch_id: int) -> None:
+        sp, silver_schema = bronze.sparkSession, score_silver(bronze).schema
+        timed = bronze.filter(F.col("event_ts").isNotNull())
+        # moved before the scores are there and sorted as they are stored: rows are scored and written once;
+        # panes, the latest event and the incidents come from the written rows
+        tasks = sort_partitions(timed.count())
+        moved = timed.repartitionByRange(*([tasks] if tasks else []), "event_ts", "job_id")
+        placed = _by_month(moved, "event_ts", epoch_id).sortWithinPartitions(PERIOD, BATCH, "event_ts")
+        _store(score_silver(placed), silver_dir)
+        written = _read_epoch(sp, silver_dir, silver_schema, epoch_id)
         panes = daily_panes(written)
-        _store_by_month(panes, DAY, panes_dir, epoch_id)
+        _store(_by_month(panes, DAY, epoch_id), panes_dir)
         # the running latest event: this batch's maximum folded into the previous epoch's
         # state; the full state history is read only to recover a missing step
         batch_max = written.agg(F.max("event_ts").alias("latest"))
@@ -182,13 +202,14 @@ def run_gold_stream(
         if latest is None:
             return
         cutoff, first = window_start(latest, days)
-        cut_day = _read_months(sp, silver_dir, batch.schema, first, first).filter(
+        cut_day = _read_months(sp, silver_dir, silver_schema, first, first).filter(
             (F.col("event_ts") >= F.lit(cutoff)) & (F.col("event_ts") < F.lit(dt.datetime.combine(first, dt.time()) + dt.timedelta(1)))
         )
         window = _read_months(sp, panes_dir, panes.schema, first, latest.date())
         health = health_from_panes(window, cut_day, days, latest, ordered=False)
         health.write.mode("overwrite").parquet(f"{gold_dir}/{HEALTH}/epoch={epoch_id}")
-        incidents = incident_candidates(written)
+        untimed = score_silver(bronze.filter(F.col("event_ts").isNull()))
+        incidents = incident_candidates(written.unionByName(untimed))
         last = committed_epoch(sp, gold_dir, before=epoch_id)
         if last is not None:
             incidents = incidents.unionByName(sp.read.parquet(f"{gold_dir}/{QUEUE}/epoch={last}"))
@@ -198,7 +219,7 @@ def run_gold_stream(
             _forget(sp, f"{gold_dir}/{table}/epoch={epoch_id - KEPT_EPOCHS}")
 
     q = (
-        silver_stream(spark, source_dir, schema, files_per_trigger)
+        bronze_stream(spark, source_dir, schema, files_per_trigger)
         .writeStream.foreachBatch(refresh)
         .option("checkpointLocation", checkpoint_dir)
         .trigger(availableNow=True)

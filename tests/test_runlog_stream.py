@@ -128,3 +128,34 @@ def test_streamed_silver_can_be_read_from_a_time_on(spark):
     scored = score_silver(tel)
     found = recent_silver(spark, silver, scored.schema, dt.datetime(1998, 6, 10))
     assert found.count() == scored.filter("event_ts >= timestamp_ntz'1998-06-10 00:00:00'").count()
+
+
+def test_gold_stream_writes_its_runs_once(spark, monkeypatch):
+    """No copy of an epoch beside silver; runs without a time are in the queue only."""
+    import os
+
+    from pyspark.sql import functions as F
+
+    from fleetlake.operators import position
+    from fleetlake.streaming.refresh import QUEUE, latest_gold, run_gold_stream
+
+    monkeypatch.setattr(position, "SORT_ROWS", 50)
+    tel = load_telemetry(spark, SF_SMALL).filter("event_ts >= '1998-05-01'").cache()
+    first = tel.agg(F.min("job_id")).first()[0]
+    odd = tel.filter(F.col("job_id") == first)
+    untimed = odd.withColumns(
+        {"event_ts": F.lit(None).cast("timestamp_ntz"), "job_id": F.lit("job-untimed"), "status": F.lit("failed")}
+    )
+    src, silver, gold, ck = (scratch_path(spark, t) for t in ("once-src", "once-silver", "once-gold", "once-ck"))
+    tel.unionByName(untimed).coalesce(1).write.parquet(src)
+    run_gold_stream(spark, src, TELEMETRY_SCHEMA, silver, gold, ck, days=30)
+    assert "_epoch" not in os.listdir(ck.removeprefix("file:"))
+    stored = spark.read.parquet(silver)
+    assert stored.count() == tel.count() and stored.filter("event_ts IS NULL").count() == 0
+    cols = ["job_id", "reliability_score", "severity", "customer_summary"]
+    assert sorted(map(str, stored.select(*cols).collect())) == sorted(map(str, score_silver(tel).select(*cols).collect()))
+    # all high incidents with a time come before it, so the queue of none but such runs shows it
+    only, gold2 = scratch_path(spark, "once-src2"), scratch_path(spark, "once-gold2")
+    tel.filter("status = 'success'").limit(1).unionByName(untimed).coalesce(1).write.parquet(only)
+    run_gold_stream(spark, only, TELEMETRY_SCHEMA, scratch_path(spark, "os"), gold2, scratch_path(spark, "oc"), days=30)
+    assert "job-untimed" in [r.job_id for r in latest_gold(spark, gold2, QUEUE).collect()]
