@@ -297,7 +297,9 @@ def q_stream_gold(spark, sf_dir):
 
 def _timeline(spark, sf_dir):
     """A fifth of the runs arrives after the others."""
-    silver = score_silver(load_telemetry(spark, sf_dir))
+    raw = scratch_path(spark, "timeline-src")
+    load_telemetry(spark, sf_dir).write.parquet(raw)
+    silver = score_silver(spark.read.schema(TELEMETRY_SCHEMA).parquet(raw))
     late, base = F.pmod(F.xxhash64("job_id"), F.lit(5)) == 0, scratch_path(spark, "timeline")
     add_runs(spark, base, silver.filter(~late), grain="month")
     return add_runs(spark, base, silver.filter(late), grain="month")
@@ -314,7 +316,8 @@ def q_timeline_incident_ids(spark, sf_dir):
 )
 def q_timeline_lookup(spark, sf_dir):
     line = _timeline(spark, sf_dir)
-    wanted = build_incident_queue(line.silver(), 1).first()  # one row
+    # the id only, so that the columns of no use here are not read
+    wanted = build_incident_queue(line.silver(), 1).select("incident_id").first()  # one row
     found = incident_candidates(line.incident(wanted["incident_id"] if wanted else ""))
     return found.select(*[c.strip() for c in QUEUE_COLS.split(",")])
 

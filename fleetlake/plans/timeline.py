@@ -28,7 +28,7 @@ from pyspark.sql import types as T
 
 from fleetlake.operators.dashboard import load_incident
 from fleetlake.operators.panes import DAY, daily_panes, health_from_panes, window_start
-from fleetlake.operators.position import BLOCK, ROW, number_rows
+from fleetlake.operators.position import BLOCK, ROW, number_rows, sort_partitions
 from fleetlake.operators.silver import incident_id_expr, incident_order
 from fleetlake.sources.commits import at_version, commit, newest
 
@@ -183,7 +183,8 @@ def _write_version(now: Timeline, staged: DataFrame, touched: list[str], grain:
     rows = staged
     if now.version:
         rows = now.stored(touched).drop(BLOCK, ROW).unionByName(staged)
-    numbered = number_rows(rows, incident_order())
+    # periods follow event order, so that rows sorted by them first are in that order and need no second sort to be written
+    numbered = number_rows(rows, incident_order(), sort_partitions(rows.count()), first=[F.col(PERIOD).asc()])
     runs_path = f"{base}/runs/batch={batch}"
     # rows come in event order, so a task writes few folders
     numbered.write.partitionBy(PERIOD).parquet(runs_path)

@@ -136,3 +136,28 @@ def test_rename_does_not_replace(spark):
     with pytest.raises(Exception, match="AlreadyExists"):
         commits._rename(spark, f"{folder}/b", f"{folder}/taken")
     assert open(os.path.join(folder.removeprefix("file:"), "taken")).read() == "a"
+
+
+def test_runs_of_the_queries_are_derived_once(spark, monkeypatch):
+    """Both parts that are added come from one stored table, not from the source tables again."""
+    from fleetlake.plans import queries_io
+
+    seen = []
+
+    def spy(spark, base, runs, grain):
+        seen.append(runs.inputFiles())
+        return add_runs(spark, base, runs, grain)
+
+    monkeypatch.setattr(queries_io, "add_runs", spy)
+    line = queries_io._timeline(spark, SF_SMALL)
+    assert len(seen) == 2 and all("timeline-src" in f for files in seen for f in files)
+    assert _ids(line.silver()) == _ids(build_silver(load_telemetry(spark, SF_SMALL)))
+
+
+def test_blocks_hold_few_rows(spark, silver, monkeypatch):
+    from fleetlake.operators import position
+
+    monkeypatch.setattr(position, "SORT_ROWS", 100)
+    line = add_runs(spark, scratch_path(spark, "timeline"), silver, grain="month")
+    assert line.index().groupBy("row_block").agg(F.sum("rows").alias("n")).agg(F.max("n")).first()[0] < 400
+    assert _ids(line.silver()) == _ids(build_silver(load_telemetry(spark, SF_SMALL)))
