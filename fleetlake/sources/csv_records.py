@@ -31,6 +31,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -42,6 +43,8 @@ MAX_BROADCAST_RANGES = 1 << 20
 _RANGE = ["file", "start", "size"]
 _WHOLE, _CUT_AFTER, _CUT_BEFORE, _CUT_BOTH = 0, 1, 2, 3
 _SINGLE_QUOTED = r'(^|,)"[^"]*+"'
+#: Bytes of lines that a task makes records of at a time. A batch of lines goes by their number, which says nothing of their lengths.
+_PIECE_BYTES = 1 << 22
 _LEFT_OPEN = r'(?:^|,)"[^"]*+$'
 
 
@@ -96,6 +99,18 @@ def _after(closed: np.ndarray, open_: np.ndarray, entry: bool) -> np.ndarray:
     return base ^ ((swaps - np.where(known, swaps[last], 0)) % 2 == 1)
 
 
+def _pieces(sizes: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
+    """Neighbouring rows of up to ``most`` together; a larger row is alone."""
+    a, total = 0, 0
+    for b, size in enumerate(sizes.tolist()):
+        if b > a and total + size > most:
+            yield a, b
+            a, total = b, 0
+        total += size
+    if a < len(sizes):
+        yield a, len(sizes)
+
+
 def byte_ranges(lines: DataFrame) -> DataFrame:
     """The two outcomes ``closed``, ``open`` of every byte range.
 
@@ -176,18 +191,19 @@ def _assemble(lines: DataFrame) -> DataFrame:
                     cut = inside
                 ends = _after(closed[a:b], open_[a:b], inside)
                 inside = bool(ends[-1])
-                for line, goes_on in zip(text.slice(a, b - a).to_pylist(), ends.tolist(), strict=True):
-                    pending.append(line)
-                    if not goes_on:
-                        record = pending[0] if len(pending) == 1 else "\n".join(pending)
-                        record = record.removesuffix("\r")
-                        if record or cut:
-                            out.append((*key, _CUT_BEFORE if cut else _WHOLE, first, record))
-                            first = False
-                        pending, cut = [], False
-            if out:
-                yield batch_of(out)
-                out = []
+                for c, d in _pieces(pc.binary_length(text.slice(a, b - a)).to_numpy(zero_copy_only=False), _PIECE_BYTES):
+                    for line, goes_on in zip(text.slice(a + c, d - c).to_pylist(), ends[c:d].tolist(), strict=True):
+                        pending.append(line)
+                        if not goes_on:
+                            record = pending[0] if len(pending) == 1 else "\n".join(pending)
+                            record = record.removesuffix("\r")
+                            if record or cut:
+                                out.append((*key, _CUT_BEFORE if cut else _WHOLE, first, record))
+                                first = False
+                            pending, cut = [], False
+                    if out:
+                        yield batch_of(out)
+                        out = []
         leave()
         if out:
             yield batch_of(out)

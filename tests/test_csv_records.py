@@ -116,3 +116,30 @@ def test_a_range_unknown_to_the_first_pass_stops_the_job(spark):
     other = byte_ranges(lines).withColumn("size", F.col("size") + 1)
     with pytest.raises(Exception, match="split differently"):
         csv_records(lines, other).collect()
+
+
+def test_records_of_long_lines_leave_in_pieces():
+    """A batch of lines has any length; a task makes records of some MB of it at a time."""
+    import pyarrow as pa
+
+    from fleetlake.sources.csv_records import _PIECE_BYTES, _assemble, _pieces
+
+    class Lines:  # what _assemble needs of a DataFrame
+        def select(self, *columns):
+            return self
+
+        def mapInArrow(self, run, schema):
+            return run
+
+    n, line = 60, "x" * 300_000
+    ends = [i % 3 == 0 for i in range(n)]  # every third line goes on
+    columns = [[7] * n, [0] * n, [9] * n, [False] * n, [True] * n, ends, ends, [f"{i}{line}" for i in range(n)]]
+    names = ["file", "start", "size", "entry", "top", "closed", "open", "value"]
+    out = list(_assemble(Lines())(iter([pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=names)])))
+    assert len(out) > 3 and max(b.nbytes for b in out) < 2 * _PIECE_BYTES
+    records = [r for b in out for r in b.column(5).to_pylist()]
+    expected = [f"{i}{line}\n{i + 1}{line}" if i % 3 == 0 else f"{i}{line}" for i in range(n) if i % 3 != 1]
+    assert records == expected
+    import numpy as np
+
+    assert list(_pieces(np.array([9, 1, 1, 3, 1]), 4)) == [(0, 1), (1, 3), (3, 5)] and list(_pieces(np.array([]), 4)) == []
