@@ -80,7 +80,7 @@ def lookup(mapping: Mapping, key) -> Column:
 
 def spaced(x) -> Column:
     """``failure_category.replace('_', ' ')``."""
-    return F.regexp_replace(_c(x), "_", " ")
+    return F.replace(_c(x), F.lit("_"), F.lit(" "))
 
 
 def num_text(x) -> Column:

@@ -61,8 +61,12 @@ def number_rows(
     )
 
 
-def positions_from_numbered(numbered: DataFrame, name: str = "position") -> DataFrame:
-    """``name`` = 0-based position, from MATERIALISED ``number_rows`` output."""
+def positions_from_numbered(numbered: DataFrame, name: str = "position", num_partitions: int | None = None) -> DataFrame:
+    """``name`` = 0-based position, from MATERIALISED ``number_rows`` output.
+
+    With the ``num_partitions`` that numbered the rows, each block is one task
+    again: a shuffle that needs no sample, so nothing below it is computed twice.
+    """
     counts = numbered.groupBy(BLOCK).agg(F.count(F.lit(1)).alias("_fl_cnt"))
     # the in-block id has 33 bits: a larger block would make positions collide,
     # so fail loudly (inside the plan, no extra job) instead of numbering wrongly
@@ -79,8 +83,9 @@ def positions_from_numbered(numbered: DataFrame, name: str = "position") -> Data
     ).fillna(0, subset=["_fl_off"])
     # monotonically_increasing_id = partition index << 33 | row index in partition
     local = F.col(ROW) - F.shiftleft(F.col(BLOCK).cast("bigint"), 33)
+    rows = numbered.repartitionById(num_partitions, F.col(BLOCK)) if num_partitions else numbered
     return (
-        numbered.join(F.broadcast(offsets), BLOCK)
+        rows.join(F.broadcast(offsets), BLOCK)
         .withColumn(name, F.col("_fl_off") + local)
         .drop(BLOCK, ROW, "_fl_off")
     )

@@ -142,7 +142,8 @@ def build_silver(bronze: DataFrame, num_partitions: int | None = None) -> DataFr
     return score_silver(with_incident_ids(bronze, num_partitions))
 
 
-def build_silver_from_numbered(stored_bronze: DataFrame) -> DataFrame:
-    """Silver from a STORED ``number_bronze`` table (no checkpoint needed)."""
-    positioned = positions_from_numbered(stored_bronze, "_fl_pos")
+def build_silver_from_numbered(stored_bronze: DataFrame, num_partitions: int | None = None) -> DataFrame:
+    """Silver from a STORED ``number_bronze`` table (no checkpoint needed); with the
+    count that numbered it, a task holds one block of neighbouring runs."""
+    positioned = positions_from_numbered(stored_bronze, "_fl_pos", num_partitions)
     return score_silver(positioned.withColumn("incident_id", incident_id_expr(F.col("_fl_pos"))).drop("_fl_pos"))

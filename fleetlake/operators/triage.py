@@ -77,6 +77,27 @@ def comparables_by_category(pool: DataFrame, categories: DataFrame, keep: int =
     )
 
 
+def _kept(cands: Column) -> Column:
+    return F.transform(
+        F.slice(cands, 1, fv.COMPARABLE_LIMIT), lambda x: F.struct(*[x[c].alias(c) for c in COMPARABLE_FIELDS])
+    )
+
+
+def _with_first(cands: DataFrame) -> DataFrame:
+    """Per category, what an incident outside its candidates gets, and their ids: made once a category, not per incident."""
+    named = F.filter("_fl_cands", lambda x: x["incident_id"].isNotNull())
+    return cands.withColumns(
+        {"_fl_first": _kept(named), "_fl_ids": F.transform(named, lambda x: x["incident_id"])}
+    )
+
+
+def _comparables() -> Column:
+    """The first candidates that have another id than the incident."""
+    own = F.col("incident_id").isNull() | F.array_contains("_fl_ids", F.col("incident_id"))
+    others = F.filter("_fl_cands", lambda x: x["incident_id"] != F.col("incident_id"))
+    return F.when(own, _kept(others)).otherwise(F.col("_fl_first"))
+
+
 def _first_action_lower() -> Column:
     return F.lower(F.element_at(F.col("next_actions"), 1))
 
@@ -140,7 +161,7 @@ def build_triage(
     runbook = runbook_dimension(spark)
     pool = incidents if pool is None else pool
     ctx = triage_context(incidents, health).join(F.broadcast(runbook), "failure_category", "inner")
-    cands = comparables_by_category(pool, runbook)
+    cands = _with_first(comparables_by_category(pool, runbook))
     ctx = ctx.join(F.broadcast(cands), "failure_category", "left")
 
     def opt(cond: Column, text: str) -> Column:
@@ -164,11 +185,7 @@ def build_triage(
         }
     )
     elem = pool.select(*COMPARABLE_FIELDS).schema
-    picked = F.transform(
-        F.slice(F.filter("_fl_cands", lambda x: x["incident_id"] != F.col("incident_id")), 1, fv.COMPARABLE_LIMIT),
-        lambda x: F.struct(*[x[c].alias(c) for c in COMPARABLE_FIELDS]),
-    )
-    ctx = ctx.withColumn("comparable_incidents", F.coalesce(picked, F.array().cast(T.ArrayType(elem))))
+    ctx = ctx.withColumn("comparable_incidents", F.coalesce(_comparables(), F.array().cast(T.ArrayType(elem))))
     ctx = ctx.withColumns(
         {
             "customer_update": F.concat(

@@ -31,7 +31,7 @@ from fleetlake.functions.exprs import iso_seconds, utc_now_text
 from fleetlake.functions.fixed_values import AGENT_RUNS_SHOWN
 from fleetlake.operators.bronze import build_bronze
 from fleetlake.operators.health import build_customer_health
-from fleetlake.operators.incidents import incident_candidates, top_incidents
+from fleetlake.operators.incidents import incident_candidates, is_incident, top_stored_incidents, with_incident_text
 from fleetlake.operators.keyed import read_rows, upsert_rows
 from fleetlake.operators.position import sort_partitions
 from fleetlake.operators.runlog import (
@@ -161,8 +161,11 @@ def _refresh(spark, raw, layout: Layout, version: str, started: str, days: int,
     bronze.write.mode("overwrite").partitionBy(DATE_BIN).parquet(bronze_path)
     stored_bronze = spark.read.schema(bronze.drop(DATE_BIN).schema).parquet(bronze_path)
     order = ["event_ts", "job_id"]
-    silver_df = build_silver_from_numbered(stored_bronze)
-    silver_path = publish_version(silver_df, layout.table("silver"), version, ["severity"], order, tasks=tasks)
+    # bronze's blocks are tasks again, so the scores are computed once and not for a sample of ranges too
+    silver_df = build_silver_from_numbered(stored_bronze, tasks)
+    silver_path = publish_version(
+        silver_df, layout.table("silver"), version, ["severity"], order, tasks=tasks, dealt=tasks is not None
+    )
     silver = spark.read.schema(silver_df.schema).parquet(silver_path)
     # D1 as one value: the literal cutoff is pushed into the scan of the
     # time-sorted silver files (a subquery cutoff would not be)
@@ -171,12 +174,18 @@ def _refresh(spark, raw, layout: Layout, version: str, started: str, days: int,
     health_path = publish_version(
         health, layout.table("customer_health"), version, ["risk_band"], ["customer_id"], ["customer_id"]
     )
-    candidates = incident_candidates(silver)
     incidents_path = publish_version(
-        candidates, layout.table("incidents"), version, ["severity"], order, ["incident_id"], tasks
+        silver.filter(is_incident()),
+        layout.table("incidents"),
+        version,
+        ["severity"],
+        order,
+        ["incident_id"],
+        tasks,
+        finish=with_incident_text,
     )
-    incidents = spark.read.schema(candidates.schema).parquet(incidents_path)
-    queue_path = publish_version(top_incidents(incidents), layout.table("incident_queue"), version, ["severity"])
+    incidents = spark.read.schema(incident_candidates(silver).schema).parquet(incidents_path)
+    queue_path = publish_version(top_stored_incidents(incidents), layout.table("incident_queue"), version, ["severity"])
 
     counts = {
         "raw_rows": stored_bronze.select(F.count(F.lit(1))).scalar(),

@@ -16,6 +16,7 @@
 from __future__ import annotations
 
 import os
+from collections.abc import Callable
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -148,6 +149,8 @@ def write_parquet_dataset(
     cluster_by: list[str] | None = None,
     lookup_by: list[str] | None = None,
     tasks: int | None = None,
+    dealt: bool = False,
+    finish: Callable[[DataFrame], DataFrame] | None = None,
 ) -> None:
     """A3: partitioned parquet.
 
@@ -160,10 +163,17 @@ def write_parquet_dataset(
     ``lookup_by`` columns get Bloom filters, so that a filter on one value
     skips the row groups that cannot hold it, whatever the order of the rows.
     ``tasks`` is the number of ranges; without it AQE chooses, by compressed sizes.
+    Rows that are ``dealt`` to tasks of neighbouring rows already are only sorted.
+    The ranges come from a sample, for which all columns are computed once more:
+    ``finish`` adds those that the order does not need after the sort.
     """
     keys = [_q(c) for c in (partition_cols or []) + (cluster_by or [])]
     count = [tasks] if tasks else []
-    out = df.repartitionByRange(*count, *keys).sortWithinPartitions(*keys) if keys else df
+    out = df
+    if keys:
+        out = (df if dealt else df.repartitionByRange(*count, *keys)).sortWithinPartitions(*keys)
+    if finish is not None:
+        out = finish(out)
     writer = out.write.mode("overwrite")
     for c in lookup_by or []:
         writer = writer.option(f"parquet.bloom.filter.enabled#{c}", "true")
@@ -195,11 +205,13 @@ def publish_version(
     cluster_by: list[str] | None = None,
     lookup_by: list[str] | None = None,
     tasks: int | None = None,
+    dealt: bool = False,
+    finish: Callable[[DataFrame], DataFrame] | None = None,
 ) -> str:
     """Write a new immutable version directory; readers move to it only when
     the manifest names it (see ``manifest``). Never overwrites a path being read."""
     target = f"{base.rstrip('/')}/version={version}"
-    write_parquet_dataset(df, target, partition_cols, cluster_by, lookup_by, tasks)
+    write_parquet_dataset(df, target, partition_cols, cluster_by, lookup_by, tasks, dealt, finish)
     return target
 
 

@@ -109,7 +109,7 @@ def telemetry_from_tables(
         "event_ts": F.col("o_orderdate") + F.make_dt_interval(F.lit(0), F.lit(0), (k % 1440).cast("int")),
         "partition_date": F.date_format(F.col("o_orderdate"), "yyyy-MM-dd"),
         "customer_id": F.concat(
-            F.regexp_replace(F.lower(F.col("r_name")), " ", "_"), F.lit("-"), F.col("n_nationkey").cast("string")
+            F.replace(F.lower(F.col("r_name")), F.lit(" "), F.lit("_")), F.lit("-"), F.col("n_nationkey").cast("string")
         ),
         "customer_name": F.col("n_name"),
         "region": F.col("r_name"),

@@ -138,3 +138,60 @@ def test_sorts_of_a_refresh_are_dealt_by_rows(spark, monkeypatch):
     stored = current_table(spark, base, "silver").select("job_id", "incident_id")
     direct = build_silver(tel, num_partitions=3).select("job_id", "incident_id")
     assert sorted(map(tuple, stored.collect())) == sorted(map(tuple, direct.collect()))
+
+
+def test_a_refresh_scores_and_words_each_run_once(spark, monkeypatch):
+    """Silver is dealt by bronze's blocks, without a sample of scored rows; incident texts are made after the sort."""
+    from fleetlake.operators import position
+    from fleetlake.plans import medallion
+    from fleetlake.sources.files import publish_version
+
+    seen = {}
+
+    def publish(df, base, version, *args, **options):
+        seen[base.rsplit("/", 1)[1]] = (df, options)
+        return publish_version(df, base, version, *args, **options)
+
+    monkeypatch.setattr(position, "SORT_ROWS", 100)
+    monkeypatch.setattr(medallion, "publish_version", publish)
+    base = scratch_path(spark, "lake-once")
+    run_feature_pipeline(spark, load_telemetry(spark, SF_SMALL), base, days=90)
+    silver, options = seen["silver"]
+    assert options["dealt"] and "rangepartitioning" not in silver._jdf.queryExecution().executedPlan().toString()
+    incidents, options = seen["incidents"]
+    assert "summary_line" not in incidents.columns and "summary_line" in options["finish"](incidents).columns
+    # every silver file is one block's runs of a severity, in event order
+    files = current_table(spark, base, "silver").groupBy(F.input_file_name().alias("f"), "severity")
+    times = sorted(map(tuple, files.agg(F.min("event_ts").alias("a"), F.max("event_ts").alias("b")).select("severity", "a", "b").collect()))
+    assert all(x[0] != y[0] or x[2] <= y[1] for x, y in zip(times, times[1:]))
+
+
+def test_queue_of_a_stored_table_reads_few_whole_rows(spark):
+    """The queue is the same with ties, repeats, missing times and few rows; other ranks' row groups are skipped."""
+    from fleetlake.operators.incidents import top_incidents, top_stored_incidents
+
+    def same(rows, n=16):
+        a, b = (sorted(map(str, f(rows, n).collect())) for f in (top_incidents, top_stored_incidents))
+        assert a == b and len(a) == min(n, rows.count())
+
+    k = F.col("id")
+    rows = spark.range(200).select(
+        (k % 3).cast("int").alias("severity_rank"),
+        F.when(k % 5 > 0, F.expr("timestamp_ntz'2024-03-31 02:30:00.123456' + make_dt_interval(0, 0, 0, cast(id % 7 as int))")).alias("event_ts"),
+        F.when(k % 11 > 0, F.concat(F.lit("inc-"), (k % 50).cast("string"))).alias("incident_id"),
+    )
+    for n in (0, 1, 16, 60, 67, 150, 500):
+        same(rows, n)
+    same(rows.limit(0))
+    same(rows.withColumn("event_ts", F.lit(None).cast("timestamp_ntz")))
+    same(rows.withColumn("event_ts", F.col("event_ts").cast("timestamp")))
+    same(rows.withColumn("severity_rank", F.lit(None).cast("int")))
+    path = scratch_path(spark, "queue")
+    timed = spark.range(4000).select((k % 8).cast("int").alias("severity_rank"), F.timestamp_seconds("id").cast("timestamp_ntz").alias("event_ts"), k.cast("string").alias("incident_id"))
+    for rank in range(8):
+        timed.filter(F.col("severity_rank") == rank).write.mode("append").parquet(path)
+    found = top_stored_incidents(spark.read.parquet(path))
+    found.collect()
+    leaves = found._jdf.queryExecution().executedPlan().collectLeaves()
+    stages = [leaves.apply(i) for i in range(leaves.length())]
+    assert sum(s.metrics().apply("numOutputRows").value() for s in stages) < 1000

@@ -90,3 +90,23 @@ def test_comparables_with_a_hot_category_match_brute_force(spark):
         others["neg_ts"] = -others.event_ts.astype("int64")
         want = others.sort_values(["severity_rank", "neg_ts", "incident_id"]).incident_id.head(3).tolist()
         assert [c.incident_id for c in r.comparable_incidents] == want
+
+
+def test_comparables_with_missing_and_repeated_ids(spark):
+    """Each incident gets the first candidates of its category with another id; without an id it gets none."""
+    from collections import defaultdict
+
+    cands, health = _gold(spark)
+    some = cands.limit(120).withColumn("n", F.abs(F.xxhash64("job_id")) % 40).localCheckpoint()
+    ids = F.when(F.col("n") > 3, F.concat(F.lit("inc-"), F.lpad(F.col("n").cast("string"), 2, "0")))
+    incidents = some.withColumn("incident_id", ids).withColumn("severity_rank", F.lit(1)).withColumn("event_ts", F.lit("2024-01-01").cast("timestamp_ntz"))
+    pool = defaultdict(list)
+    for r in incidents.collect():
+        pool[r.failure_category].append(r.incident_id)
+    first = {c: sorted(v, key=lambda i: (i is None, i or ""))[:4] for c, v in pool.items()}
+    category = {r.job_id: r.failure_category for r in incidents.collect()}
+    reports = build_triage(incidents, health, run_id=F.col("job_id")).select("run_id", "incident_id", "comparable_incidents").collect()
+    assert reports
+    for r in reports:
+        others = [i for i in first[category[r.run_id]] if i is not None and r.incident_id is not None and i != r.incident_id]
+        assert [c.incident_id for c in r.comparable_incidents] == others[:3]
